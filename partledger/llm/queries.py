@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from partledger.llm import mixing
+from partledger.llm import decontam, licenses, minhash, mixing, quality, secrets, toxicity, warc
 
 QUERIES = {
+    "op1_secrets": secrets.op1_secrets,
+    "op2_licenses": licenses.op2_licenses,
+    "op3_warc": warc.op3_warc,
+    "op4_decontaminate": decontam.op4_decontaminate,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op8_near_duplicates": minhash.op8_near_duplicates,
+    "op9_toxicity": toxicity.op9_toxicity,
+    "op10_quality_rules": quality.op10_quality_rules,
 }
 
 ORACLE_SQL = {
+    "op2_licenses": licenses.OP2_SQL,
+    "op4_decontaminate": decontam.OP4_SQL,
     "op5_mix_sources": mixing.OP5_SQL,
+    "op10_quality_rules": quality.OP10_SQL,
 }
