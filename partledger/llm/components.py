@@ -16,17 +16,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     taken by partial aggregation, so a node with very many links costs no single task. Nodes without links and null
     ends are not in the result.
     """
-    one_way = edges.select("a", "b").filter("a <> b").distinct()
-    both = written(one_way.unionByName(one_way.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    one_way = edges.select("a", "b").filter("a <> b")
+    both = written(one_way.unionByName(one_way.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"), F.lit(True).alias("moved")), "labels")
     for _ in range(max_rounds):
-        near = both.join(labels, both.b == labels.node).select(F.col("a").alias("node"), "component")
-        lower = near.unionByName(labels).groupBy("node").agg(F.min("component").alias("component"))
+        near = both.join(labels.filter("moved"), both.b == labels.node).select(F.col("a").alias("node"), "component")
+        own = labels.select("node", "component", F.col("component").alias("old"))
+        lower = near.withColumn("old", F.lit(None).cast("long")).unionByName(own).groupBy("node").agg(F.min("component").alias("component"), F.max("old").alias("old"))
         of = labels.select(F.col("node").alias("label"), F.col("component").alias("further"))
-        jumped = lower.join(of, F.col("component") == F.col("label"), "left")
-        step = jumped.select("node", F.least("component", F.coalesce("further", "component")).alias("component"))
-        previous, labels = labels, written(step, "labels")
-        old = previous.select("node", F.col("component").alias("old"))
-        if labels.join(old, "node").filter("component <> old").limit(1).count() == 0:
-            return labels
+        jumped = lower.join(of, F.col("component") == F.col("label"), "left").select("node", F.least("component", F.coalesce("further", "component")).alias("component"), "old")
+        labels = written(jumped.select("node", "component", (F.col("component") != F.col("old")).alias("moved")), "labels")
+        if labels.filter("moved").limit(1).count() == 0:
+            return labels.drop("moved")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

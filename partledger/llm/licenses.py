@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from partledger.llm.common import table
 
-#: Least Dice coefficient.
-LEAST = 0.8
+#: Least Dice coefficient, in percent: whole numbers keep ties exact.
+PERCENT = 80
 
 # Names and wording of public licence notices.
 TEMPLATES = (
@@ -58,33 +58,32 @@ def normalised(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
 
 
-def telling_words(pairs: Sequence[str], least: float = LEAST) -> list[str]:
+def telling_words(pairs: Sequence[str], percent: int = PERCENT) -> list[str]:
     """Words of which any text like a template has one: the longest, until too few of its bigrams are without them.
 
-    At `least`, a like text has at least b * least / (2 - least) of the template's b bigrams.
+    A like text has at least b * percent / (200 - percent) of the template's b bigrams.
     """
-    needed = len(pairs) * least / (2 - least)
     chosen: list[str] = []
     for word in sorted({w for p in pairs for w in p.split()}, key=lambda w: (-len(w), w)):
-        if sum(not set(p.split()) & set(chosen) for p in pairs) < needed:
+        if sum(not set(p.split()) & set(chosen) for p in pairs) * (200 - percent) < len(pairs) * percent:
             break
         chosen.append(word)
     return chosen
 
 
-def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, least: float = LEAST, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, percent: int = PERCENT, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, unit, license, template, dice): whole texts (unit 0) and lines (unit 1, 2, ...) that are like a template.
 
     Text and template are compared by the Dice coefficient of their sets of word bigrams. Only units with a telling
     word of some template are split into words, and a unit is held against the templates whose number of bigrams b
-    allows the coefficient: b * least / (2 - least) to b * (2 - least) / least bigrams in the unit. Neither loses a match.
+    allows the coefficient: b * percent / (200 - percent) to b * (200 - percent) / percent bigrams in the unit. Neither loses a match.
     Of several templates the most similar counts, of equally similar ones the first. A null or empty text and one without
     two words has no licence; repeated rows are reported each; a text of one line is reported once, as unit 0; an empty
     table gives an empty result. Nothing is shuffled, and other columns of docs are not read.
     """
     known = [(name, i, bigrams(normal_words(t))) for i, (name, t) in enumerate(templates)]
     known = [k for k in known if k[2]]
-    telling = sorted({w for _, _, b in known for w in telling_words(b, least)})
+    telling = sorted({w for _, _, b in known for w in telling_words(b, percent)})
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     lines = F.split(whole, "\n", -1)
     units = F.when(F.size(lines) > 1, F.concat(F.array(whole), lines)).otherwise(F.array(whole))
@@ -96,16 +95,19 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(tells(F.col("text")))
     rows = rows.select("doc_id", F.posexplode(units).alias("unit", "text")).filter(tells(F.col("text")))
     rows = rows.select("doc_id", "unit", normalised(F.col("text")).alias("words"))
-    pairs = F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat_ws(" ", a, b))
-    rows = rows.filter(F.size("words") > 1).select("doc_id", "unit", F.array_distinct(pairs).alias("pairs"))
+    n_pairs = F.greatest(F.size("words") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("words", 1, n_pairs), F.slice("words", 2, n_pairs), lambda a, b: F.concat_ws(" ", a, b))
+    rows = rows.select("doc_id", "unit", F.array_distinct(pairs).alias("pairs"))
     n = F.size("pairs")
     scored = []
     for name, i, b in known:
-        fits = (n * (2 - least) >= len(b) * least) & (n * least <= len(b) * (2 - least))
-        dice = F.when(fits, 2.0 * F.size(F.array_intersect("pairs", F.array(*map(F.lit, b)))) / (n + len(b)))
-        scored.append(F.struct(dice.alias("dice"), F.lit(-i).alias("minus"), F.lit(name).alias("license")))
-    best = F.array_max(F.filter(F.array(*scored), lambda s: s["dice"] >= least))
-    found = rows.select("doc_id", "unit", best.alias("best")).filter(F.col("best").isNotNull())
+        fits = (n * (200 - percent) >= len(b) * percent) & (n * percent <= len(b) * (200 - percent))
+        common = F.size(F.array_intersect("pairs", F.array(*map(F.lit, b))))
+        enough = F.when(fits, 200 * common >= percent * (n + len(b)))
+        scored.append(F.struct(F.when(enough, 2.0 * common / (n + len(b))).alias("dice"), F.lit(-i).alias("minus"), F.lit(name).alias("license")))
+    # Exploding the best, if there is one, computes it once; a filter would be pushed down with a copy of it.
+    best = F.array_compact(F.array(F.array_max(F.filter(F.array(*scored), lambda s: s["dice"].isNotNull()))))
+    found = rows.select("doc_id", "unit", F.explode(best).alias("best"))
     return found.select("doc_id", F.col("unit").cast("long").alias("unit"), F.col("best.license").alias("license"), (-F.col("best.minus")).cast("long").alias("template"), F.col("best.dice").alias("dice"))
 
 
@@ -126,9 +128,9 @@ WITH t(template, license, b) AS (VALUES {rows}), d AS (
 ), p AS (
   SELECT r, doc_id, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS pairs FROM w WHERE len(w) > 1
 ), s AS (
-  SELECT r, doc_id, unit, license, template, 2.0 * len(list_intersect(pairs, b)) / (len(pairs) + len(b)) AS dice FROM p, t
+  SELECT r, doc_id, unit, license, template, 2.0 * len(list_intersect(pairs, b)) / (len(pairs) + len(b)) AS dice FROM p, t WHERE 200 * len(list_intersect(pairs, b)) >= 80 * (len(pairs) + len(b))
 )
-SELECT doc_id, unit::BIGINT AS unit, license, template::BIGINT AS template, dice::DOUBLE AS dice FROM s WHERE dice >= 0.8
+SELECT doc_id, unit::BIGINT AS unit, license, template::BIGINT AS template, dice::DOUBLE AS dice FROM s
 QUALIFY row_number() OVER (PARTITION BY r, unit ORDER BY dice DESC, template) = 1
 """
 

@@ -9,15 +9,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partledger.llm.common import same, small, table, written
+from partledger.llm.common import small, table, written
 from partledger.llm.components import components
 
 #: Words in a shingle, and the least similarity in percent, unless a contract says otherwise.
 SHINGLE, PERCENT = 5, 80
 #: Bands of the signature and coordinates in a band. A pair at 0.8 is missed with a chance of (1 - 0.8**5)**32 = 3e-6.
 BANDS, ROWS = 32, 5
-#: Rounds of comparing with one pivot for each bucket before what is left is compared in pairs.
-PIVOT_ROUNDS = 6
+#: Buckets of up to so many are compared in pairs at once, larger ones with a pivot in up to so many rounds; then the pairs
+#: that are left (those of different components) are all compared.
+PAIRS, PIVOT_ROUNDS = 32, 6
 
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 C1, C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -61,14 +62,12 @@ def signature(shingles: np.ndarray, n: int) -> np.ndarray:
     first = (mix64(shingles) >> np.uint64(32)).astype(np.uint32)
     low = np.full(n, 0xFFFFFFFF, np.uint32)
     shift = np.arange(n, dtype=np.uint32)
-    for at in range(0, len(first), 2048):
-        x = first[at : at + 2048, None] + shift
-        x ^= x >> np.uint32(16)
+    for at in range(0, len(first), 256):  # few enough to stay in the processor's cache
+        x = first[at : at + 256, None] + shift
         x *= np.uint32(0x85EBCA6B)
-        x ^= x >> np.uint32(13)
+        x ^= x >> np.uint32(15)
         x *= np.uint32(0xC2B2AE35)
-        x ^= x >> np.uint32(16)
-        low = np.minimum(low, x.min(axis=0))
+        np.minimum(low, x.min(axis=0), out=low)
     return low
 
 
@@ -120,8 +119,17 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     a = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("of_a"))
     b = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("of_b"))
     both = F.size(F.array_intersect("of_a", "of_b"))
-    held = pairs.join(a, "a").join(b, "b").withColumn("both", both)
-    return held.filter(100 * F.col("both") >= percent * (F.size("of_a") + F.size("of_b") - F.col("both"))).select("a", "b")
+    # The same as 100 * both >= percent * (|a| + |b| - both), with one mention of the intersection.
+    return pairs.join(a, "a").join(b, "b").filter((100 + percent) * both >= percent * (F.size("of_a") + F.size("of_b"))).select("a", "b")
+
+
+def pivots_of(open_: DataFrame, tried: DataFrame | None) -> DataFrame:
+    """(bucket, rep, n, at): of each bucket the member, not tried before, with the most mates in large buckets outside its component."""
+    shares = open_.groupBy("bucket", "at").agg(F.count("*").alias("share"))
+    mates = open_.join(shares, ["bucket", "at"]).groupBy("rep").agg(F.sum(F.col("members") - F.col("share")).alias("mates"))
+    may = open_ if tried is None else open_.join(tried, ["bucket", "rep"], "left_anti")
+    best = may.join(mates, "rep").groupBy("bucket").agg(F.max(F.struct("mates", (-F.col("rep")).alias("minus"), "n", "at")).alias("b"))
+    return written(best.select("bucket", (-F.col("b.minus")).alias("rep"), "b.n", "b.at"), "pivots")
 
 
 def ordered(a: str, b: str) -> list:
@@ -133,9 +141,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
 
     Texts with equal shingle sets are one class, which the smallest doc_id stands for. Class representatives that
     share a band of their signatures are candidates; their sizes must allow the similarity, and a link counts only
-    after it is confirmed on the whole sets. In a bucket of many, all are compared with the bucket's pivot (the member
-    with the most bucket mates outside its component) round by round; links within a component found meanwhile are
-    not looked for, as they change no component; what is left after the rounds is compared in pairs, all of them.
+    after it is confirmed on the whole sets. In a bucket of more than PAIRS, all are compared with the bucket's pivot (the
+    member with the most bucket mates outside its component) round by round; links within a component found meanwhile
+    are not looked for, as they change no component; when few are left, or after the rounds, all the rest is compared.
 
     Texts that are null or have no words have no shingles, link with nothing and are kept. Rows with a null id count
     as id null: they link by their text, and where a whole class has null ids, its component is null and it is
@@ -154,34 +162,34 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
     whole = shingle_sets(docs.join(small(ids.select(F.col("rep").alias(doc_id)).distinct()), doc_id, "left_semi"), shingle, text, doc_id)
     sets = written(whole.join(ids, (whole.doc_id == ids.rep) & (whole.set_id == ids.set_id), "left_semi").select(F.col("doc_id").alias("rep"), "set_id", "shingles").dropDuplicates(["rep", "set_id"]).select("rep", "shingles"), "sets")
 
-    links = written(entries.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0), "no-links")
-    labels = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    tried = links
     fits = 100 * F.least("n", "other_n") >= percent * F.greatest("n", "other_n")
-    for turn in range(pivot_rounds + 1):
-        placed = entries.join(labels, entries.rep == labels.node, "left").select("bucket", "members", "rep", "n", F.coalesce("component", "rep").alias("at"))
-        # Buckets with members in more than one component are open.
+    few = entries.filter(F.col("members") <= PAIRS)
+    mates = few.select("bucket", F.col("rep").alias("other"), F.col("n").alias("other_n"))
+    pairs = few.join(mates, "bucket").filter((F.col("rep") < F.col("other")) & fits).select(*ordered("rep", "other"))
+    open_ = entries.filter(F.col("members") > PAIRS).withColumn("at", F.col("rep"))
+    links, tried, turn = None, None, 0
+    while True:
+        pivots = pivots_of(open_, tried)
+        tried = pivots.select("bucket", "rep") if tried is None else tried.unionByName(pivots.select("bucket", "rep"))
+        pivot = pivots.select("bucket", F.col("rep").alias("other"), F.col("n").alias("other_n"), F.col("at").alias("other_at"))
+        compared = open_.join(pivot, "bucket").filter((F.col("at") != F.col("other_at")) & fits).select(*ordered("rep", "other"))
+        pairs = compared if turn else pairs.unionByName(compared)
+        more = written(verified(pairs.distinct(), sets, percent), "links")
+        links = more if links is None else links.unionByName(more)
+        labels = components(links)
+        turn += 1
+        placed = entries.filter(F.col("members") > PAIRS).join(labels, F.col("rep") == F.col("node"), "left").select("bucket", "members", "rep", "n", F.coalesce("component", "rep").alias("at"))
+        # Only buckets with members in more than one component can hold links that change anything.
         spread = placed.groupBy("bucket").agg(F.min("at").alias("low"), F.max("at").alias("high")).filter("low <> high").select("bucket")
         open_ = written(placed.join(spread, "bucket"), "open")
         shares = open_.groupBy("bucket", "at").agg(F.count("*").alias("share"))
-        left = shares.groupBy("bucket").agg(((F.sum("share") * F.sum("share") - F.sum(F.col("share") * F.col("share"))) / 2).alias("pairs")).agg(F.sum("pairs"), F.count("*")).first()
+        left = shares.groupBy("bucket").agg(((F.sum("share") * F.sum("share") - F.sum(F.col("share") * F.col("share"))) / 2).alias("pairs"), F.sum("share").alias("rows")).agg(F.sum("pairs"), F.sum("rows")).first()
         if not left[1]:
             break
-        if turn == pivot_rounds or left[0] <= 2 * open_.count():
-            one, two = open_.alias("x"), open_.select("bucket", F.col("rep").alias("other"), F.col("n").alias("other_n"), F.col("at").alias("other_at")).alias("y")
-            pairs = one.join(two, "bucket").filter((F.col("rep") < F.col("other")) & (F.col("at") != F.col("other_at")) & fits).select(*ordered("rep", "other"))
-        else:
-            mates = open_.join(shares, ["bucket", "at"]).groupBy("rep").agg(F.sum(F.col("members") - F.col("share")).alias("mates"))
-            fresh = tried.select(F.col("pivot").alias("rep"), "bucket") if turn else None
-            may = open_.join(fresh, ["rep", "bucket"], "left_anti") if turn else open_
-            best = may.join(mates, "rep").groupBy("bucket").agg(F.max(F.struct("mates", (-F.col("rep")).alias("minus"), F.col("n").alias("other_n"), "at")).alias("best"))
-            best = written(best.select("bucket", (-F.col("best.minus")).alias("pivot"), F.col("best.other_n").alias("other_n"), F.col("best.at").alias("pivot_at")), "pivots")
-            tried = best.select("pivot", "bucket") if not turn else tried.unionByName(best.select("pivot", "bucket"))
-            pairs = open_.join(best, "bucket").filter((F.col("at") != F.col("pivot_at")) & fits).select(*ordered("rep", "pivot"))
-        more = verified(pairs.distinct(), sets, percent)
-        links = written(links.unionByName(more), "links")
-        labels = components(links)
-        if turn == pivot_rounds or left[0] <= 2 * open_.count():
+        if left[0] <= PAIRS * left[1] or turn > pivot_rounds:
+            one = open_.select("bucket", F.col("rep").alias("other"), F.col("n").alias("other_n"), F.col("at").alias("other_at"))
+            pairs = open_.join(one, "bucket").filter((F.col("rep") < F.col("other")) & (F.col("at") != F.col("other_at")) & fits).select(*ordered("rep", "other"))
+            labels = components(links.unionByName(written(verified(pairs.distinct(), sets, percent), "links")))
             break
 
     reps = classes.select("set_id", "rep")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from partledger.llm import decontam, licenses, minhash, mixing, quality, secrets, toxicity, warc
+from partledger.llm import decontam, licenses, linededup, minhash, mixing, quality, secrets, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_warc": warc.op3_warc,
     "op4_decontaminate": decontam.op4_decontaminate,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op6_line_dedup": linededup.op6_line_dedup,
+    "op7_url_filter": urlfilter.op7_url_filter,
     "op8_near_duplicates": minhash.op8_near_duplicates,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality_rules": quality.op10_quality_rules,
@@ -19,5 +21,6 @@ ORACLE_SQL = {
     "op2_licenses": licenses.OP2_SQL,
     "op4_decontaminate": decontam.OP4_SQL,
     "op5_mix_sources": mixing.OP5_SQL,
+    "op7_url_filter": urlfilter.OP7_SQL,
     "op10_quality_rules": quality.OP10_SQL,
 }
