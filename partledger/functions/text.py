@@ -82,7 +82,7 @@ def marker_rules(text: Column, rules: Sequence[tuple[Sequence[str], str]], other
 
 def sentences(c: Column | str, least: int = 6) -> Column:
     """Sentences of a text, trimmed, of so many characters at least, in order."""
-    return F.filter(F.transform(F.split(as_column(c), r"[.!?\n]+"), F.trim), lambda s: F.length(s) >= least)
+    return F.filter(F.transform(F.split(as_column(c), r"[.!?\n]+"), lambda s: F.trim(s)), lambda s: F.length(s) >= least)
 
 
 def timecode(seconds: Column | str) -> Column:

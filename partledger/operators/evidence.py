@@ -68,14 +68,13 @@ def members_in_order(text: Column, lexicon: Sequence[str]) -> Column:
 
 
 def verbatim_hits(docs: DataFrame, key: str, text: str, quotes: DataFrame, quote_key: str, quote: str) -> DataFrame:
-    """(key, quote_key) for each quote that stands verbatim in a text at a line's start.
+    """(key, quote_key) for each quote of three words or more that stands verbatim in a text.
 
-    Quotes and lines are joined by a hash of the quote's length of beginning, for each length that occurs, then compared.
+    A quote and a text meet on the quote's longest inner word, which a text with the quote has as a word of its own, and
+    only then is the whole quote looked for. Shorter quotes are no evidence.
     """
-    known = quotes.select(quote_key, F.col(quote).alias("_q"), F.length(quote).alias("_n"), F.xxhash64(quote).alias("_h")).filter("_n > 0")
-    lengths = F.broadcast(known.agg(F.sort_array(F.collect_set("_n")).alias("_ns")))
-    at = F.transform(F.split(text, "\n"), F.length)
-    starts = F.aggregate(at, F.array(F.lit(1)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n + 1)))
-    rows = docs.select(key, F.col(text).alias("_t"), F.explode(starts).alias("_s")).crossJoin(lengths)
-    probes = rows.select(key, F.explode(F.transform("_ns", lambda n: F.substring("_t", F.col("_s"), n))).alias("_p"))
-    return probes.join(known, (F.xxhash64("_p") == F.col("_h")) & (F.col("_p") == F.col("_q"))).select(key, quote_key).distinct()
+    words = F.split(F.trim(F.col(quote)), r"\s+")
+    inner = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
+    known = quotes.select(quote_key, F.trim(F.col(quote)).alias("_q"), F.array_max(inner)["w"].alias("_w")).filter("_w is not null")
+    tokens = docs.select(key, F.col(text).alias("_t"), F.explode(F.array_distinct(F.split(text, r"\s+"))).alias("_w"))
+    return tokens.join(known, "_w").filter(F.contains("_t", F.col("_q"))).select(key, quote_key).distinct()

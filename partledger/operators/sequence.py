@@ -23,7 +23,7 @@ def carried_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], is
 def islands(df: DataFrame, keys: Sequence[str], ts: str, gap_seconds: int, order: Sequence[str] = ()) -> DataFrame:
     """df with island: rows of a key whose time is more than gap_seconds after the previous row begin a new one."""
     w = Window.partitionBy(*keys).orderBy(ts, *order)
-    starts = F.when(F.unix_micros(F.col(ts)) - F.lag(F.unix_micros(F.col(ts))).over(w) <= gap_seconds * 1_000_000, 0).otherwise(1)
+    starts = F.when(F.col(ts) - F.lag(ts).over(w) <= F.make_dt_interval(secs=F.lit(gap_seconds)), 0).otherwise(1)
     return df.withColumn("_starts", starts).withColumn("island", F.sum("_starts").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_starts")
 
 
@@ -52,7 +52,7 @@ def nearest_within(df: DataFrame, keys: Sequence[str], position: str, is_target:
 
 def claimable(queue: DataFrame, now: Column, lease_seconds: int, max_attempts: int) -> DataFrame:
     """Work items that may be claimed: ready or with a stale lease, under the attempt limit, and due."""
-    stale = (F.col("status") == "processing") & (F.unix_seconds(now) - F.unix_seconds("started_at") > lease_seconds)
+    stale = (F.col("status") == "processing") & (now - F.col("started_at") > F.make_dt_interval(secs=F.lit(lease_seconds)))
     due = F.col("next_attempt_at").isNull() | (F.col("next_attempt_at") <= now)
     return queue.filter(((F.col("status") == "queued") & due | stale) & (F.col("attempts") < max_attempts))
 
@@ -67,4 +67,4 @@ def after_failure(queue: DataFrame, now: Column, max_attempts: int, retry_second
     """Processing items that failed: queued again after a wait, or failed for good at the attempt limit."""
     failed = queue.filter("status = 'processing'")
     final = F.col("attempts") >= max_attempts
-    return failed.select("item_id", "attempts", F.when(final, "failed").otherwise("queued").alias("status"), F.when(~final, F.timestamp_add("SECOND", F.lit(retry_seconds), now)).alias("next_attempt_at"))
+    return failed.select("item_id", "attempts", F.when(final, "failed").otherwise("queued").alias("status"), F.when(~final, now + F.make_dt_interval(secs=F.lit(retry_seconds))).alias("next_attempt_at"))

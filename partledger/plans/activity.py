@@ -77,19 +77,19 @@ WITH q AS (SELECT event_id AS item_id, CASE event_type WHEN 'click' THEN 'queued
 
 @query(_QUEUE + """
 SELECT item_id, 'processing' AS status, attempts + 1 AS attempts, next_attempt_at FROM q
-WHERE attempts < 3 AND (status = 'queued' AND (next_attempt_at IS NULL OR next_attempt_at <= TIMESTAMP '2024-01-15') OR status = 'processing' AND epoch(TIMESTAMP '2024-01-15') - floor(epoch(ts)) > 7200)
+WHERE attempts < 3 AND (status = 'queued' AND (next_attempt_at IS NULL OR next_attempt_at <= TIMESTAMP '2024-01-15') OR status = 'processing' AND TIMESTAMP '2024-01-15' - ts > INTERVAL 2 HOUR)
 ORDER BY next_attempt_at NULLS FIRST, item_id LIMIT 50
 """)
 def queue_claim_lease(events):
     """A claim for 50 workers; the number is the feature."""
-    return S.claim(as_queue(events), F.lit("2024-01-15").cast("timestamp"), 7200, 3, 50).select("item_id", "status", "attempts", "next_attempt_at")
+    return S.claim(as_queue(events), F.lit("2024-01-15").cast("timestamp_ntz"), 7200, 3, 50).select("item_id", "status", "attempts", "next_attempt_at")
 
 
 @query(_QUEUE + """
 SELECT item_id, attempts, CASE WHEN attempts >= 3 THEN 'failed' ELSE 'queued' END AS status, CASE WHEN attempts < 3 THEN TIMESTAMP '2024-01-15 00:05:00' END AS next_attempt_at FROM q WHERE status = 'processing'
 """)
 def queue_retry(events):
-    return S.after_failure(as_queue(events), F.lit("2024-01-15").cast("timestamp"), 3, 300)
+    return S.after_failure(as_queue(events), F.lit("2024-01-15").cast("timestamp_ntz"), 3, 300)
 
 
 @query("""
@@ -170,8 +170,8 @@ def heading_carry_forward(conversations):
 
 
 @query("""
-WITH d AS (SELECT conv_id, turn, min(role) AS role, min(text) AS text FROM conversations GROUP BY 1, 2), t AS (SELECT conv_id, turn AS at, substr(text, 1, 20) AS v FROM d WHERE role = 'system'),
-n AS (SELECT d.conv_id, d.turn, v, abs(at - d.turn) AS dist, row_number() OVER (PARTITION BY d.conv_id, d.turn ORDER BY abs(at - d.turn), at) AS k FROM d JOIN t ON d.conv_id = t.conv_id AND abs(at - d.turn) <= 4)
+WITH d AS (SELECT conv_id, turn, min(role) AS role, min(text) AS text FROM conversations GROUP BY 1, 2), t AS (SELECT conv_id, turn AS place, substr(text, 1, 20) AS v FROM d WHERE role = 'system'),
+n AS (SELECT d.conv_id, d.turn, v, abs(place - d.turn) AS dist, row_number() OVER (PARTITION BY d.conv_id, d.turn ORDER BY abs(place - d.turn), place) AS k FROM d JOIN t ON d.conv_id = t.conv_id AND abs(place - d.turn) <= 4)
 SELECT d.conv_id, d.turn, v AS near, dist AS near_distance FROM d LEFT JOIN n ON d.conv_id = n.conv_id AND d.turn = n.turn AND k = 1
 """, "conversations")
 def nearest_within_k(conversations):

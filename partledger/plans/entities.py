@@ -248,8 +248,8 @@ def cost_precedence_price(part, lineitem):
 
 
 @query("""
-SELECT o_orderpriority, o_orderkey FROM (SELECT o_orderpriority, o_orderkey, row_number() OVER w - 1 AS at, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey))
-WHERE n <= 20 OR at IN (SELECT floor(i * (n - 1) / 19 + 0.5) FROM range(20) t(i))
+SELECT o_orderpriority, o_orderkey FROM (SELECT o_orderpriority, o_orderkey, row_number() OVER w - 1 AS place, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey))
+WHERE n <= 20 OR list_contains(list_transform(range(20), lambda i: floor(i * (n - 1) / 19 + 0.5)::BIGINT), place)
 """, "orders")
 def sample_even_spaced(orders):
     """A sampling operator: twenty orders of each priority at even distances."""

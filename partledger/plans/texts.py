@@ -98,10 +98,10 @@ def evidence_validation(benchmark):
 
 
 @query("""
-SELECT DISTINCT doc_id, item_id FROM documents JOIN benchmark ON starts_with(documents.text, benchmark.text) OR contains(documents.text, chr(10) || benchmark.text)
+SELECT DISTINCT doc_id, item_id FROM documents JOIN benchmark ON contains(documents.text, trim(benchmark.text)) WHERE len(string_split_regex(trim(benchmark.text), '\\s+')) >= 3
 """, "documents", "benchmark")
 def verbatim_gate(documents, benchmark):
-    """Benchmark items that begin at some line of a document."""
+    """Benchmark items that stand verbatim in documents."""
     return E.verbatim_hits(documents, "doc_id", "text", benchmark, "item_id", "text")
 
 

@@ -13,8 +13,14 @@ from partledger.sources.shared import shared_path
 
 
 def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """The files at a path as a stream, with their own schema."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    """The Parquet files of a folder, or one file of a folder, as a stream with their own schema; times are instants."""
+    schema = spark.read.parquet(path).schema
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
+        reader, path = reader.option("pathGlobFilter", at.getName()), at.getParent().toString()
+    rows = reader.parquet(path)
+    return rows.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.typeName() == "timestamp_ntz"})
 
 
 def run_available(stream: DataFrame, kind: str, mode: str = "append") -> DataFrame:
@@ -22,7 +28,8 @@ def run_available(stream: DataFrame, kind: str, mode: str = "append") -> DataFra
     spark = stream.sparkSession
     out, state = shared_path(spark, kind), shared_path(spark, f"{kind}-state")
     stream.writeStream.format("parquet").option("checkpointLocation", state).outputMode(mode).trigger(availableNow=True).start(out).awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    rows = spark.read.schema(stream.schema).parquet(out)
+    return rows.withColumns({f.name: F.col(f.name).cast("timestamp_ntz") for f in stream.schema if f.dataType.typeName() == "timestamp"})
 
 
 def tumbling(stream: DataFrame, ts: str, width: str, late: str, *keys: str) -> DataFrame:
