@@ -66,7 +66,7 @@ def model_token(c: Column | str) -> Column:
 
 def family_match(model: Column, family: Column) -> Column:
     """Whether a model fits a family in which X stands for any one letter or digit."""
-    return model.rlike(F.concat(F.lit("^"), F.regexp_replace(family, "X", "[A-Z0-9]"), F.lit("$")))
+    return F.rlike(model, F.concat(F.lit("^"), F.regexp_replace(family, "X", "[A-Z0-9]"), F.lit("$")))
 
 
 def first_rule(rules: Sequence[tuple[Column, str]], otherwise: str) -> Column:
