@@ -115,3 +115,31 @@ def test_stream_restarts_without_repeating(spark, tmp_path):
     spark.createDataFrame([("u", 1, "signup"), ("u", 2, "click")], "k string, ts long, t string").coalesce(1).write.parquet(source)
     got = streams.run_available(streams.phases(streams.event_stream(spark, source), "k", "ts", "t", "signup", "purchase"), "test-phases")
     assert sorted((r.ts, r.phase) for r in got.collect()) == [(1, "within"), (2, "within")]
+
+
+def test_entry_works_without_the_corpus_operators(tmp_path):
+    """The library, its queries and the entry point do not need the optional subpackage."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    repo = Path(__file__).resolve().parents[1]
+    shutil.copytree(repo / "partledger", tmp_path / "partledger", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(repo / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op') or n == 'pipeline' for n in e.queries()), e.oracle_sql().keys() <= e.queries().keys())"
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert said.returncode == 0, said.stderr
+    n, corpus, subset = said.stdout.split()
+    assert int(n) > 80 and corpus == "False" and subset == "True"
+
+
+def test_identity_functions(spark):
+    from partledger.functions import identity as I
+
+    assert one(spark, I.folded_key(F.col("a")), a="Ａb-Ç 1") == "abç1" and one(spark, I.ascii_slug(F.col("a")), a="Élan  X!") == "elan-x"
+    assert one(spark, I.bare_company("a", ["co", "ltd"]), a="Goertek Co., Ltd.") == "goertek"
+    assert one(spark, I.clean_link("a"), a="HTTPS://www.Ex.com:80/A/b/?x#y") == "ex.com/A/b" and one(spark, I.clean_link("a"), a="nothing") is None
+    assert one(spark, I.number_in_link("a"), a="http://e.com/v/12/34.html?5") == 34
+    assert one(spark, I.first_json_object("a"), a='```json\n{"k": 1}\n```') == '{"k": 1}' and one(spark, I.first_json_object("a"), a="none") is None
+    assert one(spark, I.display_name("a", "b", F.lit(7)), a=" ", b="") == "7"
