@@ -145,8 +145,10 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     renamed = found.drop("keepers").withColumnsRenamed({"doc_id": "of_doc_id", "d0": "of_d0", "d1": "of_d1", "n_exact": "of_exact", "n_near": "of_near", "positions": "of_positions"})
     held = own.join(renamed, F.col(doc_id).cast("long").eqNullSafe(F.col("of_doc_id")) & (F.col("d0") == F.col("of_d0")) & (F.col("d1") == F.col("of_d1")), "left")
     lines = F.split(F.col(text), "\n", -1)
-    stays = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "of_positions")
-    clean = F.when(F.col("of_positions").isNull(), F.col(text)).otherwise(F.array_join(F.transform(stays, lambda i: F.get(lines, i)), "\n"))
+    # The outer lambda binds the lines, so a text is split once however many lines stay.
+    stays = lambda ls: F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), "of_positions")
+    joined = F.transform(F.array(lines), lambda ls: F.array_join(F.transform(stays(ls), lambda i: F.get(ls, i)), "\n"))
+    clean = F.when(F.col("of_positions").isNull(), F.col(text)).otherwise(F.element_at(joined, 1))
     return held.withColumn(text, clean).withColumns({"n_exact": F.coalesce("of_exact", F.lit(0)), "n_near": F.coalesce("of_near", F.lit(0))}).drop("d0", "d1", "of_doc_id", "of_d0", "of_d1", "of_exact", "of_near", "of_positions")
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ SHINGLE, PERCENT = 5, 80
 #: Bands of the signature and coordinates in a band. A pair at 0.8 is missed with a chance of (1 - 0.8**5)**32 = 3e-6.
 BANDS, ROWS = 32, 5
 #: Buckets of up to so many are compared in pairs at once, larger ones with a pivot in up to so many rounds; then the pairs
-#: that are left (those of different components) are all compared.
+#: that are left (those of different components) are compared.
 PAIRS, PIVOT_ROUNDS = 32, 6
 
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -35,9 +36,7 @@ class WordHashes(dict):
     """64-bit hashes of words, computed once for each word; emptied when it holds very many."""
 
     def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 2_000_000:
+        if len(self) > 500_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -74,44 +73,50 @@ def signature(shingles: np.ndarray, n: int) -> np.ndarray:
 def features(docs: DataFrame, shingle: int, bands: int, rows: int, text: str, doc_id: str) -> DataFrame:
     """(doc_id, n_shingles, set_id, bands): set_id is a 128-bit digest of the whole set, bands has a hash for each band."""
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         seeds = mix64(np.arange(1, bands + 1, dtype=np.uint64))
         for part in batches:
             n, ids, keys = [], [], []
-            for t in part["text"]:
-                s = shingle_set(t, shingle, hashes)
+            for t in part.column("text"):
+                s = shingle_set(t.as_py(), shingle, hashes)
                 n.append(len(s))
                 ids.append(xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None)
                 if not len(s):
-                    keys.append(np.zeros(0, np.int64))
+                    keys.append(np.zeros(0, np.uint64))
                     continue
                 coordinates = signature(s, bands * rows).reshape(bands, rows).astype(np.uint64)
                 band = seeds.copy()
                 for r in range(rows):
                     band = mix64(band * C1 + coordinates[:, r])
-                keys.append(band.view(np.int64))
-            yield pd.DataFrame({"doc_id": part["doc_id"], "n_shingles": n, "set_id": ids, "bands": keys})
+                keys.append(band)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), lists_of(keys)], ["doc_id", "n_shingles", "set_id", "bands"])
 
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return given.mapInPandas(each, "doc_id long, n_shingles long, set_id string, bands array<long>")
+    return given.mapInArrow(each, "doc_id long, n_shingles long, set_id string, bands array<long>")
+
+
+def lists_of(arrays: list[np.ndarray]) -> pa.ListArray:
+    """Arrays of 64-bit hashes as one Arrow column of lists of longs."""
+    ends = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+    values = np.concatenate([*arrays, np.zeros(0, np.uint64)]).astype(np.uint64).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
 
 
 def shingle_sets(docs: DataFrame, shingle: int, text: str, doc_id: str) -> DataFrame:
     """(doc_id, set_id, shingles): whole sets, as sorted 64-bit hashes."""
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for part in batches:
-            sets = [shingle_set(t, shingle, hashes) for t in part["text"]]
-            yield pd.DataFrame({"doc_id": part["doc_id"], "set_id": [xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets], "shingles": [s.view(np.int64) for s in sets]})
+            for at in range(0, part.num_rows, 1024):
+                few = part.slice(at, 1024)
+                sets = [shingle_set(t.as_py(), shingle, hashes) for t in few.column("text")]
+                ids = [xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays([few.column("doc_id"), pa.array(ids, pa.string()), lists_of(sets)], ["doc_id", "set_id", "shingles"])
 
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return given.mapInPandas(each, "doc_id long, set_id string, shingles array<long>")
+    return given.mapInArrow(each, "doc_id long, set_id string, shingles array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -132,6 +137,23 @@ def pivots_of(open_: DataFrame, tried: DataFrame | None) -> DataFrame:
     return written(best.select("bucket", (-F.col("b.minus")).alias("rep"), "b.n", "b.at"), "pivots")
 
 
+def pairs_left(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of members of a bucket in different components whose sets can still be similar enough.
+
+    Shingles that no other open member has are in no intersection, so of s and t shared shingles at most min(s, t) are common. Texts
+    that differ from all others in many places, such as loose variants of one text, fall out by that alone.
+    """
+    members = open_.select("rep").distinct()
+    shingles = sets.join(members, "rep", "left_semi").select("rep", F.explode("shingles").alias("shingle"))
+    common = shingles.groupBy("shingle").agg(F.count("*").alias("holders")).filter("holders > 1").select("shingle")
+    shared = shingles.join(common, "shingle").groupBy("rep").agg(F.count("*").alias("shared"))
+    able = written(open_.join(shared, "rep").filter(100 * F.col("shared") >= percent * F.col("n")), "able")
+    other = able.select("bucket", F.col("rep").alias("other"), F.col("n").alias("other_n"), F.col("at").alias("other_at"), F.col("shared").alias("other_shared"))
+    most = F.least("shared", "other_shared")
+    fits = (100 + percent) * most >= percent * (F.col("n") + F.col("other_n"))
+    return able.join(other, "bucket").filter((F.col("rep") < F.col("other")) & (F.col("at") != F.col("other_at")) & fits).select(*ordered("rep", "other"))
+
+
 def ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -143,7 +165,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
     share a band of their signatures are candidates; their sizes must allow the similarity, and a link counts only
     after it is confirmed on the whole sets. In a bucket of more than PAIRS, all are compared with the bucket's pivot (the
     member with the most bucket mates outside its component) round by round; links within a component found meanwhile
-    are not looked for, as they change no component; when few are left, or after the rounds, all the rest is compared.
+    are not looked for, as they change no component; when little is left, or a round finds next to nothing, all the rest is
+    compared that the numbers of shared shingles leave possible.
 
     Texts that are null or have no words have no shingles, link with nothing and are kept. Rows with a null id count
     as id null: they link by their text, and where a whole class has null ids, its component is null and it is
@@ -183,13 +206,12 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
         spread = placed.groupBy("bucket").agg(F.min("at").alias("low"), F.max("at").alias("high")).filter("low <> high").select("bucket")
         open_ = written(placed.join(spread, "bucket"), "open")
         shares = open_.groupBy("bucket", "at").agg(F.count("*").alias("share"))
-        left = shares.groupBy("bucket").agg(((F.sum("share") * F.sum("share") - F.sum(F.col("share") * F.col("share"))) / 2).alias("pairs"), F.sum("share").alias("rows")).agg(F.sum("pairs"), F.sum("rows")).first()
+        left = shares.groupBy("bucket").agg(((F.sum("share") * F.sum("share") - F.sum(F.col("share") * F.col("share"))) / 2).alias("pairs"), F.sum("share").alias("rows")).agg(F.sum("pairs"), F.sum("rows"), F.max("rows")).first()
         if not left[1]:
             break
-        if left[0] <= PAIRS * left[1] or turn > pivot_rounds:
-            one = open_.select("bucket", F.col("rep").alias("other"), F.col("n").alias("other_n"), F.col("at").alias("other_at"))
-            pairs = open_.join(one, "bucket").filter((F.col("rep") < F.col("other")) & (F.col("at") != F.col("other_at")) & fits).select(*ordered("rep", "other"))
-            labels = components(links.unionByName(written(verified(pairs.distinct(), sets, percent), "links")))
+        if left[0] <= PAIRS * left[1] or turn > pivot_rounds or 100 * more.count() < left[2]:
+            rest = pairs_left(open_, sets, percent)
+            labels = components(links.unionByName(written(verified(rest.distinct(), sets, percent), "links")))
             break
 
     reps = classes.select("set_id", "rep")

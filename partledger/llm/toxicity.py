@@ -43,7 +43,7 @@ class KnownTerms(dict):
         self.vocabulary = vocabulary
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) > 2_000_000:
+        if len(self) > 500_000:
             self.clear()
         found = self[word] = tuple(self.vocabulary[t] for t in terms_of(word) if t in self.vocabulary)
         return found
