@@ -177,7 +177,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
     known = feats.filter(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull())
     classes = known.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     entries = classes.select("rep", "n", F.explode("bands").alias("bucket"))
-    crowded = entries.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
+    # Near copies share most of their bands: of buckets with the same members (by count, ends and 128 bits) one is kept.
+    content = [F.min("rep").alias("low"), F.max("rep").alias("high"), F.bit_xor(F.xxhash64("rep")).alias("x0"), F.bit_xor(F.xxhash64(F.lit("members"), "rep")).alias("x1")]
+    crowded = entries.groupBy("bucket").agg(F.count("*").alias("members"), *content).filter("members > 1")
+    crowded = crowded.groupBy("members", "low", "high", "x0", "x1").agg(F.min("bucket").alias("bucket")).select("bucket", "members")
     entries = written(entries.join(crowded, "bucket"), "buckets")
 
     involved = entries.select("rep").distinct()
@@ -201,8 +204,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
         links = more if links is None else links.unionByName(more)
         labels = components(links)
         turn += 1
-        placed = entries.filter(F.col("members") > PAIRS).join(labels, F.col("rep") == F.col("node"), "left").select("bucket", "members", "rep", "n", F.coalesce("component", "rep").alias("at"))
-        # Only buckets with members in more than one component can hold links that change anything.
+        placed = open_.join(labels, F.col("rep") == F.col("node"), "left").select("bucket", "members", "rep", "n", F.coalesce("component", "rep").alias("at"))
+        # Only buckets with members in more than one component can hold links that change anything; a bucket once closed stays so.
         spread = placed.groupBy("bucket").agg(F.min("at").alias("low"), F.max("at").alias("high")).filter("low <> high").select("bucket")
         open_ = written(placed.join(spread, "bucket"), "open")
         shares = open_.groupBy("bucket", "at").agg(F.count("*").alias("share"))
