@@ -9,17 +9,18 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from partledger.functions.text import as_column, blank_to_null, first_nonblank
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def folded_key(values: pd.Series) -> pd.Series:
     """Compatibility-composed, case-folded letters and digits: no built-in normalises Unicode."""
     return values.map(lambda v: None if v is None else "".join(c for c in unicodedata.normalize("NFKC", v).casefold() if c.isalnum()))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def ascii_slug(values: pd.Series) -> pd.Series:
     """A slug from the ASCII letters that are left when accents are taken off; unknown if there are none."""
 
