@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,39 +103,41 @@ def scan_for_items(docs: DataFrame, items: DataFrame, *, text: str = "text", ite
     """
     spark = docs.sparkSession
     new = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids", "hit_spans"]
-    kept = docs.drop(*new, "_hit", "_items")
-    out = kept.withColumn("_hit", F.array().cast("array<int>")).withColumn("_items", F.array().cast("array<string>"))
-    schema = out.schema
-    for group in item_passes(items, item_id, item_text, pass_bytes):
-        sent = spark.sparkContext.broadcast(group)
-
-        def one_pass(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            found = automaton(sent.value, window)
-            for rows in batches:
-                hits, names = [], []
-                for t, h, i in zip(rows[text], rows["_hit"], rows["_items"], strict=True):
-                    _, hit, ids, _ = scan_text(found, t)
-                    hits.append(np.union1d(h, hit).astype(np.int32) if len(hit) else h)
-                    names.append(sorted({*i, *ids}) if ids else i)
-                yield rows.assign(_hit=hits, _items=names)
-
-        out = out.mapInPandas(one_pass, schema)
-
-    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            n_words, spans = [], []
-            for t, h in zip(rows[text], rows["_hit"], strict=True):
-                raw = folded(t)
-                n_words.append(len(raw.split()))
-                spans.append(original_spans(t, raw, np.asarray(h)) if len(h) else [])
-            ids = [sorted(map(str, i)) for i in rows["_items"]]
-            yield rows.drop(columns=["_hit", "_items"]).assign(
-                n_words=n_words, n_hit=[len(h) for h in rows["_hit"]], n_items=[len(i) for i in ids], items_sha256=[hashlib.sha256(",".join(i).encode()).hexdigest() for i in ids],
-                contaminated=[len(h) > 0 for h in rows["_hit"]], item_ids=ids, hit_spans=[[{"start": a, "end": b} for a, b in s] for s in spans],
-            )
-
-    last = f"{kept._jdf.schema().toDDL()}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<string>, hit_spans array<struct<start: int, end: int>>"
-    return out.mapInPandas(finish, last)
+    out = docs.drop(*new, "_hit", "_items")
+    given = out._jdf.schema().toDDL()
+    groups = [spark.sparkContext.broadcast(g) for g in item_passes(items, item_id, item_text, pass_bytes)]
+
+    def one_pass(batches: Iterator[pa.RecordBatch], sent, first: bool, last: bool) -> Iterator[pa.RecordBatch]:
+        """Adds a pass's hits to those of the passes before; the last one reports them."""
+        found = automaton(sent.value, window)
+        for part in batches:
+            columns = {n: c for n, c in zip(part.schema.names, part.columns, strict=True) if n not in ("_hit", "_items")}
+            hits, ids, n_words, spans = [], [], [], []
+            for k, t in enumerate(part.column(text)):
+                n, hit, names, raw = scan_text(found, t.as_py())
+                if not first:
+                    hit = np.union1d(hit, np.asarray(part.column("_hit")[k].as_py(), np.int64)).astype(np.int64)
+                    names = names | set(part.column("_items")[k].as_py())
+                hits.append(hit.astype(np.int32))
+                ids.append(sorted(names))
+                n_words.append(n)
+                spans.append([{"start": a, "end": b} for a, b in original_spans(t.as_py(), raw, hit)] if last and len(hit) else [])
+            named = pa.array(ids, pa.list_(pa.string()))
+            if last:
+                columns |= {
+                    "n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array([len(h) for h in hits], pa.int64()), "n_items": pa.array([len(i) for i in ids], pa.int64()),
+                    "items_sha256": pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for i in ids]), "contaminated": pa.array([len(h) > 0 for h in hits], pa.bool_()),
+                    "item_ids": named, "hit_spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+                }
+            else:
+                columns |= {"_hit": pa.array(hits, pa.list_(pa.int32())), "_items": named}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    for k, sent in enumerate(groups):
+        last = k == len(groups) - 1
+        added = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<string>, hit_spans array<struct<start: int, end: int>>" if last else "_hit array<int>, _items array<string>"
+        out = out.mapInArrow(lambda batches, sent=sent, first=k == 0, last=last: one_pass(batches, sent, first, last), f"{given}, {added}")
+    return out
 
 
 def op4_decontaminate(spark, sf_dir):

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +22,10 @@ LEAST_EXAMPLES, LEAST_CHI2 = 4, 15.0
 NEIGHBOURS, BLOCK = 15, 64
 #: Letters of a word's beginning that make terms besides the whole word.
 BEGINNINGS = (4, 5, 6)
+#: Words whose terms a task remembers.
+REMEMBERED = 100_000
+
+EVIDENCE = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -43,7 +47,7 @@ class KnownTerms(dict):
         self.vocabulary = vocabulary
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) > 500_000:
+        if len(self) > REMEMBERED:
             self.clear()
         found = self[word] = tuple(self.vocabulary[t] for t in terms_of(word) if t in self.vocabulary)
         return found
@@ -154,19 +158,19 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str =
     chosen = written(chosen[0].unionByName(chosen[1]), "chosen")
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "id")
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            rows = []
-            for i, y, t in zip(part["id"], part["label"], part["text"], strict=True):
+            for i, y, t in zip(*(part.column(c) for c in ("id", "label", "text")), strict=True):
                 found: Counter = Counter()
-                for w, c in word_counts(t).items():
+                for w, c in word_counts(t.as_py()).items():
                     for term in terms_of(w):
                         found[term] += c
-                rows += [(i, y, term, c) for term, c in found.items()]
-            yield pd.DataFrame(rows, columns=["id", "label", "term", "tf"])
+                n = len(found)
+                columns = [pa.array([i.as_py()] * n, pa.int64()), pa.array([y.as_py()] * n, pa.int32()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "label", "term", "tf"])
 
     texts = texts.groupBy("id", "label").agg(F.min("text").alias("text"))
-    counts = written(texts.mapInPandas(counted, "id long, label int, term string, tf long"), "examples")
+    counts = written(texts.mapInArrow(counted, "id long, label int, term string, tf long"), "examples")
     n = {r[0]: r[1] for r in texts.groupBy("label").count().collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
@@ -208,15 +212,15 @@ def document_frequencies(docs: DataFrame, vocabulary: dict[str, int], text: str)
     """In how many documents each term of the vocabulary stands, and under -1 how many documents there are."""
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, found, n = KnownTerms(sent.value), Counter(), 0
         for part in batches:
-            n += len(part)
-            for t in part["text"]:
-                found.update(known.counts(t).keys())
-        yield pd.DataFrame({"number": [-1, *found], "n": [n, *found.values()]})
+            n += part.num_rows
+            for t in part.column("text"):
+                found.update(known.counts(t.as_py()).keys())
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *found], pa.int32()), pa.array([n, *found.values()], pa.int64())], ["number", "n"])
 
-    counts = docs.select(F.col(text).cast("string").alias("text")).mapInPandas(each, "number int, n long")
+    counts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(each, "number int, n long")
     return {r[0]: r[1] for r in counts.groupBy("number").agg(F.sum("n")).collect()}
 
 
@@ -233,18 +237,19 @@ def score_toxicity(docs: DataFrame, scorer: Scorer | None, *, text: str = "text"
         return kept.withColumns({"score": F.lit(0.0), "predicted": F.lit(0), "evidence": F.array().cast("array<struct<id: bigint, cosine: double, label: int>>")})
     sent = docs.sparkSession.sparkContext.broadcast(scorer)
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         known = KnownTerms(model.vocabulary)
         for part in batches:
             scores, evidence = [], []
-            for t in part[text]:
-                s, near = model.score(known.counts(t))
+            for t in part.column(text):
+                s, near = model.score(known.counts(t.as_py()))
                 scores.append(s)
                 evidence.append([{"id": int(model.index.ids[i]), "cosine": c, "label": int(model.index.labels[i])} for c, i in near[:3]])
-            yield part.assign(score=scores, predicted=[int(s >= 0.5) for s in scores], evidence=evidence)
+            columns = [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, EVIDENCE)]
+            yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, *new])
 
-    return kept.mapInPandas(each, f"{kept._jdf.schema().toDDL()}, score double, predicted int, evidence array<struct<id: bigint, cosine: double, label: int>>")
+    return kept.mapInArrow(each, f"{kept._jdf.schema().toDDL()}, score double, predicted int, evidence array<struct<id: bigint, cosine: double, label: int>>")
 
 
 def held_out(doc_id: str = "doc_id"):
