@@ -145,8 +145,9 @@ def pairs_left(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     members = open_.select("rep").distinct()
     shingles = sets.join(members, "rep", "left_semi").select("rep", F.explode("shingles").alias("shingle"))
-    common = shingles.groupBy("shingle").agg(F.count("*").alias("holders")).filter("holders > 1").select("shingle")
-    shared = shingles.join(common, "shingle").groupBy("rep").agg(F.count("*").alias("shared"))
+    alone = shingles.groupBy("shingle").agg(F.count("*").alias("holders"), F.min("rep").alias("rep")).filter("holders = 1").groupBy("rep").agg(F.count("*").alias("alone"))
+    sizes = sets.join(members, "rep", "left_semi").groupBy("rep").agg(F.sum(F.size("shingles")).alias("all"))
+    shared = sizes.join(alone, "rep", "left").select("rep", (F.col("all") - F.coalesce("alone", F.lit(0))).alias("shared"))
     able = written(open_.join(shared, "rep").filter(100 * F.col("shared") >= percent * F.col("n")), "able")
     other = able.select("bucket", F.col("rep").alias("other"), F.col("n").alias("other_n"), F.col("at").alias("other_at"), F.col("shared").alias("other_shared"))
     most = F.least("shared", "other_shared")
