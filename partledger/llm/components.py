@@ -5,27 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partledger.llm.common import written
+from partledger.llm.common import small, written
+from partledger.operators.graph import roots_of
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(a, b) long pairs to (node, component): the smallest node that each linked node reaches.
 
-    Each round gives every node the smallest label among its neighbours' labels and its own, then replaces a label
-    by that label's own label (pointer jumping), until no label changes. Everything stays distributed: the minimum is
-    taken by partial aggregation, so a node with very many links costs no single task. Nodes without links and null
-    ends are not in the result.
+    Each round hooks every label to the smallest label that it is linked to, follows the hooks to their roots (pointer
+    jumping) and puts the roots in place of the labels in the links, until no link is left. A label that nothing is
+    hooked to hooks itself one round later, so two rounds at least halve the open labels: rounds grow with the
+    logarithm of the nodes, whatever the order of ids along a chain. Everything stays distributed: the minimum is taken by
+    partial aggregation, so a node with very many links costs no single task. Nodes without links and null ends are
+    not in the result.
     """
-    one_way = edges.select("a", "b").filter("a <> b")
-    both = written(one_way.unionByName(one_way.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"), F.lit(True).alias("moved")), "labels")
-    for _ in range(max_rounds):
-        near = both.join(labels.filter("moved"), both.b == labels.node).select(F.col("a").alias("node"), "component")
-        own = labels.select("node", "component", F.col("component").alias("old"))
-        lower = near.withColumn("old", F.lit(None).cast("long")).unionByName(own).groupBy("node").agg(F.min("component").alias("component"), F.max("old").alias("old"))
-        of = labels.select(F.col("node").alias("label"), F.col("component").alias("further"))
-        jumped = lower.join(of, F.col("component") == F.col("label"), "left").select("node", F.least("component", F.coalesce("further", "component")).alias("component"), "old")
-        labels = written(jumped.select("node", "component", (F.col("component") != F.col("old")).alias("moved")), "labels")
-        if labels.filter("moved").limit(1).count() == 0:
-            return labels.drop("moved")
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    links = written(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    labels = None
+    while True:
+        low = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent")).unionByName(links.select(F.col("a").alias("node"), F.col("a").alias("parent")).distinct())
+        roots = roots_of(written(low.groupBy("node").agg(F.min("parent").alias("parent")), "parents"), written)
+        if labels is None:
+            labels = roots
+        else:
+            of = small(roots.select(F.col("node").alias("label"), F.col("component").alias("root")))
+            labels = written(labels.join(of, F.col("component") == F.col("label"), "left").select("node", F.coalesce("root", "component").alias("component")), "labels")
+        root = lambda end: small(roots.select(F.col("node").alias(end), F.col("component").alias(f"root_{end}")))
+        ends = links.join(root("a"), "a").join(root("b"), "b").filter("root_a <> root_b")
+        links = written(ends.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct(), "links")
+        if links.limit(1).count() == 0:
+            return labels

@@ -15,21 +15,36 @@ def _kept(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def shared_key_components(members: DataFrame, node: str, key: str, rounds: int = 50) -> DataFrame:
+def roots_of(parents: DataFrame, keep) -> DataFrame:
+    """(node, component) from (node, parent) without circles but for roots, which are their own parents: the root of each node.
+
+    Each round replaces a parent by its own parent, so rounds grow with the logarithm of the longest way to a root.
+    keep computes a table once, given it and a name.
+    """
+    while True:
+        of = parents.select(F.col("node").alias("parent"), F.col("parent").alias("further"))
+        step = keep(parents.join(of, "parent").select("node", "parent", "further"), "roots")
+        if step.filter("parent <> further").limit(1).count() == 0:
+            return step.select("node", F.col("further").alias("component"))
+        parents = step.select("node", F.col("further").alias("parent"))
+
+
+def shared_key_components(members: DataFrame, node: str, key: str) -> DataFrame:
     """(node, component): nodes that share a key, or are joined by such sharing, have their smallest node as component.
 
-    In each round a key takes the smallest label of its nodes and a node the smallest of its keys, both by partial
-    aggregation; no pairs of nodes are made, however many share a key.
+    In each round a key takes the smallest label of its nodes, every label is hooked to the smallest of its keys' and
+    followed to its root, and the links are those of the roots that are left; no pairs of nodes are made, however
+    many share a key. A label that nothing is hooked to hooks itself one round later, so two rounds at least halve the open
+    labels and the loop ends by itself.
     """
     links = _kept(members.select(F.col(node).alias("node"), F.col(key).alias("key")).filter("key is not null").distinct(), "links")
-    labels = _kept(links.groupBy("node").agg(F.first("node").alias("component")), "labels")
-    for _ in range(rounds):
-        lowest = links.join(labels, "node").groupBy("key").agg(F.min("component").alias("low"))
-        near = links.join(lowest, "key").groupBy("node").agg(F.min("low").alias("near"))
-        further = labels.select(F.col("node").alias("near"), F.col("component").alias("further"))
-        step = labels.join(near, "node").join(further, "near", "left").select("node", "component", F.least("near", F.coalesce("further", "near")).alias("new"))
-        step = _kept(step, "labels")
-        labels = step.select("node", F.col("new").alias("component"))
-        if step.filter("component <> new").limit(1).count() == 0:
+    labels = links.select("node", F.col("node").alias("component")).distinct()
+    while True:
+        sizes = links.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+        open_ = _kept(links.join(sizes.filter("low <> high").select("key", "low"), "key"), "open")
+        if open_.limit(1).count() == 0:
             return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+        roots = roots_of(_kept(open_.groupBy("node").agg(F.min("low").alias("parent")), "parents"), _kept)
+        of = roots.select(F.col("node").alias("label"), F.col("component").alias("root"))
+        labels = _kept(labels.join(of, F.col("component") == F.col("label"), "left").select("node", F.coalesce("root", "component").alias("component")), "labels")
+        links = _kept(open_.join(roots, "node").select(F.col("component").alias("node"), "key").distinct(), "links")

@@ -46,6 +46,16 @@ def test_components(spark):
     assert got == want
 
 
+def test_components_of_long_chains(spark):
+    rng = random.Random(6)
+    for n, near in ((500, 1), (300, 2)):
+        ids = rng.sample(range(10 * n), n)
+        links = [(ids[i], ids[i + k]) for k in range(1, near + 1) for i in range(n - k)]
+        got = components(spark.createDataFrame(links, "a long, b long")).collect()
+        assert len(got) == n and {r.component for r in got} == {min(ids)}
+    assert components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
+
+
 def copies(seed, groups, each, edits):
     rng = random.Random(seed)
     rows, i = [], 0

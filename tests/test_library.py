@@ -1,12 +1,14 @@
 """Functions, readers, sinks and folds on small inputs."""
 
+import random
+
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from partledger.functions import text as X
-from partledger.operators import matching, records, sequence
+from partledger.operators import graph, matching, records, sequence
 from partledger.operators.blocks import html_blocks, sections
 from partledger.operators.evidence import parameter_rules, validated
 from partledger.operators.repair import repaired
@@ -143,3 +145,10 @@ def test_identity_functions(spark):
     assert one(spark, I.number_in_link("a"), a="http://e.com/v/12/34.html?5") == 34
     assert one(spark, I.first_json_object("a"), a='```json\n{"k": 1}\n```') == '{"k": 1}' and one(spark, I.first_json_object("a"), a="none") is None
     assert one(spark, I.display_name("a", "b", F.lit(7)), a=" ", b="") == "7"
+
+
+def test_shared_keys_join_long_chains(spark):
+    ids = random.Random(6).sample(range(5000), 500)
+    rows = [(x, k) for i, x in enumerate(ids) for k in (i, i + 1)] + [(9000, 9000), (9001, None)]
+    got = {r.node: r.component for r in graph.shared_key_components(spark.createDataFrame(rows, "id long, key long"), "id", "key").collect()}
+    assert got == {**dict.fromkeys(ids, min(ids)), 9000: 9000}
