@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partledger.llm.common import table
+from partledger.llm.common import table, written
 
 #: Least Dice coefficient, in percent: whole numbers keep ties exact.
 PERCENT = 80
@@ -71,15 +71,42 @@ def telling_words(pairs: Sequence[str], percent: int = PERCENT) -> list[str]:
     return chosen
 
 
+def best_passage(every: Column, template: Column, size: int, percent: int) -> Column:
+    """struct(dice, minus_end, start, common) of the run of bigrams that is most like a template, null if none is like it.
+
+    every has the text's bigrams in order, template the distinct ones of the template. A best run starts and ends with bigrams
+    of the template, and none but the first place after its start at which its last one stands need be its end: a longer run
+    that ends with the same bigram can lose it and keeps its set. So a start has at most `size` ends, and no run is lost.
+    """
+    starts = F.filter(F.sequence(F.lit(1), F.size(every)), lambda i: F.array_contains(template, F.element_at(every, i)))
+
+    def sized(start: Column, run: Column) -> Column:
+        return F.struct(F.size(F.array_distinct(run)).alias("n"), F.size(F.array_intersect(run, template)).alias("common"), (start + F.size(run)).alias("end"), start.alias("start"))
+
+    def rated(x: Column) -> Column:
+        return F.struct((2.0 * x["common"] / (x["n"] + size)).alias("dice"), (-x["end"]).alias("minus_end"), x["start"].alias("start"), x["common"].alias("common"))
+
+    def of_tail(start: Column, tail: Column) -> Column:
+        ends = F.filter(F.transform(template, lambda t: F.array_position(tail, t).cast("int")), lambda e: e > 0)
+        return F.transform(ends, lambda e: sized(start, F.slice(tail, F.lit(1), e)))
+
+    # The outer lambda binds the tail, so it is cut once however many ends it has.
+    runs = F.flatten(F.transform(starts, lambda s: F.flatten(F.transform(F.array(F.slice(every, s, F.size(every))), lambda tail: of_tail(s, tail)))))
+    return F.array_max(F.transform(F.filter(runs, lambda x: 200 * x["common"] >= percent * (x["n"] + size)), rated))
+
+
 def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, percent: int = PERCENT, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, unit, license, template, dice): whole texts (unit 0) and lines (unit 1, 2, ...) that are like a template.
+    """(doc_id, unit, license, template, dice): whole texts (unit 0), lines (unit 1, 2, ...) and passages that are like a template.
 
     Text and template are compared by the Dice coefficient of their sets of word bigrams. Only units with a telling
     word of some template are split into words, and a unit is held against the templates whose number of bigrams b
     allows the coefficient: b * percent / (200 - percent) to b * (200 - percent) / percent bigrams in the unit. Neither loses a match.
     Of several templates the most similar counts, of equally similar ones the first. A null or empty text and one without
     two words has no licence; repeated rows are reported each; a text of one line is reported once, as unit 0; an empty
-    table gives an empty result. Nothing is shuffled, and other columns of docs are not read.
+    table gives an empty result. A licence that neither the whole text nor a line shows is looked for in all runs of words,
+    across lines and within them: its best passage is reported with unit -p, where p is the place of its first word (from 1); of
+    several templates of the licence the one with the most common bigrams counts. Only what was found is shuffled, and
+    other columns of docs are not read.
     """
     known = [(name, i, bigrams(normal_words(t))) for i, (name, t) in enumerate(templates)]
     known = [k for k in known if k[2]]
@@ -92,23 +119,34 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
         """The lambda's argument is folded to lower case once, however many words are looked for."""
         return F.exists(F.array(F.lower(t)), lambda low: reduce(lambda a, b: a | b, [low.contains(w) for w in telling]))
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(tells(F.col("text")))
-    rows = rows.select("doc_id", F.posexplode(units).alias("unit", "text")).filter(tells(F.col("text")))
-    rows = rows.select("doc_id", "unit", normalised(F.col("text")).alias("words"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(tells(F.col("text")))
+    rows = rows.select("row", "doc_id", F.posexplode(units).alias("unit", "text")).filter(tells(F.col("text")))
+    rows = rows.select("row", "doc_id", "unit", normalised(F.col("text")).alias("words"))
     n_pairs = F.greatest(F.size("words") - 1, F.lit(0))
     pairs = F.zip_with(F.slice("words", 1, n_pairs), F.slice("words", 2, n_pairs), lambda a, b: F.concat_ws(" ", a, b))
-    rows = rows.select("doc_id", "unit", F.array_distinct(pairs).alias("pairs"))
+    rows = rows.select("row", "doc_id", "unit", pairs.alias("every")).withColumn("pairs", F.array_distinct("every"))
     n = F.size("pairs")
-    scored = []
+    scored, passages = [], []
     for name, i, b in known:
+        template = F.array(*map(F.lit, b))
         fits = (n * (200 - percent) >= len(b) * percent) & (n * percent <= len(b) * (200 - percent))
-        common = F.size(F.array_intersect("pairs", F.array(*map(F.lit, b))))
+        common = F.size(F.array_intersect("pairs", template))
         enough = F.when(fits, 200 * common >= percent * (n + len(b)))
-        scored.append(F.struct(F.when(enough, 2.0 * common / (n + len(b))).alias("dice"), F.lit(-i).alias("minus"), F.lit(name).alias("license")))
-    # Exploding the best, if there is one, computes it once; a filter would be pushed down with a copy of it.
-    best = F.array_compact(F.array(F.array_max(F.filter(F.array(*scored), lambda s: s["dice"].isNotNull()))))
-    found = rows.select("doc_id", "unit", F.explode(best).alias("best"))
-    return found.select("doc_id", F.col("unit").cast("long").alias("unit"), F.col("best.license").alias("license"), (-F.col("best.minus")).cast("long").alias("template"), F.col("best.dice").alias("dice"))
+        score = F.struct(F.when(enough, 2.0 * common / (n + len(b))).alias("dice"), F.lit(0).alias("minus_end"), F.lit(0).alias("start"), F.lit(0).alias("common"))
+        scored.append(F.struct(score.alias("at"), F.lit(-i).alias("minus"), F.lit(name).alias("license")))
+        likely = (F.col("unit") == 0) & (n * (200 - percent) >= len(b) * percent)
+        held = F.when(likely, F.when(common * (200 - percent) >= len(b) * percent, best_passage(F.col("every"), template, len(b), percent)))
+        passages.append(F.struct(held.alias("at"), F.lit(-i).alias("minus"), F.lit(name).alias("license")))
+    best = F.array_max(F.filter(F.array(*scored), lambda s: s["at"]["dice"].isNotNull()))
+    # Exploding what there is computes it once; a filter would be pushed down with a copy of it.
+    every = F.filter(F.array(best, *passages), lambda s: s["at"].isNotNull())
+    found = written(rows.select("row", "doc_id", "unit", F.explode(every).alias("best")).select("row", "doc_id", "unit", "best.at.*", "best.minus", "best.license"), "licenses")
+    units_found = found.filter("start = 0")
+    shown = units_found.select("row", "license").distinct()
+    inside = found.filter("start > 0").join(shown, ["row", "license"], "left_anti")
+    inside = inside.groupBy("row", "doc_id", "license").agg(F.max(F.struct("common", "dice", "minus", "start")).alias("p")).select("doc_id", (-F.col("p.start")).alias("unit"), "license", "p.minus", "p.dice")
+    out = units_found.select("doc_id", "unit", "license", "minus", "dice").unionByName(inside)
+    return out.select("doc_id", F.col("unit").cast("long").alias("unit"), "license", (-F.col("minus")).cast("long").alias("template"), "dice")
 
 
 def op2_licenses(spark, sf_dir):

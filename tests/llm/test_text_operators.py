@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -55,6 +56,22 @@ def test_licenses_match_brute_force(spark):
     assert got == want and len(want) >= 5
 
 
+def test_licenses_are_found_in_passages(spark):
+    filler = " ".join(f"word{i}" for i in range(300))
+    wrapped = lambda k: "\n".join(" * " + x for x in textwrap.wrap(licenses.TEMPLATES[k][1], 30, break_long_words=False, break_on_hyphens=False))
+    texts = [f"{filler}\n{wrapped(k)}\n{filler}" for k in (1, 3, 5, 8)] + [f"{filler} Released under the MIT License. {filler}", f"{filler}\nReleased under the MIT License.\n{wrapped(5)}", f"{filler} released the license under MIT"]
+    got = {(r.doc_id, r.license): (r.unit, r.template, r.dice) for r in licenses.scan_licenses(frame(spark, list(enumerate(texts)))).collect()}
+    assert got == {
+        (0, "Apache-2.0"): (-301, 1, 1.0),
+        (1, "MIT"): (-301, 3, 1.0),
+        (2, "GPL-3.0"): (-301, 5, 1.0),
+        (3, "BSD-3-Clause"): (-301, 8, 1.0),
+        (4, "MIT"): (-301, 2, 1.0),
+        (5, "MIT"): (2, 2, 1.0),
+        (5, "GPL-3.0"): (-306, 5, 1.0),
+    }
+
+
 def words_of(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c < "\x80" else c for c in text or ""))
 
