@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 
 from partledger.llm.common import small, table, written
 from partledger.llm.components import components
+from partledger.operators.graph import shared_key_components
 
 #: Words in a shingle, and the least similarity in percent, unless a contract says otherwise.
 SHINGLE, PERCENT = 5, 80
 #: Bands of the signature and coordinates in a band. A pair at 0.8 is missed with a chance of (1 - 0.8**5)**32 = 3e-6.
 BANDS, ROWS = 32, 5
-#: Buckets of up to so many are compared in pairs at once, larger ones with a pivot in up to so many rounds; then the pairs
-#: that are left (those of different components) are compared.
-PAIRS, PIVOT_ROUNDS = 32, 6
+#: Buckets of up to so many members are compared in pairs, larger ones by their members' differences from a centre.
+PAIRS = 32
 
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 C1, C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -128,95 +128,133 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").filter((100 + percent) * both >= percent * (F.size("of_a") + F.size("of_b"))).select("a", "b")
 
 
-def pivots_of(open_: DataFrame, tried: DataFrame | None) -> DataFrame:
-    """(bucket, rep, n, at): of each bucket the member, not tried before, with the most mates in large buckets outside its component."""
-    shares = open_.groupBy("bucket", "at").agg(F.count("*").alias("share"))
-    mates = open_.join(shares, ["bucket", "at"]).groupBy("rep").agg(F.sum(F.col("members") - F.col("share")).alias("mates"))
-    may = open_ if tried is None else open_.join(tried, ["bucket", "rep"], "left_anti")
-    best = may.join(mates, "rep").groupBy("bucket").agg(F.max(F.struct("mates", (-F.col("rep")).alias("minus"), "n", "at")).alias("b"))
-    return written(best.select("bucket", (-F.col("b.minus")).alias("rep"), "b.n", "b.at"), "pivots")
-
-
-def pairs_left(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of members of a bucket in different components whose sets can still be similar enough.
-
-    Shingles that no other open member has are in no intersection, so of s and t shared shingles at most min(s, t) are common. Texts
-    that differ from all others in many places, such as loose variants of one text, fall out by that alone.
-    """
-    members = open_.select("rep").distinct()
-    shingles = sets.join(members, "rep", "left_semi").select("rep", F.explode("shingles").alias("shingle"))
-    alone = shingles.groupBy("shingle").agg(F.count("*").alias("holders"), F.min("rep").alias("rep")).filter("holders = 1").groupBy("rep").agg(F.count("*").alias("alone"))
-    sizes = sets.join(members, "rep", "left_semi").groupBy("rep").agg(F.sum(F.size("shingles")).alias("all"))
-    shared = sizes.join(alone, "rep", "left").select("rep", (F.col("all") - F.coalesce("alone", F.lit(0))).alias("shared"))
-    able = written(open_.join(shared, "rep").filter(100 * F.col("shared") >= percent * F.col("n")), "able")
-    other = able.select("bucket", F.col("rep").alias("other"), F.col("n").alias("other_n"), F.col("at").alias("other_at"), F.col("shared").alias("other_shared"))
-    most = F.least("shared", "other_shared")
-    fits = (100 + percent) * most >= percent * (F.col("n") + F.col("other_n"))
-    return able.join(other, "bucket").filter((F.col("rep") < F.col("other")) & (F.col("at") != F.col("other_at")) & fits).select(*ordered("rep", "other"))
-
-
 def ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, pivot_rounds: int = PIVOT_ROUNDS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def centred(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(group, rep, w, delta, low_w, low_rep) of the members of large buckets (bucket, rep).
+
+    Members joined by buckets are a group. Its centre is the set of the shingles that more than half of the members of its
+    largest bucket hold, and delta is where a member differs from the centre. For members a and b, |a - b| + |b - a| is
+    the number of shingles in just one of their deltas: |delta a| + |delta b| - 2 |both|. The pair is linked if that is
+    at most (100 - percent) / (100 + percent) of |a| + |b|, so with w = (100 + percent) |delta| - (100 - percent) |set|, if
+    w(a) + w(b) <= 2 (100 + percent) |both|. low_w is the group's least w, low_rep a member that has it.
+    """
+    groups = shared_key_components(open_, "rep", "bucket").withColumnRenamed("component", "group")
+    crowd = open_.join(small(groups.withColumnRenamed("node", "rep")), "rep").groupBy("group", "bucket").agg(F.count("*").alias("crowd"))
+    home = crowd.groupBy("group").agg(F.max(F.struct("crowd", "bucket")).alias("h")).select(F.col("h.bucket").alias("bucket"), "group", F.col("h.crowd").alias("crowd"))
+    at_home = written(open_.join(small(home), "bucket").select("rep", "group", "crowd").distinct(), "at-home")
+    held = sets.join(small(at_home), "rep").select("group", "crowd", F.explode("shingles").alias("shingle"))
+    centre = held.groupBy("group", "shingle").agg(F.count("*").alias("holders"), F.max("crowd").alias("crowd")).filter("2 * holders > crowd")
+    centre = written(centre.groupBy("group").agg(F.collect_list("shingle").alias("centre")), "centres")
+    members = sets.join(small(groups.withColumnRenamed("node", "rep")), "rep").join(centre, "group", "left")
+    middle = F.coalesce("centre", F.array().cast("array<bigint>"))
+    members = members.select("group", "rep", F.size("shingles").cast("long").alias("n"), F.concat(F.array_except("shingles", middle), F.array_except(middle, "shingles")).alias("delta"))
+    members = written(members.withColumn("w", (100 + percent) * F.size("delta").cast("long") - (100 - percent) * F.col("n")).drop("n"), "deltas")
+    low = members.groupBy("group").agg(F.min(F.struct("w", "rep")).alias("low")).select("group", F.col("low.w").alias("low_w"), F.col("low.rep").alias("low_rep"))
+    return members.join(small(low), "group")
+
+
+def delta_links(members: DataFrame, percent: int, within_rest: bool) -> DataFrame:
+    """(a, b): the linked pairs of a group's rest (members with w + low_w > 0) with its other members, or also within the rest.
+
+    Such a pair has to share (w(a) + w(b)) / (2 (100 + percent)) shingles of its deltas, one at least. Those are ordered by rising
+    frequency and met on prefixes that can't miss so many shared ones; shingles that no other delta has fall out.
+    """
+    unit = 2 * (100 + percent)
+    each = members.select("group", "rep", F.explode("delta").alias("e"))
+    common = each.groupBy("group", "e").agg(F.count("*").alias("f")).filter("f > 1")
+    shared = each.join(common, ["group", "e"]).groupBy("group", "rep").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("shared"))
+    held = members.select("group", "rep", "w", (F.col("w") + F.col("low_w") > 0).alias("rest")).join(shared, ["group", "rep"])
+    held = written(held.select("group", "rep", "w", "rest", F.col("shared.e").alias("shared")), "shared")
+
+    def prefixes(frame: DataFrame, others: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
+        """The members that can share enough with one of the others, and their (group, e) on the prefix, with places."""
+        least = others.groupBy("group").agg(F.min("w").alias("least"))
+        need = F.greatest(F.ceil((F.col("w") + F.col("least")) / unit), F.lit(1)).cast("int")
+        able = frame.join(small(least), "group").withColumn("need", need).filter(F.col("need") <= F.size("shared"))
+        places = able.select("group", "rep", "w", "rest", F.size("shared").alias("size"), F.posexplode(F.slice("shared", F.lit(1), F.size("shared") - F.col("need") + 1)).alias("place", "e"))
+        return able, places.withColumnsRenamed({c: f"{side}_{c}" for c in ("rep", "w", "rest", "size", "place")})
+
+    rest = held.filter("rest")
+    indexed, index = prefixes(held if within_rest else held.filter("not rest"), rest, "y")
+    _, probe = prefixes(rest, indexed, "x")
+    left = F.least(F.col("x_size") - F.col("x_place"), F.col("y_size") - F.col("y_place"))
+    once = ~F.col("y_rest") | (F.col("x_rep") < F.col("y_rep"))
+    found = probe.join(index, ["group", "e"]).filter(once & (unit * left >= F.col("x_w") + F.col("y_w")))
+    found = written(found.select("group", "x_rep", "y_rep").distinct(), "candidates")
+    side = lambda s: held.select("group", *(F.col(c).alias(f"{s}_{c}") for c in ("rep", "w", "shared")))
+    both = found.join(side("x"), ["group", "x_rep"]).join(side("y"), ["group", "y_rep"])
+    return both.filter(unit * F.size(F.array_intersect("x_shared", "y_shared")) >= F.col("x_w") + F.col("y_w")).select(*ordered("x_rep", "y_rep"))
+
+
+def crowd_links(open_: DataFrame, sets: DataFrame, percent: int) -> list[DataFrame]:
+    """Tables of links (a, b) that join all linked members of large buckets (bucket, rep), without pairing each with each.
+
+    Members whose w and the group's least w sum to 0 or less are linked with the one that has the least; any two of those
+    that are near the centre are joined by that. Links of the rest with them are looked up; then the rest is grouped and
+    centred anew, until a round takes less than a tenth away: then links within the rest are looked up as well.
+    """
+    links = []
+    while True:
+        members = written(centred(open_, sets, percent), "members")
+        near = members.filter("w + low_w <= 0")
+        links.append(near.filter("rep <> low_rep").select(*ordered("rep", "low_rep")))
+        left, everyone = members.filter("w + low_w > 0").count(), members.count()
+        last = 10 * left > 9 * everyone
+        if left:
+            links.append(written(delta_links(members, percent, last), "links"))
+        if last or not left:
+            return links
+        rest = members.filter("w + low_w > 0").select("rep")
+        inside = open_.join(small(rest), "rep")
+        several = inside.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high").select("bucket")
+        open_ = written(inside.join(small(several), "bucket", "left_semi"), "open")
+        if open_.limit(1).count() == 0:
+            return links
+
+
+def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, pairs: int = PAIRS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs.
 
     Texts with equal shingle sets are one class, which the smallest doc_id stands for. Class representatives that
-    share a band of their signatures are candidates; their sizes must allow the similarity, and a link counts only
-    after it is confirmed on the whole sets. In a bucket of more than PAIRS, all are compared with the bucket's pivot (the
-    member with the most bucket mates outside its component) round by round; links within a component found meanwhile
-    are not looked for, as they change no component; when little is left, or a round finds next to nothing, all the rest is
-    compared that the numbers of shared shingles leave possible.
+    share a band of their signatures are candidates. In buckets of up to `pairs` members all are compared whose sizes allow
+    the similarity, and a link counts only after it is confirmed on the whole sets. In larger buckets members are held against a
+    common centre, which is exact too (see centred) and takes work in proportion to the members and their differences.
 
     Texts that are null or have no words have no shingles, link with nothing and are kept. Rows with a null id count
     as id null: they link by their text, and where a whole class has null ids, its component is null and it is
-    kept. Repeated rows share one component; kept is true for each row whose id is the component's. An empty table
-    gives an empty result. Other columns are not read.
+    kept. Repeated rows share one component; kept is true for each row whose id is the component's. Very long texts are read
+    whole (a set is one row of 8 bytes a shingle). An empty table gives an empty result. Other columns are not read.
     """
     feats = written(features(docs, shingle, bands, rows, text, doc_id), "minhash")
     known = feats.filter(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull())
     classes = known.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = written(classes, "classes")
     entries = classes.select("rep", "n", F.explode("bands").alias("bucket"))
+    several = written(entries.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high").select("bucket"), "several")
+    entries = written(entries.join(small(several), "bucket", "left_semi"), "entries")
     # Near copies share most of their bands: of buckets with the same members (by count, ends and 128 bits) one is kept.
     content = [F.min("rep").alias("low"), F.max("rep").alias("high"), F.bit_xor(F.xxhash64("rep")).alias("x0"), F.bit_xor(F.xxhash64(F.lit("members"), "rep")).alias("x1")]
-    crowded = entries.groupBy("bucket").agg(F.count("*").alias("members"), *content).filter("members > 1")
+    crowded = entries.groupBy("bucket").agg(F.count("*").alias("members"), *content)
     crowded = crowded.groupBy("members", "low", "high", "x0", "x1").agg(F.min("bucket").alias("bucket")).select("bucket", "members")
-    entries = written(entries.join(crowded, "bucket"), "buckets")
+    entries = written(entries.join(small(crowded), "bucket"), "buckets")
 
-    involved = entries.select("rep").distinct()
-    ids = written(involved.join(classes.select("rep", "set_id"), "rep"), "involved")
+    ids = written(entries.select("rep").distinct().join(classes.select("rep", "set_id"), "rep"), "involved")
     whole = shingle_sets(docs.join(small(ids.select(F.col("rep").alias(doc_id)).distinct()), doc_id, "left_semi"), shingle, text, doc_id)
     sets = written(whole.join(ids, (whole.doc_id == ids.rep) & (whole.set_id == ids.set_id), "left_semi").select(F.col("doc_id").alias("rep"), "set_id", "shingles").dropDuplicates(["rep", "set_id"]).select("rep", "shingles"), "sets")
 
     fits = 100 * F.least("n", "other_n") >= percent * F.greatest("n", "other_n")
-    few = entries.filter(F.col("members") <= PAIRS)
+    few = entries.filter(F.col("members") <= pairs)
     mates = few.select("bucket", F.col("rep").alias("other"), F.col("n").alias("other_n"))
-    pairs = few.join(mates, "bucket").filter((F.col("rep") < F.col("other")) & fits).select(*ordered("rep", "other"))
-    open_ = entries.filter(F.col("members") > PAIRS).withColumn("at", F.col("rep"))
-    links, tried, turn = None, None, 0
-    while True:
-        pivots = pivots_of(open_, tried)
-        tried = pivots.select("bucket", "rep") if tried is None else tried.unionByName(pivots.select("bucket", "rep"))
-        pivot = pivots.select("bucket", F.col("rep").alias("other"), F.col("n").alias("other_n"), F.col("at").alias("other_at"))
-        compared = open_.join(pivot, "bucket").filter((F.col("at") != F.col("other_at")) & fits).select(*ordered("rep", "other"))
-        pairs = compared if turn else pairs.unionByName(compared)
-        more = written(verified(pairs.distinct(), sets, percent), "links")
-        links = more if links is None else links.unionByName(more)
-        labels = components(links)
-        turn += 1
-        placed = open_.join(labels, F.col("rep") == F.col("node"), "left").select("bucket", "members", "rep", "n", F.coalesce("component", "rep").alias("at"))
-        # Only buckets with members in more than one component can hold links that change anything; a bucket once closed stays so.
-        spread = placed.groupBy("bucket").agg(F.min("at").alias("low"), F.max("at").alias("high")).filter("low <> high").select("bucket")
-        open_ = written(placed.join(spread, "bucket"), "open")
-        shares = open_.groupBy("bucket", "at").agg(F.count("*").alias("share"))
-        left = shares.groupBy("bucket").agg(((F.sum("share") * F.sum("share") - F.sum(F.col("share") * F.col("share"))) / 2).alias("pairs"), F.sum("share").alias("rows")).agg(F.sum("pairs"), F.sum("rows"), F.max("rows")).first()
-        if not left[1]:
-            break
-        if left[0] <= PAIRS * left[1] or turn > pivot_rounds or 100 * more.count() < left[2]:
-            rest = pairs_left(open_, sets, percent)
-            labels = components(links.unionByName(written(verified(rest.distinct(), sets, percent), "links")))
-            break
+    close = few.join(mates, "bucket").filter((F.col("rep") < F.col("other")) & fits).select(*ordered("rep", "other"))
+    links = written(verified(close.distinct(), sets, percent), "links")
+    crowds = entries.filter(F.col("members") > pairs).select("bucket", "rep")
+    if crowds.limit(1).count():
+        for more in crowd_links(crowds, sets, percent):
+            links = links.unionByName(more)
+    labels = components(links)
 
     reps = classes.select("set_id", "rep")
     of_set = reps.join(labels, reps.rep == labels.node, "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))

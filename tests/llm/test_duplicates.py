@@ -70,11 +70,25 @@ def copies(seed, groups, each, edits):
     return rows
 
 
+def families(seed, n, each, edits, size=60):
+    """Two families whose bases share a part, each with loose variants."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randint(0, 500)}" for _ in range(size)]
+    other = base[: 3 * size // 4] + [f"v{rng.randint(0, 500)}" for _ in range(size // 4)]
+    rows = []
+    for k in range(n * each):
+        w = list(base if k % 3 else other)
+        for _ in range(rng.randint(0, edits)):
+            w[rng.randrange(len(w))] = f"x{rng.randint(0, 40)}"
+        rows.append((k, " ".join(w)))
+    return rows
+
+
 def test_near_duplicates_match_brute_force(spark):
-    for n, rows in ((2, copies(1, 12, 8, 4)), (5, copies(2, 8, 10, 2)), (2, copies(3, 1, 90, 5))):
-        rows = rows + [(900, None), (901, ""), (902, " \t"), (903, "One"), (904, "one"), (905, rows[3][1].upper()), (None, "lonely null id"), rows[3]]
+    for n, pairs, rows in ((2, 32, copies(1, 12, 8, 4)), (5, 32, copies(2, 8, 10, 2)), (2, 8, copies(3, 1, 90, 8)), (2, 4, families(4, 1, 110, 9))):
+        rows = rows + [(900, None), (901, ""), (902, " \t"), (903, "One"), (904, "one"), (905, rows[3][1].upper()), (None, "lonely null id"), rows[3], (906, "Word " * 30000)]
         docs = spark.createDataFrame(rows, SCHEMA).withColumn("rep", F.lit("clash")).withColumn("bucket", F.lit("clash"))
-        got = minhash.near_duplicates(docs, shingle=n, pivot_rounds=3).collect()
+        got = minhash.near_duplicates(docs, shingle=n, pairs=pairs).collect()
         want = brute_components(rows, n)
         assert len(got) == len(rows)
         sizes = {}
@@ -87,6 +101,23 @@ def test_near_duplicates_match_brute_force(spark):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_differences_from_a_centre_give_all_links(spark):
+    """All of a group's links, found without bands: the components equal those of all pairs."""
+    for rows in (copies(5, 1, 120, 12), families(6, 1, 120, 10), copies(7, 3, 30, 8)):
+        sets = {i: s for i, s in ((i, shingles(t, 2)) for i, t in rows)}
+        distinct = {frozenset(s): i for i, s in reversed(list(sets.items()))}
+        number = {}
+        data = [(i, [number.setdefault(x, len(number)) for x in s]) for s, i in distinct.items()]
+        frame = spark.createDataFrame(data, "rep long, shingles array<long>")
+        links = minhash.crowd_links(frame.selectExpr("1L AS bucket", "rep"), frame, 80)
+        got = [tuple(r) for t in links for r in t.collect()]
+        for a, b in got:
+            assert 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+        ids = sorted(distinct.values())
+        want = [(i, j) for i in ids for j in ids if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+        assert roots(ids, got) == roots(ids, want) and want
+
+
 def edit_one(a, b):
     if abs(len(a) - len(b)) > 1:
         return False
