@@ -4,129 +4,128 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from partledger.llm.common import table, written
 
-#: Labelled examples of each label, and terms of the vocabulary: both bound what the index holds.
-EXAMPLES, TERMS = 2000, 1024
-#: A term needs so many examples, and a chi-square of its presence against the label of so much.
-LEAST_EXAMPLES, LEAST_CHI2 = 4, 15.0
+#: Labelled examples of each label at most: the bound of what the index holds.
+EXAMPLES = 2000
 #: Neighbours that vote, and examples in a block of the index.
 NEIGHBOURS, BLOCK = 15, 64
-#: Letters of a word's beginning that make terms besides the whole word.
-BEGINNINGS = (4, 5, 6)
-#: Words whose terms a task remembers.
-REMEMBERED = 100_000
-
-EVIDENCE = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
+#: A term counts (FLOOR * HALF + x) / (HALF + x) of its idf, where x is the chi-square of its presence against the label.
+HALF, FLOOR = 10.0, 0.05
 
+EVIDENCE = "array<struct<id: bigint, cosine: double, label: int>>"
+#: Bytes of UTF-8 text: A-Z in lower case, digits, letters and all beyond ASCII stay, the rest parts words.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def terms_of(word: bytes) -> tuple[str, ...]:
-    w = word.decode("utf-8", "replace").lower()
-    return (w, *(f"{w[:n]}~" for n in BEGINNINGS if len(w) > n))
-
-
-def word_counts(text: str | None) -> Counter:
-    return Counter((text or "").encode("utf-8", "surrogatepass").translate(FOLD).split())
-
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(FOLD).split()
 
-class KnownTerms(dict):
-    """Numbers of a word's terms in the vocabulary, looked up once for each word."""
 
-    def __init__(self, vocabulary: dict[str, int]):
-        super().__init__()
-        self.vocabulary = vocabulary
+def numbered(text: str | None, numbers: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a text's terms, rising, and how often each stands in it. Words without a number are one term, the last."""
+    words = words_of(text)
+    return np.unique(np.fromiter(map(numbers.get, words, repeat(len(numbers))), np.int32, len(words)), return_counts=True)
 
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) > REMEMBERED:
-            self.clear()
-        found = self[word] = tuple(self.vocabulary[t] for t in terms_of(word) if t in self.vocabulary)
-        return found
 
-    def counts(self, text: str | None) -> dict[int, int]:
-        out: dict[int, int] = {}
-        for w in (text or "").encode("utf-8", "surrogatepass").translate(FOLD).split():
-            for t in self[w]:
-                out[t] = out.get(t, 0) + 1
-        return out
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after another."""
+    return np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
 
 
 @dataclass
 class BlockMaxIndex:
-    """Unit TF-IDF vectors of the examples: for each term its weights, and their largest in each block of examples."""
+    """Unit vectors of the examples by term: for each block of examples with the term, the largest weight and the postings."""
 
-    idf: np.ndarray
+    term_weights: np.ndarray  # of all terms, the one for words without a number last
     ids: np.ndarray
     labels: np.ndarray
-    weights: np.ndarray  # terms x examples
-    most: np.ndarray  # terms x blocks
+    term_starts: np.ndarray  # where each term's entries begin
+    blocks: np.ndarray  # by entry, like the next two
+    most: np.ndarray
+    entry_starts: np.ndarray
+    places: np.ndarray  # by posting, like the next one
+    weights: np.ndarray
 
     @classmethod
-    def build(cls, idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]]) -> BlockMaxIndex:
-        """Examples with the same heaviest term stand together, so that few blocks have a high bound for a query."""
-        vectors = [(i, y, *cls.vector(idf, counts)) for i, y, counts in examples if counts]
-        vectors.sort(key=lambda v: (int(v[2][np.argmax(v[3])]), v[0]))
-        n = -(-len(vectors) // BLOCK) * BLOCK
-        weights = np.zeros((len(idf), n), np.float32)
-        for k, (_, _, terms, values) in enumerate(vectors):
-            weights[terms, k] = values
-        ids, labels = np.full(n, -1, np.int64), np.zeros(n, np.int8)
-        ids[: len(vectors)], labels[: len(vectors)] = [v[0] for v in vectors], [v[1] for v in vectors]
-        return cls(idf, ids, labels, weights, weights.reshape(len(idf), -1, BLOCK).max(axis=2) if n else np.zeros((len(idf), 0), np.float32))
-
-    @staticmethod
-    def vector(idf: np.ndarray, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        terms = np.fromiter(counts, np.int64, len(counts))
-        values = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * idf[terms]
-        return terms, (values / np.linalg.norm(values)).astype(np.float32)
-
-    def nearest(self, counts: dict[int, int], k: int, without: int | None = None) -> list[tuple[float, int]]:
-        """The k largest cosines and their examples: blocks by falling bound, until no block can hold a larger one."""
-        if not counts or not len(self.ids):
-            return []
-        terms, values = self.vector(self.idf, counts)
-        bounds = values @ self.most[terms]
-        best: list[tuple[float, int]] = []
-        order = np.argsort(-bounds, kind="stable")
-        step = 4
-        for at in range(0, len(order), step):
-            if bounds[order[at]] <= 0 or (len(best) == k and bounds[order[at]] < -best[-1][0]):
-                break
-            columns = (order[at : at + step, None] * BLOCK + np.arange(BLOCK)).ravel()
-            cosines = values @ self.weights[np.ix_(terms, columns)]
-            keep = np.flatnonzero(cosines > 0)
-            found = [(-float(c), int(i)) for c, i in zip(cosines[keep], columns[keep], strict=True) if i != without]
-            best = sorted(best + found)[:k]
-        return [(-c, i) for c, i in best]
-
-    def vote(self, near: list[tuple[float, int]]) -> float:
+    def build(cls, term_weights: np.ndarray, examples: Sequence[tuple[int, int, np.ndarray, np.ndarray]]) -> BlockMaxIndex:
+        """From (id, label, terms, counts). Examples with the same heaviest term stand together, so that few blocks have a high bound."""
+        held = [(i, y, t, unit(term_weights, t, c)) for i, y, t, c in examples if len(t)]
+        held.sort(key=lambda v: (int(v[2][np.argmax(v[3])]), v[0]))
+        size = [len(t) for _, _, t, _ in held]
+        terms = np.concatenate([t for _, _, t, _ in held] or [np.zeros(0, np.int32)])
+        weights = np.concatenate([w for _, _, _, w in held] or [np.zeros(0)])
+        places = np.repeat(np.arange(len(held)), size)
+        order = np.lexsort((places, terms))
+        terms, weights, places = terms[order], weights[order], places[order]
+        first = np.flatnonzero(np.diff(terms, prepend=-1) | np.diff(places // BLOCK, prepend=-1))
+        most = np.maximum.reduceat(weights, first) if len(first) else np.zeros(0)
+        starts = np.searchsorted(terms[first], np.arange(len(term_weights) + 1))
+        ids, labels = np.array([v[0] for v in held], np.int64), np.array([v[1] for v in held], np.int8)
+        return cls(term_weights, ids, labels, starts, (places // BLOCK)[first].astype(np.int32), most, np.append(first, len(terms)), places.astype(np.int32), weights)
+
+    def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """The k largest cosines above 0 and the places of their examples: blocks by falling bound, until none can hold a larger
+        one. Of equal cosines the smaller id comes first."""
+        cosines, found = np.zeros(0), np.zeros(0, np.int64)
+        if not len(terms) or not len(self.ids):
+            return cosines, found
+        values = unit(self.term_weights, terms, counts)
+        n = self.term_starts[terms + 1] - self.term_starts[terms]
+        entries, value = ranges(self.term_starts[terms], n), np.repeat(values, n)
+        of_block, n_blocks = self.blocks[entries], -(-len(self.ids) // BLOCK)
+        bounds = np.bincount(of_block, value * self.most[entries], minlength=n_blocks)
+        order, at, step = np.argsort(-bounds, kind="stable"), 0, 4
+        while at < n_blocks and bounds[order[at]] > 0 and (len(found) < k or bounds[order[at]] >= cosines[-1]):
+            chosen = np.zeros(n_blocks, bool)
+            chosen[order[at : at + step]] = True
+            mine = chosen[of_block]
+            e = entries[mine]
+            m = self.entry_starts[e + 1] - self.entry_starts[e]
+            p = ranges(self.entry_starts[e], m)
+            sums = np.bincount(self.places[p], np.repeat(value[mine], m) * self.weights[p], minlength=len(self.ids))
+            if without >= 0:
+                sums[without] = 0
+            better = np.flatnonzero(sums > 0) if len(found) < k else np.flatnonzero(sums >= cosines[-1])
+            cosines, found = np.append(cosines, sums[better]), np.append(found, better)
+            best = np.lexsort((self.ids[found], -cosines))[:k]
+            cosines, found = cosines[best], found[best]
+            at, step = at + step, 2 * step
+        return cosines, found
+
+    def vote(self, cosines: np.ndarray, found: np.ndarray) -> float:
         """Votes weighted by the inverse of the distance 1 - cosine."""
-        weights = [1 / (1.05 - min(1.0, c)) for c, _ in near]
-        return sum(w * int(self.labels[i]) for w, (_, i) in zip(weights, near, strict=True)) / sum(weights)
+        weights = 1 / (1.05 - np.minimum(1.0, cosines))
+        return float((weights * self.labels[found]).sum() / weights.sum())
+
+
+def unit(term_weights: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    values = (1 + np.log(counts)) * term_weights[terms]
+    return values / np.linalg.norm(values)
 
 
 @dataclass
 class Scorer:
     index: BlockMaxIndex
-    vocabulary: dict[str, int]
     slope: float
     offset: float
-    without_terms: float
+    without_neighbours: float
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[tuple[float, int]]]:
-        near = self.index.nearest(counts, NEIGHBOURS)
-        if not near:
-            return self.without_terms, near
-        return 1 / (1 + math.exp(-(self.slope * self.index.vote(near) + self.offset))), near
+    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        cosines, found = self.index.nearest(terms, counts, NEIGHBOURS)
+        if not len(found):
+            return self.without_neighbours, cosines, found
+        return 1 / (1 + math.exp(-(self.slope * self.index.vote(cosines, found) + self.offset))), cosines, found
 
 
 def calibrated(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
@@ -141,115 +140,148 @@ def calibrated(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tu
     return float(b[0]), float(b[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", examples: int = EXAMPLES, terms: int = TERMS) -> Scorer | None:
-    """A scorer from labelled rows; None if there are no examples of both labels.
+@dataclass
+class Examples:
+    """The labelled sample: its rows (id, label, terms, counts), the words by number, and how many rows each label has in all."""
 
-    Examples are up to `examples` rows of each label (those with the least hashes of their ids), so the index is
-    bounded; an id with two labels counts as 1, an id with several texts as the least of them. Document frequencies
-    are counted over all documents.
-    """
-    spark = docs.sparkSession
+    rows: list[tuple[int, int, np.ndarray, np.ndarray]]
+    numbers: dict[bytes, int]
+    labelled: dict[int, int]
+
+
+def examples_of(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, label: str, examples: int) -> Examples | None:
+    """Up to `examples` rows of each label, those with the least hashes of their ids; None without rows of both labels."""
     given = labels.select(F.col(doc_id).cast("long").alias("id"), F.col(label).cast("int").alias("label"))
     given = written(given.filter("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").alias("label")), "labels")
-    size = {r[0]: r[1] for r in given.groupBy("label").count().collect()}
-    if len(size) < 2:
+    labelled = {r[0]: r[1] for r in given.groupBy("label").count().collect()}
+    if len(labelled) < 2:
         return None
     chosen = [given.filter(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(examples) for y in (0, 1)]
-    chosen = written(chosen[0].unionByName(chosen[1]), "chosen")
+    chosen = written(chosen[0].unionByName(chosen[1]), "chosen")  # 2 * examples rows at most
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "id")
+    texts = texts.groupBy("id", "label").agg(F.min("text").alias("text"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            for i, y, t in zip(*(part.column(c) for c in ("id", "label", "text")), strict=True):
-                found: Counter = Counter()
-                for w, c in word_counts(t.as_py()).items():
-                    for term in terms_of(w):
-                        found[term] += c
-                n = len(found)
-                columns = [pa.array([i.as_py()] * n, pa.int64()), pa.array([y.as_py()] * n, pa.int32()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "label", "term", "tf"])
+            found = [Counter(words_of(t.as_py())) for t in part.column("text")]
+            columns = [pa.array([list(c) for c in found], pa.list_(pa.binary())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("label"), *columns], ["id", "label", "words", "counts"])
 
-    texts = texts.groupBy("id", "label").agg(F.min("text").alias("text"))
-    counts = written(texts.mapInArrow(counted, "id long, label int, term string, tf long"), "examples")
-    n = {r[0]: r[1] for r in texts.groupBy("label").count().collect()}
-    n1, n0 = n.get(1, 0), n.get(0, 0)
-    if not n1 or not n0:
+    sample = texts.mapInArrow(counted, "id long, label int, words array<binary>, counts array<int>").orderBy("id").toArrow()
+    ids, ys = sample.column("id").to_numpy(), sample.column("label").to_numpy()
+    if len(set(ys.tolist())) < 2:
         return None
-    a, b = F.col("with_1"), F.col("with_0")
-    chi2 = (n1 + n0) * F.pow(a * (n0 - b) - b * (n1 - a), 2) / (1.0 * n1 * n0 * (a + b) * (n1 + n0 - a - b + 0.5))
-    rated = counts.groupBy("term").agg(F.sum(F.col("label").cast("double")).alias("with_1"), F.sum(1.0 - F.col("label")).alias("with_0")).withColumn("chi2", chi2)
-    picked = rated.filter((a + b >= LEAST_EXAMPLES) & (F.col("chi2") >= LEAST_CHI2)).orderBy(F.desc("chi2"), "term").limit(terms)
-    names = sorted(r[0] for r in picked.select("term").collect())
-    vocabulary = {t: i for i, t in enumerate(names)}
-
-    frequency = document_frequencies(docs, vocabulary, text)
-    total = frequency.pop(-1, 0)
-    idf = np.array([math.log((1 + total) / (1 + frequency.get(i, 0))) + 1 for i in range(len(names))])
-    own = counts.join(F.broadcast(spark.createDataFrame([(t, i) for t, i in vocabulary.items()], "term string, number int")), "term")
-    vectors: dict[int, dict[int, int]] = {}
-    for i, t, c in own.select("id", "number", "tf").orderBy("id", "number").collect():
-        vectors.setdefault(i, {})[t] = c
-    sample = [(i, y, vectors.get(i, {})) for i, y in texts.select("id", "label").orderBy("id").collect()]
-    index = BlockMaxIndex.build(idf, sample)
+    lists = sample.column("words").combine_chunks()
+    coded = pa.chunked_array([lists.flatten()]).dictionary_encode().combine_chunks()
+    codes = coded.indices.to_numpy().astype(np.int32)
+    counts = sample.column("counts").combine_chunks().flatten().to_numpy()
+    ends = np.cumsum(lists.value_lengths().to_numpy())
+    rows = []
+    for i, y, t, c in zip(ids, ys, np.split(codes, ends[:-1]), np.split(counts, ends[:-1]), strict=True):
+        order = np.argsort(t)
+        rows.append((int(i), int(y), t[order], c[order]))
+    return Examples(rows, {w: k for k, w in enumerate(coded.dictionary.to_pylist())}, labelled)
+
+
+def term_vectors(docs: DataFrame, numbers: dict[bytes, int], text: str, keep: Sequence[str]) -> DataFrame:
+    """The columns in keep with _terms and _counts (as numbered), written: whole texts are split into words once."""
+    sent = docs.sparkSession.sparkContext.broadcast(numbers)
+    kept = docs.select(*keep, F.col(text).cast("string").alias("_text"))
+    names = list(keep)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            for at in range(0, part.num_rows, 1024):
+                few = part.slice(at, 1024)
+                found = [numbered(t.as_py(), sent.value) for t in few.column("_text")]
+                ends = pa.array(np.concatenate([[0], np.cumsum([len(t) for t, _ in found])]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([f[k] for f in found]).astype(np.int32))) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*few.columns[: len(names)], *lists], [*names, "_terms", "_counts"])
+
+    numbers_of = T.ArrayType(T.IntegerType())
+    return written(kept.mapInArrow(each, T.StructType([*kept.schema.fields[:-1], T.StructField("_terms", numbers_of), T.StructField("_counts", numbers_of)])), "vectors")
+
+
+def fit(sample: Examples, vectors: DataFrame) -> Scorer:
+    """A scorer from the examples and the vectors of all documents, over which document frequencies are counted."""
+    total, size = vectors.count(), len(sample.numbers) + 1
+    known = vectors.select(F.explode("_terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).toArrow()
+    frequency = np.zeros(size)
+    frequency[known.column("term").to_numpy()] = known.column("n").to_numpy()
+    with_label = np.zeros((2, size))
+    for _, y, terms, _ in sample.rows:
+        with_label[y, terms] += 1
+    n = [sum(y == k for _, y, _, _ in sample.rows) for k in (0, 1)]
+    b, a = with_label
+    apart = np.maximum(0, np.abs(a * (n[0] - b) - b * (n[1] - a)) - (n[0] + n[1]) / 2)
+    chi2 = np.where(a + b > 0, (n[0] + n[1]) * apart**2 / (1.0 * n[0] * n[1] * np.maximum(a + b, 1) * (n[0] + n[1] - a - b + 0.5)), 0)
+    weights = (np.log((1 + total) / (1 + frequency)) + 1) * (FLOOR * HALF + chi2) / (HALF + chi2)
+    index = BlockMaxIndex.build(weights, sample.rows)
 
     # Calibration: each example is scored by the others; weights undo the sampling by label.
-    stands_for = {0: size[0] / n0, 1: size[1] / n1}
-    place = {int(i): k for k, i in enumerate(index.ids) if i >= 0 or k < len(index.ids)}
+    stands_for = {y: sample.labelled[y] / n[y] for y in (0, 1)}
+    place = {int(i): k for k, i in enumerate(index.ids)}
     votes, ys, ws, bare = [], [], [], [0.0, 0.0]
-    for i, y, c in sample:
-        near = index.nearest(c, NEIGHBOURS, without=place.get(i))
-        if near:
-            votes.append(index.vote(near))
+    for i, y, terms, counts in sample.rows:
+        near = index.nearest(terms, counts, NEIGHBOURS, without=place.get(i, -1))
+        if len(near[1]):
+            votes.append(index.vote(*near))
             ys.append(y)
             ws.append(stands_for[y])
         else:
             bare[y] += stands_for[y]
     slope, offset = calibrated(np.array(votes), np.array(ys, float), np.array(ws) / max(stands_for.values())) if votes else (0.0, 0.0)
-    return Scorer(index, vocabulary, slope, offset, (bare[1] + 0.5 * size[1] / (size[0] + size[1])) / (bare[0] + bare[1] + 1))
-
-
-def document_frequencies(docs: DataFrame, vocabulary: dict[str, int], text: str) -> dict[int, int]:
-    """In how many documents each term of the vocabulary stands, and under -1 how many documents there are."""
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, found, n = KnownTerms(sent.value), Counter(), 0
-        for part in batches:
-            n += part.num_rows
-            for t in part.column("text"):
-                found.update(known.counts(t.as_py()).keys())
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *found], pa.int32()), pa.array([n, *found.values()], pa.int64())], ["number", "n"])
-
-    counts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(each, "number int, n long")
-    return {r[0]: r[1] for r in counts.groupBy("number").agg(F.sum("n")).collect()}
-
+    return Scorer(index, slope, offset, (bare[1] + 0.5 * sample.labelled[1] / sum(sample.labelled.values())) / (bare[0] + bare[1] + 1))
 
-def score_toxicity(docs: DataFrame, scorer: Scorer | None, *, text: str = "text") -> DataFrame:
-    """docs with score, predicted and evidence (the three nearest examples: id, cosine, label).
 
-    A text with none of the vocabulary's terms (so also a null or empty one) gets the share of 1 among such examples;
-    without a scorer every score is 0. Whole texts are read; nothing is shuffled. Columns of docs that clash with the
-    new ones are replaced.
-    """
-    new = ["score", "predicted", "evidence"]
-    kept = docs.drop(*new)
-    if scorer is None:
-        return kept.withColumns({"score": F.lit(0.0), "predicted": F.lit(0), "evidence": F.array().cast("array<struct<id: bigint, cosine: double, label: int>>")})
-    sent = docs.sparkSession.sparkContext.broadcast(scorer)
+def score_vectors(vectors: DataFrame, scorer: Scorer) -> DataFrame:
+    """vectors with score, predicted and evidence in place of _terms and _counts; nothing is shuffled."""
+    sent = vectors.sparkSession.sparkContext.broadcast(scorer)
+    fields = [f for f in vectors.schema.fields if f.name not in ("_terms", "_counts")]
+    names = [f.name for f in fields]
+    new = T.StructType.fromDDL(f"score double, predicted int, evidence {EVIDENCE}").fields
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        known = KnownTerms(model.vocabulary)
         for part in batches:
-            scores, evidence = [], []
-            for t in part.column(text):
-                s, near = model.score(known.counts(t.as_py()))
+            terms, counts = part.column("_terms"), part.column("_counts")
+            scores, cosines, places = [], [], []
+            for t, c in zip(terms, counts, strict=True):
+                s, cos, at = model.score(t.values.to_numpy(), c.values.to_numpy())
                 scores.append(s)
-                evidence.append([{"id": int(model.index.ids[i]), "cosine": c, "label": int(model.index.labels[i])} for c, i in near[:3]])
-            columns = [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, EVIDENCE)]
-            yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, *new])
-
-    return kept.mapInArrow(each, f"{kept._jdf.schema().toDDL()}, score double, predicted int, evidence array<struct<id: bigint, cosine: double, label: int>>")
+                cosines.append(cos[:3])
+                places.append(at[:3])
+            at = np.concatenate([*places, np.zeros(0, np.int64)]).astype(np.int64)
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in places])]).astype(np.int32))
+            values = [pa.array(model.index.ids[at]), pa.array(np.concatenate([*cosines, np.zeros(0)])), pa.array(model.index.labels[at].astype(np.int32))]
+            evidence = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(values, ["id", "cosine", "label"]))
+            columns = [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), evidence]
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *columns], [*names, "score", "predicted", "evidence"])
+
+    return vectors.mapInArrow(each, T.StructType([*fields, *new]))
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, *, keep: Sequence[str] | None = None, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", examples: int = EXAMPLES) -> DataFrame:
+    """The columns of docs named in keep (all, unless said otherwise) with score, predicted and evidence (the three nearest
+    examples: id, cosine, label).
+
+    Terms are the words of the labelled examples; all other words are one more term, so every word of a text counts in its
+    norm. Weights are (1 + log tf) * idf * relevance: idf over all documents, relevance from the examples' labels, never 0, so no
+    term is left out. Examples are a bounded sample (up to `examples` of each label; an id with two labels counts as 1, one with
+    several texts as the least of them). The nearest are exact; of equally near ones those with the smaller ids count.
+
+    A text without a word of any example (so also a null or empty one) gets the share of 1 among such examples; without
+    examples of both labels every score is 0. Whole texts are read, however long, one row at a time. Repeated rows get equal
+    scores each; null ids are scored like others and are no examples; an empty table gives an empty result. Columns of
+    docs that clash with the new ones are replaced.
+    """
+    new = ("score", "predicted", "evidence", "_terms", "_counts", "_text")
+    keep = [c for c in (keep or docs.columns) if c not in new]
+    sample = examples_of(docs, labels, text, doc_id, label, examples)
+    if sample is None:
+        return docs.select(*keep).withColumns({"score": F.lit(0.0), "predicted": F.lit(0), "evidence": F.array().cast(EVIDENCE)})
+    vectors = term_vectors(docs, sample.numbers, text, keep)
+    return score_vectors(vectors, fit(sample, vectors))
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -259,6 +291,5 @@ def held_out(doc_id: str = "doc_id"):
 
 def op9_toxicity(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    scorer = fit(docs, labels.filter(~held_out()))
-    scored = score_toxicity(docs.select("doc_id", "text"), scorer)
+    scored = score_toxicity(docs, labels.filter(~held_out()), keep=["doc_id"])
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted", "evidence")

@@ -5,6 +5,7 @@ import random
 import re
 import textwrap
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,6 +165,18 @@ def test_quality_base_matches_brute_force(spark):
     assert quality.quality_rules(docs.limit(0)).count() == 0
 
 
+def brute_cosines(index, terms, counts):
+    """Cosines with all examples over all terms, term by term."""
+    value = (1 + np.log(counts)) * index.term_weights[terms]
+    value = value / np.sqrt((value**2).sum())
+    out = np.zeros(len(index.ids))
+    for t, v in zip(terms, value, strict=True):
+        for e in range(index.term_starts[t], index.term_starts[t + 1]):
+            for p in range(index.entry_starts[e], index.entry_starts[e + 1]):
+                out[index.places[p]] += v * index.weights[p]
+    return out
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(3, 7)))
@@ -174,20 +187,36 @@ def test_toxicity_on_held_out_rows(spark):
         rng.shuffle(words)
         rows.append((i, " ".join(words)))
         labels.append((i, 1, int(bad)))
-    rows += [(None, "zgrum zgrum"), (2000, None), (2001, ""), (3, rows[3][1])]
+    rows += [(None, "zgrum zgrum"), (2000, None), (2001, ""), (3, rows[3][1]), (2002, rows[5][1] + " word" * 50000)]
     docs, given = frame(spark, rows), spark.createDataFrame(labels + [(None, 1, 1), (5, 1, None)], "doc_id long, quality int, toxic int")
-    scorer = toxicity.fit(docs, given.filter(~toxicity.held_out()))
-    got = toxicity.score_toxicity(docs.withColumn("score", F.lit("clash")), scorer).select("*", toxicity.held_out().alias("held")).collect()
+    known = given.filter(~toxicity.held_out())
+    got = toxicity.score_toxicity(docs.withColumn("score", F.lit("clash")).withColumn("_terms", F.lit(1)), known).select("*", toxicity.held_out().alias("held")).collect()
     assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
     held = [r for r in got if r.held and r.doc_id is not None and r.doc_id < 800]
     assert len(held) > 80 and sum(r.predicted == int(r.doc_id % 4 == 0) for r in held) >= 0.97 * len(held)
-    assert {r.predicted for r in got if not r.text} == {0}
+    assert {r.predicted for r in got if not r.text} == {0} and len({r.score for r in got if r.doc_id == 3}) == 1
+    assert toxicity.score_toxicity(docs, given.limit(0)).filter("predicted = 1").count() == 0
+    assert toxicity.score_toxicity(docs.limit(0), known).count() == 0
+
+
+def test_nearest_examples_match_brute_force(spark):
+    """All terms, all examples: the pruned search finds the same cosines and, among ties, the smaller ids."""
+    rng = random.Random(8)
+    texts = [" ".join(f"w{int(rng.expovariate(0.02))}" for _ in range(rng.randint(1, 80))) for _ in range(300)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, texts[i]) for i in range(40)]
+    docs = frame(spark, rows)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    sample = toxicity.examples_of(docs, labels, "text", "doc_id", "toxic", 500)
+    vectors = toxicity.term_vectors(docs, sample.numbers, "text", ["doc_id"])
+    scorer = toxicity.fit(sample, vectors)
     index = scorer.index
-    for r in held[:30]:
-        counts = toxicity.KnownTerms(scorer.vocabulary).counts(r.text)
-        if counts:
-            t, v = index.vector(index.idf, counts)
-            exact = sorted(v @ index.weights[t], reverse=True)[: toxicity.NEIGHBOURS]
-            assert [round(float(c), 5) for c in exact if c > 0] == [round(c, 5) for c, _ in index.nearest(counts, toxicity.NEIGHBOURS)]
-    assert toxicity.fit(docs, given.limit(0)) is None
-    assert toxicity.score_toxicity(docs, None).filter("predicted = 1").count() == 0
+    assert sorted(index.ids) == sorted(i for i, _ in rows) and len(index.term_weights) == len({w for t in texts for w in t.split()}) + 1 and (index.term_weights > 0).all()
+    for text in [t for _, t in rows[:60]] + ["w1 w2 w3 unseen words here", "w5"]:
+        terms, counts = toxicity.numbered(text, sample.numbers)
+        exact = brute_cosines(index, terms, counts)
+        cosines, found = index.nearest(terms, counts, 15)
+        order = np.lexsort((index.ids, -exact.round(9)))[:15]
+        assert np.allclose(cosines, exact[order][: len(cosines)]) and len(found) == min(15, (exact > 0).sum())
+        assert [exact.round(9)[f] for f in found] == [exact.round(9)[o] for o in order[: len(found)]]
+        if text in texts[:40]:  # an example and its copy: equal cosines, the smaller id first
+            assert list(index.ids[found[:2]]) == [texts.index(text), 1000 + texts.index(text)]
