@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_licenses": licenses.OP2_SQL,
+    "op3_warc": warc.OP3_SQL,
     "op4_decontaminate": decontam.OP4_SQL,
     "op5_mix_sources": mixing.OP5_SQL,
     "op7_url_filter": urlfilter.OP7_SQL,

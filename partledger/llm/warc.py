@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 
 from partledger.llm.common import new_path, table, written
 
-#: Bytes of records that an archive gets, about; a task holds one archive at a time.
-ARCHIVE_BYTES = 8 << 20
+#: Bytes of records that an archive gets, about, before gzip. A task writes several, one after the other, and reads one at a time.
+ARCHIVE_BYTES, ARCHIVES_PER_TASK = 8 << 20, 4
 #: Payloads of fewer bytes are never made revisits.
 LEAST_BYTES = 0
 
@@ -29,19 +30,20 @@ def base32_sha1(data: Column) -> Column:
     return F.translate(digits, "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def with_types(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
+def with_types(pages: DataFrame, least_bytes: int = LEAST_BYTES, partitions: int = 1) -> DataFrame:
     """(page_id, url, payload, digest, refers_to): refers_to is the response that a revisit stands for, else null.
 
-    Only ids and digests are grouped and joined by digest; partial aggregation takes the weight off a digest that many
-    pages share. The payloads themselves are not moved by it.
+    Only ids and digests are grouped by digest; partial aggregation takes the weight off a digest that many pages share.
+    Payloads are dealt out once, by id and digest, into so many partitions, and meet their types there.
     """
-    narrow = written(pages.select("page_id", base32_sha1(F.encode("payload", "UTF-8")).alias("digest"), F.octet_length("payload").alias("bytes")), "digests")
+    name = F.coalesce(F.col("page_id").cast("string"), F.lit("null")).alias("name")
+    narrow = written(pages.select("page_id", name, base32_sha1(F.encode("payload", "UTF-8")).alias("digest"), F.octet_length("payload").alias("bytes")), "digests")
     first = written(narrow.filter(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1").drop("copies"), "first")
     copies = narrow.filter(F.col("bytes") >= least_bytes).join(first, "digest").filter(~F.col("page_id").eqNullSafe(F.col("first")))
-    revisits = copies.select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "first").distinct()
-    keyed = pages.withColumn("digest", base32_sha1(F.encode("payload", "UTF-8")))
-    held = keyed.join(revisits, keyed.page_id.eqNullSafe(revisits.p) & (keyed.digest == revisits.d), "left")
-    return held.select("page_id", "url", "payload", "digest", F.col("first").alias("refers_to"))
+    revisits = written(copies.select("name", "digest", F.col("first").alias("refers_to")).distinct(), "revisits")
+    keyed = pages.select(name, base32_sha1(F.encode("payload", "UTF-8")).alias("digest"), "page_id", "url", "payload").repartition(partitions, "name", "digest")
+    held = keyed.join(revisits.hint("shuffle_hash"), ["name", "digest"], "left")
+    return held.select("page_id", "url", "payload", "digest", "refers_to")
 
 
 def record(page_id: Column, url: Column, payload: Column, digest: Column, refers_to: Column) -> Column:
@@ -63,19 +65,21 @@ def record(page_id: Column, url: Column, payload: Column, digest: Column, refers
 
 
 def write_archives(pages: DataFrame, path: str, *, page_id: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = LEAST_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """A WARC record for each row, in archives of about archive_bytes under path, by Spark's text sink.
+    """A WARC record for each row, in gzipped archives of about archive_bytes (before gzip) under path, by Spark's text sink.
 
     The sink ends each record with the gap that the format asks for, and its commit protocol leaves whole archives if
     executors are lost. A null payload is empty, a null id is written as "null", a null url is left out. Of equal payloads
-    (of least_bytes or more) the smallest id is the response, every row of that id too; the others revisit it.
+    (of least_bytes or more) the smallest id is the response, every row of that id too; the others revisit it. Other columns of
+    pages are not read, whatever their names. A record is never cut, however long its payload is.
     """
     body = F.coalesce(F.col(payload).cast("string"), F.lit(""))
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), body.alias("payload"))
     total, most = rows.agg(F.coalesce(F.sum(F.octet_length("payload") + 500), F.lit(0)), F.count("*")).first()
-    archives = int(total // archive_bytes) + 1
-    typed = with_types(rows, least_bytes).repartition(archives, "page_id", "digest")
+    tasks = int(total // (ARCHIVES_PER_TASK * archive_bytes)) + 1
+    records = max(1, int(most * archive_bytes // max(total, 1)))
+    typed = with_types(rows, least_bytes, tasks)
     out = typed.select(record(F.col("page_id"), F.col("url"), F.col("payload"), F.col("digest"), F.col("refers_to")))
-    out.write.option("lineSep", GAP).option("maxRecordsPerFile", 4 * int(most // archives + 1)).text(path)
+    out.write.option("lineSep", GAP).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
 
 
 HEAD = re.compile(rb"WARC/1\.[01]\r\n((?:[^\r\n]+\r\n)+)\r\n")
@@ -127,14 +131,14 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """(archive, offset, page_id, type, bytes, digest, stated, refers_to) of the records of the archives under path.
 
     Every place that looks like a record's head is a candidate, also within payloads; a record counts if the chain of
-    boundaries from its archive's start reaches it. Ids are strings here. A task holds one archive at a time, so
-    archives are to be of bounded size, as write_archives makes them.
+    boundaries from its archive's start reaches it; offsets count bytes before gzip. Ids are strings here. A task holds one
+    archive at a time, so archives are to be of bounded size, as write_archives makes them.
     """
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             for name, content in zip(part["path"], part["content"], strict=True):
-                rows = pd.DataFrame(list(candidates(bytes(content))), columns=FIELDS)
+                rows = pd.DataFrame(list(candidates(gzip.decompress(content) if name.endswith(".gz") else bytes(content))), columns=FIELDS)
                 rows.insert(0, "archive", name)
                 yield rows
 
@@ -159,3 +163,16 @@ def op3_warc(spark, sf_dir):
     path = new_path(spark, "archives")
     write_archives(table(spark, sf_dir, "pages"), path)
     return resolved(read_archives(spark, path))
+
+
+OP3_SQL = r"""
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), d AS (
+  SELECT page_id, payload_bytes, translate(list_aggregate(list_transform(range(0, 8), lambda i: lpad(to_base(('0x' || substr(h, 1 + 5 * i, 5))::BIGINT, 32), 4, '0')), 'string_agg', ''),
+    '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest FROM p
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f
+"""
