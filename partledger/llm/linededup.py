@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from partledger.llm.common import small, table, text_key, written
 
-#: Edits that near lines may be apart. Lines are cut into this many segments and one more, so one segment is equal.
-THRESHOLD = 1
-#: Code points that a line needs to take part; shorter lines stay as they are.
-LEAST_CHARS = 20
+#: Word edits that near lines may be apart. Lines are cut into this many segments and one more, so one segment is equal.
+EDITS = 1
+#: Words that a line needs for each edit to be compared with near ones; shorter lines have exact copies only.
+WORDS_PER_EDIT = 8
+#: Lines of fewer words ("Contents", "* * *") are copies only of lines in their own document.
+LEAST_WORDS = 3
 #: Lines in a bucket up to which all pairs are verified; larger buckets are split further, losing none.
 PAIRS = 16
 #: Parts into which the open region of a large bucket is split.
@@ -18,11 +20,13 @@ PARTS = 16
 
 DOC = ["doc_id", "d0", "d1"]
 LINE = ["l0", "l1"]
+SPACES = r"[\x20\x09-\x0D]+"
 
 
-def region_key(length: Column, a: Column, b: Column, line: Column) -> Column:
-    """A hash of what lies outside the region [a, b) of a line of the given length; of a longer line, the same ends."""
-    return F.xxhash64(length, a, b, F.left(line, a), F.right(line, length - b))
+def region_key(length: Column, a: Column, b: Column, words: Column) -> Column:
+    """A hash of the words outside the region [a, b) of a line of the given length; of a longer line, the same ends."""
+    after = length - b
+    return F.xxhash64(length, a, b, F.slice(words, F.lit(1), a), F.slice(words, F.size(words) - after + 1, after))
 
 
 def keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -31,39 +35,99 @@ def keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return rows.select("doc_id", *(h.alias(f"d{i}") for i, h in enumerate(text_key(F.col("text")))), "text")
 
 
-def lines_of(docs: DataFrame, least_chars: int) -> DataFrame:
-    """(doc_id, d0, d1, pos, line, l0, l1, n) from keyed documents: lines of least_chars or more without blanks at their ends."""
-    rows = docs.select(*DOC, F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    rows = rows.withColumn("line", F.btrim("line", F.lit(" \t\r"))).withColumn("n", F.length("line")).filter(F.col("n") >= least_chars)
-    return rows.select(*DOC, "pos", "line", *(h.alias(f"l{i}") for i, h in enumerate(text_key(F.col("line")))), "n")
+def lines_of(docs: DataFrame, least_words: int) -> DataFrame:
+    """(doc_id, d0, d1, pos, words, l0, l1, n) from keyed documents: lines with a word, known by their words.
 
+    A line of fewer than least_words words is known by its words and its document.
+    """
+    rows = docs.select(*DOC, F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    rows = rows.withColumn("line", F.btrim("line", F.lit(" \t\r\x0b\x0c"))).filter("line <> ''").withColumn("words", F.split("line", SPACES, -1))
+    rows = rows.withColumn("n", F.size("words"))
+    scope = F.when(F.col("n") < least_words, F.concat_ws(" ", *DOC)).otherwise("")
+    name = F.concat_ws("\n", F.array_join("words", " "), scope)
+    return rows.select(*DOC, "pos", "words", *(h.alias(f"l{i}") for i, h in enumerate(text_key(name))), "n")
 
-def segment_keys() -> Column:
-    """The four keys of a line: two segments of its own length's index, and its probes into the index of lines one shorter.
 
-    A pair within one edit agrees on the first or on the last segment of the shorter line, at that end of both lines, so
-    no other substrings need probing.
-    """
-    n, m, s = F.col("n"), F.floor(F.col("n") / 2).cast("int"), F.floor((F.col("n") - 1) / 2).cast("int")
-    zero = F.lit(0)
-    return F.array(*(region_key(length, a, b, F.col("line")) for length, a, b in ((n, m, n), (n, zero, m), (n - 1, s, n - 1), (n - 1, zero, s))))
+def segment(length: Column, k: int, i: int) -> tuple[Column, Column]:
+    """Where segment i of k + 1 of a line of the given length starts (from 0) and ends."""
+    at = lambda j: F.floor(length * j / (k + 1)).cast("int")
+    return at(i), at(i + 1)
 
 
-def near_lines(lines: DataFrame, narrow: DataFrame) -> DataFrame:
-    """(l0, l1, keeper): lines with an earlier line within one edit, and where the earliest such line first stands.
+def segment_keys(k: int, least: int) -> Column:
+    """The keys of a line as array of (slot, key): first the k + 1 segments of its own length's index, then its probes.
 
-    lines has the texts (as lines_of); narrow the same rows with keys instead of texts.
+    Lines of n words probe the indexes of n, n - 1, ..., n - k words. A segment of the shorter line is looked for only where
+    the edits before it and after it allow: at most i before segment i, at most k - i after it.
     """
-    entries = narrow.select(*LINE, "n", F.posexplode("keys").alias("slot", "key"))
-    crowded = written(entries.groupBy("key").agg(F.min("l0").alias("low"), F.max("l0").alias("high")).filter("low <> high").select("key"), "crowded")
-    members = written(entries.join(small(crowded), "key", "left_semi").distinct(), "members")
+    n, words, out = F.col("n"), F.col("words"), []
+    key = lambda length, i, start, size: F.xxhash64(length, F.lit(i), F.slice(words, start + 1, size))
+    for shorter in range(k + 1):
+        length = n - shorter
+        for i in range(k + 1):
+            a, b = segment(length, k, i)
+            for shift in range(max(-i, shorter - (k - i)), min(i, shorter + k - i) + 1):
+                slot = i if shorter == 0 and shift == 0 else (k + 1) * (1 + len(out))
+                fits = (length >= least) & (a + shift >= 0) & (b + shift <= n)
+                out.append(F.when(fits, F.struct(F.lit(slot).alias("slot"), F.lit(shorter).alias("shorter"), F.lit(i).alias("i"), key(length, i, a + shift, b - a).alias("key"))))
+    return F.array_compact(F.array(*out))
+
+
+def within_edits(text: Column, pattern: Column, k: int) -> Column:
+    """Whether two word lists, the pattern no shorter, are within k edits: a banded bit-parallel edit distance.
+
+    Bit r of a number stands for the pattern's word j - k + r while word j of the text is read. vp and vn hold where the
+    distance rises and falls down the band's column; the distance itself is followed along the diagonal that ends at both ends.
+    """
+    band, m, n = 2 * k + 1, F.size(pattern), F.size(text)
+    full = (1 << band) - 1
+    word = lambda xs, i: F.get(xs, i)
+
+    def match(j: Column) -> Column:
+        bits = [F.when(F.coalesce(word(pattern, j - k + r) == word(text, j), F.lit(False)), F.lit(1 << r).cast("long")).otherwise(F.lit(0).cast("long")) for r in range(band)]
+        out = bits[0]
+        for bit in bits[1:]:
+            out = out.bitwiseOR(bit)
+        return out
+
+    def step(acc: Column, pm: Column) -> Column:
+        vp, vn = acc["vp"], acc["vn"]
+        zero = ((pm.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(pm).bitwiseOR(vn).bitwiseAND(F.lit(full).cast("long"))
+
+        def after(d0: Column) -> Column:
+            hp = vn.bitwiseOR(F.bitwise_not(d0.bitwiseOR(vp))).bitwiseAND(F.lit(full).cast("long"))
+            down = F.shiftright(d0, 1)
+            same = d0.bitwiseAND(acc["bit"]) != 0
+            return F.struct(
+                d0.bitwiseAND(vp).bitwiseOR(F.bitwise_not(down.bitwiseOR(hp))).bitwiseAND(F.lit(full).cast("long")).alias("vp"),
+                down.bitwiseAND(hp).alias("vn"),
+                (acc["distance"] + F.when(same, 0).otherwise(1)).alias("distance"),
+                acc["bit"].alias("bit"),
+            )
+
+        return F.element_at(F.transform(F.array(zero), after), 1)
+
+    bit = F.element_at(F.array(*(F.lit(1 << (k + d)).cast("long") for d in range(k + 1))), F.least(m - n, F.lit(k)) + 1)
+    start = F.struct(F.lit(((1 << (k + 1)) - 1) << k).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), (m - n).alias("distance"), bit.alias("bit"))
+    masks = F.transform(F.sequence(F.lit(0), n - 1), match)
+    return F.when(m - n <= k, F.aggregate(masks, start, step, lambda acc: acc["distance"]) <= k).otherwise(F.lit(False))
+
+
+def near_lines(lines: DataFrame, primary: DataFrame, k: int) -> DataFrame:
+    """(l0, l1, keeper): lines with an earlier line within k edits, and where the earliest such line first stands.
+
+    lines has the words (as lines_of); primary has each line once, with keys instead of words.
+    """
+    entries = primary.select(*LINE, "n", F.explode("keys").alias("e")).select(*LINE, "n", "e.slot", "e.shorter", "e.i", "e.key")
+    # A line has a key at most once in a slot, and its own index key besides a probe with the same words only.
+    crowded = entries.groupBy("key").agg(F.count("*").alias("n"), F.max(F.col("slot") <= k).alias("indexed")).filter("n > 1 and indexed").select("key")
+    members = written(entries.join(small(written(crowded, "crowded")), "key", "left_semi"), "members")
     ids = members.select(*LINE).distinct()
-    held = written(lines.join(small(ids), LINE, "left_semi").groupBy(*LINE).agg(F.min(F.struct(*DOC, "pos")).alias("at"), F.min("line").alias("line")), "lines")
-    own = F.col("slot") < 2
-    length = F.when(own, F.col("n")).otherwise(F.col("n") - 1)
-    half = F.floor(length / 2).cast("int")
-    first = F.col("slot") % 2 == 0
-    level = members.join(held, LINE).select("key", length.alias("length"), F.when(first, half).otherwise(0).alias("a"), F.when(first, length).otherwise(half).alias("b"), "n", "at", "line", *LINE)
+    held = written(lines.join(small(ids), LINE, "left_semi").groupBy(*LINE).agg(F.min(F.struct(*DOC, "pos")).alias("at"), F.min("words").alias("words")), "lines")
+    length = F.col("n") - F.col("shorter")
+    a, b = segment(length, 1, 1)  # for k = 1: what lies outside the equal segment is the open region
+    first = F.col("i") == 0
+    level = members.join(held, LINE).select("key", length.alias("length"), F.when(first, a).otherwise(0).alias("a"), F.when(first, b).otherwise(a).alias("b"), "n", (F.col("slot") <= k).alias("indexed"), "at", "words", *LINE)
     goes = []
 
     def later(pairs: DataFrame) -> DataFrame:
@@ -77,44 +141,48 @@ def near_lines(lines: DataFrame, narrow: DataFrame) -> DataFrame:
 
     while True:
         level = written(level, "level")
-        sizes = level.groupBy("key").agg(F.count("*").alias("size"), F.max(F.col("n") == F.col("length")).alias("indexed")).filter("size > 1 and indexed")
-        sized = level.join(sizes.drop("indexed"), "key")
-        few = sized.filter(F.col("size") <= PAIRS)
-        x, y = sides(few.filter("n = length"), "x", "line", "n"), sides(few, "y", "line", "n")
-        pairs = x.join(y, "key").filter("(y_n = x_n and x_l0 < y_l0) or y_n = x_n + 1")
-        goes.append(written(later(pairs.filter(F.levenshtein("x_line", "y_line", THRESHOLD) >= 0)).distinct(), "near"))
+        sizes = level.groupBy("key").agg(F.count("*").alias("size"), F.max("indexed").alias("any")).filter("size > 1 and any")
+        sized = level.join(sizes.drop("any"), "key")
+        few = sized.filter(F.col("size") <= PAIRS) if k == 1 else sized
+        x, y = sides(few.filter("indexed"), "x", "words", "n"), sides(few, "y", "words", "n", "indexed")
+        pairs = x.join(y, "key").filter("(x_l0 <> y_l0 or x_l1 <> y_l1) and (y_n > x_n or not y_indexed or x_l0 < y_l0 or (x_l0 = y_l0 and x_l1 < y_l1))")
+        goes.append(written(later(pairs.filter(within_edits(F.col("x_words"), F.col("y_words"), k))).distinct(), "near"))
         many = sizes.filter(F.col("size") > PAIRS)
-        if many.limit(1).count() == 0:
+        if k > 1 or many.limit(1).count() == 0:
             break
         hot = written(sized.filter(F.col("size") > PAIRS).drop("size"), "hot")
-        # A region of one character: the lines of the index differ there alone, so all are near the earliest; a line
-        # that is one longer is near the line that has one of its two characters there.
+        # A region of one word: the lines of the index differ there alone, so all are near the earliest; a line
+        # that is one longer is near the line that has one of its two words there.
         last = hot.filter("b - a <= 1")
-        indexed = last.filter("n = length").withColumn("char", F.substring("line", F.col("a") + 1, F.lit(1)))
+        at = lambda i: F.get("words", F.col("a") + i)
+        indexed = last.filter("n = length").withColumn("word", at(0))
         earliest = indexed.groupBy("key").agg(F.min(F.struct("at", *LINE)).alias("x")).select("key", *(F.col(f"x.{c}").alias(f"x_{c}") for c in (*LINE, "at")))
-        goes.append(written(later(earliest.join(sides(indexed, "y"), "key").filter("x_l0 <> y_l0")).distinct(), "near"))
-        longer = last.filter("n = length + 1").withColumn("char", F.explode(F.array_distinct(F.array(F.substring("line", F.col("a") + 1, F.lit(1)), F.substring("line", F.col("a") + 2, F.lit(1))))))
-        x, y = indexed.select("key", "char", *(F.col(c).alias(f"x_{c}") for c in (*LINE, "at"))), longer.select("key", "char", *(F.col(c).alias(f"y_{c}") for c in (*LINE, "at")))
-        goes.append(written(later(x.join(y, ["key", "char"])).distinct(), "near"))
+        goes.append(written(later(earliest.join(sides(indexed, "y"), "key").filter("x_l0 <> y_l0 or x_l1 <> y_l1")).distinct(), "near"))
+        longer = last.filter("n = length + 1").withColumn("word", F.explode(F.array_distinct(F.array(at(0), at(1)))))
+        x, y = indexed.select("key", "word", *(F.col(c).alias(f"x_{c}") for c in (*LINE, "at"))), longer.select("key", "word", *(F.col(c).alias(f"y_{c}") for c in (*LINE, "at")))
+        goes.append(written(later(x.join(y, ["key", "word"])).distinct(), "near"))
         width = F.col("b") - F.col("a")
-        cut = lambda k: F.col("a") + F.floor(width * k / PARTS).cast("int")
-        parts = F.filter(F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: F.struct(cut(k).alias("a"), cut(k + 1).alias("b"))), lambda p: p["a"] < p["b"])
+        cut = lambda j: F.col("a") + F.floor(width * j / PARTS).cast("int")
+        parts = F.filter(F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda j: F.struct(cut(j).alias("a"), cut(j + 1).alias("b"))), lambda p: p["a"] < p["b"])
         finer = hot.filter("b - a > 1").withColumn("part", F.explode(parts)).withColumns({"a": F.col("part.a"), "b": F.col("part.b")}).drop("part")
-        level = finer.withColumn("key", region_key(F.col("length"), F.col("a"), F.col("b"), F.col("line")))
+        level = finer.withColumn("key", region_key(F.col("length"), F.col("a"), F.col("b"), F.col("words")))
     out = goes[0]
     for more in goes[1:]:
         out = out.unionByName(more)
     return out.groupBy(*LINE).agg(F.min("keeper").alias("keeper"))
 
 
-def dropped_lines(docs: DataFrame, *, least_chars: int = LEAST_CHARS) -> DataFrame:
+def dropped_lines(docs: DataFrame, *, edits: int = EDITS, words_per_edit: int = WORDS_PER_EDIT, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, d0, d1, pos, kind, keeper) from keyed documents: the lines that go, exact or near copies of a line elsewhere."""
-    lines = lines_of(docs, least_chars)
-    narrow = written(lines.withColumn("keys", segment_keys()).drop("line"), "narrow")
-    repeated = narrow.groupBy(*LINE).agg(F.count("*").alias("copies"), F.min(F.struct(*DOC, "pos")).alias("first")).filter("copies > 1").drop("copies")
-    near = near_lines(lines, narrow)
-    verdicts = written(repeated.join(near, LINE, "full"), "verdicts")
+    lines = lines_of(docs, least_words)
+    narrow = written(lines.withColumn("keys", segment_keys(edits, max(edits * words_per_edit, edits + 1))).drop("words"), "narrow")
     at = F.struct(*DOC, "pos")
+    repeated = written(narrow.groupBy(*LINE).agg(F.count("*").alias("copies"), F.min(at).alias("first")).filter("copies > 1").drop("copies"), "repeated")
+    # Repeated rows of a document give equal places, hence the distinct.
+    primary = narrow.filter(F.size("keys") > 0).join(small(repeated), LINE, "left").filter(F.col("first").isNull() | at.eqNullSafe(F.col("first")))
+    again = primary.filter(F.col("first").isNotNull()).select(*LINE, "n", "keys").distinct()
+    near = near_lines(lines, primary.filter(F.col("first").isNull()).select(*LINE, "n", "keys").unionByName(again), edits)
+    verdicts = written(repeated.join(near, LINE, "full"), "verdicts")
     held = narrow.drop("keys", "n").join(small(verdicts), LINE)
     held = held.withColumn("kind", F.when(F.col("keeper").isNotNull(), F.lit("near")).when(~at.eqNullSafe(F.col("first")), F.lit("exact"))).filter("kind is not null")
     return held.select(*DOC, "pos", "kind", F.coalesce("keeper", "first").alias("keeper")).distinct()
@@ -132,16 +200,22 @@ def on_document(given: DataFrame) -> tuple[DataFrame, Column]:
     return renamed, F.col("doc_id").eqNullSafe(F.col("of_doc_id")) & (F.col("d0") == F.col("of_d0")) & (F.col("d1") == F.col("of_d1"))
 
 
-def dedup_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", least_chars: int = LEAST_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", edits: int = EDITS, words_per_edit: int = WORDS_PER_EDIT, least_words: int = LEAST_WORDS) -> DataFrame:
     """docs with the text without its dropped lines, and with n_exact and n_near.
 
     A line stays where it first stands (by id, then place); its exact copies go, within a document and across. A line also
-    goes, everywhere, if a line within one edit of it stands earlier. Lines are compared without blanks at their ends;
-    those with fewer than least_chars code points take no part. Null texts stay null and empty ones empty; null ids
-    come first; repeated rows are one document and keep or lose the same lines; an empty table gives an empty result.
+    goes, everywhere, if a line within `edits` word edits of it stands earlier and the shorter of both has words_per_edit words
+    for each edit. Lines are compared by their words, parted by blanks of any number; blank lines stay. A line of fewer than
+    least_words words goes only if it stands earlier in its own document. With one edit, buckets of very many lines are
+    split until all in one are near its earliest; with more edits their pairs are all verified, which takes time in
+    proportion to the square of a bucket.
+
+    Null texts stay null and empty ones empty; null ids come first; repeated rows are one document and keep or lose the same
+    lines; very long texts and lines are read whole; an empty table gives an empty result. Columns of docs that clash with
+    n_exact and n_near are replaced.
     """
     own = docs.withColumns({"d0": text_key(F.coalesce(F.col(text), F.lit("")))[0], "d1": text_key(F.coalesce(F.col(text), F.lit("")))[1]})
-    found = written(by_document(dropped_lines(keyed(docs, text, doc_id), least_chars=least_chars)), "dropped")
+    found = written(by_document(dropped_lines(keyed(docs, text, doc_id), edits=edits, words_per_edit=words_per_edit, least_words=least_words)), "dropped")
     renamed = found.drop("keepers").withColumnsRenamed({"doc_id": "of_doc_id", "d0": "of_d0", "d1": "of_d1", "n_exact": "of_exact", "n_near": "of_near", "positions": "of_positions"})
     held = own.join(renamed, F.col(doc_id).cast("long").eqNullSafe(F.col("of_doc_id")) & (F.col("d0") == F.col("of_d0")) & (F.col("d1") == F.col("of_d1")), "left")
     lines = F.split(F.col(text), "\n", -1)

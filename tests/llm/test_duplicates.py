@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from partledger.llm import linededup, minhash
@@ -118,50 +119,74 @@ def test_differences_from_a_centre_give_all_links(spark):
         assert roots(ids, got) == roots(ids, want) and want
 
 
-def edit_one(a, b):
-    if abs(len(a) - len(b)) > 1:
-        return False
-    if len(a) > len(b):
-        a, b = b, a
-    k = 0
-    while k < len(a) and a[k] == b[k]:
-        k += 1
-    return a[k + 1 :] == b[k + 1 :] or a[k:] == b[k + 1 :]
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
 
 
-def brute_lines(rows, least=linededup.LEAST_CHARS):
+def brute_lines(rows, edits=linededup.EDITS, words_per_edit=linededup.WORDS_PER_EDIT, least_words=linededup.LEAST_WORDS):
     """(id, place) of the lines that go, for rows with distinct ids or equal texts."""
     first, places = {}, []
     for i, t in sorted(set(rows), key=lambda r: -1 if r[0] is None else r[0]):
         for p, line in enumerate((t or "").split("\n")):
-            line = line.strip(" \t\r")
-            if len(line) >= least:
+            words = tuple(re.findall(r"[^\x20\x09-\x0D]+", line))
+            if words:
                 at = (-1 if i is None else i, p)
-                places.append((at, line))
-                first[line] = min(first.get(line, at), at)
-    near = {x for x in first for y in first if x != y and first[y] < first[x] and edit_one(x, y)}
-    return {at: "near" if line in near else "exact" for at, line in places if line in near or first[line] != at}
-
-
-def test_line_dedup_matches_brute_force(spark):
+                known = (words, i if len(words) < least_words else "")
+                places.append((at, known))
+                first[known] = min(first.get(known, at), at)
+    most = {x: first[x] for x in first if len(x[0]) >= edits * words_per_edit}
+    near = {x for x in most for y in most if x != y and first[y] < first[x] and abs(len(x[0]) - len(y[0])) <= edits and distance(x[0], y[0]) <= edits}
+    return {at: "near" if known in near else "exact" for at, known in places if known in near or first[known] != at}
+
+
+@pytest.mark.parametrize("k", [1, 2, 4])
+def test_banded_bit_parallel_distance(spark, k):
+    rng = random.Random(k)
+    pairs = []
+    for _ in range(400):
+        a = [rng.choice("abc") for _ in range(rng.randint(1, 14))]
+        b = list(a)
+        for _ in range(rng.randint(0, k + 2)):
+            at = rng.randint(0, len(b))
+            b = rng.choice([b[:at] + b[at + 1 :], b[:at] + [rng.choice("abc")] + b[at:], b[:at] + [rng.choice("abc")] + b[at + 1 :]])
+        if b:
+            pairs.append(tuple(sorted((a, b), key=len)))
+    df = spark.createDataFrame(pairs, "x array<string>, y array<string>")
+    got = df.select("x", "y", linededup.within_edits(F.col("x"), F.col("y"), k).alias("near")).collect()
+    assert all(r.near == (distance(r.x, r.y) <= k) for r in got) and {r.near for r in got} == {True, False}
+
+
+@pytest.mark.parametrize(("edits", "words_per_edit"), [(1, 8), (2, 5)])
+def test_line_dedup_matches_brute_force(spark, edits, words_per_edit):
     rng = random.Random(5)
-    base = ["".join(rng.choice("abcde é") for _ in range(rng.randint(20, 40))).strip() + "z" for _ in range(12)]
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 5)))
+    base = [[word() for _ in range(rng.randint(6, 16))] for _ in range(12)]
 
-    def vary(line):
-        for _ in range(rng.choice([0, 0, 1, 1, 2])):
-            k = rng.randrange(len(line))
-            line = rng.choice([line[:k] + line[k + 1 :], line[:k] + "q" + line[k:], line[:k] + "p" + line[k + 1 :]])
-        return line
+    def vary(words):
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
+            k = rng.randrange(len(words))
+            words = rng.choice([words[:k] + words[k + 1 :], [*words[:k], "q", *words[k:]], [*words[:k], word(), *words[k + 1 :]]])
+        return rng.choice([" ", "  ", "\t"]).join(words)
 
     rows = [(i, "\n".join(vary(rng.choice(base)) for _ in range(rng.randint(1, 5)))) for i in range(60)]
-    stem = "page number %s of this very long numbered report"
-    rows += [(100 + i, stem % (f"{i:02d}" if i < 60 else f"1{i:02d}")) for i in range(90)]
-    rows += [(500, None), (501, ""), (502, "short\nshort"), (None, base[0] + "\nunique line of the null document"), (503, "  " + base[1] + "\t\nx"), rows[3]]
-    docs = spark.createDataFrame(rows, SCHEMA).withColumn("pos", F.lit("clash")).withColumn("line", F.lit("clash"))
-    keyed = linededup.keyed(docs, "text", "doc_id")
-    got = {(-1 if r.doc_id is None else r.doc_id, r.pos): r.kind for r in linededup.dropped_lines(keyed).collect()}
-    want = brute_lines(rows)
+    stem = "page number %s of this very long and numbered report"
+    rows += [(100 + i, stem % (f"{i:02d}" if i < 60 else f"1 {i:02d}")) for i in range(90)]
+    rows += [(500, None), (501, ""), (502, "short line\nother\nshort line"), (503, "short line"), (None, vary(base[0]) + "\nunique line of the null document"), (504, "  " + " ".join(base[1]) + "\t\r\n\n\nx"), rows[3]]
+    rows += [(600, "w " * 20000 + "\n" + "w " * 20000)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("pos", F.lit("clash")).withColumn("line", F.lit("clash")).withColumn("words", F.lit("clash"))
+    keyed = linededup.keyed(docs.filter("doc_id is null or doc_id <> 600"), "text", "doc_id")
+    some = [r for r in rows if r[0] != 600]
+    got = {(-1 if r.doc_id is None else r.doc_id, r.pos): r.kind for r in linededup.dropped_lines(keyed, edits=edits, words_per_edit=words_per_edit).collect()}
+    want = brute_lines(some, edits, words_per_edit)
     assert got == want and {"near", "exact"} == set(want.values())
+    if edits > 1:
+        return
+    want |= {(600, 1): "exact"}
     texts = {(r.doc_id, i): r for i, r in enumerate(linededup.dedup_lines(docs).orderBy("doc_id").collect())}
     assert len(texts) == len(rows)
     for (i, _), r in texts.items():
