@@ -14,10 +14,13 @@ from partledger.llm.common import small, table, written
 SPACE, SYMBOLS, UPPER = b" \t\n\r\x0b\x0c", b"#*$%&|<>", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Base rules: the fewest words, and the most percent of words in repeated windows.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: The measures that get adaptive thresholds, and what is added to each fence: no text is rejected for less than that.
-MEASURES = {"symbols": 100, "upper": 200, "dup_lines": 200, "repeats": 200, "word_length": 300}
-#: A fence is q3 + FENCE * (q3 - q1). Groups with fewer passing documents use the sketch of the language, then of all.
-FENCE, LEAST_GROUP = 3, 100
+#: The measures that get adaptive thresholds.
+MEASURES = ("symbols", "upper", "dup_lines", "repeats", "word_length")
+#: Fences lie FENCE widths beyond the quartiles. The width is that between the quartiles; where they are equal, a share of a
+#: wider span of the same sketch: what it is to the quartiles' on a normal curve. (lower and upper percent, hundredths of it.)
+FENCE, SPANS = 3, ((25, 75, 100), (5, 95, 41), (1, 99, 29))
+#: Documents that a group's language (and a language's whole) weighs beside the group's own ones in its fences.
+PRIOR = 100
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -88,32 +91,38 @@ def sketches(measures: DataFrame) -> DataFrame:
 
 
 def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, measure, size, fence) from sketches, which are merged over the keys by adding counts."""
+    """(keys, measure, size, low, high) from sketches, which are merged over the keys by adding counts; fences in hundredths."""
     merged = sketch.groupBy(*keys, "measure", "bin").agg(F.sum("count").alias("count"))
     group = Window.partitionBy(*keys, "measure")
     upto = merged.withColumn("size", F.sum("count").over(group)).withColumn("upto", F.sum("count").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
-    q = lambda parts: F.min(F.when(F.col("upto") * 4 >= F.col("size") * parts, F.col("bin")))
-    return upto.groupBy(*keys, "measure").agg(F.max("size").alias("size"), (q(3) + FENCE * (q(3) - q(1))).alias("fence"))
+    q = lambda percent: F.min(F.when(F.col("upto") * 100 >= F.col("size") * percent, F.col("bin"))).alias(f"q{percent}")
+    found = upto.groupBy(*keys, "measure").agg(F.max("size").alias("size"), *(q(percent) for span in SPANS for percent in span[:2]))
+    width = F.coalesce(*(F.when(F.col(f"q{high}") > F.col(f"q{low}"), (F.col(f"q{high}") - F.col(f"q{low}")) * share) for low, high, share in SPANS), F.lit(0))
+    return found.select(*keys, "measure", "size", (100 * F.col("q25") - FENCE * width).alias("low"), (100 * F.col("q75") + FENCE * width).alias("high"))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """(lang, source, and a most_<measure> column for each): the group's own fence if it is large enough, else the language's, else that of all."""
+    """(lang, source, and least_<measure>, most_<measure> for each): a group's own fences, drawn towards its language's by PRIOR
+    documents, as those are towards the fences of all; so a small group leans on the larger ones, and none falls off an edge."""
     own = fences(sketch, ["lang", "source"])
-    by_lang = fences(sketch, ["lang"]).select(F.col("lang").alias("l"), F.col("measure").alias("m"), F.col("size").alias("lang_size"), F.col("fence").alias("lang_fence"))
-    by_all = fences(sketch, []).select(F.col("measure").alias("a"), F.col("fence").alias("all_fence"))
-    held = own.join(by_lang, F.col("lang").eqNullSafe(F.col("l")) & (F.col("measure") == F.col("m"))).join(F.broadcast(by_all), F.col("measure") == F.col("a"))
-    fence = F.when(F.col("size") >= LEAST_GROUP, F.col("fence")).when(F.col("lang_size") >= LEAST_GROUP, F.col("lang_fence")).otherwise(F.col("all_fence"))
-    return held.groupBy("lang", "source").agg(*(F.max(F.when(F.col("measure") == m, fence + slack)).alias(f"most_{m}") for m, slack in MEASURES.items()))
+    by_lang = fences(sketch, ["lang"]).select(F.col("lang").alias("l"), F.col("measure").alias("m"), F.col("size").alias("lang_size"), F.col("low").alias("lang_low"), F.col("high").alias("lang_high"))
+    by_all = fences(sketch, []).select(F.col("measure").alias("a"), F.col("low").alias("all_low"), F.col("high").alias("all_high"))
+    held = own.join(by_lang, F.col("lang").eqNullSafe(F.col("l")) & (F.col("measure") == F.col("m"))).join(F.broadcast(by_all), F.col("measure") == F.col("a"))  # one row for each measure
+    drawn = lambda n, fence, outer: (n * fence + PRIOR * outer) / (n + PRIOR)
+    of = lambda side: drawn(F.col("size"), F.col(side), drawn(F.col("lang_size"), F.col(f"lang_{side}"), F.col(f"all_{side}")))
+    named = lambda side, name: [F.max(F.when(F.col("measure") == m, of(side))).alias(f"{name}_{m}") for m in MEASURES]
+    return held.groupBy("lang", "source").agg(*named("low", "least"), *named("high", "most"))
 
 
 def quality_rules(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", source: str = "source") -> DataFrame:
     """(doc_id, lang, source, counts, base_failed, the thresholds, reasons, kept) for each row of docs.
 
     The sketches cover every document that the base rules pass. They are counts of integer bins, so merging is adding,
-    in any order, with the same result. A document fails if a measure is above its group's threshold.
+    in any order, with the same result. A document fails if a measure is beyond its group's fences on either side (see SPANS,
+    PRIOR); a value at a fence stays.
     A null text has no words (and fails the base); null languages and sources are groups of their own; repeated rows
-    count and get a row each; where no document of a group passes the base there are no thresholds to apply.
-    Other columns of docs are not read.
+    count and get a row each; very long texts are measured whole; an empty table gives an empty result; where no document of
+    a group passes the base there are no thresholds to apply. Other columns of docs are not read, whatever their names.
     """
     feats = measured(docs, text, doc_id, lang, source)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
@@ -121,7 +130,7 @@ def quality_rules(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id"
     measures = feats.filter("not base_failed").select("lang", "source", F.explode(F.create_map(*(x for m in MEASURES for x in (F.lit(m), F.col(m))))).alias("measure", "value"))
     limits = written(thresholds(sketches(measures)), "thresholds")
     held = feats.join(small(limits.withColumnsRenamed({"lang": "l", "source": "s"})), F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left").drop("l", "s")
-    reasons = F.array_compact(F.array(F.when(F.col("base_failed"), F.lit("base")), *(F.when(F.col(m) > F.col(f"most_{m}"), F.lit(m)) for m in MEASURES)))
+    reasons = F.array_compact(F.array(F.when(F.col("base_failed"), F.lit("base")), *(F.when((100 * F.col(m) > F.col(f"most_{m}")) | (100 * F.col(m) < F.col(f"least_{m}")), F.lit(m)) for m in MEASURES)))
     return held.withColumn("reasons", reasons).withColumn("kept", F.size("reasons") == 0)
 
 
@@ -151,17 +160,26 @@ WITH d AS (
     CASE WHEN n_words > 0 THEN word_chars * 100 // n_words ELSE 0 END AS word_length
   FROM c
 ), v AS (
-  SELECT r, lang, source, unnest(['symbols', 'upper', 'dup_lines', 'repeats', 'word_length']) AS m, unnest([symbols, upper, dup_lines, repeats, word_length]) AS x, unnest([100, 200, 200, 200, 300]) AS slack, base_failed FROM f
+  SELECT r, lang, source, unnest(['symbols', 'upper', 'dup_lines', 'repeats', 'word_length']) AS m, unnest([symbols, upper, dup_lines, repeats, word_length]) AS x, base_failed FROM f
 ), b AS (
-  SELECT r, lang, source, m, x, slack, x - x % (1::BIGINT << greatest(length(bin(x::BIGINT)) - 5, 0)::BIGINT) AS bin FROM v WHERE NOT base_failed
+  SELECT lang, source, m, x - x % (1::BIGINT << greatest(length(bin(x::BIGINT)) - 5, 0)::BIGINT) AS bin FROM v WHERE NOT base_failed
+), g3 AS (
+  SELECT lang, source, m, bin, grouping(lang, source) AS level, count(*) AS n FROM b GROUP BY GROUPING SETS ((lang, source, m, bin), (lang, m, bin), (m, bin))
+), u AS (
+  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, m) AS size, sum(n) OVER (PARTITION BY level, lang, source, m ORDER BY bin) AS upto FROM g3
 ), q AS (
-  SELECT lang, source, m, any_value(slack) AS slack, grouping(lang, source) AS level, count(*) AS size,
-    quantile_disc(bin, 0.75) AS q3, quantile_disc(bin, 0.25) AS q1 FROM b GROUP BY GROUPING SETS ((lang, source, m), (lang, m), (m))
+  SELECT level, lang, source, m, max(size)::BIGINT AS size, min(bin) FILTER (upto * 100 >= size) AS q1, min(bin) FILTER (upto * 100 >= size * 5) AS q5, min(bin) FILTER (upto * 100 >= size * 25) AS q25,
+    min(bin) FILTER (upto * 100 >= size * 75) AS q75, min(bin) FILTER (upto * 100 >= size * 95) AS q95, min(bin) FILTER (upto * 100 >= size * 99) AS q99 FROM u GROUP BY level, lang, source, m
+), e AS (
+  SELECT *, CASE WHEN q75 > q25 THEN 100 * (q75 - q25) WHEN q95 > q5 THEN 41 * (q95 - q5) WHEN q99 > q1 THEN 29 * (q99 - q1) ELSE 0 END AS width FROM q
+), k AS (
+  SELECT *, 100 * q25 - 3 * width AS low, 100 * q75 + 3 * width AS high FROM e
 ), t AS (
-  SELECT o.lang, o.source, o.m, o.slack + CASE WHEN o.size >= 100 THEN 4 * o.q3 - 3 * o.q1 WHEN l.size >= 100 THEN 4 * l.q3 - 3 * l.q1 ELSE a.q3 * 4 - 3 * a.q1 END AS most
-  FROM q o JOIN q l ON o.level = 0 AND l.level = 1 AND o.lang IS NOT DISTINCT FROM l.lang AND o.m = l.m JOIN q a ON a.level = 3 AND a.m = o.m
+  SELECT o.lang, o.source, o.m, (o.size * o.low + 100 * ((l.size * l.low + 100 * a.low) / (l.size + 100))) / (o.size + 100) AS least,
+    (o.size * o.high + 100 * ((l.size * l.high + 100 * a.high) / (l.size + 100))) / (o.size + 100) AS most
+  FROM k o JOIN k l ON o.level = 0 AND l.level = 1 AND o.lang IS NOT DISTINCT FROM l.lang AND o.m = l.m JOIN k a ON a.level = 3 AND a.m = o.m
 ), bad AS (
-  SELECT DISTINCT v.r FROM v JOIN t ON v.lang IS NOT DISTINCT FROM t.lang AND v.source IS NOT DISTINCT FROM t.source AND v.m = t.m WHERE v.x > t.most
+  SELECT DISTINCT v.r FROM v JOIN t ON v.lang IS NOT DISTINCT FROM t.lang AND v.source IS NOT DISTINCT FROM t.source AND v.m = t.m WHERE 100 * v.x > t.most OR 100 * v.x < t.least
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND r NOT IN (SELECT r FROM bad) AS kept FROM f
 """
