@@ -20,52 +20,44 @@ def suffixes(host: Column) -> Column:
     return F.when(F.size(labels) > 1, F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).otherwise(F.array().cast("array<string>"))
 
 
-def month(at: Column) -> Column:
-    return (F.year(at) * 12 + F.month(at) - 1).cast("int")
+def states(entries: DataFrame, moments: DataFrame) -> DataFrame:
+    """(domain, t, listed, since) for the moments (domain, t): what the last entry up to t says, and when it was made.
 
-
-def month_start(m: Column) -> Column:
-    return F.make_timestamp(F.floor(m / 12).cast("int"), m % 12 + 1, F.lit(1), F.lit(0), F.lit(0), F.lit(0))
-
-
-def intervals(entries: DataFrame, last_month: int) -> DataFrame:
-    """(domain, month, since, valid_from, valid_to): when entries are active, cut at the ends of months, up to last_month.
-
-    entries has domain, at and listed (true: from then on listed, false: no longer). Of entries of a domain at one
-    moment, a listing wins. The events of a month are ordered within (domain, month), and what a month leaves behind is
-    carried to the next ones, so a domain with very many entries is no single group.
+    entries has domain, at and listed (true: from then on listed, false: no longer). Of entries of a domain at one moment, a
+    listing wins. An as-of join: entries and moments are put in one order within (domain, day), each moment takes the last
+    entry before it, and where its day has none, the last one of the days before. A day's rows of a domain are
+    its distinct seconds or so, however many captures share them; a domain's days are one row each.
     """
     events = entries.filter("domain is not null and at is not null").groupBy("domain", "at").agg(F.max(F.coalesce("listed", F.lit(False))).alias("listed"))
-    events = events.withColumn("month", month(F.col("at")))
-    within = Window.partitionBy("domain", "month").orderBy("at")
-    inside = events.withColumn("next", F.lead("at").over(within)).withColumn("since", F.col("at"))
-    # What each month leaves, and the months until the domain's next event.
-    left = events.groupBy("domain", "month").agg(F.max(F.struct("at", "listed")).alias("last"))
-    left = left.withColumn("until", F.coalesce(F.lead("month").over(Window.partitionBy("domain").orderBy("month")), F.lit(last_month)))
-    left = left.filter(F.col("last.listed") & (F.col("month") < F.col("until")))
-    first_event = events.groupBy("domain", "month").agg(F.min("at").alias("first_at"))
-    carried = left.select("domain", F.col("last.at").alias("since"), F.explode(F.sequence(F.col("month") + 1, F.col("until"))).alias("month"))
-    carried = carried.join(first_event, ["domain", "month"], "left")
-    start, end = month_start(F.col("month")), month_start(F.col("month") + 1)
-    a = inside.filter("listed").select("domain", "month", "since", F.col("at").alias("valid_from"), F.coalesce("next", end).alias("valid_to"))
-    b = carried.select("domain", "month", "since", start.alias("valid_from"), F.coalesce("first_at", end).alias("valid_to"))
-    return a.unionByName(b)
+    events = events.select("domain", F.col("at").alias("t"), F.struct("listed", F.col("at").alias("since")).alias("entry"))
+    asked = moments.select("domain", "t", F.lit(None).cast(dict(events.dtypes)["entry"]).alias("entry"))
+    line = events.unionByName(asked).withColumn("day", F.to_date("t"))
+    line = written(line, "timeline")
+    until = Window.partitionBy("domain", "day").orderBy("t", F.col("entry").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    inside = line.withColumn("own", F.last("entry", ignorenulls=True).over(until)).filter("entry is null")
+    before = Window.partitionBy("domain").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = line.groupBy("domain", "day").agg(F.max(F.when(F.col("entry").isNotNull(), F.struct("t", "entry")))["entry"].alias("latest"))
+    days = days.withColumn("carried", F.last("latest", ignorenulls=True).over(before)).select("domain", "day", "carried")
+    held = inside.join(days, ["domain", "day"]).withColumn("state", F.coalesce("own", "carried"))
+    return held.select("domain", "t", "state.listed", "state.since")
 
 
 def filter_urls(captures: DataFrame, entries: DataFrame, *, url: str = "url", fetched_at: str = "fetched_at") -> DataFrame:
-    """captures with host, n_active, active_domain and blocked: whether its host or a domain of it was listed when it was fetched.
-
-    Entries become validity intervals, and each capture is joined with the intervals that hold its moment of fetching (start
-    included, end not) by (domain, month): a host that very many captures share is spread over months. active_domain is the
-    longest listed domain. Only distinct (url, time) pairs are joined; rows without url, host or time are not blocked; repeated
-    rows get the same verdict each; without entries nothing is blocked. Columns that clash with the new ones are replaced.
+    """captures with host, n_active, active_domain, listed_since and blocked: whether its host or a domain of it was listed when it
+    was fetched.
+
+    An entry holds from its moment (included) to the next entry of its domain (not included): its validity interval. Each
+    capture is held against the entries of its domains as of its fetching. active_domain is the longest listed domain. Only
+    distinct (domain, time) pairs are looked up; rows without url, host or time are not blocked; repeated
+    rows get the same verdict each; without entries nothing is blocked; an empty table gives an empty result; very long URLs
+    count by their hosts. Columns that clash with the new ones are replaced.
     """
-    rows = captures.drop("host", "n_active", "active_domain", "blocked")
-    moments = rows.select(F.col(url).alias("u"), F.col(fetched_at).alias("t")).filter("u is not null and t is not null").distinct()
-    top = moments.agg(F.max(month(F.col("t")))).first()[0]
-    asked = moments.withColumn("domain", F.explode(suffixes(host_of(F.col("u"))))).withColumn("month", month(F.col("t")))
-    active = written(intervals(entries, top if top is not None else 0), "intervals")
-    hits = asked.join(active, ["domain", "month"]).filter((F.col("valid_from") <= F.col("t")) & (F.col("t") < F.col("valid_to")))
+    rows = captures.drop("host", "n_active", "active_domain", "listed_since", "blocked")
+    asked = rows.select(F.col(url).alias("u"), F.col(fetched_at).alias("t")).filter("u is not null and t is not null").distinct()
+    asked = written(asked.withColumn("domain", F.explode(suffixes(host_of(F.col("u"))))), "asked")
+    listed = asked.select("domain").distinct().join(entries.select("domain", "at", "listed"), "domain")  # entries of other domains decide nothing
+    active = states(listed, asked.select("domain", "t").distinct()).filter("listed")
+    hits = asked.join(active, ["domain", "t"])
     verdict = written(hits.groupBy("u", "t").agg(F.count("*").alias("n_active"), F.max(F.struct(F.length("domain").alias("n"), "domain", "since")).alias("best")), "verdicts")
     verdict = verdict.select("u", "t", "n_active", F.col("best.domain").alias("active_domain"), F.col("best.since").alias("listed_since"))
     held = rows.join(verdict, (F.col(url) == F.col("u")) & (F.col(fetched_at) == F.col("t")), "left").drop("u", "t")

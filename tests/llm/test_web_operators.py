@@ -49,7 +49,7 @@ def test_false_heads_are_not_reached():
 def test_url_filter_matches_brute_force(spark):
     at = lambda d: datetime(2024, 1 + d // 28, 1 + d % 28)
     entries = [("example.com", at(5), True), ("example.com", at(40), False), ("example.com", at(200), True), ("a.b.org", at(90), True), ("b.org", at(100), True), ("b.org", at(100), False), ("net", at(1), True), (None, at(1), True), ("x.y", None, True), ("null.flag", at(3), None)]
-    captures = [(u, at(d) if d is not None else None) for u in ("http://example.com/x", "HTTPS://User@www.Example.com:80", "ftp://notexample.com", "http://a.b.org.", "http://c.b.org?q=http://example.com", None, "garbage", "http://z.net/") for d in (0, 5, 39, 40, 120, 200, 300, None)]
+    captures = [(u, at(d) if d is not None else None) for u in ("http://example.com/x", "HTTPS://User@www.Example.com:80", "ftp://notexample.com", "http://a.b.org.", "http://c.b.org?q=http://example.com", None, "garbage", "http://z.net/") for d in (0, 5, 39, 40, 120, 200, 300, None)] + [("http://example.com/far", datetime(9999, 12, 30)), ("http://" + "x" * 5000 + ".example.com/" + "y" * 50000, at(6))]
     given = spark.createDataFrame(captures + captures[:3], "url string, fetched_at timestamp").withColumn("domain", F.lit("clash")).withColumn("blocked", F.lit("clash"))
     listed = spark.createDataFrame(entries, "domain string, at timestamp, listed boolean")
     got = urlfilter.filter_urls(given, listed).collect()
