@@ -10,15 +10,14 @@ from partledger.llm.decontam import scan_for_items
 from partledger.llm.linededup import dedup_lines
 from partledger.llm.minhash import near_duplicates
 from partledger.llm.mixing import mix_sources, typical_word_weight
-from partledger.llm.toxicity import fit, held_out, score_toxicity
+from partledger.llm.toxicity import held_out, score_toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more go."""
-    scorer = fit(docs, table(spark, sf_dir, "labels").filter(~held_out()))
-    return score_toxicity(docs.select(*COLUMNS), scorer).filter("predicted = 0").select(*COLUMNS)
+    return score_toxicity(docs, table(spark, sf_dir, "labels").filter(~held_out()), keep=COLUMNS).filter("predicted = 0").select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
