@@ -78,7 +78,7 @@ c AS (SELECT item_id, unnest(list_filter(list_transform(string_split_regex(text,
 k AS (SELECT item_id, pos, substr(claim, 1, 40) AS label, CASE WHEN pos % 4 = 3 THEN claim || ' 42' ELSE substr(claim, 1, 12) END AS value, CASE WHEN pos % 5 = 4 THEN reverse(claim) ELSE claim END AS quote, text FROM c),
 n AS (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t, trim(regexp_replace(quote, '\\s+', ' ', 'g')) AS q, trim(regexp_replace(value, '\\s+', ' ', 'g')) AS v FROM k),
 r AS (SELECT *, CASE WHEN length(trim(label)) < 2 THEN 'invalid_label' WHEN trim(value) = '' THEN 'missing_value' WHEN NOT contains(t, q) THEN 'evidence_not_in_row' WHEN NOT contains(q, v) THEN 'value_not_in_evidence'
-  WHEN len(list_filter(regexp_extract_all(value, '[0-9]+(?:\\.[0-9]+)?'), lambda x: NOT list_contains(regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)?'), x))) > 0 THEN 'unsupported_number' END AS why FROM n),
+  WHEN len(list_filter(regexp_extract_all(label || ' ' || value, '[0-9]+(?:\\.[0-9]+)?'), lambda x: NOT list_contains(regexp_extract_all(quote, '[0-9]+(?:\\.[0-9]+)?'), x))) > 0 THEN 'unsupported_number' END AS why FROM n),
 f AS (SELECT *, why IS NULL AND row_number() OVER (PARTITION BY item_id, why IS NULL, lower(v) ORDER BY pos) = 1 AS fresh FROM r),
 u AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY item_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS upto FROM f)
 """
