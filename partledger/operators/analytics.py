@@ -23,12 +23,16 @@ def once_per_product(rows: DataFrame, keys: Sequence[str], flags: dict[str, Colu
 
 
 def coverage(rows: DataFrame, key: str = "component_key") -> DataFrame:
-    """Coverage of each component: rows, products, and rows and products with known manufacturer, model, parameters."""
+    """Coverage of each component: rows, products, and rows and products with known manufacturer, model, parameters.
+
+    One pass: each product's rows are summed, and of the sums those above 0 are its flags.
+    """
     flags = {"manufacturer": known("manufacturer"), "model": (F.col("model_status") == "reported"), "parameter": F.col("parameters") > 1}
-    per = once_per_product(rows.withColumns({f"_{n}": F.when(c, 1).otherwise(0) for n, c in flags.items()}), [key], flags)
-    per_rows = rows.groupBy(key).agg(*(F.count_if(c).alias(f"{n}_rows") for n, c in flags.items()), F.count_if(F.col("model_status") == "invalid_parameter_value").alias("invalid_model_rows"))
-    totals = per.groupBy(key).agg(F.sum("rows").alias("rows"), F.count("*").alias("products"), *(F.sum(n).alias(f"{n}_products") for n in flags))
-    both = totals.join(per_rows, key)
+    per = rows.groupBy(key, "product_id").agg(F.count("*").alias("rows"), *(F.count_if(c).alias(n) for n, c in flags.items()), F.count_if(F.col("model_status") == "invalid_parameter_value").alias("invalid"))
+    both = per.groupBy(key).agg(
+        F.sum("rows").alias("rows"), F.count("*").alias("products"), *(F.sum(n).alias(f"{n}_rows") for n in flags),
+        *(F.count_if(F.col(n) > 0).alias(f"{n}_products") for n in flags), F.sum("invalid").alias("invalid_model_rows"),
+    )
     shares = {f"{n}_{of[:-1]}_ratio": ratio(F.col(f"{n}_{of}"), F.col(of)) for n in flags for of in ("rows", "products")}
     return both.withColumns(shares)
 
@@ -38,25 +42,61 @@ def distribution(rows: DataFrame, column: str, unknown: str = "unknown") -> Data
     return rows.groupBy(label.alias("label")).agg(F.count("*").alias("count")).orderBy(F.desc("count"), "label")
 
 
-def manifest(rows: DataFrame, key: str, counted: dict[str, Column]) -> DataFrame:
-    """Rows and distinct non-null values of the given expressions for each key."""
-    return rows.groupBy(key).agg(F.count("*").alias("rows"), *(F.count_distinct(c).alias(n) for n, c in counted.items()))
+def manifest(rows: DataFrame, key: str, counted: dict[str, Column], flags: dict[str, Column] | None = None) -> DataFrame:
+    """Rows, products, products with a flag, and distinct non-null values of the given expressions for each key.
+
+    Products are counted from one row for each (key, product). The values counted beside them are of few kinds, so their
+    combinations are taken first, by partial aggregation, and told apart afterwards.
+    """
+    flags = flags or {}
+    per = once_per_product(rows, [key], flags)
+    found = per.groupBy(key).agg(F.sum("rows").alias("rows"), F.count("*").alias("products"), *(F.sum(n).alias(n) for n in flags))
+    if not counted:
+        return found
+    kinds = rows.select(key, *(c.alias(n) for n, c in counted.items())).distinct()
+    return found.join(kinds.groupBy(key).agg(*(F.count_distinct(n).alias(n) for n in counted)), key)
+
+
+def products_by_year(rows: DataFrame, entity: str) -> DataFrame:
+    """(entity, year, products): distinct products, from one row for each of them."""
+    per = rows.select(entity, F.year("published").alias("year"), "product_id").distinct()
+    return per.groupBy(entity, "year").agg(F.count("*").alias("products"))
 
 
 def yearly_ranks(rows: DataFrame, entity: str, top: int = 5) -> DataFrame:
-    """The top entities of each year by distinct products, and how far each moved since the previous year observed."""
-    counts = rows.groupBy(F.year("published").alias("year"), entity).agg(F.count_distinct("product_id").alias("products"))
-    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("year").orderBy(F.desc("products"), entity)).cast("long"))
-    years = counts.select("year").distinct().withColumn("previous", F.lag("year").over(Window.orderBy("year")))
-    before = ranked.select(F.col("year").alias("previous"), entity, F.col("rank").alias("previous_rank"))
-    held = ranked.filter(F.col("rank") <= top).join(years, "year").join(before, ["previous", entity], "left")
-    return held.select("year", entity, "products", "rank", (F.col("previous_rank") - F.col("rank")).alias("movement"))
+    """The top entities of each year by distinct products, and how far each moved since the previous year observed.
+
+    Each of the top entities' ranks in the previous year is 1 and the entities ahead of it there. Those are counted by holding
+    that year's counts against the few of the top, not by ranking the year as a whole.
+    """
+    counts = products_by_year(rows, entity)
+    best = top_rows(counts, entity, top)
+    years = counts.select("year").distinct().withColumn("previous", F.lag("year").over(Window.orderBy("year")))  # a row for each year
+    asked = best.join(years, "year").select("year", "previous", entity, "products", "rank")
+    then = counts.select(F.col("year").alias("previous"), F.col(entity), F.col("products").alias("then"))
+    asked = asked.join(then, ["previous", entity], "left")
+    # At most `top` rows of each year stand on the small side.
+    others = counts.select(F.col("year").alias("of_year"), F.col(entity).alias("other"), F.col("products").alias("other_products"))
+    before = (F.col("other_products") > F.col("then")) | ((F.col("other_products") == F.col("then")) & (F.col("other") < F.col(entity)))
+    better = others.join(F.broadcast(asked.filter("then is not null")), (F.col("of_year") == F.col("previous")) & before)
+    places = better.groupBy("year", entity).agg(F.count("*").alias("better"))
+    held = asked.join(places, ["year", entity], "left")
+    previous_rank = F.when(F.col("then").isNotNull(), F.coalesce("better", F.lit(0)) + 1)
+    return held.select("year", entity, "products", "rank", (previous_rank - F.col("rank")).alias("movement"))
+
+
+def top_rows(counts: DataFrame, entity: str, top: int) -> DataFrame:
+    """The top entities of each year, ranked in two steps: the top of each of many parts of a year, then of those."""
+    order = [F.desc("products"), F.col(entity)]
+    part = F.pmod(F.xxhash64(entity), F.lit(64))
+    few = counts.withColumn("_part", part).withColumn("_k", F.row_number().over(Window.partitionBy("year", "_part").orderBy(*order))).filter(F.col("_k") <= top)
+    return few.withColumn("rank", F.row_number().over(Window.partitionBy("year").orderBy(*order)).cast("long")).filter(F.col("rank") <= top).drop("_part", "_k")
 
 
 def zero_filled_trend(rows: DataFrame, entity: str, top: int = 5) -> DataFrame:
     """Distinct products of the top entities in every year, 0 where there are none."""
-    counts = rows.groupBy(entity, F.year("published").alias("year")).agg(F.count_distinct("product_id").alias("products"))
-    series = rows.groupBy(entity).agg(F.count_distinct("product_id").alias("all")).orderBy(F.desc("all"), entity).limit(top).select(entity)
+    counts = products_by_year(rows, entity)
+    series = rows.select(entity, "product_id").distinct().groupBy(entity).agg(F.count("*").alias("all")).orderBy(F.desc("all"), entity).limit(top).select(entity)
     # At most `top` rows against the years that occur.
     grid = F.broadcast(series).crossJoin(counts.select("year").distinct())
     return grid.join(counts, [entity, "year"], "left").fillna(0, ["products"])

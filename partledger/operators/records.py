@@ -7,10 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The grain of an analysis row.
-GRAIN = ["product_id", "product_brand", "product_category", "product_region", "component_key", "usage_location", "manufacturer", "model", "model_status"]
-
-
 def best_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key in a given order, which ends in a total order so that ties keep the first seen."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_rn = 1").drop("_rn")
@@ -22,11 +18,6 @@ def best_values(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> Da
     return best.select(*keys, *(F.col(f"_best.{v}").alias(v) for v in values))
 
 
-def analysis_rows(facts: DataFrame) -> DataFrame:
-    """One row for each grain: that with the most parameters, then the latest date."""
-    return best_values(facts, GRAIN, ["parameters", "published"])
-
-
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
     """The first n rows of each key, numbered."""
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")).filter(F.col(rank) <= n)

@@ -7,8 +7,8 @@ from pyspark.sql import Window
 
 from partledger.functions.text import blank_to_null, ratio, short_hash
 from partledger.operators import analytics as A
-from partledger.operators.records import analysis_rows, top_n
-from partledger.sources.tables import FACTS_SQL, supply_facts
+from partledger.operators.records import top_n
+from partledger.sources.tables import FACTS_SQL, supply_rows
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -18,14 +18,13 @@ def query(sql: str):
     """Registers a query under its function's name; the SQL follows the CTEs facts and rows."""
 
     def keep(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(analysis_rows(supply_facts(spark, sf_dir)))
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(supply_rows(spark, sf_dir))
         ORACLE_SQL[f.__name__] = f"WITH {FACTS_SQL}, {sql.strip()}" if sql.strip().startswith("q ") else f"WITH {FACTS_SQL} {sql.strip()}"
         return f
 
     return keep
 
 
-
 @query("""
 SELECT component_key, count(*) AS rows, count(DISTINCT product_id) AS products,
   count(DISTINCT product_id) FILTER (manufacturer <> '') AS manufacturer_products, count(DISTINCT product_id) FILTER (model_status = 'reported') AS model_products, count(DISTINCT product_id) FILTER (parameters > 1) AS parameter_products,
@@ -43,7 +42,7 @@ def component_coverage(rows):
 SELECT row_number() OVER (ORDER BY component_key) AS ordinal, component_key, count(*) AS rows, count(DISTINCT product_id) AS products FROM rows GROUP BY component_key
 """)
 def component_manifest(rows):
-    found = A.manifest(rows, "component_key", {"products": F.col("product_id")})
+    found = A.manifest(rows, "component_key", {})
     return found.withColumn("ordinal", F.row_number().over(Window.orderBy("component_key")).cast("long"))
 
 
@@ -62,7 +61,7 @@ SELECT product_brand, substr(sha1('brand|' || product_brand), 1, 12) AS brand_ke
 FROM rows WHERE product_brand <> '' GROUP BY product_brand
 """)
 def brand_manifest(rows):
-    found = A.manifest(rows.filter(A.known("product_brand")), "product_brand", {"products": F.col("product_id"), "components": F.col("component_key")})
+    found = A.manifest(rows.filter(A.known("product_brand")), "product_brand", {"components": F.col("component_key")})
     return found.withColumn("brand_key", short_hash(12, F.lit("brand"), "product_brand")).orderBy(F.desc("products"), "product_brand")
 
 
@@ -84,11 +83,9 @@ FROM rows WHERE manufacturer <> '' GROUP BY manufacturer
 def supplier_manifest(rows):
     """brands counts the blank brand as one of them."""
     reported = F.col("model_status") == "reported"
-    counted = {
-        "products": F.col("product_id"), "components": F.col("component_key"), "models": F.when(reported, F.col("model")), "brands": F.col("product_brand"),
-        "model_known_products": F.when(reported, F.col("product_id")), "brand_known_products": F.when(A.known("product_brand"), F.col("product_id")),
-    }
-    found = A.manifest(rows.filter(A.known("manufacturer")), "manufacturer", counted)
+    counted = {"components": F.col("component_key"), "models": F.when(reported, F.col("model")), "brands": F.col("product_brand")}
+    flags = {"model_known_products": reported, "brand_known_products": A.known("product_brand")}
+    found = A.manifest(rows.filter(A.known("manufacturer")), "manufacturer", counted, flags)
     return found.withColumn("supplier_key", short_hash(12, F.lit("supplier"), "manufacturer")).orderBy(F.desc("products"), F.desc("components"), "manufacturer")
 
 
@@ -117,12 +114,17 @@ SELECT manufacturer, lower(model) AS model_key, count(DISTINCT product_id) AS pr
 FROM rows WHERE manufacturer <> '' AND model_status = 'reported' GROUP BY 1, 2
 """)
 def model_stats(rows):
-    of = rows.filter(A.known("manufacturer") & (F.col("model_status") == "reported")).groupBy("manufacturer", F.lower("model").alias("model_key"))
-    joined = lambda c: F.nullif(F.array_join(F.sort_array(F.collect_set(blank_to_null(c))), ";"), F.lit(""))
-    return of.agg(
-        F.count_distinct("product_id").alias("products"), joined("product_brand").alias("brands"), joined("usage_location").alias("locations"), F.min(F.year("published")).alias("first_year"), F.max(F.year("published")).alias("last_year"),
-        F.count_distinct(F.when(F.col("parameters") > 1, F.col("product_id"))).alias("parameterised_products"),
+    """Flags for each product first, so that distinct counts become sums."""
+    of = rows.filter(A.known("manufacturer") & (F.col("model_status") == "reported"))
+    year = F.year("published")
+    keys = ["manufacturer", "model_key"]
+    per = of.groupBy("manufacturer", F.lower("model").alias("model_key"), "product_id", "product_brand").agg(
+        F.max(F.when(F.col("usage_location") == "A", 1).otherwise(0)).alias("a"), F.max(F.when(F.col("usage_location") == "N", 1).otherwise(0)).alias("n"), F.max(F.when(F.col("usage_location") == "R", 1).otherwise(0)).alias("r"),
+        F.min(year).alias("first_year"), F.max(year).alias("last_year"), F.max(F.when(F.col("parameters") > 1, 1).otherwise(0)).alias("parameterised"),
     )
+    brands = F.nullif(F.array_join(F.sort_array(F.collect_set(blank_to_null("product_brand"))), ";"), F.lit(""))
+    locations = F.concat_ws(";", *(F.when(F.max(c) == 1, c.upper()) for c in ("a", "n", "r")))
+    return per.groupBy(*keys).agg(F.count("*").alias("products"), brands.alias("brands"), locations.alias("locations"), F.min("first_year").alias("first_year"), F.max("last_year").alias("last_year"), F.sum("parameterised").alias("parameterised_products"))
 
 
 @query("""
@@ -145,7 +147,7 @@ def annual_trend_zero_filled(rows):
 @query("SELECT manufacturer, count(DISTINCT product_id) AS products FROM rows WHERE manufacturer <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 def cumulative_top_suppliers(rows):
     """A top-k report: ten is what it reports."""
-    found = A.manifest(rows.filter(A.known("manufacturer")), "manufacturer", {"products": F.col("product_id")}).drop("rows")
+    found = A.manifest(rows.filter(A.known("manufacturer")), "manufacturer", {}).drop("rows")
     return found.orderBy(F.desc("products"), "manufacturer").limit(10)
 
 

@@ -12,41 +12,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def supply_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def supply_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The analysis rows: line items as evidence that a product (customer) has a component (part) from a manufacturer.
 
-    The dimensions are joined by their keys; which side is broadcast is left to the optimizer and its size estimates.
+    One row for each product, component, location, manufacturer, model and status: that with the most parameters, then the latest
+    date. Both are packed into one whole number, so the pick is a hash aggregation with partial results, not a sort; what a product
+    implies (brand, category, region) is joined afterwards and is no part of its keys. Which dimension is broadcast is left to
+    the optimizer and its size estimates.
     """
-    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_shipdate", "l_extendedprice")
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_shipdate")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    status = first_rule([(F.col("p_size") % 7 == 0, "not_disclosed"), (F.col("p_size") % 11 == 0, "invalid_parameter_value")], "reported")
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("component_key"), status.alias("model_status"), F.when(status == "not_disclosed", "").otherwise(F.split_part("p_name", F.lit(" "), F.lit(2))).alias("model"))
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 4 == 0, "").otherwise(F.col("s_name")).alias("manufacturer"))
+    joined = line.join(part, line.l_partkey == part.p_partkey).join(supplier, line.l_suppkey == supplier.s_suppkey).join(orders, line.l_orderkey == orders.o_orderkey)
+    packed = F.col("l_linenumber").cast("long") * 100_000 + F.date_diff(F.to_date("l_shipdate"), F.lit("1900-01-01").cast("date"))
+    best = joined.groupBy(F.col("o_custkey").alias("product_id"), "component_key", F.col("l_returnflag").alias("usage_location"), "manufacturer", "model", "model_status").agg(F.max(packed).alias("best"))
+    return best.join(products(spark, sf_dir), "product_id").select(
+        "product_id", "product_brand", "product_category", "product_region", "component_key", "usage_location", "manufacturer", "model", "model_status",
+        F.floor(F.col("best") / 100_000).alias("parameters"), F.date_add(F.lit("1900-01-01").cast("date"), (F.col("best") % 100_000).cast("int")).alias("published"),
+    )
+
+
+def products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(product_id, product_brand, product_category, product_region) of the customers."""
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size")
-    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    joined = (
-        line.join(part, line.l_partkey == part.p_partkey)
-        .join(supplier, line.l_suppkey == supplier.s_suppkey)
-        .join(orders, line.l_orderkey == orders.o_orderkey)
-        .join(customer, orders.o_custkey == customer.c_custkey)
-        .join(nation, customer.c_nationkey == nation.n_nationkey)
-        .join(region, nation.n_regionkey == region.r_regionkey)
-    )
-    status = first_rule([(F.col("p_size") % 7 == 0, "not_disclosed"), (F.col("p_size") % 11 == 0, "invalid_parameter_value")], "reported")
-    return joined.select(
-        F.col("o_custkey").alias("product_id"),
-        F.when(F.col("c_custkey") % 10 == 0, "").otherwise(F.col("c_mktsegment")).alias("product_brand"),
-        F.col("n_name").alias("product_category"),
-        F.col("r_name").alias("product_region"),
-        F.col("p_type").alias("component_key"),
-        F.col("l_returnflag").alias("usage_location"),
-        F.when(F.col("s_suppkey") % 4 == 0, "").otherwise(F.col("s_name")).alias("manufacturer"),
-        F.when(status == "not_disclosed", "").otherwise(F.split_part("p_name", F.lit(" "), F.lit(2))).alias("model"),
-        status.alias("model_status"),
-        F.col("l_linenumber").cast("long").alias("parameters"),
-        F.to_date("l_shipdate").alias("published"),
-        F.col("l_orderkey").alias("order_key"),
-        F.round(F.col("l_extendedprice") * 100).cast("long").alias("price_cents"),
-    )
+    held = customer.join(nation, customer.c_nationkey == nation.n_nationkey).join(region, nation.n_regionkey == region.r_regionkey)
+    brand = F.when(F.col("c_custkey") % 10 == 0, "").otherwise(F.col("c_mktsegment"))
+    return held.select(F.col("c_custkey").alias("product_id"), brand.alias("product_brand"), F.col("n_name").alias("product_category"), F.col("r_name").alias("product_region"))
 
 
 #: The same rows in SQL.
