@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from partledger.sources import writers
+from partledger.sources import readers, writers
 from partledger.sources.shared import shared_path
 from partledger.sources.tables import table
 from partledger.streaming import events as S
@@ -60,7 +61,47 @@ def sink_publish(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-QUERIES = {f.__name__: f for f in (stream_window, stream_session, stream_dedup, stream_phases, sink_by_key, sink_csv, sink_json, sink_publish)}
+def source_records(spark, sf_dir):
+    """Records in JSON, one a file, some of which don't parse: what is good is read, what isn't is counted."""
+    path = shared_path(spark, "records")
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", F.to_json(F.struct("n_nationkey", "n_name")).alias("json"))
+    broken = F.when(F.col("n_nationkey") % 9 == 0, F.substring("json", 1, 8)).otherwise(F.col("json"))
+    nations.select(broken).coalesce(1).write.option("maxRecordsPerFile", 1).text(path)
+    good, rejected = readers.read_records(spark, path, T.StructType.fromDDL("n_nationkey int, n_name string"))
+    return good.select("n_nationkey", "n_name").unionByName(rejected.agg(F.count("*").cast("int").alias("n_nationkey"), F.lit("rejected").alias("n_name")))
+
+
+def source_prices(spark, sf_dir):
+    """A price list with amounts as people write them."""
+    path = shared_path(spark, "prices")
+    part = table(spark, sf_dir, "part")
+    amount = F.when(F.col("p_size") % 5 == 0, "on request").otherwise(F.concat(F.lit("CNY "), F.format_number("p_retailprice", 2)))
+    rows = part.select(F.col("p_partkey").cast("string").alias("product_id"), amount.alias("amount"), F.lit("CNY").alias("currency"), F.col("p_brand").alias("source"))
+    rows.write.option("header", True).csv(path)
+    return readers.read_prices(spark, path).select("product_id", F.col("amount").cast("double").alias("amount"), "currency", "source")
+
+
+def source_feed(spark, sf_dir):
+    """Feed pages of the orders of a customer, from a year on; an item that two pages have is read once."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.date_format("o_orderdate", "EEE, dd MMM yyyy HH:mm:ss").alias("at"))
+    key = F.col("o_orderkey").cast("string")
+    item = F.concat(F.lit("<item><title><![CDATA[Order "), key, F.lit("]]></title><link>https://shop.test/"), key, F.lit("</link><pubDate>"), "at", F.lit(" +0000</pubDate></item>"))
+    feeds = orders.select("o_custkey", item.alias("item")).groupBy("o_custkey").agg(F.concat(F.lit("<rss>"), F.array_join(F.collect_list("item"), ""), F.lit("</rss>")).alias("content"))
+    twice = feeds.unionByName(feeds.filter("o_custkey % 3 = 0"))
+    return readers.feed_items(twice, "content", 1995).select("link", "title", F.col("published").cast("timestamp_ntz").alias("published"))
+
+
+def source_captions(spark, sf_dir):
+    """Caption files of conversations, a cue for each turn, with tags and broken lines."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    plain = F.regexp_replace(F.regexp_replace("text", r"[<>]|-->", " "), r"\s+", " ")
+    stamp = lambda t: F.format_string("%02d:%02d:%02d.500", F.floor(t / 3600), F.floor(t % 3600 / 60), t % 60)
+    cue = F.concat(stamp(F.col("turn") * 7), F.lit(" --> "), stamp(F.col("turn") * 7 + 5), F.lit("\n<b>"), F.trim(plain), F.lit("</b>\n\n"))
+    files = turns.select("conv_id", F.struct("turn", cue.alias("cue")).alias("c")).groupBy("conv_id").agg(F.concat(F.lit("WEBVTT\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list("c")), lambda c: c["cue"]), "")).alias("content"))
+    return readers.caption_cues(files, "conv_id", "content").select("conv_id", "start", "end", F.md5("text").alias("digest"))
+
+
+QUERIES = {f.__name__: f for f in (stream_window, stream_session, stream_dedup, stream_phases, sink_by_key, sink_csv, sink_json, sink_publish, source_records, source_prices, source_feed, source_captions)}
 
 ORACLE_SQL = {
     "stream_window": """
@@ -82,4 +123,11 @@ FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_type ROWS UNBOU
     "sink_csv": "SELECT o_custkey, string_agg(DISTINCT o_orderpriority, ';' ORDER BY o_orderpriority) AS priorities, count(*) AS n FROM orders GROUP BY 1",
     "sink_json": "SELECT s_suppkey, s_name, '1' AS data_version, 'a' AS contract FROM supplier",
     "sink_publish": "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey <= 15",
+    "source_records": "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey % 9 <> 0 UNION ALL SELECT count(*)::INT, 'rejected' FROM nation WHERE n_nationkey % 9 = 0",
+    "source_prices": "SELECT p_partkey::VARCHAR AS product_id, CASE WHEN p_size % 5 <> 0 THEN round(p_retailprice, 2) END AS amount, 'CNY' AS currency, p_brand AS source FROM part",
+    "source_feed": "SELECT DISTINCT 'https://shop.test/' || o_orderkey AS link, 'Order ' || o_orderkey AS title, date_trunc('second', o_orderdate) AS published FROM orders WHERE year(o_orderdate) >= 1995",
+    "source_captions": r"""
+WITH t AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(min(text), '[<>]|-->', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM conversations GROUP BY 1, 2)
+SELECT conv_id, turn * 7 + 0.5::DOUBLE AS start, turn * 7 + 5.5::DOUBLE AS "end", md5(text) AS digest FROM t WHERE text <> ''
+""",
 }

@@ -10,11 +10,16 @@ CORRUPT = "_corrupt"
 
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """JSON records, one a file, as (good, rejected): a file that does not parse is rejected, not fatal. No schema is inferred."""
+    """JSON records, one a file, as (good, rejected): a file that does not parse is rejected, not fatal. No schema is inferred.
+
+    Files are read as whole texts and parsed by expression, so that either part can be counted by itself.
+    """
     wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    rows = spark.read.schema(wide).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    rows = rows.withColumn("_file", F.input_file_name())
-    return rows.filter(F.col(CORRUPT).isNull()).drop(CORRUPT, "_file"), rows.filter(F.col(CORRUPT).isNotNull()).select("_file", CORRUPT)
+    rows = spark.read.option("wholetext", True).text(path).withColumn("_file", F.input_file_name())
+    rows = rows.withColumn("_record", F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
+    corrupt = F.col(f"_record.{CORRUPT}")
+    good = rows.filter(F.col("_record").isNotNull() & corrupt.isNull()).select(*(F.col(f"_record.{f.name}").alias(f.name) for f in schema.fields))
+    return good, rows.filter(F.col("_record").isNull() | corrupt.isNotNull()).select("_file", F.col("value").alias(CORRUPT))
 
 
 def latest_first(rows: DataFrame, date: str, key: str) -> DataFrame:
