@@ -49,12 +49,12 @@ def latest_run(events):
 
 
 @query("""
-WITH done AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase'), e AS (SELECT user_id, max(CASE event_type WHEN 'error' THEN 0 WHEN 'view' THEN 1 ELSE 2 END) AS latest, min(CASE event_type WHEN 'error' THEN 0 WHEN 'view' THEN 1 ELSE 2 END) AS priority, min(ts) AS first_ts FROM events GROUP BY 1)
+WITH done AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND value >= 90), e AS (SELECT user_id, max(CASE event_type WHEN 'error' THEN 0 WHEN 'view' THEN 1 ELSE 2 END) AS latest, min(CASE event_type WHEN 'error' THEN 0 WHEN 'view' THEN 1 ELSE 2 END) AS priority, min(ts) AS first_ts FROM events GROUP BY 1)
 SELECT user_id, priority::INT AS priority, first_ts FROM e ANTI JOIN done USING (user_id)
 """)
 def backfill_queue(events):
     """Keys that are not done, by priority; the done ones are excluded by an anti-join, which nulls cannot empty."""
-    done = events.filter("event_type = 'purchase'").select("user_id").distinct()
+    done = events.filter("event_type = 'purchase' and value >= 90").select("user_id").distinct()
     priority = F.when(F.col("event_type") == "error", 0).when(F.col("event_type") == "view", 1).otherwise(2)
     keys = events.groupBy("user_id").agg(F.min(priority).alias("priority"), F.min("ts").alias("first_ts"))
     return keys.join(done, "user_id", "left_anti").orderBy("priority", "first_ts", "user_id")
@@ -162,19 +162,19 @@ def session_windows(events):
 
 
 @query("""
-SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN substr(text, 1, 40) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS heading FROM conversations
+SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS heading FROM conversations
 """, "conversations")
 def heading_carry_forward(conversations):
-    marked = S.carried_forward(conversations, ["conv_id"], ["turn", "role", "text"], F.col("role") == "user", F.substring("text", 1, 40), "heading")
+    marked = S.carried_forward(conversations, ["conv_id"], ["turn", "role", "text"], F.col("role") == "user", F.col("text"), "heading")
     return marked.select("conv_id", "turn", "heading")
 
 
 @query("""
-WITH d AS (SELECT conv_id, turn, min(role) AS role, min(text) AS text FROM conversations GROUP BY 1, 2), t AS (SELECT conv_id, turn AS place, substr(text, 1, 20) AS v FROM d WHERE role = 'system'),
+WITH d AS (SELECT conv_id, turn, min(role) AS role, min(text) AS text FROM conversations GROUP BY 1, 2), t AS (SELECT conv_id, turn AS place, text AS v FROM d WHERE role = 'system'),
 n AS (SELECT d.conv_id, d.turn, v, abs(place - d.turn) AS dist, row_number() OVER (PARTITION BY d.conv_id, d.turn ORDER BY abs(place - d.turn), place) AS k FROM d JOIN t ON d.conv_id = t.conv_id AND abs(place - d.turn) <= 4)
 SELECT d.conv_id, d.turn, v AS near, dist AS near_distance FROM d LEFT JOIN n ON d.conv_id = n.conv_id AND d.turn = n.turn AND k = 1
 """, "conversations")
 def nearest_within_k(conversations):
     """The nearest system turn within four turns."""
-    turns = conversations.groupBy("conv_id", "turn").agg(F.min("role").alias("role"), F.min("text").alias("text")).withColumn("text", F.substring("text", 1, 20))
+    turns = conversations.groupBy("conv_id", "turn").agg(F.min("role").alias("role"), F.min("text").alias("text"))
     return S.nearest_within(turns, ["conv_id"], "turn", F.col("role") == "system", "text", 4, "near").select("conv_id", "turn", "near", "near_distance")

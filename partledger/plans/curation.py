@@ -26,14 +26,13 @@ def query(sql: str, *names: str):
 
 
 @query("""
-WITH s AS (SELECT c_custkey, o_orderkey, CASE WHEN o_orderkey % 7 < 3 THEN c_custkey + 1 WHEN o_orderkey % 7 < 4 THEN c_custkey + 2 END AS target FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE c_custkey % 10 = 0),
+WITH s AS (SELECT c_custkey, o_orderkey, CASE WHEN o_orderkey % 7 < 3 THEN c_custkey + 1 WHEN o_orderkey % 7 < 4 THEN c_custkey + 2 END AS target FROM customer LEFT JOIN orders ON c_custkey = o_custkey),
 t AS (SELECT c_custkey, coalesce(string_agg(DISTINCT target::VARCHAR, ';' ORDER BY target::VARCHAR), '') AS targets, count(DISTINCT target) AS n, count(o_orderkey) AS sources FROM s GROUP BY 1)
 SELECT c_custkey, targets, sources, CASE WHEN n = 1 THEN 'move' WHEN n > 1 THEN 'conflict' WHEN sources > 0 THEN 'retire' ELSE 'preserve' END AS action FROM t
 """, "customer", "orders")
 def reconciliation_plan(customer, orders):
-    old = customer.filter("c_custkey % 10 = 0")
     target = F.when(F.col("o_orderkey") % 7 < 3, F.col("c_custkey") + 1).when(F.col("o_orderkey") % 7 < 4, F.col("c_custkey") + 2)
-    sources = old.join(orders, old.c_custkey == orders.o_custkey, "left").select("c_custkey", F.col("o_orderkey").alias("source_id"), target.cast("string").alias("target"))
+    sources = customer.join(orders, customer.c_custkey == orders.o_custkey, "left").select("c_custkey", F.col("o_orderkey").alias("source_id"), target.cast("string").alias("target"))
     return C.reconciliation_plan(sources, "c_custkey", "target").withColumn("targets", F.array_join("targets", ";"))
 
 

@@ -277,10 +277,10 @@ def compare_transpose(part):
 
 
 @query("""
-SELECT conv_id, turn, coalesce(nullif(trim(CASE WHEN turn % 3 = 0 THEN ' ' ELSE substr(text, 1, 30) END), ''), nullif(trim(role), ''), '') AS title, CASE WHEN length(text) > 180 THEN substr(text, 1, 180) || '…' ELSE text END AS quote FROM conversations
+SELECT conv_id, turn, coalesce(nullif(trim(CASE WHEN turn % 3 = 0 THEN ' ' ELSE text END), ''), nullif(trim(role), ''), '') AS title, CASE WHEN length(text) > 180 THEN substr(text, 1, 180) || '…' ELSE text END AS quote FROM conversations
 """, "conversations")
 def first_nonblank_chain(conversations):
-    title = F.when(F.col("turn") % 3 == 0, " ").otherwise(F.substring("text", 1, 30))
+    title = F.when(F.col("turn") % 3 == 0, " ").otherwise(F.col("text"))
     return conversations.select("conv_id", "turn", first_nonblank(title, "role").alias("title"), quoted("text").alias("quote"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_path(spark: SparkSession, kind: str) -> str:
-    """A new path in spark.checkpoint.dir; where that is unset, as in tests, in a new folder that it is then set to."""
+    """A new path in spark.checkpoint.dir. In a local session without one, as in tests, a new folder is set first."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder for working tables that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='partledger-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
