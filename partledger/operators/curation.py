@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from partledger.operators.records import numbered, top_few
+
 
 def reconciliation_plan(sources: DataFrame, identity: str, target: str) -> DataFrame:
     """What becomes of each old identity: move if its sources agree on one target, conflict if on several, retire if they
@@ -25,14 +27,13 @@ def by_precedence(df: DataFrame, keys: Sequence[str], order: Sequence[Column], c
 
 def stratified_sample(df: DataFrame, strata: Sequence[str], difficult: Column, order: Sequence[Column], quota: int) -> DataFrame:
     """quota rows of each stratum: difficult ones first, in order, then the rest."""
-    w = Window.partitionBy(*strata).orderBy(F.when(difficult, 0).otherwise(1), *order)
-    return df.withColumn("_q", F.row_number().over(w)).filter(F.col("_q") <= quota).drop("_q")
+    return top_few(df, strata, [F.when(difficult, 0).otherwise(1), *order], quota)
 
 
 def pages(df: DataFrame, order: Sequence[Column], size: int, keys: Sequence[str]) -> DataFrame:
     """df with page and place: rows of each key in order, size to a page, from 0."""
-    at = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    return df.withColumns({"page": F.floor(at / size).cast("long"), "place": (at % size).cast("long")})
+    rows = numbered(df, keys, order, "_at")
+    return rows.withColumns({"page": F.floor(F.col("_at") / size).cast("long"), "place": F.col("_at") % size}).drop("_at")
 
 
 def drop_guard(old: DataFrame, new: DataFrame, key: str, count: str, most_percent: int) -> DataFrame:

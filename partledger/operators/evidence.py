@@ -81,8 +81,11 @@ def verbatim_hits(docs: DataFrame, key: str, text: str, quotes: DataFrame, quote
     words = F.split(F.trim(F.col(quote)), r"\s+")
     inner = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
     known = quotes.select(quote_key, F.trim(F.col(quote)).alias("_q"), F.array_max(inner)["w"].alias("_w")).filter("_w is not null")
-    tokens = docs.select(key, F.col(text).alias("_t"), F.explode(F.array_distinct(F.split(text, r"\s+"))).alias("_w"))
-    return tokens.join(known, "_w").filter(F.contains("_t", F.col("_q"))).select(key, quote_key).distinct()
+    # Only keys and words are joined; the text and the quote are fetched once for each pair that shares the word.
+    tokens = docs.select(key, F.explode(F.array_distinct(F.split(text, r"\s+"))).alias("_w"))
+    pairs = tokens.join(known.select("_w", quote_key), "_w").select(key, quote_key).distinct()
+    held = pairs.join(known.select(quote_key, "_q"), quote_key).join(docs.select(key, F.col(text).alias("_t")), key)
+    return held.filter(F.contains("_t", F.col("_q"))).select(key, quote_key).distinct()
 
 
 def contains_text(whole: Column | str, part: Column | str) -> Column:

@@ -26,11 +26,14 @@ def earliest_alias_join(df: DataFrame, text: str, key: str, aliases: DataFrame,
 
     Texts are exploded to words with their places, joined with the aliases by first word, and checked: no nested loop.
     """
-    words = df.select(key, F.lower(text).alias("_t"), F.posexplode(F.split(F.lower(text), r"\s+")).alias("_p", "_w"))
+    words = df.select(key, F.posexplode(F.split(F.lower(text), r"\s+")).alias("_p", "_w"))
     known = aliases.select(F.lower("alias").alias("_a"), "canonical").withColumn("_w", F.element_at(F.split("_a", r"\s+"), 1))
+    single = F.size(F.split("_a", r"\s+")) == 1
+    hits = words.join(known, "_w").select(key, "_p", "_a", "canonical")
+    # Aliases of one word are hits already; only for longer ones the text is fetched, once for each of its hits.
     rest = F.array_join(F.slice(F.split("_t", r"\s+"), F.col("_p") + 1, F.size(F.split("_a", r"\s+"))), " ")
-    hits = words.join(known, "_w").filter(rest == F.col("_a"))
-    best = hits.groupBy(key).agg(F.min(F.struct("_p", (-F.length("_a")).alias("m"), "canonical")).alias("b"))
+    longer = hits.filter(~single).join(df.select(key, F.lower(text).alias("_t")), key).filter(rest == F.col("_a")).drop("_t")
+    best = hits.filter(single).unionByName(longer).groupBy(key).agg(F.min(F.struct("_p", (-F.length("_a")).alias("m"), "canonical")).alias("b"))
     return df.join(best.select(key, F.col("b.canonical").alias(name)), key, "left").fillna("", [name])
 
 
@@ -60,38 +63,62 @@ def match_cascade(items: DataFrame, candidates: DataFrame, item_key: str, steps:
     return items.select(item_key).join(matched, item_key, "left")
 
 
+def segment_keys(text: Column, k: int) -> Column:
+    """Keys of which two texts within k edits share one: a text is cut into k + 1 segments, one of which the edits leave as it is,
+    and the longer text has it within k places. Array of (own, key): segments of the text itself, and what it looks for in shorter ones."""
+    n, out = F.length(text), []
+    for less in range(k + 1):
+        length = n - less
+        cut = lambda j: F.floor(length * j / (k + 1)).cast("int")  # noqa: B023, E731
+        for i in range(k + 1):
+            for shift in range(max(-i, less - (k - i)), min(i, less + k - i) + 1):
+                fits = (length >= k + 1) & (cut(i) + shift >= 0) & (cut(i + 1) + shift <= n)
+                key = F.xxhash64(length, F.lit(i), F.substring(text, cut(i) + shift + 1, cut(i + 1) - cut(i)))
+                out.append(F.when(fits, F.struct(F.lit(less == 0 and shift == 0).alias("own"), key.alias("key"))))
+    return F.array_compact(F.array(*out))
+
+
 def similar_pairs(df: DataFrame, key: str, text: str, block: Column, most_edits: int) -> DataFrame:
-    """Pairs of rows of a block whose texts are within so many edits."""
-    a = df.select(F.col(key).alias("a"), F.col(text).alias("text_a"), block.alias("_b"))
-    b = df.select(F.col(key).alias("b"), F.col(text).alias("text_b"), block.alias("_b"))
-    near = a.join(b, "_b").filter("a < b").withColumn("edits", F.levenshtein("text_a", "text_b", most_edits))
-    return near.filter("edits >= 0").select("a", "b", "edits")
+    """Pairs of rows of a block whose texts are within so many edits. Rows meet on equal segments, not each with each; texts
+    of no more characters than edits, which have no segments, meet those that are about as short."""
+    rows = df.select(F.col(key).alias("id"), F.col(text).alias("text"), block.alias("_b"))
+    keyed = rows.withColumn("_e", F.explode(segment_keys(F.col("text"), most_edits))).select("id", "text", "_b", "_e.own", "_e.key")
+    x = keyed.filter("own").select(F.col("id").alias("x"), F.col("text").alias("x_text"), "_b", "key")
+    y = keyed.select(F.col("id").alias("y"), F.col("text").alias("y_text"), "_b", "key")
+    short = rows.filter(F.length("text") <= 2 * most_edits)
+    xs, ys = short.select(F.col("id").alias("x"), F.col("text").alias("x_text"), "_b"), short.select(F.col("id").alias("y"), F.col("text").alias("y_text"), "_b")
+    met = x.join(y, ["_b", "key"]).drop("key").unionByName(xs.join(ys, "_b")).filter("x <> y")
+    near = met.withColumn("edits", F.levenshtein("x_text", "y_text", most_edits)).filter("edits >= 0")
+    return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "edits").distinct()
 
 
 def greedy_merge(df: DataFrame, keys: Sequence[str], model: str, order: str) -> DataFrame:
-    """Entities of each key: a row joins the first entity whose model it fits, an X standing for any one character.
+    """Entities of each key: a model joins the first entity that it fits, an X standing for any one character.
 
-    The fold depends on order, so each key's rows are folded together in pandas; a key is one product's component.
+    Rows are aggregated to one for each model, with its first place and its number, before the fold, which takes models by first
+    places. Only models of one length can fit, so a key's models of a length are one group: distinct names, not rows.
     """
+    names = df.groupBy(*keys, model).agg(F.min(order).alias("_first"), F.count("*").alias("_rows")).withColumn("_length", F.length(model))
 
     def fits(a: str, b: str) -> bool:
-        return len(a) == len(b) and all(x == y or "X" in (x, y) for x, y in zip(a, b, strict=True))
+        return all(x == y or "X" in (x, y) for x, y in zip(a, b, strict=True))
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         entities: list[list] = []
-        for m in rows.sort_values([order, model])[model]:
+        ordered = rows.sort_values(["_first", model])
+        for m, n in zip(ordered[model], ordered["_rows"], strict=True):
             for e in entities:
                 if fits(e[0], m):
-                    e[1] += 1
+                    e[1] += n
                     if m.count("X") < e[0].count("X"):
                         e[0] = m
                     break
             else:
-                entities.append([m, 1])
+                entities.append([m, n])
         out = pd.DataFrame(entities, columns=[model, "merged"])
         for k in keys:
             out[k] = rows[k].iloc[0]
         return out[[*keys, model, "merged"]]
 
     kinds = dict(df.dtypes)
-    return df.select(*keys, model, order).groupBy(*keys).applyInPandas(fold, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", {model} string, merged long")
+    return names.groupBy(*keys, "_length").applyInPandas(fold, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", {model} string, merged long")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from partledger.sources.shared import shared_path
+
 def best_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key in a given order, which ends in a total order so that ties keep the first seen."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_rn = 1").drop("_rn")
@@ -70,10 +72,38 @@ def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str
     return rows.join(parent.select(F.col(parent_key).alias(child_key)).distinct(), child_key, "left_anti")
 
 
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], at: str, size: str | None = None) -> DataFrame:
+    """df with the place of each row within its key, from 0, and the key's size: no key is sorted in one task.
+
+    Rows are cut into ranges by key and order, and written so that the cut stays as it is; a row's place is its place in its
+    range and the sizes of the ranges before. The order has to be total for places to be the same in every run.
+    """
+    path = shared_path(df.sparkSession, "ranges")
+    spread = df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id())
+    spread.write.parquet(path)
+    rows = df.sparkSession.read.schema(spread.schema).parquet(path)
+    counts = rows.groupBy("_part", *keys).agg(F.count("*").alias("_n"))
+    of_key = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("_n").over(of_key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # A row for each range and key.
+    ends = counts.select(F.col("_part").alias("_p"), *(F.col(k).alias(f"_k_{k}") for k in keys), before.alias("_before"), F.sum("_n").over(of_key).alias("_size"))
+    place = F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order)) - 1
+    same = F.col("_part") == F.col("_p")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    held = rows.withColumn("_place", place).join(ends, same).withColumn(at, (F.col("_before") + F.col("_place")).cast("long"))
+    return held.withColumn(size or "_size", F.col("_size")).drop("_part", "_p", "_place", "_before", *(f"_k_{k}" for k in keys), *([] if size == "_size" else ["_size"]))
+
+
 def even_sample(df: DataFrame, order: Sequence[Column], n: int, keys: Sequence[str]) -> DataFrame:
     """n rows of each key at even distances: those numbered round(i * (size - 1) / (n - 1)), or all if there are no more."""
-    at = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    size = F.count("*").over(Window.partitionBy(*keys))
-    rows = df.withColumns({"_at": at, "_size": size})
+    rows = numbered(df, keys, order, "_at", "_size")
     wanted = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i * (F.col("_size") - 1) / (n - 1) + 0.5))
-    return rows.filter((F.col("_size") <= n) | F.array_contains(wanted, F.col("_at").cast("long"))).drop("_at", "_size")
+    return rows.filter((F.col("_size") <= n) | F.array_contains(wanted, F.col("_at"))).drop("_at", "_size")
+
+
+def top_few(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, parts: int = 64) -> DataFrame:
+    """The first n rows of each key by way of the first n of many parts of it: for few keys with very many rows."""
+    part = F.pmod(F.xxhash64(*(c for c in df.columns)), F.lit(parts))
+    few = df.withColumn("_part", part).withColumn("_k", F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order))).filter(F.col("_k") <= n)
+    return few.drop("_part").withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_k") <= n).drop("_k")

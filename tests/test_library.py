@@ -152,3 +152,69 @@ def test_shared_keys_join_long_chains(spark):
     rows = [(x, k) for i, x in enumerate(ids) for k in (i, i + 1)] + [(9000, 9000), (9001, None)]
     got = {r.node: r.component for r in graph.shared_key_components(spark.createDataFrame(rows, "id long, key long"), "id", "key").collect()}
     assert got == {**dict.fromkeys(ids, min(ids)), 9000: 9000}
+
+
+def test_numbered_rows(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]), rng.randint(0, 50), i) for i in range(300)]
+    got = records.numbered(spark.createDataFrame(rows, "k string, v long, i long").repartition(5), ["k"], [F.desc("v"), F.col("i")], "at", "size").collect()
+    for key in ("a", "b", None):
+        want = [i for _, _, i in sorted(((k, -v, i) for k, v, i in rows if k == key), key=lambda r: r[1:])]
+        mine = sorted((r.at, r.i, r.size) for r in got if r.k == key)
+        assert [i for _, i, _ in mine] == want and [at for at, _, _ in mine] == list(range(len(want))) and {n for _, _, n in mine} == {len(want)}
+
+
+def test_similar_pairs_match_brute_force(spark):
+    rng = random.Random(3)
+    names = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 9))) for _ in range(80)]
+    df = spark.createDataFrame([(i, t, i % 2) for i, t in enumerate(names)], "k long, t string, b int")
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    for k in (1, 2):
+        got = {(r.a, r.b): r.edits for r in matching.similar_pairs(df, "k", "t", F.col("b"), k).collect()}
+        want = {(i, j): distance(names[i], names[j]) for i in range(80) for j in range(i + 1, 80) if i % 2 == j % 2}
+        assert got == {p: d for p, d in want.items() if d <= k}
+
+
+def test_merged_inventory(spark):
+    from partledger.operators import products
+
+    schema = "k long, order long, component string, family string, side string, model string, evidence string"
+    detailed = [(1, 1, "driver", "driver", "", "10 mm", "a 10 mm driver"), (1, 2, "chip", "chip", "", "QCC3040", "the chip QCC3040"), (1, 3, "cell", "battery", "case", "", "a cell")]
+    coarse = [(1, 4, "battery", "battery", "left", "", "an earbud battery"), (1, 5, "chip", "chip", "", "QCC3040-B", "said elsewhere"), (1, 6, "driver", "driver", "left", "", "a driver"), (1, 7, "cell", "battery", "case", "", "x"), (1, 8, "feel", "other", "", "", "it fits"), (1, 9, "other chip", "chip", "", "AB1", "the chip  QCC3040")]
+    got = products.merged_inventory(spark.createDataFrame(detailed, schema), spark.createDataFrame(coarse, schema), ["k"], ("driver", "battery"), F.col("component") != "feel").collect()
+    assert sorted((r.order, r.kind) for r in got) == [(1, "detailed"), (2, "detailed"), (3, "detailed"), (4, "coarse")]
+
+
+def test_queries_without_sql_give_right_values(spark):
+    """Keys and blocks of whole tables against Python's own reading of the rows."""
+    import html
+    import re
+    import unicodedata
+
+    from partledger.plans import registry
+
+    sf, queries = "/root/testdata/sf0.001", registry.queries()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in queries["unicode_keys"](spark, sf).collect():
+        head = texts[r.doc_id].split("\n")[0]
+        assert r.key == "".join(c for c in unicodedata.normalize("NFKC", head).casefold() if c.isalnum())
+    assert all(r.as_before for r in queries["mojibake_repair"](spark, sf).collect() if r.doc_id % 7 or texts[r.doc_id].isascii())
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    titles = {r.page_id: r.text for r in queries["html_block_table"](spark, sf).filter("kind = 'h1'").collect()}
+    for page, text in pages.items():
+        found = re.search(r"<h1[^>]*>(.*?)</h1>", text or "", re.S)
+        if found and "<" not in found[1]:
+            assert titles[page] == " ".join(html.unescape(found[1]).split())
+    blocks = {r.page_id: r.n for r in queries["html_block_table"](spark, sf).groupBy("page_id").agg(F.count("*").alias("n")).collect()}
+    ranges = {r.page_id: r.n for r in queries["section_range"](spark, sf).groupBy("page_id").agg(F.sum("blocks").alias("n")).collect()}
+    assert blocks == ranges
+    merged = queries["greedy_entity_merge"](spark, sf).agg(F.sum("merged").alias("n")).first().n
+    assert merged == spark.read.parquet(f"{sf}/part.parquet").count()
