@@ -79,10 +79,14 @@ def rates() -> dict:
     return {"symbols": per("n_symbols", "n_words", 1000), "upper": per("n_upper", "word_chars", 1000), "dup_lines": per("n_dup_lines", "n_lines", 1000), "repeats": per("n_repeat_words", "n_words", 1000), "word_length": per("word_chars", "n_words", 100)}
 
 
+def bin_width(x):
+    """The width of the sketch's bin that a whole number is in: 1 below 32, then 1/16 of the number at most."""
+    return F.pow(F.lit(2.0), F.greatest(F.length(F.bin(x)) - 5, F.lit(0))).cast("long")
+
+
 def binned(x):
-    """A whole number with only its five leading bits kept: bins of the sketch, at most 1/16 wide relative to x."""
-    shift = F.greatest(F.length(F.bin(x)) - 5, F.lit(0))
-    return (x - x % F.pow(F.lit(2.0), shift).cast("long")).cast("long")
+    """A whole number with only its five leading bits kept: where its bin begins."""
+    return (x - x % bin_width(x)).cast("long")
 
 
 def sketches(measures: DataFrame) -> DataFrame:
@@ -97,8 +101,10 @@ def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
     upto = merged.withColumn("size", F.sum("count").over(group)).withColumn("upto", F.sum("count").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
     q = lambda percent: F.min(F.when(F.col("upto") * 100 >= F.col("size") * percent, F.col("bin"))).alias(f"q{percent}")
     found = upto.groupBy(*keys, "measure").agg(F.max("size").alias("size"), *(q(percent) for span in SPANS for percent in span[:2]))
-    width = F.coalesce(*(F.when(F.col(f"q{high}") > F.col(f"q{low}"), (F.col(f"q{high}") - F.col(f"q{low}")) * share) for low, high, share in SPANS), F.lit(0))
-    return found.select(*keys, "measure", "size", (100 * F.col("q25") - FENCE * width).alias("low"), (100 * F.col("q75") + FENCE * width).alias("high"))
+    spread = F.coalesce(*(F.when(F.col(f"q{high}") > F.col(f"q{low}"), (F.col(f"q{high}") - F.col(f"q{low}")) * share) for low, high, share in SPANS), F.lit(0))
+    # A quartile is known to its bin only, so a fence starts at the bin's far end and no width is less than the bin.
+    width = lambda q: F.greatest(spread, 100 * bin_width(F.col(q)))
+    return found.select(*keys, "measure", "size", (100 * F.col("q25") - FENCE * width("q25")).alias("low"), (100 * (F.col("q75") + bin_width(F.col("q75"))) + FENCE * width("q75")).alias("high"))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
@@ -171,9 +177,10 @@ WITH d AS (
   SELECT level, lang, source, m, max(size)::BIGINT AS size, min(bin) FILTER (upto * 100 >= size) AS q1, min(bin) FILTER (upto * 100 >= size * 5) AS q5, min(bin) FILTER (upto * 100 >= size * 25) AS q25,
     min(bin) FILTER (upto * 100 >= size * 75) AS q75, min(bin) FILTER (upto * 100 >= size * 95) AS q95, min(bin) FILTER (upto * 100 >= size * 99) AS q99 FROM u GROUP BY level, lang, source, m
 ), e AS (
-  SELECT *, CASE WHEN q75 > q25 THEN 100 * (q75 - q25) WHEN q95 > q5 THEN 41 * (q95 - q5) WHEN q99 > q1 THEN 29 * (q99 - q1) ELSE 0 END AS width FROM q
+  SELECT *, CASE WHEN q75 > q25 THEN 100 * (q75 - q25) WHEN q95 > q5 THEN 41 * (q95 - q5) WHEN q99 > q1 THEN 29 * (q99 - q1) ELSE 0 END AS spread,
+    1::BIGINT << greatest(length(bin(q25::BIGINT)) - 5, 0)::BIGINT AS b25, 1::BIGINT << greatest(length(bin(q75::BIGINT)) - 5, 0)::BIGINT AS b75 FROM q
 ), k AS (
-  SELECT *, 100 * q25 - 3 * width AS low, 100 * q75 + 3 * width AS high FROM e
+  SELECT *, 100 * q25 - 3 * greatest(spread, 100 * b25) AS low, 100 * (q75 + b75) + 3 * greatest(spread, 100 * b75) AS high FROM e
 ), t AS (
   SELECT o.lang, o.source, o.m, (o.size * o.low + 100 * ((l.size * l.low + 100 * a.low) / (l.size + 100))) / (o.size + 100) AS least,
     (o.size * o.high + 100 * ((l.size * l.high + 100 * a.high) / (l.size + 100))) / (o.size + 100) AS most
