@@ -105,8 +105,8 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
     two words has no licence; repeated rows are reported each; a text of one line is reported once, as unit 0; an empty
     table gives an empty result. A licence that neither the whole text nor a line shows is looked for in all runs of words,
     across lines and within them: its best passage is reported with unit -p, where p is the place of its first word (from 1); of
-    several templates of the licence the one with the most common bigrams counts. Only what was found is shuffled, and
-    other columns of docs are not read.
+    several templates of the licence the one with the most common bigrams counts. Very long texts are read whole. Only what was found is shuffled, and
+    other columns of docs are not read, whatever their names.
     """
     known = [(name, i, bigrams(normal_words(t))) for i, (name, t) in enumerate(templates)]
     known = [k for k in known if k[2]]

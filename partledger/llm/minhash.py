@@ -265,3 +265,26 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
 
 def op8_near_duplicates(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
+OP8_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT r, hash(sh) AS sh FROM (SELECT r, unnest(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS sh FROM d)
+), n AS (
+  SELECT r, count(*) AS n FROM s GROUP BY r
+), l AS (
+  SELECT a.r AS ra, b.r AS rb FROM s a JOIN s b ON a.sh = b.sh AND a.r < b.r JOIN n na ON na.r = a.r JOIN n nb ON nb.r = b.r AND 100 * least(na.n, nb.n) >= 80 * greatest(na.n, nb.n)
+  GROUP BY a.r, b.r HAVING 180 * count(*) >= 80 * (any_value(na.n) + any_value(nb.n))
+), e AS (
+  SELECT da.doc_id AS a, db.doc_id AS b FROM l JOIN d da ON da.r = ra JOIN d db ON db.r = rb
+), both_ways AS (
+  SELECT a, b FROM e UNION SELECT b, a FROM e
+), reach AS (
+  SELECT a AS x, a AS y FROM both_ways UNION SELECT x, b FROM reach JOIN both_ways ON y = a
+), c AS (
+  SELECT x, min(y) AS component_id FROM reach GROUP BY x
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id, doc_id = coalesce(component_id, doc_id) AS kept FROM d LEFT JOIN n USING (r) LEFT JOIN c ON c.x = doc_id
+"""

@@ -59,7 +59,8 @@ def mix_sources(docs: DataFrame, size: Column, quality: Column, *, source: str =
     budget goes to documents in the order of their exponential keys -ln(u) / quality, the last one in part.
     u depends on the seed and doc_id only, so reruns agree. Documents with size 0, a null text or a null id are
     mixed like others (they take 0 words if they have none); equal rows count each by itself; null sources form one
-    source; an empty table gives an empty result. Other columns of docs are not read.
+    source; very long texts are words like others, and the last one taken is taken in part; an empty table gives an empty result.
+    Other columns of docs are not read, whatever their names.
 
     No source is sorted as a whole: its keys are cut into RANGES ranges, the sums of the ranges show where the
     budget ends, and only that range is sorted.

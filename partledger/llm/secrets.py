@@ -143,7 +143,7 @@ def scan_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, *, text: str =
 
     From each regex a Boolean trigram query is derived; documents whose postings meet it are candidates, on which
     the regex itself is run. A rule without mandatory trigrams (as of hex digits) is run on every document.
-    A null text counts as empty and has no secrets; rows are keyed by id and a 128-bit hash of the text, so repeated
+    A null text counts as empty and has no secrets; very long texts are searched whole; rows are keyed by id and a 128-bit hash of the text, so repeated
     rows and null ids get a row each; an empty table gives an empty result. Other columns of docs are not read.
     """
     queries = {r.kind: trigram_query(r.regex) for r in rules}
@@ -179,3 +179,24 @@ def brute_force(text: str | None, rules: Sequence[Rule] = RULES) -> list[tuple[i
     for order, rule in enumerate(rules):
         out += [(m.start(), order, rule.kind, m.end()) for m in re.compile(rule.regex, re.ASCII).finditer(text or "") if len(m.group(rule.group)) >= rule.least]
     return sorted(out)
+
+
+def _sql() -> str:
+    """Matches and the texts between them give the places."""
+    parts = []
+    for order, rule in enumerate(RULES):
+        regex = rule.regex.replace("'", "''")
+        parts.append(f"SELECT r, {order} AS ord, '{rule.kind}' AS kind, {rule.least} AS least, string_split_regex(t, '{regex}') AS gaps, regexp_extract_all(t, '{regex}') AS hits, regexp_extract_all(t, '{regex}', {rule.group}) AS sized FROM d")
+    count = lambda kind: f"count(*) FILTER (kind = '{kind}')::BIGINT AS n_{kind}"
+    named = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord)"
+    base = ", ".join(f"'{k}'" for k in BASE)
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), m AS ({" UNION ALL ".join(parts)}),
+x AS (SELECT r, ord, kind, least, unnest(range(1, len(hits) + 1)) AS i, unnest(hits) AS hit, unnest(sized) AS sized, unnest(gaps[1 : len(hits)]) AS gap FROM m WHERE len(hits) > 0),
+y AS (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY r, ord ORDER BY i)::BIGINT AS stop FROM x), z AS (SELECT r, ord, kind, stop - length(hit) AS start, stop FROM y WHERE length(sized) >= least),
+a AS (SELECT r, {", ".join(map(count, BASE))}, {named} FILTER (kind IN ({base})) AS base, {named} AS spans FROM z GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (r)
+"""
+
+
+OP1_SQL = _sql()
