@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from test_duplicates import brute_components, brute_lines
 
 import corpus_pipeline
@@ -78,3 +79,16 @@ def test_stages(spark, corpus):
 
 def test_run_gives_the_last_stage(spark, corpus):
     assert sorted(map(str, corpus_pipeline.run(spark, corpus).collect())) == sorted(map(str, corpus_pipeline.run(spark, corpus).collect()))
+
+
+def test_stages_on_odd_tables(spark, corpus):
+    """Repeated rows, extra columns with clashing names, and an empty table."""
+    docs = table(spark, corpus, "documents").filter("doc_id < 40 or doc_id is null")
+    clash = docs.unionByName(docs.filter("doc_id = 7")).withColumns({c: F.lit("clash") for c in ("score", "kept", "n_exact", "rep", "n_hit", "words", "_terms")})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, clash, corpus)
+        if name != "mixing":
+            assert out.columns == corpus_pipeline.COLUMNS
+        ids = [r.doc_id for r in out.select("doc_id").collect()]
+        assert len(ids) <= docs.count() + 1 and ids.count(7) in (0, 1, 2)
+        assert stage(spark, docs.limit(0), corpus).count() == 0
