@@ -1,4 +1,8 @@
-"""The corpus pipeline: toxic documents go, repeated lines go, near-duplicates go, benchmark text goes, sources are mixed."""
+"""The corpus pipeline: toxic documents go, repeated lines go, near-duplicates go, benchmark text goes, sources are mixed.
+
+Stages read the columns of documents and return them, and leave others out, whatever their names. Rows with null ids or texts stay
+unless a stage's rule takes them; repeated rows are taken or kept alike; an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
