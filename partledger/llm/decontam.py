@@ -35,7 +35,7 @@ class Items:
     def __init__(self, items: list[tuple[str, str | None]], window: int):
         self.items, self.window = items, window
         self.numbers: dict[bytes, int] = {}
-        self.automaton = None
+        self.automaton, self.shortest = None, 0
 
     def windows(self, text: str | None) -> list[tuple[int, ...]]:
         words = tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in folded(text).split())
@@ -56,20 +56,29 @@ class Items:
                 self.automaton.add_word(w, (len(w), sorted(ids)))
             if holders:
                 self.automaton.make_automaton()
+            self.shortest = min(map(len, holders), default=1 << 62)
         return self
 
     def __getstate__(self) -> dict:
         return {**self.__dict__, "automaton": None, "numbers": {}}
 
     def scan(self, text: str | None) -> tuple[int, np.ndarray, set[str]]:
-        """(number of words, the numbers of the hit words, items with occurring windows). Words of no item are 0."""
+        """(number of words, the numbers of the hit words, items with occurring windows).
+
+        Words of no item are 0. No window goes over one, so only the runs between them that are as long as the shortest window
+        are given to the automaton.
+        """
         words = folded(text).split()
-        if not words or not self.numbers:
+        if len(words) < self.shortest:
             return len(words), np.zeros(0, np.int64), set()
+        known = np.fromiter(map(self.numbers.get, words, repeat(0)), np.int64, len(words))
+        change = np.flatnonzero(np.diff(known != 0, prepend=False, append=False))
         ends, items = [], set()
-        for end, (n, ids) in self.automaton.iter(tuple(map(self.numbers.get, words, repeat(0)))):
-            ends.append((end + 1, n))
-            items.update(ids)
+        for start, stop in zip(change[::2], change[1::2], strict=True):
+            if stop - start >= self.shortest:
+                for end, (n, ids) in self.automaton.iter(tuple(known[start:stop].tolist())):
+                    ends.append((start + end + 1, n))
+                    items.update(ids)
         if not ends:
             return len(words), np.zeros(0, np.int64), items
         at = np.asarray(ends, np.int64)
