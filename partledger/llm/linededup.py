@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,10 +43,12 @@ def lines_of(docs: DataFrame, least_words: int) -> DataFrame:
     A line of fewer than least_words words is known by its words and its document.
     """
     rows = docs.select(*DOC, F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    rows = rows.withColumn("line", F.btrim("line", F.lit(" \t\r\x0b\x0c"))).filter("line <> ''").withColumn("words", F.split("line", SPACES, -1))
-    rows = rows.withColumn("n", F.size("words"))
-    scope = F.when(F.col("n") < least_words, F.concat_ws(" ", *DOC)).otherwise("")
-    name = F.concat_ws("\n", F.array_join("words", " "), scope)
+    rows = rows.withColumn("line", F.btrim("line", F.lit(" \t\r\x0b\x0c"))).filter("line <> ''")
+    # Most lines have single spaces already; splitting by one character needs no regex.
+    odd = reduce(lambda a, b: a | b, [F.contains("line", F.lit(c)) for c in ("  ", "\t", "\r", "\x0b", "\x0c")])
+    rows = rows.withColumn("line", F.when(odd, F.regexp_replace("line", SPACES, " ")).otherwise(F.col("line")))
+    rows = rows.withColumn("words", F.split("line", " ", -1)).withColumn("n", F.size("words"))
+    name = F.when(F.col("n") < least_words, F.concat_ws("\n", "line", F.concat_ws(" ", *DOC))).otherwise(F.col("line"))
     return rows.select(*DOC, "pos", "words", *(h.alias(f"l{i}") for i, h in enumerate(text_key(name))), "n")
 
 
@@ -110,7 +114,12 @@ def within_edits(text: Column, pattern: Column, k: int) -> Column:
     bit = F.element_at(F.array(*(F.lit(1 << (k + d)).cast("long") for d in range(k + 1))), F.least(m - n, F.lit(k)) + 1)
     start = F.struct(F.lit(((1 << (k + 1)) - 1) << k).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), (m - n).alias("distance"), bit.alias("bit"))
     masks = F.transform(F.sequence(F.lit(0), n - 1), match)
-    return F.when(m - n <= k, F.aggregate(masks, start, step, lambda acc: acc["distance"]) <= k).otherwise(F.lit(False))
+    return F.when(n == 0, m <= k).when(m - n <= k, F.aggregate(masks, start, step, lambda acc: acc["distance"]) <= k).otherwise(F.lit(False))
+
+
+def alike(x: Column, y: Column, k: int) -> Column:
+    """What lists within k edits have to meet: all but k words of each stand in the other."""
+    return (F.size(F.array_except(x, y)) <= k) & (F.size(F.array_except(y, x)) <= k)
 
 
 def near_lines(lines: DataFrame, primary: DataFrame, k: int) -> DataFrame:
@@ -143,10 +152,11 @@ def near_lines(lines: DataFrame, primary: DataFrame, k: int) -> DataFrame:
         level = written(level, "level")
         sizes = level.groupBy("key").agg(F.count("*").alias("size"), F.max("indexed").alias("any")).filter("size > 1 and any")
         sized = level.join(sizes.drop("any"), "key")
-        few = sized.filter(F.col("size") <= PAIRS) if k == 1 else sized
+        # With one edit all outside the open region is equal, so the region alone is compared.
+        few = sized.filter(F.col("size") <= PAIRS).withColumn("words", F.slice("words", F.col("a") + 1, F.col("b") - F.col("a") + F.col("n") - F.col("length"))) if k == 1 else sized
         x, y = sides(few.filter("indexed"), "x", "words", "n"), sides(few, "y", "words", "n", "indexed")
         pairs = x.join(y, "key").filter("(x_l0 <> y_l0 or x_l1 <> y_l1) and (y_n > x_n or not y_indexed or x_l0 < y_l0 or (x_l0 = y_l0 and x_l1 < y_l1))")
-        goes.append(written(later(pairs.filter(within_edits(F.col("x_words"), F.col("y_words"), k))).distinct(), "near"))
+        goes.append(written(later(pairs.filter(alike(F.col("x_words"), F.col("y_words"), k) & within_edits(F.col("x_words"), F.col("y_words"), k))).distinct(), "near"))
         many = sizes.filter(F.col("size") > PAIRS)
         if k > 1 or many.limit(1).count() == 0:
             break
@@ -233,3 +243,32 @@ def op6_line_dedup(spark, sf_dir):
     rows = docs.select(*DOC, F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"))
     held = rows.join(found, equal, "left")
     return held.select("doc_id", "n_lines", F.coalesce("n_exact", F.lit(0)).cast("long").alias("n_exact"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.coalesce(F.array_join(F.col("keepers").cast("array<string>"), ","), F.lit("")).alias("keepers"))
+
+
+# One word edit: the lines without the word at one place are equal (another word there), or one line is the other without a word.
+OP6_SQL = r"""
+WITH t AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10)))))::INT AS pos FROM documents
+), w AS (
+  SELECT doc_id, pos, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM t
+), o AS (
+  SELECT doc_id, pos, w, len(w) AS n, array_to_string(w, ' ') || chr(10) || CASE WHEN len(w) < 3 THEN doc_id::VARCHAR ELSE '' END AS name FROM w WHERE len(w) > 0
+), f AS (
+  SELECT name, any_value(w) AS w, any_value(n) AS n, min((doc_id, pos)) AS first FROM o GROUP BY name
+), v AS (
+  SELECT name, n, first, p, hash(array_to_string(w[:p - 1] || w[p + 1:], ' ')) AS rest FROM (SELECT *, unnest(range(1, n + 1)) AS p FROM f WHERE n >= 8)
+), g AS (
+  SELECT n, p, rest, min(first) AS low FROM v GROUP BY ALL
+), pairs AS (
+  SELECT v.name, g.low AS keeper FROM v JOIN g USING (n, p, rest) WHERE g.low < v.first
+  UNION ALL SELECT v.name, f.first FROM v JOIN f ON v.rest = hash(array_to_string(f.w, ' ')) AND v.n = f.n + 1 AND f.n >= 8 WHERE f.first < v.first
+  UNION ALL SELECT f.name, v.first FROM v JOIN f ON v.rest = hash(array_to_string(f.w, ' ')) AND v.n = f.n + 1 AND f.n >= 8 WHERE v.first < f.first
+), near AS (
+  SELECT name, min(keeper) AS keeper FROM pairs GROUP BY name
+), goes AS (
+  SELECT o.doc_id, near.name IS NOT NULL AS is_near, coalesce(near.keeper, f.first)[1] AS keeper FROM o JOIN f USING (name) LEFT JOIN near USING (name) WHERE near.name IS NOT NULL OR (o.doc_id, o.pos) <> f.first
+), k AS (
+  SELECT doc_id, count(*) FILTER (NOT is_near) AS n_exact, count(*) FILTER (is_near) AS n_near, array_to_string(list_sort(list_distinct(list(keeper))), ',') AS keepers FROM goes GROUP BY doc_id
+)
+SELECT documents.doc_id, len(string_split(coalesce(text, ''), chr(10)))::BIGINT AS n_lines, coalesce(n_exact, 0)::BIGINT AS n_exact, coalesce(n_near, 0)::BIGINT AS n_near, coalesce(keepers, '') AS keepers FROM documents LEFT JOIN k ON documents.doc_id = k.doc_id
+"""

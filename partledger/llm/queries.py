@@ -18,10 +18,13 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_secrets": secrets.OP1_SQL,
     "op2_licenses": licenses.OP2_SQL,
     "op3_warc": warc.OP3_SQL,
     "op4_decontaminate": decontam.OP4_SQL,
     "op5_mix_sources": mixing.OP5_SQL,
+    "op6_line_dedup": linededup.OP6_SQL,
     "op7_url_filter": urlfilter.OP7_SQL,
+    "op8_near_duplicates": minhash.OP8_SQL,
     "op10_quality_rules": quality.OP10_SQL,
 }
