@@ -18,8 +18,10 @@ from partledger.llm.common import table, written
 
 #: Labelled examples of each label at most: the bound of what the index holds.
 EXAMPLES = 2000
-#: Neighbours that vote, and examples in a block of the index.
-NEIGHBOURS, BLOCK = 15, 64
+#: Neighbours that vote, and examples in a block of the index. A term of more than one in COMMON examples is a row of weights.
+NEIGHBOURS, BLOCK, COMMON = 15, 64, 16
+#: Texts whose common terms are multiplied out at once.
+TOGETHER = 256
 #: A term counts (FLOOR * HALF + x) / (HALF + x) of its idf, where x is the chi-square of its presence against the label.
 HALF, FLOOR = 10.0, 0.05
 
@@ -45,11 +47,14 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class BlockMaxIndex:
-    """Unit vectors of the examples by term: for each block of examples with the term, the largest weight and the postings."""
+    """Unit vectors of the examples by term. A term of many examples has a row of weights; any other has, for each block of
+    examples with it, the largest weight and the postings."""
 
     term_weights: np.ndarray  # of all terms, the one for words without a number last
     ids: np.ndarray
     labels: np.ndarray
+    rows: np.ndarray  # by term: its row in dense, or -1
+    dense: np.ndarray
     term_starts: np.ndarray  # where each term's entries begin
     blocks: np.ndarray  # by entry, like the next two
     most: np.ndarray
@@ -66,42 +71,60 @@ class BlockMaxIndex:
         terms = np.concatenate([t for _, _, t, _ in held] or [np.zeros(0, np.int32)])
         weights = np.concatenate([w for _, _, _, w in held] or [np.zeros(0)])
         places = np.repeat(np.arange(len(held)), size)
+        common = np.flatnonzero(np.bincount(terms, minlength=len(term_weights)) * COMMON > len(held))
+        rows = np.full(len(term_weights), -1, np.int32)
+        rows[common] = np.arange(len(common))
+        dense = np.zeros((len(common), len(held)))
+        in_row = rows[terms] >= 0
+        dense[rows[terms[in_row]], places[in_row]] = weights[in_row]
+        terms, weights, places = terms[~in_row], weights[~in_row], places[~in_row]
         order = np.lexsort((places, terms))
         terms, weights, places = terms[order], weights[order], places[order]
         first = np.flatnonzero(np.diff(terms, prepend=-1) | np.diff(places // BLOCK, prepend=-1))
         most = np.maximum.reduceat(weights, first) if len(first) else np.zeros(0)
         starts = np.searchsorted(terms[first], np.arange(len(term_weights) + 1))
         ids, labels = np.array([v[0] for v in held], np.int64), np.array([v[1] for v in held], np.int8)
-        return cls(term_weights, ids, labels, starts, (places // BLOCK)[first].astype(np.int32), most, np.append(first, len(terms)), places.astype(np.int32), weights)
-
-    def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k largest cosines above 0 and the places of their examples: blocks by falling bound, until none can hold a larger
-        one. Of equal cosines the smaller id comes first."""
-        cosines, found = np.zeros(0), np.zeros(0, np.int64)
+        return cls(term_weights, ids, labels, rows, dense, starts, (places // BLOCK)[first].astype(np.int32), most, np.append(first, len(terms)), places.astype(np.int32), weights)
+
+    def common_parts(self, vectors: Sequence[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the common terms add to the cosines of several texts, given (terms, unit weights), with all examples."""
+        queries = np.zeros((len(vectors), len(self.dense)))
+        for k, (terms, values) in enumerate(vectors):
+            row = self.rows[terms]
+            queries[k, row[row >= 0]] = values[row >= 0]
+        return queries @ self.dense
+
+    def nearest(self, terms: np.ndarray, values: np.ndarray, part: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """The k largest cosines above 0 and the places of their examples, given a text's terms, unit weights and common part.
+
+        No cosine is below its common part, so the k-th largest of those is a floor; postings are read only in blocks that can hold
+        a cosine at the floor or above it. Of equal cosines the smaller id comes first.
+        """
         if not len(terms) or not len(self.ids):
-            return cosines, found
-        values = unit(self.term_weights, terms, counts)
+            return np.zeros(0), np.zeros(0, np.int64)
+        part = part.copy()
+        if without >= 0:
+            part[without] = 0
+        rare = self.rows[terms] < 0
+        terms, values = terms[rare], values[rare]
         n = self.term_starts[terms + 1] - self.term_starts[terms]
         entries, value = ranges(self.term_starts[terms], n), np.repeat(values, n)
-        of_block, n_blocks = self.blocks[entries], -(-len(self.ids) // BLOCK)
-        bounds = np.bincount(of_block, value * self.most[entries], minlength=n_blocks)
-        order, at, step = np.argsort(-bounds, kind="stable"), 0, 4
-        while at < n_blocks and bounds[order[at]] > 0 and (len(found) < k or bounds[order[at]] >= cosines[-1]):
-            chosen = np.zeros(n_blocks, bool)
-            chosen[order[at : at + step]] = True
-            mine = chosen[of_block]
-            e = entries[mine]
-            m = self.entry_starts[e + 1] - self.entry_starts[e]
-            p = ranges(self.entry_starts[e], m)
-            sums = np.bincount(self.places[p], np.repeat(value[mine], m) * self.weights[p], minlength=len(self.ids))
-            if without >= 0:
-                sums[without] = 0
-            better = np.flatnonzero(sums > 0) if len(found) < k else np.flatnonzero(sums >= cosines[-1])
-            cosines, found = np.append(cosines, sums[better]), np.append(found, better)
-            best = np.lexsort((self.ids[found], -cosines))[:k]
-            cosines, found = cosines[best], found[best]
-            at, step = at + step, 2 * step
-        return cosines, found
+        of_block, starts = self.blocks[entries], np.arange(0, len(self.ids), BLOCK)
+        bounds = np.maximum.reduceat(part, starts) + np.bincount(of_block, value * self.most[entries], minlength=len(starts))
+        floor = np.partition(part, -k)[-k] if len(part) > k else 0.0
+        chosen = bounds >= floor - 1e-9
+        mine = chosen[of_block]
+        e = entries[mine]
+        m = self.entry_starts[e + 1] - self.entry_starts[e]
+        p = ranges(self.entry_starts[e], m)
+        sums = np.round(part + np.bincount(self.places[p], np.repeat(value[mine], m) * self.weights[p], minlength=len(part)), 12)
+        if without >= 0:
+            sums[without] = 0
+        able = np.flatnonzero((sums > 0) & np.repeat(chosen, BLOCK)[: len(sums)])
+        if len(able) > k:
+            able = able[sums[able] >= np.partition(sums[able], -k)[-k]]
+        best = able[np.lexsort((self.ids[able], -sums[able]))[:k]]
+        return sums[best], best
 
     def vote(self, cosines: np.ndarray, found: np.ndarray) -> float:
         """Votes weighted by the inverse of the distance 1 - cosine."""
@@ -111,7 +134,7 @@ class BlockMaxIndex:
 
 def unit(term_weights: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
     values = (1 + np.log(counts)) * term_weights[terms]
-    return values / np.linalg.norm(values)
+    return values / np.linalg.norm(values) if len(values) else values
 
 
 @dataclass
@@ -121,11 +144,15 @@ class Scorer:
     offset: float
     without_neighbours: float
 
-    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        cosines, found = self.index.nearest(terms, counts, NEIGHBOURS)
-        if not len(found):
-            return self.without_neighbours, cosines, found
-        return 1 / (1 + math.exp(-(self.slope * self.index.vote(cosines, found) + self.offset))), cosines, found
+    def scores(self, texts: Sequence[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """The score, the nearest cosines and their places for each of a few texts, given (terms, counts)."""
+        vectors = [(t, unit(self.index.term_weights, t, c)) for t, c in texts]
+        for (terms, values), part in zip(vectors, self.index.common_parts(vectors), strict=True):
+            cosines, found = self.index.nearest(terms, values, part, NEIGHBOURS)
+            if not len(found):
+                yield self.without_neighbours, cosines, found
+            else:
+                yield 1 / (1 + math.exp(-(self.slope * self.index.vote(cosines, found) + self.offset))), cosines, found
 
 
 def calibrated(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
@@ -222,14 +249,17 @@ def fit(sample: Examples, vectors: DataFrame) -> Scorer:
     stands_for = {y: sample.labelled[y] / n[y] for y in (0, 1)}
     place = {int(i): k for k, i in enumerate(index.ids)}
     votes, ys, ws, bare = [], [], [], [0.0, 0.0]
-    for i, y, terms, counts in sample.rows:
-        near = index.nearest(terms, counts, NEIGHBOURS, without=place.get(i, -1))
-        if len(near[1]):
-            votes.append(index.vote(*near))
-            ys.append(y)
-            ws.append(stands_for[y])
-        else:
-            bare[y] += stands_for[y]
+    for at in range(0, len(sample.rows), TOGETHER):
+        few = sample.rows[at : at + TOGETHER]
+        vectors_of = [(t, unit(weights, t, c)) for _, _, t, c in few]
+        for (i, y, _, _), (terms, values), part in zip(few, vectors_of, index.common_parts(vectors_of), strict=True):
+            near = index.nearest(terms, values, part, NEIGHBOURS, without=place.get(i, -1))
+            if len(near[1]):
+                votes.append(index.vote(*near))
+                ys.append(y)
+                ws.append(stands_for[y])
+            else:
+                bare[y] += stands_for[y]
     slope, offset = calibrated(np.array(votes), np.array(ys, float), np.array(ws) / max(stands_for.values())) if votes else (0.0, 0.0)
     return Scorer(index, slope, offset, (bare[1] + 0.5 * sample.labelled[1] / sum(sample.labelled.values())) / (bare[0] + bare[1] + 1))
 
@@ -246,11 +276,12 @@ def score_vectors(vectors: DataFrame, scorer: Scorer) -> DataFrame:
         for part in batches:
             terms, counts = part.column("_terms"), part.column("_counts")
             scores, cosines, places = [], [], []
-            for t, c in zip(terms, counts, strict=True):
-                s, cos, at = model.score(t.values.to_numpy(), c.values.to_numpy())
-                scores.append(s)
-                cosines.append(cos[:3])
-                places.append(at[:3])
+            for start in range(0, part.num_rows, TOGETHER):
+                few = [(t.values.to_numpy(), c.values.to_numpy()) for t, c in zip(terms.slice(start, TOGETHER), counts.slice(start, TOGETHER), strict=True)]
+                for s, cos, at in model.scores(few):
+                    scores.append(s)
+                    cosines.append(cos[:3])
+                    places.append(at[:3])
             at = np.concatenate([*places, np.zeros(0, np.int64)]).astype(np.int64)
             ends = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in places])]).astype(np.int32))
             values = [pa.array(model.index.ids[at]), pa.array(np.concatenate([*cosines, np.zeros(0)])), pa.array(model.index.labels[at].astype(np.int32))]

@@ -1,6 +1,7 @@
 """Operators 1, 2, 4, 5, 9 and 10 on small fixtures: brute force, nulls, empty and long texts, ties, repeats, clashing names."""
 
 import hashlib
+import math
 import random
 import re
 import textwrap
@@ -165,16 +166,16 @@ def test_quality_base_matches_brute_force(spark):
     assert quality.quality_rules(docs.limit(0)).count() == 0
 
 
-def brute_cosines(index, terms, counts):
-    """Cosines with all examples over all terms, term by term."""
-    value = (1 + np.log(counts)) * index.term_weights[terms]
-    value = value / np.sqrt((value**2).sum())
-    out = np.zeros(len(index.ids))
-    for t, v in zip(terms, value, strict=True):
-        for e in range(index.term_starts[t], index.term_starts[t + 1]):
-            for p in range(index.entry_starts[e], index.entry_starts[e + 1]):
-                out[index.places[p]] += v * index.weights[p]
-    return out
+def brute_cosines(term_weights, examples, terms, counts):
+    """Cosines with all examples (terms, counts) over all terms, as dictionaries."""
+
+    def vector(terms, counts):
+        v = {int(t): (1 + math.log(c)) * term_weights[t] for t, c in zip(terms, counts, strict=True)}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    q = vector(terms, counts)
+    return np.array([sum(x * q.get(t, 0) for t, x in vector(*e).items()) for e in examples])
 
 
 def test_toxicity_on_held_out_rows(spark):
@@ -211,12 +212,45 @@ def test_nearest_examples_match_brute_force(spark):
     scorer = toxicity.fit(sample, vectors)
     index = scorer.index
     assert sorted(index.ids) == sorted(i for i, _ in rows) and len(index.term_weights) == len({w for t in texts for w in t.split()}) + 1 and (index.term_weights > 0).all()
+    of = {i: (t, c) for i, _, t, c in sample.rows}
+    examples = [of[i] for i in index.ids]
     for text in [t for _, t in rows[:60]] + ["w1 w2 w3 unseen words here", "w5"]:
         terms, counts = toxicity.numbered(text, sample.numbers)
-        exact = brute_cosines(index, terms, counts)
-        cosines, found = index.nearest(terms, counts, 15)
+        exact = brute_cosines(index.term_weights, examples, terms, counts)
+        [(_, cosines, found)] = scorer.scores([(terms, counts)])
         order = np.lexsort((index.ids, -exact.round(9)))[:15]
         assert np.allclose(cosines, exact[order][: len(cosines)]) and len(found) == min(15, (exact > 0).sum())
         assert [exact.round(9)[f] for f in found] == [exact.round(9)[o] for o in order[: len(found)]]
         if text in texts[:40]:  # an example and its copy: equal cosines, the smaller id first
             assert list(index.ids[found[:2]]) == [texts.index(text), 1000 + texts.index(text)]
+
+
+def test_odd_tables(spark):
+    """Repeated rows, very long texts, clashing names and empty tables."""
+    notice = licenses.TEMPLATES[3][1]
+    long = "word here " * 100_000
+    rows = [(1, notice), (1, notice), (2, None), (3, long), (None, notice), (4, "")]
+    docs = frame(spark, rows)
+    clash = docs.withColumns({c: F.lit("clash") for c in ("row", "unit", "words", "every", "pairs", "license", "dice", "key", "range", "size", "bin", "measure")})
+    found = sorted((str(r.doc_id), r.unit, r.license) for r in licenses.scan_licenses(clash).collect())
+    assert found == [("1", 0, "MIT"), ("1", 0, "MIT"), ("None", 0, "MIT")]
+    assert licenses.scan_licenses(docs.limit(0)).count() == 0
+    judged = sorted((str(r.doc_id), r.n_words, r.base_failed) for r in quality.quality_rules(clash).collect())
+    n = len(notice.split())
+    assert judged == sorted([("1", n, False), ("1", n, False), ("2", 0, True), ("3", 200_000, True), ("None", n, False), ("4", 0, True)])
+    mixed = sorted((str(r.doc_id), r.size) for r in mixing.mix_sources(clash, n_words(F.col("text")), F.lit(0.5)).collect())
+    assert mixed == sorted([("1", n), ("1", n), ("2", 0), ("3", 200_000), ("None", n), ("4", 0)])
+    scanned = decontam.scan_for_items(docs.limit(0), spark.createDataFrame([(1, "a b")], "item_id long, text string"))
+    assert scanned.count() == 0 and "contaminated" in scanned.columns
+
+
+def test_quality_fences(spark):
+    """Fences follow the sketch on both sides, and a small group leans on its language."""
+    rng = random.Random(9)
+    word = lambda lo, hi: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(lo, hi)))
+    rows = [(i, " ".join(word(4, 8) for _ in range(200)), "en", "big") for i in range(300)]
+    rows += [(1000, " ".join(word(1, 2) for _ in range(200)), "en", "big"), (1001, " ".join(word(14, 20) for _ in range(200)), "en", "big"), (1002, " ".join(word(4, 8) + "###" for _ in range(200)), "en", "big")]
+    rows += [(2000, " ".join(word(4, 8) for _ in range(200)), "en", "small"), (2001, " ".join(word(14, 20) for _ in range(200)), "en", "small")]
+    got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[i].kept for i in range(300)) and got[2000].kept
+    assert [got[i].reasons for i in (1000, 1001)] == [["word_length"], ["word_length"]] and "symbols" in got[1002].reasons and not got[2001].kept
