@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from partledger.llm import decontam, licenses, linededup, minhash, mixing, periodic, quality, secrets, toxicity, urlfilter, vectorcodes, warc
+from partledger.llm import chat, decontam, licenses, linededup, minhash, mixing, periodic, quality, secrets, toxicity, urlfilter, vectorcodes, warc
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_near_duplicates": minhash.op8_near_duplicates,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_format_chat": chat.op11_format_chat,
     "op12_vector_codes": vectorcodes.op12_vector_codes,
     "op13_periodic_runs": periodic.op13_periodic_runs,
 }
@@ -29,6 +30,7 @@ ORACLE_SQL = {
     "op7_url_filter": urlfilter.OP7_SQL,
     "op8_near_duplicates": minhash.OP8_SQL,
     "op10_quality_rules": quality.OP10_SQL,
+    "op11_format_chat": chat.OP11_SQL,
     "op12_vector_codes": vectorcodes.OP12_SQL,
     "op13_periodic_runs": periodic.OP13_SQL,
 }
