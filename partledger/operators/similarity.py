@@ -1,0 +1,189 @@
+"""Similar and contained names: matching-block ratios with the best few of a query, and containment joins, over inverted indexes."""
+
+from __future__ import annotations
+
+from difflib import SequenceMatcher
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
+
+from partledger.functions.text import blank_to_null
+from partledger.sources.shared import written
+
+#: Candidates with the most shared pairs of letters that a query's first bound comes from, times the rows that it asks for.
+SEEDS = 3
+#: Half a unit of the last digit that scores are ranked by, and rounding errors.
+MARGIN = 0.0006
+
+
+@pandas_udf(DoubleType())
+def matching_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Twice the letters in matching blocks (the longest, then left and right of it) over the letters of both; null for null."""
+    matcher = SequenceMatcher()
+
+    def one(a: str | None, b: str | None) -> float | None:
+        if a is None or b is None:
+            return None
+        matcher.set_seqs(a, b)
+        return matcher.ratio()
+
+    return pd.Series([one(a, b) for a, b in zip(left, right, strict=True)], dtype="float64")
+
+
+def letters_in_common(a: Column, b: Column) -> Column:
+    """How many letters two texts share, whatever their order: no matching blocks hold more."""
+    count = lambda text, c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
+    return F.aggregate(F.array_distinct(F.filter(F.split(a, ""), lambda c: c != "")), F.lit(0), lambda n, c: n + F.least(count(a, c), count(b, c)))
+
+
+def numbered_grams(text: Column, q: int) -> Column:
+    """The runs of q letters of a text, each with how many of its like stand up to there, so that sets of them are multisets."""
+    grams = F.when(F.length(text) >= q, F.transform(F.sequence(F.lit(1), F.length(text) - (q - 1)), lambda i: F.substring(text, i, F.lit(q)))).otherwise(F.array().cast("array<string>"))
+    return F.transform(grams, lambda g, i: F.concat(g, F.size(F.filter(F.slice(grams, F.lit(1), i + 1), lambda other: other == g)).cast("string")))
+
+
+def text_is_same(a: Column, b: Column, contained: float = 0.68, ratio: float = 0.76) -> Column:
+    """Whether two texts say the same: one within the other and not much shorter, or a matching-block ratio. Marks and spaces don't
+    count; an empty text is like none. The cheap tests come first, and the ratio is taken only where letters allow it."""
+    bare = lambda c: F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\s，。！？；：、,.!?;:'\"‘’“”·—_-]+", ""))
+    x, y = bare(a), bare(b)
+    inside = F.contains(x, y) | F.contains(y, x)
+    close = F.least(F.length(x), F.length(y)) >= contained * F.greatest(F.length(x), F.length(y))
+    possible = 2 * letters_in_common(x, y) >= ratio * (F.length(x) + F.length(y))
+    needed = (x != "") & (y != "") & ~inside & possible
+    return F.when((x == "") | (y == ""), F.lit(False)).when(inside, close).otherwise(F.coalesce(matching_ratio(F.when(needed, x), F.when(needed, y)) >= ratio, F.lit(False)))
+
+
+def name_index(names: DataFrame) -> DataFrame:
+    """(token, alias, size, spread) from (alias): numbered letters and pairs of letters; spread is how many aliases have a token."""
+    tokens = names.select("alias", F.length("alias").alias("size"), F.explode(F.concat(numbered_grams(F.col("alias"), 1), numbered_grams(F.col("alias"), 2))).alias("token"))
+    return tokens.join(tokens.groupBy("token").agg(F.count("*").alias("spread")), "token")
+
+
+def probes(texts: DataFrame, spreads: DataFrame) -> DataFrame:
+    """(text, floor, token) from (text, floor): the tokens by which every alias with a ratio of floor or more is met.
+
+    A ratio of t needs t * S / 2 letters in common, S being the letters of both. Blocks don't touch, so there are at most
+    S - 2 M + 1 of them for M matched letters, and M letters in so many blocks have 3 M - S - 1 pairs or more. So a text looks for all
+    but that many of its letters or pairs, the rarest ones; of the two for that which fewer aliases have.
+    """
+    size = F.length("text")
+    shortest = F.greatest(F.ceil(F.col("floor") * size / (2 - F.col("floor")) - MARGIN), F.lit(1))
+    both = size + shortest
+    letters = F.greatest(F.ceil(F.col("floor") * both / 2 - MARGIN), F.lit(1))
+    pairs = F.ceil((1.5 * F.col("floor") - 1) * both - 1 - MARGIN)
+    held = texts.withColumns({"size": size, "shortest": shortest, "needed1": letters, "needed2": pairs})
+    kinds = [held.select("text", "floor", "shortest", F.lit(q).alias("q"), F.col(f"needed{q}").alias("needed"), (F.col("size") - (q - 1) - F.col(f"needed{q}") + 1).alias("looked"), F.explode(numbered_grams(F.col("text"), q)).alias("token")) for q in (1, 2)]
+    rows = kinds[0].unionByName(kinds[1]).filter("needed >= 1").join(spreads, "token", "left").fillna(0, ["spread"])
+    rarest = Window.partitionBy("text", "q").orderBy("spread", "token")
+    rows = rows.withColumn("place", F.row_number().over(rarest)).filter(F.col("place") <= F.col("looked"))
+    cost = F.struct(F.sum("spread").over(Window.partitionBy("text", "q")).alias("spread"), F.col("q"))
+    rows = rows.withColumn("cost", cost).withColumn("least", F.min("cost").over(Window.partitionBy("text")))
+    return rows.filter(F.col("cost") == F.col("least")).select("text", "floor", "shortest", "token")
+
+
+def scored(pairs: DataFrame, queries: DataFrame, items: DataFrame, k: int, least: float, bonus: float) -> DataFrame:
+    """(text, group, item, alias, score, place): the k best items of each query from (text, alias, ratio)."""
+    met = pairs.join(items, "alias").join(queries, "text")
+    score = F.least(F.lit(1.0), F.col("ratio") + F.when(F.col("group") == F.col("item_group"), bonus).otherwise(0.0))
+    best = met.withColumn("score", score).groupBy("text", "group", "item").agg(F.min(F.struct(-F.col("ratio"), "alias")).alias("b"), F.max("score").alias("score")).filter(F.col("score") >= least)
+    place = F.row_number().over(Window.partitionBy("text", "group").orderBy(F.desc(F.bround("score", 3)), "item"))
+    return best.withColumn("place", place).filter(F.col("place") <= k).select("text", "group", "item", F.col("b.alias").alias("alias"), "score", "place")
+
+
+def top_similar(queries: DataFrame, items: DataFrame, k: int = 5, least: float = 0.45, bonus: float = 0.15) -> DataFrame:
+    """The k items most like each query: (query, item, alias, score, place) from queries (query, text, group) and items (item, alias,
+    item_group), an item having a row for each of its aliases.
+
+    A score is the best matching-block ratio of the item's aliases, and bonus more (1 at most) where the groups are equal;
+    items below least don't count, scores are ranked by three digits, and ties by item. Texts are compared without spaces, in lower
+    case; blank ones match nothing. Equal texts are compared once. Each query first meets the aliases that share most pairs
+    of letters with it; the score of the k-th best of these bounds what is looked for after that in the index, so queries with
+    good matches look for rare tokens only. The result is exact: nothing is capped, and every pair that could be among the
+    best is compared.
+    """
+    key = lambda c: blank_to_null(F.regexp_replace(F.lower(F.col(c)), r"\s+", ""))
+    asked = queries.select("query", key("text").alias("text"), "group").filter("text is not null")
+    given = items.select("item", key("alias").alias("alias"), "item_group").filter("alias is not null").distinct()
+    # Items of one alias and group are alike to every query: the k smallest stand for them.
+    first = F.row_number().over(Window.partitionBy("alias", "item_group").orderBy("item"))
+    given = written(given.withColumn("n", first).filter(F.col("n") <= k).drop("n"))
+    texts, wanted = written(asked.select("text").distinct()), written(asked.select("text", "group").distinct())
+    index = written(name_index(given.select("alias").distinct()))
+    spreads = index.select("token", "spread").distinct()
+
+    # The first bound: of each text the aliases that share most of its rarest pairs.
+    pairs = texts.select("text", F.explode(numbered_grams(F.col("text"), 2)).alias("token")).join(spreads, "token")
+    rare = pairs.withColumn("n", F.row_number().over(Window.partitionBy("text").orderBy("spread", "token"))).filter("n <= 4")
+    shared = rare.join(index.select("token", "alias"), "token").groupBy("text", "alias").agg(F.count("*").alias("shared"))
+    most = F.row_number().over(Window.partitionBy("text").orderBy(F.desc("shared"), "alias"))
+    seeds = shared.withColumn("n", most).filter(F.col("n") <= SEEDS * k).select("text", "alias", matching_ratio("text", "alias").alias("ratio"))
+    kth = scored(seeds, wanted, given, k, least, bonus).filter(F.col("place") == k).select("text", "group", F.col("score").alias("kth"))
+    bound = wanted.join(kth, ["text", "group"], "left").groupBy("text").agg(F.min(F.coalesce("kth", F.lit(least))).alias("kth"))
+    floors = texts.join(bound, "text", "left").select("text", F.greatest(F.col("kth") - bonus - MARGIN, F.lit(0.0)).alias("floor"))
+
+    met = probes(written(floors), spreads).join(index.select("token", "alias", "size"), "token")
+    fits = (F.col("size") >= F.col("shortest")) & (F.col("floor") * F.col("size") <= (2 - F.col("floor")) * F.length("text") + MARGIN)
+    met = met.filter(fits).select("text", "alias", "floor").distinct()
+    likely = met.filter(2 * letters_in_common(F.col("text"), F.col("alias")) >= (F.col("floor") - MARGIN) * (F.length("text") + F.length("alias")))
+    ratios = likely.select("text", "alias", matching_ratio("text", "alias").alias("ratio"), "floor").filter(F.col("ratio") >= F.col("floor") - MARGIN).drop("floor")
+    best = scored(ratios, wanted, given, k, least, bonus)
+    held = asked.withColumnsRenamed({"text": "t", "group": "g"})
+    return held.join(best, (held.t == best.text) & held.g.eqNullSafe(best.group)).select("query", "item", "alias", "score", "place")
+
+
+def contained_names(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """(id, name) for each name that stands in a text, from texts (id, text) and names (name): a containment join.
+
+    Every text that has a name has all its runs of three letters (or the name, if that is shorter). So a text's runs meet a
+    name by one of them alone, the one that fewest texts have, and what meets is checked. Null and empty names are in no text.
+    """
+    known = names.select("name").filter(F.length("name") > 0).distinct()
+    runs = lambda c, q: F.when(F.length(c) >= q, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - q + 1), lambda i: F.substring(c, i, F.least(q, F.length(c))))))
+    of_names = written(known.select("name", F.explode(runs(F.col("name"), F.least(F.length("name"), F.lit(3)))).alias("run")))
+    sizes = [r[0] for r in of_names.select(F.length("run").alias("n")).distinct().collect()]  # 1, 2 and 3 at most
+    if not sizes:
+        return texts.select("id", F.lit("").alias("name")).limit(0)
+    all_runs = F.flatten(F.array_compact(F.array(*(runs(F.col("text"), F.lit(n)) for n in sorted(sizes)))))
+    of_texts = texts.select("id", F.explode(all_runs).alias("run")).join(of_names.select("run").distinct(), "run", "left_semi")
+    spread = of_texts.groupBy("run").agg(F.count("*").alias("spread"))
+    anchors = of_names.join(spread, "run").groupBy("name").agg(F.min(F.struct("spread", "run"))["run"].alias("run"), F.count("*").alias("met"))
+    whole = of_names.groupBy("name").agg(F.count("*").alias("runs"))
+    anchors = anchors.join(whole, "name").filter(F.col("met") == F.col("runs")).select("name", "run")  # a run that no text has rules a name out
+    met = of_texts.join(anchors, "run").select("id", "name")
+    return met.join(texts.select("id", "text"), "id").filter(F.contains("text", F.col("name"))).select("id", "name")
+
+
+def match_products(items: DataFrame, products: DataFrame) -> DataFrame:
+    """(item, product, confidence, reason) for each item, by the best of four steps, then the smallest product.
+
+    items (item, canonical, title, brand, model) and products (product, canonical, brand, model), whose titles, brands and models are
+    identity keys: letters and digits alone. An equal canonical id is 1.0; then, for products whose model has three letters
+    or more, equal brand and model 1.0, model and brand in the title 0.98 (the brand also as the item's own), the model alone 0.82. Products of
+    one brand and model are one, the smallest, before anything is joined; containment comes from contained_names. An
+    item without a match has nulls and no_product_match.
+    """
+    least = lambda df, *keys: df.groupBy(*keys).agg(F.min("product").alias("product"))
+    named = lambda df, confidence, reason: df.select("item", "product", F.lit(confidence).alias("confidence"), F.lit(reason).alias("reason"))
+    held = products.filter(F.length("model") >= 3).select("product", F.coalesce("brand", F.lit("")).alias("brand"), "model")
+    by_both, by_model = written(least(held, "brand", "model")), written(least(held, "model"))
+    titles = items.select(F.col("item").alias("id"), F.col("title").alias("text"))
+    models = written(contained_names(titles, by_model.select(F.col("model").alias("name"))).select(F.col("id").alias("item"), F.col("name").alias("model")))
+    brands = contained_names(titles, by_both.select(F.col("brand").alias("name"))).select(F.col("id").alias("item"), F.col("name").alias("brand"))
+    own = items.select("item", "brand", "model").filter("brand <> ''")
+    in_title = models.join(brands.unionByName(own.select("item", "brand")).distinct(), "item").join(by_both, ["brand", "model"])
+    alone = models.unionByName(items.select("item", "model").filter("model <> ''")).join(by_model, "model")
+    found = [
+        named(items.join(least(products.filter("canonical <> ''"), "canonical"), "canonical"), 1.0, "canonical_product_id_exact"),
+        named(own.join(by_both, ["brand", "model"]), 1.0, "normalized_brand_model_exact"),
+        named(in_title, 0.98, "brand_and_model_in_title"),
+        named(alone, 0.82, "model_only_needs_review"),
+    ]
+    steps = found[0].withColumn("step", F.lit(0))
+    for k, step in enumerate(found[1:], 1):
+        steps = steps.unionByName(step.withColumn("step", F.lit(k)))
+    best = steps.groupBy("item").agg(F.min(F.struct("step", "product", "confidence", "reason")).alias("b")).select("item", "b.product", "b.confidence", "b.reason")
+    return items.select("item").join(best, "item", "left").withColumn("reason", F.coalesce("reason", F.lit("no_product_match")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("supply", "activity", "entities", "texts", "flows", "curation", "scalars", "validation", "products")
+MODULES: tuple[str, ...] = ("supply", "activity", "entities", "texts", "flows", "curation", "scalars", "validation", "products", "names")
 
 
 def _gather(attribute: str) -> dict:
