@@ -168,3 +168,52 @@ MATERIAL_LABELS, COMPONENT_NOUNS = ("材料", "材质"), ("电池", "天线", "
 MADE_OF, MADE_INTO = "[^，。；]{0,10}(?:采用|使用|材质|材料|由|制成|为)[^，。；]{0,12}", "(?:材质|材料)?(?:制成的?|的)?[^，。；]{0,6}"
 SHORT_MATERIAL_BEFORE, SHORT_MATERIAL_BEHIND = "(?:采用|使用|材质|材料|制成|壳体)[^，。；]{0,16}", "[^，。；]{0,8}(?:材质|材料|壳)"
 LONGEST_EVIDENCE = 500
+
+# Component families of captions (family, pattern over the text without marks and spaces; an empty family ends the search).
+CAPTION_MARKS = r"[\s，。！？；：、,.!?;:'\"‘’“”·—_-]+"
+CAPTION_FAMILIES = (
+    ("battery_protection", "过压|过流|保护ic|充电器前端保护|电池过压"), ("", "麦克风放大器|接收器放大器"), ("wireless_audio", "无线音频(?:传输|接收|收发)|无线音频.*ic"), ("audio_codec", "音频芯片|音频编解码"), ("memory", "存储器|储存器"),
+    ("mcu", "mcu|微控制器"), ("bluetooth_audio_soc", "蓝牙音频(?:soc|主控|芯片)"), ("power_management", "电源管理(?:soc|ic|芯片)|可编程升压|升压ic"), ("sensor", "霍尔(?:元件|传感器)"), ("regulator", "稳压器"),
+    ("speaker", "扬声器|喇叭"), ("microphone", "麦克风"), ("battery", "电池"),
+)
+CAPTION_IDENTITY = r"^(?:这是|型号|丝印)|(?:制造商|生产商|供应商)"
+CAPTION_CONTINUES = (
+    r"^(?:型号|丝印|制造商|生产商|供应商|额定|标称|充电限制|工作频率|生产厂|来自|源自|据.+来自|用于|负责|采用|容量|电压|电流|功率|阻抗|尺寸|"
+    r"标.*电压|同时支持|支持|在电池|是一款|是(?:四|双|单)通道|最大|超高|立体声|和立体声|内置.+放大器)"
+)
+CAPTION_MODEL = r"(?<![A-Za-z0-9])(?=[A-Za-z0-9-]{4,})(?=[A-Za-z0-9-]*[A-Za-z])(?=[A-Za-z0-9-]*[0-9])[A-Za-z0-9][A-Za-z0-9-]{3,}(?![A-Za-z0-9])"
+PARAMETER_SHAPED = r"(?i)^[0-9]+(?:\.[0-9]+)?(?:mAh|Ah|mWh|Wh|mV|V|mm|Hz|kHz|MHz|GHz|mW|W)$"
+DIMENSION_SHAPED = r"(?i)^[0-9]+(?:\.[0-9]+)?\s*[x×*]\s*[0-9]+(?:\.[0-9]+)?$"
+LABELLED_NUMBER, CORE_NAME, MODEL_SUFFIX, NO_CAPTION_MODELS = r"型号\s*[：:]?\s*([0-9]{5,})", "cortex", r"(?i)(?:MCU|SOC|IC)$", ("type-c", "usb-a")
+GENERIC_MODELS = ("芯片", "模组", "电池", "扬声器", "喇叭", "麦克风", "存储器", "储存器", "稳压器", "接收器", "mcu", "soc", "ic")
+CAPTION_SIDES = ((CASE_SIDE, ("充电盒", "充电仓", "座舱", "盒体")), (EARBUD_SIDE, ("耳机", "左耳", "右耳", "耳塞", "前腔", "后腔")))
+CAPTION_PARAMETERS = (
+    ("容量", r"[0-9]+(?:\.[0-9]+)?\s*(?:mAh|毫安时)", 0), ("能量", r"[0-9]+(?:\.[0-9]+)?\s*(?:Wh|瓦时)", 0), ("电压", r"[0-9]+(?:\.[0-9]+)?\s*(?:mV|V|伏)", 0),
+    ("尺寸", r"(?:尺寸(?:为)?\s*[：:]?\s*)?([0-9]+(?:\.[0-9]+)?\s*(?:mm|毫米)|[0-9]+(?:\.[0-9]+)?\s*[x×*]\s*[0-9]+(?:\.[0-9]+)?)", 1), ("频率", r"[0-9]+(?:\.[0-9]+)?\s*(?:kHz|MHz|GHz|Hz)", 0),
+    ("功率", r"(?:(?:额定|充电|最大短时)?功率(?:约为)?\s*[：:]?\s*)([0-9]+(?:\.[0-9]+)?\s*(?:毫瓦|瓦(?!时)))|[0-9]+(?:\.[0-9]+)?\s*(?:mW|W)", 1), ("阻抗", r"[0-9]+(?:\.[0-9]+)?\s*(?:kΩ|Ω|ohm)", 0),
+)
+
+# Keys of components (key, markers in the name without spaces), and those that are analysed (key, label, class).
+COMPONENT_RULES = (
+    ("battery_protection_ic", ("电池保护芯片", "电池保护ic", "锂电保护", "保护ic")), ("battery", ("电池", "锂离子", "锂聚合物")), ("speaker_driver", ("扬声器", "喇叭", "发声单元", "驱动单元", "动圈单元", "动铁单元", "振膜")),
+    ("microphone", ("麦克风", "mic", "mems")), ("bluetooth_audio_soc", ("蓝牙音频soc", "蓝牙soc", "主控soc", "蓝牙主控")), ("wireless_audio_ic", ("无线音频传输ic", "无线音频发送ic", "无线音频接收器", "无线音频接收芯片")),
+    ("audio_codec_dsp", ("音频编解码器", "音频编解码芯片", "音频dsp", "音频芯片")), ("mcu", ("微控制器", "mcu")), ("power_management_ic", ("电源管理芯片", "电源管理ic", "电源管理soc", "pmic", "稳压器", "可编程升压ic")),
+    ("charging_ic", ("充电管理芯片", "充电芯片", "charger")), ("overvoltage_protection", ("tvs保护", "过压保护", "ovp")), ("wireless_charging_ic", ("无线充电芯片", "无线充电ic")), ("mosfet", ("mos管", "mosfet")),
+    ("sensor", ("传感器", "加速度计", "陀螺仪", "霍尔")), ("memory", ("存储器", "储存器", "flash", "eeprom")), ("crystal_oscillator", ("晶振", "晶体振荡器")), ("antenna", ("天线",)),
+    ("connector", ("连接器", "连接座", "排线", "fpc", "弹片触点", "充电触点", "type-c", "typec", "usb-c")), ("pcb", ("pcb", "主板", "小板", "电路板")), ("indicator", ("指示灯", "导光", "led")), ("button", ("按键", "按钮")), ("fuse", ("保险丝",)),
+    ("enclosure", ("外壳", "壳体", "上盖", "下盖", "腔体")), ("structural_support", ("支架", "固定架", "钢架", "转轴", "铰链")), ("generic_chip_module", ("芯片/模组", "芯片模组", "芯片模块")),
+)
+ANALYSED = (
+    ("battery", "电池", "core"), ("speaker_driver", "扬声器/发声单元", "core"), ("microphone", "麦克风", "auxiliary"), ("bluetooth_audio_soc", "蓝牙音频 SoC", "core"), ("wireless_audio_ic", "无线音频收发 IC", "core"), ("audio_codec_dsp", "音频编解码 / DSP", "core"),
+    ("mcu", "微控制器 MCU", "core"), ("power_management_ic", "电源管理 IC", "core"), ("charging_ic", "充电管理 IC", "core"), ("battery_protection_ic", "电池保护 IC", "auxiliary"), ("overvoltage_protection", "过压保护 IC", "auxiliary"), ("sensor", "传感器", "auxiliary"),
+    ("memory", "存储器", "auxiliary"), ("connector", "连接器/排线", "auxiliary"), ("pcb", "PCB/电路板", "auxiliary"), ("enclosure", "外壳/壳体", "structure"), ("structural_support", "支架/转轴", "structure"),
+)
+
+# Where a video's summary begins, and what its facts are about.
+SUMMARY_STRONG = (r"附上.*(?:已知|核心|参数|信息)", r"(?:最后|下面).*(?:总结|回顾)", r"总结(?:一下|如下)")
+SUMMARY_WEAK, SUMMARY_OUTRO, SUMMARY_OPENING = (r"(?:内部)?主要配置(?:上|方面)", r"以上就是.*拆解", r"最后来看"), "以上就是", r"主要配置(?:上|方面)|最后来看"
+SUMMARY_FROM = 0.55
+SECTION_RULES = (("unboxing_packaging", "包装|配件|充电线|音频线"), ("unboxing_charging_case", "充电盒|充电仓|盒体"), ("unboxing_earbuds", "外观|头梁|头垫|耳罩|佩戴|倾斜结构|表面材质"), ("market", "兼容|游戏|音效|连接方式|便捷|舒适|人体|人耳"))
+TOPICS = ("佩戴体验", "音质体验", "通话体验", "续航充电", "连接与智能", "耐用防护", "外观设计")
+TOPIC_RULES = (("佩戴体验", "佩戴|舒适|人体|人耳"), ("音质体验", "音效|音质|声"), ("通话体验", "通话|麦克风"), ("续航充电", "续航|充电|电量"), ("耐用防护", "(?i)防水|防尘|耐用|IPX"), ("连接与智能", "连接|兼容|游戏|接口"))
+TOPIC_DEFAULT, SCENARIOS, THREE_SECTIONS = "外观设计", ("游戏",), ("耳夹式耳机", "耳挂式耳机", "全入耳式耳机", "半入耳式耳机")
