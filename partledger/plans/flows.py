@@ -9,6 +9,7 @@ from partledger.sources import readers, writers
 from partledger.sources.shared import shared_path
 from partledger.sources.tables import table
 from partledger.streaming import events as S
+from partledger.streaming import timed
 
 
 def stream_window(spark, sf_dir):
@@ -26,9 +27,40 @@ def stream_dedup(spark, sf_dir):
     return S.run_available(S.first_occurrences(stream, ["user_id", "event_type"]), "stream-dedup")
 
 
+#: Slices of time that the events are written in, hours by which they are out of order, and the key of the row that ends the stream.
+SLICES, JITTER_HOURS, LAST = 4, 1, -1
+
+
+def out_of_order(spark, events):
+    """A stream of (user_id, ts, event_type) over many files that overlap in time, and how late a row can be.
+
+    A slice has the rows whose time and up to an hour more, by their id, fall in it, in two files; the files' order within a slice
+    is left open. A row of another user, ten slices later, lets the watermark pass all others.
+    """
+    path = shared_path(spark, "out-of-order")
+    rows = events.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "event_id")
+    moved = F.unix_micros("ts") + F.pmod(F.xxhash64("event_id"), F.lit(JITTER_HOURS * 3_600_000_000))
+    bounds = [x or 0 for x in rows.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()]
+    width = (bounds[1] - bounds[0]) // SLICES + 1
+    slice_of = F.least(F.floor((moved - bounds[0]) / width), F.lit(SLICES - 1))
+    for k in range(SLICES):
+        rows.filter(slice_of == k).drop("event_id").repartition(2).write.mode("append").parquet(path)
+    spark.range(1).select(F.lit(LAST).cast("long").alias("user_id"), F.timestamp_micros(F.lit(bounds[1] + 10 * width + 36_000_000_000)).alias("ts"), F.lit("view").alias("event_type")).write.mode("append").parquet(path)
+    return S.event_stream(spark, path, 3), f"{width // 1_000_000 + JITTER_HOURS * 3600 + 1} seconds"
+
+
 def stream_phases(spark, sf_dir):
-    stream = S.event_stream(spark, f"{sf_dir}/events.parquet")
-    return S.run_available(S.phases(stream, "user_id", "ts", "event_type", "signup", "purchase"), "stream-phases")
+    """Phases over files that overlap in time: the same as in order of time."""
+    stream, late = out_of_order(spark, table(spark, sf_dir, "events"))
+    return S.run_available(timed.phases(stream, "user_id", "ts", "event_type", "signup", "purchase", late), "stream-phases", timers=True)
+
+
+def stream_retry_ladder(spark, sf_dir):
+    """Work items (users) whose errors are retried after 300, 900 and 1800 seconds; views claim them, purchases finish them. Time runs
+    twenty times as fast, so that deadlines and events come between each other."""
+    events = table(spark, sf_dir, "events").withColumn("ts", F.timestamp_micros(F.expr("unix_micros(cast(ts as timestamp)) div 20")))
+    stream, late = out_of_order(spark, events)
+    return S.run_available(timed.retries(stream, "user_id", "ts", "event_type", "error", "purchase", "view", late), "stream-retries", timers=True)
 
 
 def sink_by_key(spark, sf_dir):
@@ -101,7 +133,7 @@ def source_captions(spark, sf_dir):
     return readers.caption_cues(files, "conv_id", "content").select("conv_id", "start", "end", F.md5("text").alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (stream_window, stream_session, stream_dedup, stream_phases, sink_by_key, sink_csv, sink_json, sink_publish, source_records, source_prices, source_feed, source_captions)}
+QUERIES = {f.__name__: f for f in (stream_window, stream_session, stream_dedup, stream_phases, stream_retry_ladder, sink_by_key, sink_csv, sink_json, sink_publish, source_records, source_prices, source_feed, source_captions)}
 
 ORACLE_SQL = {
     "stream_window": """
@@ -118,6 +150,17 @@ SELECT * FROM g WHERE end_ts <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
     "stream_phases": """
 SELECT user_id, ts, event_type, CASE WHEN bool_or(event_type = 'purchase') OVER w THEN 'after' WHEN bool_or(event_type = 'signup') OVER w THEN 'within' ELSE 'before' END AS phase
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_type ROWS UNBOUNDED PRECEDING)
+""",
+    "stream_retry_ladder": """
+WITH e AS (SELECT user_id, epoch_us(ts) // 20 AS t, event_type FROM events WHERE event_type IN ('error', 'purchase', 'view')),
+i AS (SELECT *, count(*) FILTER (event_type = 'purchase') OVER w - (event_type = 'purchase')::INT AS island, lead(t) OVER (PARTITION BY user_id ORDER BY t, event_type) AS following FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_type ROWS UNBOUNDED PRECEDING)),
+a AS (SELECT *, (count(*) FILTER (event_type = 'error') OVER (PARTITION BY user_id, island ORDER BY t, event_type ROWS UNBOUNDED PRECEDING))::INT AS attempts FROM i),
+d AS (SELECT *, t + CASE attempts WHEN 1 THEN 300 WHEN 2 THEN 900 ELSE 1800 END * 1000000 AS due FROM a)
+SELECT user_id, make_timestamp(t) AS ts, attempts, 'waiting' AS action, make_timestamp(due) AS due FROM d WHERE event_type = 'error' AND attempts <= 3
+UNION ALL SELECT user_id, make_timestamp(due), attempts, 'retry', NULL FROM d WHERE event_type = 'error' AND attempts <= 3 AND (following IS NULL OR due < following)
+UNION ALL SELECT user_id, make_timestamp(t), attempts, 'gave_up', NULL FROM d WHERE event_type = 'error' AND attempts = 4
+UNION ALL SELECT user_id, make_timestamp(t), attempts, 'done', NULL FROM d WHERE event_type = 'purchase' AND attempts > 0
+UNION ALL SELECT user_id, make_timestamp(t + 7200000000), attempts, 'lease_expired', NULL FROM d WHERE event_type = 'view' AND (following IS NULL OR t + 7200000000 < following)
 """,
     "sink_by_key": "SELECT p_partkey, p_brand, p_size FROM part WHERE p_brand <> 'Brand#11' OR p_size > 10",
     "sink_csv": "SELECT o_custkey, string_agg(DISTINCT o_orderpriority, ';' ORDER BY o_orderpriority) AS priorities, count(*) AS n FROM orders GROUP BY 1",

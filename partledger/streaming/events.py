@@ -1,17 +1,17 @@
-"""Structured Streaming over event files: windows, sessions, first occurrences, phases."""
+"""Structured Streaming over event files: windows, sessions, first occurrences. State with timers is in timed."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from partledger.sources.shared import shared_path
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+TIMER_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
     """The Parquet files of a folder, or one file of a folder, as a stream with their own schema; times are instants."""
     schema = spark.read.parquet(path).schema
@@ -23,11 +23,24 @@ def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) ->
     return rows.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.typeName() == "timestamp_ntz"})
 
 
-def run_available(stream: DataFrame, kind: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there into a table in the shared folder, exactly once, and returns that table."""
+def run_available(stream: DataFrame, kind: str, mode: str = "append", timers: bool = False) -> DataFrame:
+    """Runs a stream over all that is there into a table in the shared folder, exactly once, and returns that table.
+
+    timers says that its state has timers, which one of Spark's state stores keeps.
+    """
     spark = stream.sparkSession
     out, state = shared_path(spark, kind), shared_path(spark, f"{kind}-state")
-    stream.writeStream.format("parquet").option("checkpointLocation", state).outputMode(mode).trigger(availableNow=True).start(out).awaitTermination()
+    before = spark.conf.get(STATE_STORE, None)
+    if timers:
+        spark.conf.set(STATE_STORE, TIMER_STORE)
+    try:
+        running = stream.writeStream.format("parquet").option("checkpointLocation", state).outputMode(mode).trigger(availableNow=True).start(out)
+    finally:
+        if timers and before is None:
+            spark.conf.unset(STATE_STORE)
+        elif timers:
+            spark.conf.set(STATE_STORE, before)
+    running.awaitTermination()
     rows = spark.read.schema(stream.schema).parquet(out)
     return rows.withColumns({f.name: F.col(f.name).cast("timestamp_ntz") for f in stream.schema if f.dataType.typeName() == "timestamp"})
 
@@ -42,25 +55,10 @@ def sessions(stream: DataFrame, ts: str, gap: str, late: str, key: str) -> DataF
 
 
 def first_occurrences(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Each key once. State is all keys ever seen; first_within forgets them."""
     return stream.select(*keys).dropDuplicates(keys)
 
 
-def phases(stream: DataFrame, key: str, ts: str, kind: str, start: str, end: str) -> DataFrame:
-    """The phase of each event of a key: before, within or after, by whether a start and an end have been seen.
-
-    State is two flags for each key. Events of one batch are taken in order of time; later batches are taken as later.
-    """
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        begun, ended = state.get if state.exists else (False, False)
-        rows = pd.concat(list(batches)).sort_values([ts, kind])
-        out = []
-        for t, what in zip(rows[ts], rows[kind], strict=True):
-            begun, ended = begun or what == start, ended or what == end
-            out.append((k[0], t, what, "after" if ended else "within" if begun else "before"))
-        state.update((begun, ended))
-        yield pd.DataFrame(out, columns=[key, ts, kind, "phase"])
-
-    given = stream.select(key, ts, kind)
-    types = dict(given.dtypes)
-    return given.groupBy(key).applyInPandasWithState(step, f"{key} {types[key]}, {ts} {types[ts]}, {kind} string, phase string", "begun boolean, ended boolean", "append", GroupStateTimeout.NoTimeout)
+def first_within(stream: DataFrame, keys: list[str], ts: str, within: str) -> DataFrame:
+    """Rows whose keys have not come within some time before: a key is forgotten when the watermark has passed it by so much."""
+    return stream.withWatermark(ts, within).dropDuplicatesWithinWatermark(keys)

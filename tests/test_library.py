@@ -14,6 +14,7 @@ from partledger.operators.evidence import parameter_rules, validated
 from partledger.operators.repair import repaired
 from partledger.sources import readers, writers
 from partledger.streaming import events as streams
+from partledger.streaming import timed
 
 
 def one(spark, column, **values):
@@ -112,11 +113,66 @@ def test_publish_and_append(spark, tmp_path):
     assert [p.name for p in tmp_path.iterdir()] == ["t"]
 
 
-def test_stream_restarts_without_repeating(spark, tmp_path):
-    source = f"file://{tmp_path}/in"
-    spark.createDataFrame([("u", 1, "signup"), ("u", 2, "click")], "k string, ts long, t string").coalesce(1).write.parquet(source)
-    got = streams.run_available(streams.phases(streams.event_stream(spark, source), "k", "ts", "t", "signup", "purchase"), "test-phases")
-    assert sorted((r.ts, r.phase) for r in got.collect()) == [(1, "within"), (2, "within")]
+SINCE = 1_000_000  # a stream's watermark begins at 0, and what is not after it is late
+
+
+def event_files(spark, path, batches):
+    """A folder with a file for each batch of (key, second, kind), in order; seconds count from SINCE."""
+    for rows in batches:
+        spark.createDataFrame(rows, "k string, s double, t string").select("k", F.timestamp_micros(((F.col("s") + SINCE) * 1_000_000).cast("long")).alias("ts"), "t").coalesce(1).write.mode("append").parquet(path)
+    return streams.event_stream(spark, path)
+
+
+FLUSH = [("last", 10_000_000.0, "view")]
+
+
+def test_phases_do_not_depend_on_files(spark, tmp_path):
+    rnd = random.Random(2)
+    rows = [(f"u{i % 7}", i * 10 + rnd.randrange(8) / 8, rnd.choice(["view", "view", "view", "signup", "purchase"])) for i in range(300)]
+    want, state = set(), {}
+    for k, s, t in rows:
+        begun, ended = state.get(k, (False, False))
+        state[k] = begun, ended = begun or t == "signup", ended or t == "purchase"
+        want.add((k, int(s * 1000), "after" if ended else "within" if begun else "before"))
+    moved = sorted(rows, key=lambda r: r[1] + rnd.random() * 500)  # rows are up to 500 seconds out of order
+    for name, batches in (("one", [rows]), ("ten", [moved[i * 30 : i * 30 + 30] for i in range(10)])):
+        for batch in batches:
+            rnd.shuffle(batch)
+        stream = event_files(spark, f"file://{tmp_path}/{name}", [*batches, FLUSH])
+        got = streams.run_available(timed.phases(stream, "k", "ts", "t", "signup", "purchase", "500 seconds"), "test-phases", timers=True)
+        assert {(r.k, int((r.ts.timestamp() - SINCE) * 1000), r.phase) for r in got.collect()} == want and got.count() == len(rows)
+
+
+def test_retry_ladder(spark, tmp_path):
+    rows = [("a", 0.0, "error"), ("a", 100.0, "error"), ("a", 5000.0, "error"), ("a", 9000.0, "error"), ("a", 9100.0, "error"), ("a", 20000.0, "purchase"), ("a", 30000.0, "error"), ("a", 30300.0, "purchase")]
+    rows += [("b", 0.0, "view"), ("b", 7199.0, "purchase"), ("c", 10.0, "view"), ("c", 8000.0, "view"), ("d", 5.0, "click"), ("e", 0.0, "purchase")]
+    stream = event_files(spark, f"file://{tmp_path}/in", [rows[3:9], rows[:3] + rows[9:], FLUSH])
+    out = timed.retries(stream, "k", "ts", "t", "error", "purchase", "view", "30000 seconds")
+    got = streams.run_available(out, "test-retries", timers=True).filter("k <> 'last'").collect()
+    second = lambda t: t and t.timestamp() - SINCE
+    assert sorted((r.k, second(r.ts), r.attempts, r.action, second(r.due)) for r in got) == [
+        ("a", 0, 1, "waiting", 300), ("a", 100, 2, "waiting", 1000), ("a", 1000, 2, "retry", None), ("a", 5000, 3, "waiting", 6800), ("a", 6800, 3, "retry", None), ("a", 9000, 4, "gave_up", None), ("a", 20000, 5, "done", None),
+        ("a", 30000, 1, "waiting", 30300), ("a", 30300, 1, "done", None), ("c", 7210, 0, "lease_expired", None), ("c", 15200, 0, "lease_expired", None),
+    ]
+
+
+def test_finished_items_leave_no_state(spark, tmp_path):
+    rows = [("a", 0.0, "error"), ("a", 10.0, "purchase"), ("b", 0.0, "error"), ("c", 0.0, "view")]
+    stream = event_files(spark, f"file://{tmp_path}/in", [rows, FLUSH])
+    spark.conf.set(streams.STATE_STORE, streams.TIMER_STORE)
+    try:
+        out = timed.retries(stream, "k", "ts", "t", "error", "purchase", "view", "10 seconds")
+        out.writeStream.format("parquet").option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).start(f"file://{tmp_path}/out").awaitTermination()
+        held = spark.read.format("statestore").option("path", f"file://{tmp_path}/state").option("stateVarName", "held").load()
+        assert [r.k for r in held.selectExpr("key.k").collect()] == ["b"]  # its one failure is remembered
+    finally:
+        spark.conf.unset(streams.STATE_STORE)
+
+
+def test_first_within(spark, tmp_path):
+    stream = event_files(spark, f"file://{tmp_path}/in", [[("a", 0.0, "x"), ("a", 1.0, "x")], [("a", 2.0, "x"), ("b", 100.0, "x")], [("c", 101.0, "x")], [("a", 101.0, "x")]])
+    got = streams.run_available(streams.first_within(stream, ["k"], "ts", "10 seconds").select("k", "ts"), "test-first").collect()
+    assert sorted(r.k for r in got) == ["a", "a", "b", "c"]
 
 
 def test_entry_works_without_the_corpus_operators(tmp_path):
