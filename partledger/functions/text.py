@@ -108,3 +108,13 @@ def plain_text(html: Column | str) -> Column:
 
 def numbers_in(c: Column | str) -> Column:
     return F.array_distinct(F.regexp_extract_all(as_column(c), F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0)))
+
+
+def mixed_tokens(c: Column | str) -> Column:
+    """The distinct tokens of a text with and without word breaks, sorted: words of two characters or more, and each ideograph with the
+    character after it."""
+    t = F.regexp_replace(F.lower(F.coalesce(as_column(c), F.lit(""))), r"(?U)[^\w]+", " ")
+    words = F.filter(F.split(t, " "), lambda w: F.length(w) >= 2)
+    letters = F.split(t, "")
+    pairs = F.filter(F.zip_with(letters, F.slice(letters, 2, F.size(letters)), lambda x, y: F.concat(x, y)), lambda p: p.rlike(r"(?s)^[\u4e00-\u9fff].$"))
+    return F.array_sort(F.array_distinct(F.concat(words, pairs)))

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HEADINGS = {"h1": 1, "h2": 2, "h3": 3, "h4": 4, "h5": 5, "h6": 6}
@@ -79,3 +79,17 @@ def sections(blocks: DataFrame, key: str) -> DataFrame:
     heads = F.when(F.col("level") > 0, F.col("pos"))
     upto = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     return blocks.withColumn("section", F.last(heads, ignorenulls=True).over(upto))
+
+
+def html_media(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, kind, place, link, alt): images and frames of a page with a link, each kind in order; links without a scheme get one."""
+    attribute = lambda tag, name: F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'[^']*'|[^\s>]+)""", 0)
+    value = lambda tag, name: F.trim(F.regexp_replace(F.regexp_replace(attribute(tag, name), r"(?is)^\s\w+\s*=\s*", ""), "^[\"']|[\"']$", ""))
+    bare = F.regexp_replace(F.coalesce(F.col(html), F.lit("")), r"(?is)<(script|style)[^>]*>.*?</\1>|<!--.*?-->", " ")
+
+    def tags(kind: str, name: str) -> Column:
+        of = lambda t: F.struct(F.lit(kind).alias("kind"), F.regexp_replace(value(t, "src"), "^//", "https://").alias("link"), value(t, "alt").alias("alt"))
+        return F.filter(F.transform(F.regexp_extract_all(bare, F.lit(rf"(?is)<{name}\b[^>]*>"), F.lit(0)), of), lambda m: m["link"] != "")
+
+    numbered = lambda found: F.transform(found, lambda m, i: F.struct(m["kind"].alias("kind"), i.alias("place"), m["link"].alias("link"), m["alt"].alias("alt")))
+    return pages.select(key, F.explode(F.concat(numbered(tags("image", "img")), numbered(tags("frame", "iframe")))).alias("m")).select(key, "m.*")

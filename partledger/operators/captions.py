@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partledger.functions.spans import all_spans, any_marker, clauses, first_label
 from partledger.operators import lexicons as L
 from partledger.operators.extraction import manufacturer_from_evidence
+from partledger.operators.similarity import same_text, spoken
 
 #: Seconds between captions of one block, captions back to the one that names the component, and on from it.
 GAP, BACK, ON = 5.0, 5, 6
@@ -220,3 +224,35 @@ def video_profile(facts: DataFrame, product: str, order: str, text: str, section
     topics = F.map_filter(F.create_map(*(x for i, t in enumerate(L.TOPICS) for x in (F.lit(t), F.col(f"claims_{i}")))), lambda _, n: n > 0)
     scenarios = F.array_compact(F.array(*(F.when(F.col(f"scenario_{i}"), F.lit(s)) for i, s in enumerate(L.SCENARIOS))))
     return held.select(F.col("product").alias(product), "facts", topics.alias("topics"), scenarios.alias("scenarios"), *boxes, F.least(F.lit(1.0), filled / wanted).alias("completeness"))
+
+
+def merged_captions(captions: DataFrame, key: str, start: str, end: str, text: str, samples: str, gap: float = 0.25) -> DataFrame:
+    """(key, start, end, text, samples): captions that follow within gap seconds and say the same, merged in order.
+
+    A caption is held against the merged one before it, whose text is the longest so far, so merging goes one by one. It can't go over a
+    silence: captions are first cut there, and the pieces, not videos, are dealt out and sorted. A task keeps one caption at a time.
+    """
+    order = Window.partitionBy(key).orderBy(start, end, text)
+    before = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = captions.filter(F.regexp_replace(F.coalesce(text, F.lit("")), L.CAPTION_MARKS, "") != "").withColumn("_cut", F.when(F.col(start) <= before + gap, 0).otherwise(1))
+    rows = rows.withColumn("_piece", F.sum("_cut").over(order)).select(key, "_piece", start, end, text, samples)
+    dealt = rows.repartition(key, "_piece").sortWithinPartitions(key, "_piece", start, end, text)
+    names = [key, start, end, text, samples]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, place = None, None
+        for part in batches:
+            out = []
+            for k, piece, s, e, t, n in part.itertuples(index=False):
+                if held is not None and place == (k, piece) and s <= held[2] + gap and same_text(held[3], t):
+                    held = (k, held[1], max(held[2], e), t if len(spoken(t)) > len(spoken(held[3])) else held[3], held[4] + n)
+                else:
+                    if held is not None:
+                        out.append(held)
+                    held, place = (k, s, e, t, n), (k, piece)
+            yield pd.DataFrame(out, columns=names)
+        if held is not None:
+            yield pd.DataFrame([held], columns=names)
+
+    kinds = dict(captions.dtypes)
+    return dealt.mapInPandas(fold, ", ".join(f"`{c}` {kinds[c]}" for c in names))

@@ -57,6 +57,20 @@ def caption_cues(files: DataFrame, key: str, content: str) -> DataFrame:
     return rows.select(key, "cue", _seconds(F.col("c.s")).alias("start"), _seconds(F.col("c.e")).alias("end"), text.alias("text")).filter("text <> ''")
 
 
+CUE_LIST = "array<struct<from: double, to: double, content: string, start: double, end: double, text: string>>"
+
+
+def json_cues(files: DataFrame, key: str, content: str) -> DataFrame:
+    """(key, cue, start, end, text) of captions in JSON: a list of cues, or an object with one in body; from, to and content, or start, end
+    and text. Tags and styles go and blanks are collapsed; a file that is neither has no cues."""
+    whole = F.regexp_replace(content, "^\ufeff", "")
+    cues = F.coalesce(F.from_json(whole, f"struct<body: {CUE_LIST}>")["body"], F.when(F.trim(whole).startswith("["), F.from_json(whole, CUE_LIST)))
+    rows = files.select(key, F.posexplode(cues).alias("cue", "c"))
+    said = F.replace(F.replace(F.regexp_replace(F.regexp_replace(F.coalesce("c.content", "c.text", F.lit("")), "<[^>]+>", ""), r"\{\\[^}]+}", ""), F.lit("&nbsp;"), F.lit(" ")), F.lit("&amp;"), F.lit("&"))
+    text = F.trim(F.regexp_replace(said, r"\s+", " "))
+    return rows.select(key, "cue", F.coalesce("c.from", "c.start", F.lit(0.0)).alias("start"), F.coalesce("c.to", "c.end", F.lit(0.0)).alias("end"), text.alias("text")).filter("text <> ''")
+
+
 def with_overlay(rows: DataFrame, overlay: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """rows in which an overlay's values, where they are not null, stand for their own."""
     o = overlay.select(key, *(F.col(c).alias(f"_o_{c}") for c in columns))

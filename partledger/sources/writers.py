@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,19 @@ def write_evidence_csv(df: DataFrame, path: str, lists: list[str]) -> None:
     flat.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 
 
+def write_marked_csv(df: DataFrame, path: str, lists: list[str]) -> None:
+    """Evidence for spreadsheets: write_evidence_csv with a byte-order mark before the header of each file, so that programs read UTF-8."""
+    flat = df.withColumns({c: F.concat_ws(";", c) for c in lists})
+    lines = flat.select(F.to_csv(F.struct(*flat.columns), {"quoteAll": "true", "escape": '"', "nullValue": ""}).alias("value"))
+    header = "\ufeff" + ",".join('"' + c.replace('"', '""') + '"' for c in flat.columns)
+
+    def headed(batches):
+        yield pd.DataFrame({"value": [header]})
+        yield from batches
+
+    lines.mapInPandas(headed, "value string").write.mode("overwrite").text(path)
+
+
 def write_stamped_json(df: DataFrame, path: str, stamp: dict[str, str]) -> None:
     """JSON lines in which every record has the release stamp."""
     df.withColumns({k: F.lit(v) for k, v in stamp.items()}).write.mode("overwrite").json(path)
