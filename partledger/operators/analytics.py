@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partledger.functions.text import ratio
+from partledger.sources.shared import written
 
 
 def known(c: str) -> Column:
@@ -66,10 +67,11 @@ def products_by_year(rows: DataFrame, entity: str) -> DataFrame:
 def yearly_ranks(rows: DataFrame, entity: str, top: int = 5) -> DataFrame:
     """The top entities of each year by distinct products, and how far each moved since the previous year observed.
 
-    Each of the top entities' ranks in the previous year is 1 and the entities ahead of it there. Those are counted by holding
-    that year's counts against the few of the top, not by ranking the year as a whole.
+    The counts, a row for each entity and year, are written once: they are read four times. Each of the top entities' ranks in the
+    previous year is 1 and the entities ahead of it there. Those are counted by holding that year's counts against the few of the top, not by
+    ranking the year as a whole.
     """
-    counts = products_by_year(rows, entity)
+    counts = written(products_by_year(rows, entity), "yearly-counts")
     best = top_rows(counts, entity, top)
     years = counts.select("year").distinct().withColumn("previous", F.lag("year").over(Window.orderBy("year")))  # a row for each year
     asked = best.join(years, "year").select("year", "previous", entity, "products", "rank")
@@ -86,17 +88,19 @@ def yearly_ranks(rows: DataFrame, entity: str, top: int = 5) -> DataFrame:
 
 
 def top_rows(counts: DataFrame, entity: str, top: int) -> DataFrame:
-    """The top entities of each year, ranked in two steps: the top of each of many parts of a year, then of those."""
-    order = [F.desc("products"), F.col(entity)]
-    part = F.pmod(F.xxhash64(entity), F.lit(64))
-    few = counts.withColumn("_part", part).withColumn("_k", F.row_number().over(Window.partitionBy("year", "_part").orderBy(*order))).filter(F.col("_k") <= top)
-    return few.withColumn("rank", F.row_number().over(Window.partitionBy("year").orderBy(*order)).cast("long")).filter(F.col("rank") <= top).drop("_part", "_k")
+    """The top entities of each year. Spark keeps the top of every task before it deals years out, so none is sorted whole."""
+    rank = F.row_number().over(Window.partitionBy("year").orderBy(F.desc("products"), F.col(entity)))
+    return counts.withColumn("rank", rank).filter(F.col("rank") <= top).withColumn("rank", F.col("rank").cast("long"))
 
 
 def zero_filled_trend(rows: DataFrame, entity: str, top: int = 5) -> DataFrame:
     """Distinct products of the top entities in every year, 0 where there are none."""
-    counts = products_by_year(rows, entity)
-    series = rows.select(entity, "product_id").distinct().groupBy(entity).agg(F.count("*").alias("all")).orderBy(F.desc("all"), entity).limit(top).select(entity)
+    # One row for each entity, product and year, which both the totals and the counts follow from.
+    per = rows.select(entity, "product_id", F.year("published").alias("year")).distinct()
+    found = per.groupBy(entity, "product_id").agg(F.collect_set("year").alias("years"))  # a few years
+    found = written(found.groupBy(entity, "years").agg(F.count("*").alias("n")), "products-by-years")
+    counts = found.select(entity, F.explode("years").alias("year"), "n").groupBy(entity, "year").agg(F.sum("n").alias("products"))
+    series = found.groupBy(entity).agg(F.sum("n").alias("all")).orderBy(F.desc("all"), entity).limit(top).select(entity)
     # At most `top` rows against the years that occur.
     grid = F.broadcast(series).crossJoin(counts.select("year").distinct())
     return grid.join(counts, [entity, "year"], "left").fillna(0, ["products"])

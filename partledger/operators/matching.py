@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 
 from partledger.functions.text import blank_to_null
 
-#: Aliases up to which a dictionary is turned into one expression; larger ones are joined by the tokens they begin with.
-INLINE_ALIASES = 200
-
-
 def earliest_alias(text: Column, aliases: Sequence[tuple[str, str]]) -> Column:
     """The canonical name of the alias that stands earliest in a text; of those, the longest, then by name; else an empty string."""
     low = F.lower(text)
@@ -48,19 +44,20 @@ def canonical_name(value: Column, exact: dict[str, str], rules: Sequence[tuple[s
 def match_cascade(items: DataFrame, candidates: DataFrame, item_key: str, steps: Sequence[tuple[Sequence[tuple[str, str]], float]], candidate_key: str) -> DataFrame:
     """The best candidate of each item: steps of equal columns in falling confidence; the smallest candidate key breaks ties.
 
-    Each step is an equi-join; what each yields is united and the best kept, so no item meets every candidate.
+    Of candidates with equal columns of a step only the smallest counts, so each step joins an item with one candidate at most; the
+    first step that finds one wins.
     """
     found = None
-    for pairs, confidence in steps:
+    for k, (pairs, confidence) in enumerate(steps):
+        smallest = candidates.groupBy(*(b for _, b in pairs)).agg(F.min(candidate_key).alias("matched"))
         on = None
         for a, b in pairs:
-            eq = (items[a] == candidates[b]) & blank_to_null(items[a]).isNotNull()
+            eq = (items[a] == smallest[b]) & blank_to_null(items[a]).isNotNull()
             on = eq if on is None else on & eq
-        hits = items.join(candidates, on).select(items[item_key], candidates[candidate_key].alias("matched"), F.lit(confidence).alias("confidence"))
+        hits = items.join(smallest, on).select(items[item_key], F.struct(F.lit(k).alias("k"), "matched", F.lit(confidence).alias("confidence")).alias("hit"))
         found = hits if found is None else found.unionByName(hits)
-    best = found.groupBy(item_key).agg(F.max(F.struct("confidence", (-F.col("matched")).alias("minus"))).alias("b"))
-    matched = best.select(item_key, (-F.col("b.minus")).alias("matched"), F.col("b.confidence").alias("confidence"))
-    return items.select(item_key).join(matched, item_key, "left")
+    best = found.groupBy(item_key).agg(F.min("hit").alias("b")).select(item_key, "b.matched", "b.confidence")
+    return items.select(item_key).join(best, item_key, "left")
 
 
 def segment_keys(text: Column, k: int) -> Column:

@@ -162,10 +162,8 @@ SELECT i.item, cand AS matched, s::DOUBLE AS confidence FROM i LEFT JOIN k ON i.
 def match_cascade(part):
     items = part.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("item"), F.col("p_brand").alias("b"), F.col("p_type").alias("t"), F.col("p_size").cast("string").alias("z"))
     candidates = part.filter("p_partkey % 2 = 1").select(F.col("p_partkey").alias("cand"), F.col("p_brand").alias("cb"), F.col("p_type").alias("ct"), F.col("p_size").cast("string").alias("cz"))
-    # Candidates with equal attributes are alike to every item: the smallest key stands for them.
-    reduced = candidates.groupBy("cb", "ct", "cz").agg(F.min("cand").alias("cand"))
     steps = [([("b", "cb"), ("t", "ct"), ("z", "cz")], 1.0), ([("b", "cb"), ("t", "ct")], 0.98), ([("t", "ct"), ("z", "cz")], 0.82)]
-    return M.match_cascade(items, reduced, "item", steps, "cand")
+    return M.match_cascade(items, candidates, "item", steps, "cand")
 
 
 @query("""

@@ -8,17 +8,17 @@ from pyspark.sql import Window
 from partledger.functions.text import blank_to_null, ratio, short_hash
 from partledger.operators import analytics as A
 from partledger.operators.records import top_n
-from partledger.sources.tables import FACTS_SQL, supply_rows
+from partledger.sources.tables import FACTS_SQL, supplied_products, supply_rows
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
 
-def query(sql: str):
-    """Registers a query under its function's name; the SQL follows the CTEs facts and rows."""
+def query(sql: str, of=supply_rows):
+    """Registers a query under its function's name over the analysis rows, or their products; the SQL follows the CTEs facts and rows."""
 
     def keep(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(supply_rows(spark, sf_dir))
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(of(spark, sf_dir))
         ORACLE_SQL[f.__name__] = f"WITH {FACTS_SQL}, {sql.strip()}" if sql.strip().startswith("q ") else f"WITH {FACTS_SQL} {sql.strip()}"
         return f
 
@@ -208,10 +208,9 @@ def top_supplier_by_category(rows):
 
 @query("""
 SELECT product_category, product_brand, grouping(product_brand)::INT AS is_total, count(DISTINCT product_id) AS products FROM rows GROUP BY ROLLUP (product_category, product_brand)
-""")
-def category_brand_tree(rows):
-    """Distinct products are counted once each before the rollup: a product has one category and one brand, so counts add up."""
-    products = rows.select("product_category", "product_brand", "product_id").distinct()
+""", supplied_products)
+def category_brand_tree(products):
+    """A product has one category and one brand, so products that have a row are all that is counted."""
     return products.rollup("product_category", "product_brand").agg(F.grouping("product_brand").cast("int").alias("is_total"), F.count("*").alias("products"))
 
 

@@ -43,6 +43,15 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select(F.col("c_custkey").alias("product_id"), brand.alias("product_brand"), F.col("n_name").alias("product_category"), F.col("r_name").alias("product_region"))
 
 
+def supplied_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The products that any analysis row has, without building the rows: those with an order with a line whose part and supplier exist."""
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
+    part, supplier, orders = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier"), table(spark, sf_dir, "orders")
+    line = line.join(part, line.l_partkey == part.p_partkey, "left_semi").join(supplier, line.l_suppkey == supplier.s_suppkey, "left_semi")
+    ordered = orders.join(line, orders.o_orderkey == line.l_orderkey, "left_semi").select(F.col("o_custkey").alias("product_id"))
+    return products(spark, sf_dir).join(ordered, "product_id", "left_semi")
+
+
 #: The same rows in SQL.
 FACTS_SQL = """
 facts AS (
