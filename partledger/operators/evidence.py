@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partledger.functions.text import blank_to_null, collapse_spaces, numbers_in, sentences
+from partledger.sources.shared import written
 
 
 def validated(candidates: DataFrame, keys: Sequence[str], order: Sequence[str], rules: Sequence[tuple[Column, str]], identity: Column, cap: int) -> DataFrame:
@@ -75,16 +76,20 @@ def members_in_order(text: Column, lexicon: Sequence[str]) -> Column:
 def verbatim_hits(docs: DataFrame, key: str, text: str, quotes: DataFrame, quote_key: str, quote: str) -> DataFrame:
     """(key, quote_key) for each quote of three words or more that stands verbatim in a text.
 
-    A quote and a text meet on the quote's longest inner word, which a text with the quote has as a word of its own, and
-    only then is the whole quote looked for. Shorter quotes are no evidence.
+    A text with a quote has the quote's inner words as words of its own. Words that no quote has are dropped before anything is dealt
+    out; a quote then meets texts by that one of its inner words that fewest texts have, and only then is it looked for. A quote with a
+    word that no text has meets none. Shorter quotes are no evidence.
     """
     words = F.split(F.trim(F.col(quote)), r"\s+")
-    inner = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
-    known = quotes.select(quote_key, F.trim(F.col(quote)).alias("_q"), F.array_max(inner)["w"].alias("_w")).filter("_w is not null")
+    inner = F.array_distinct(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))))
+    known = written(quotes.select(quote_key, F.trim(F.col(quote)).alias("_q"), F.size(inner).alias("_n"), F.explode(inner).alias("_w")), "quote-words")
+    asked = known.select("_w").distinct()
+    tokens = written(docs.select(key, F.explode(F.array_distinct(F.split(text, r"\s+"))).alias("_w")).join(asked, "_w", "left_semi"), "quoted-words")
+    spread = tokens.groupBy("_w").agg(F.count("*").alias("_spread"))
+    anchors = known.join(spread, "_w").groupBy(quote_key, "_q", "_n").agg(F.count("*").alias("_met"), F.min(F.struct("_spread", "_w"))["_w"].alias("_w")).filter("_met = _n")
     # Only keys and words are joined; the text and the quote are fetched once for each pair that shares the word.
-    tokens = docs.select(key, F.explode(F.array_distinct(F.split(text, r"\s+"))).alias("_w"))
-    pairs = tokens.join(known.select("_w", quote_key), "_w").select(key, quote_key).distinct()
-    held = pairs.join(known.select(quote_key, "_q"), quote_key).join(docs.select(key, F.col(text).alias("_t")), key)
+    pairs = tokens.join(anchors.select("_w", quote_key), "_w").select(key, quote_key).distinct()
+    held = pairs.join(anchors.select(quote_key, "_q"), quote_key).join(docs.select(key, F.col(text).alias("_t")), key)
     return held.filter(F.contains("_t", F.col("_q"))).select(key, quote_key).distinct()
 
 

@@ -93,25 +93,52 @@ def greedy_merge(df: DataFrame, keys: Sequence[str], model: str, order: str) ->
     """Entities of each key: a model joins the first entity that it fits, an X standing for any one character.
 
     Rows are aggregated to one for each model, with its first place and its number, before the fold, which takes models by first
-    places. Only models of one length can fit, so a key's models of a length are one group: distinct names, not rows.
+    places. Only models of one length can fit, so a key's models of a length are one group: distinct names, not rows. In it entities
+    are kept by their known places and the letters there, so a model looks its entities up once for each set of
+    places that occurs.
     """
     names = df.groupBy(*keys, model).agg(F.min(order).alias("_first"), F.count("*").alias("_rows")).withColumn("_length", F.length(model))
 
-    def fits(a: str, b: str) -> bool:
-        return all(x == y or "X" in (x, y) for x, y in zip(a, b, strict=True))
-
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         entities: list[list] = []
+        # For each set of places that entities know, and each part of it that a model knows: entities by their letters there.
+        views: dict[tuple[int, ...], dict[tuple[int, ...], dict[tuple[str, ...], set[int]]]] = {}
+        letters = lambda m, places: tuple(m[p] for p in places)
+        known = lambda m: tuple(p for p, c in enumerate(m) if c != "X")
+
+        def keep(i: int, m: str) -> None:
+            of = views.setdefault(known(m), {known(m): {}})
+            for part, view in of.items():
+                view.setdefault(letters(m, part), set()).add(i)
+
+        def drop(i: int, m: str) -> None:
+            for part, view in views[known(m)].items():
+                view[letters(m, part)].discard(i)
+
+        def first_fit(m: str) -> int | None:
+            mine, best = set(known(m)), None
+            for places, of in views.items():
+                part = tuple(p for p in places if p in mine)
+                if part not in of:
+                    of[part] = view = {}
+                    for held in of[places].values():
+                        for i in held:
+                            view.setdefault(letters(entities[i][0], part), set()).add(i)
+                best = min(of[part].get(letters(m, part), set()) | ({best} - {None}), default=None)
+            return best
+
         ordered = rows.sort_values(["_first", model])
         for m, n in zip(ordered[model], ordered["_rows"], strict=True):
-            for e in entities:
-                if fits(e[0], m):
-                    e[1] += n
-                    if m.count("X") < e[0].count("X"):
-                        e[0] = m
-                    break
-            else:
+            i = first_fit(m)
+            if i is None:
                 entities.append([m, n])
+                keep(len(entities) - 1, m)
+                continue
+            entities[i][1] += n
+            if m.count("X") < entities[i][0].count("X"):
+                drop(i, entities[i][0])
+                entities[i][0] = m
+                keep(i, m)
         out = pd.DataFrame(entities, columns=[model, "merged"])
         for k in keys:
             out[k] = rows[k].iloc[0]

@@ -262,16 +262,19 @@ def compare_unpivot(part):
     return wide.unpivot("p_partkey", ["brand", "type", "size"], "parameter", "value")
 
 
-@query("""
+_BRANDS = [f"Brand#{n}" for n in range(1, 26)]
+
+
+@query(f"""
 WITH u AS (SELECT p_brand, name, value FROM (SELECT p_brand, max(p_type) AS top_type, max(p_size)::VARCHAR AS max_size, count(*)::VARCHAR AS parts FROM part GROUP BY 1) UNPIVOT (value FOR name IN (top_type, max_size, parts)))
-SELECT name AS parameter, max(value) FILTER (p_brand = 'Brand#11') AS b11, max(value) FILTER (p_brand = 'Brand#12') AS b12, max(value) FILTER (p_brand = 'Brand#13') AS b13 FROM u GROUP BY 1
+SELECT name AS parameter, {", ".join(f"max(value) FILTER (p_brand = '{b}') AS b{b[6:]}" for b in _BRANDS)} FROM u GROUP BY 1
 """, "part")
 def compare_transpose(part):
-    """Parameters as rows, brands as columns."""
+    """Parameters as rows, all brands as columns: they are a fixed list, so that the result's columns are known before it is computed."""
     per = part.groupBy("p_brand").agg(F.max("p_type").alias("top_type"), F.max("p_size").cast("string").alias("max_size"), F.count("*").cast("string").alias("parts"))
     long = per.unpivot("p_brand", ["top_type", "max_size", "parts"], "parameter", "value")
-    wide = long.groupBy("parameter").pivot("p_brand", ["Brand#11", "Brand#12", "Brand#13"]).agg(F.max("value"))
-    return wide.select("parameter", *(F.col(f"`Brand#{n}`").alias(f"b{n}") for n in (11, 12, 13)))
+    wide = long.groupBy("parameter").pivot("p_brand", _BRANDS).agg(F.max("value"))
+    return wide.select("parameter", *(F.col(f"`{b}`").alias(f"b{b[6:]}") for b in _BRANDS))
 
 
 @query("""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -123,6 +124,20 @@ def source_feed(spark, sf_dir):
     return readers.feed_items(twice, "content", 1995).select("link", "title", F.col("published").cast("timestamp_ntz").alias("published"))
 
 
+def source_feed_pages(spark, sf_dir):
+    """Scans of the feeds of customers, three orders a page, the latest first, down to the middle of 1997; some feeds have a page that can't be
+    read."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_orderdate").cast("timestamp").alias("at"), "o_orderstatus")
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("at"), "o_orderkey")) - 1
+    key = F.col("o_orderkey").cast("string")
+    item = F.concat(F.lit("<item><title><![CDATA[Order "), key, F.lit("]]></title><link> https://shop.test/"), key, F.lit("\n</link><dc:creator>c"), "o_orderstatus", F.lit("</dc:creator><pubDate>"), F.date_format("at", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000</pubDate><category><![CDATA[one]]></category><category> </category><category>two</category><description><![CDATA[<p>a&nbsp;b&#8230;</p>]]></description><content:encoded><![CDATA[<p>"), key, F.lit("</p>]]></content:encoded></item>"))
+    rows = orders.withColumn("p", place).select("o_custkey", F.floor(F.col("p") / 3 + 1).cast("int").alias("page"), F.struct("p", item.alias("item")).alias("i"))
+    whole = F.concat(F.lit("<rss><channel><item><title>no link</title></item>"), F.array_join(F.transform(F.array_sort(F.collect_list("i")), lambda i: i["item"]), "\n"), F.lit("</channel></rss>"))
+    feeds = rows.groupBy("o_custkey", "page").agg(whole.alias("content")).withColumn("content", F.when((F.col("o_custkey") % 5 == 0) & (F.col("page") == 3), "gone").otherwise(F.col("content")))
+    found = readers.feed_scan(feeds, "o_custkey", "page", "content", stop_before="1997-07-01", max_pages=4)
+    return found.select(F.col("feed").alias("o_custkey"), "page", "link", "title", "author", F.col("published").cast("timestamp_ntz").alias("published"), "description", "content_html", F.array_join("categories", ",").alias("categories"))
+
+
 def source_captions(spark, sf_dir):
     """Caption files of conversations, a cue for each turn, with tags and broken lines."""
     turns = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
@@ -133,7 +148,7 @@ def source_captions(spark, sf_dir):
     return readers.caption_cues(files, "conv_id", "content").select("conv_id", "start", "end", F.md5("text").alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (stream_window, stream_session, stream_dedup, stream_phases, stream_retry_ladder, sink_by_key, sink_csv, sink_json, sink_publish, source_records, source_prices, source_feed, source_captions)}
+QUERIES = {f.__name__: f for f in (stream_window, stream_session, stream_dedup, stream_phases, stream_retry_ladder, sink_by_key, sink_csv, sink_json, sink_publish, source_records, source_prices, source_feed, source_feed_pages, source_captions)}
 
 ORACLE_SQL = {
     "stream_window": """
@@ -169,6 +184,12 @@ UNION ALL SELECT user_id, make_timestamp(t + 7200000000), attempts, 'lease_expir
     "source_records": "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey % 9 <> 0 UNION ALL SELECT count(*)::INT, 'rejected' FROM nation WHERE n_nationkey % 9 = 0",
     "source_prices": "SELECT p_partkey::VARCHAR AS product_id, CASE WHEN p_size % 5 <> 0 THEN round(p_retailprice, 2) END AS amount, 'CNY' AS currency, p_brand AS source FROM part",
     "source_feed": "SELECT DISTINCT 'https://shop.test/' || o_orderkey AS link, 'Order ' || o_orderkey AS title, date_trunc('second', o_orderdate) AS published FROM orders WHERE year(o_orderdate) >= 1995",
+    "source_feed_pages": """
+WITH o AS (SELECT o_custkey, o_orderkey, o_orderstatus, date_trunc('second', o_orderdate) AS at0, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) - 1 AS p FROM orders),
+g AS (SELECT *, p // 3 + 1 AS page FROM o), e AS (SELECT o_custkey, min(page) AS last FROM g WHERE at0 < TIMESTAMP '1997-07-01' GROUP BY 1)
+SELECT g.o_custkey, page::INT AS page, 'https://shop.test/' || o_orderkey AS link, 'Order ' || o_orderkey AS title, 'c' || o_orderstatus AS author, at0 AS published, 'a b…' AS description, '<p>' || o_orderkey || '</p>' AS content_html, 'one,two' AS categories
+FROM g LEFT JOIN e ON g.o_custkey = e.o_custkey WHERE page <= least(coalesce(last, 4), 4, CASE WHEN g.o_custkey % 5 = 0 THEN 2 ELSE 4 END) AND at0 >= TIMESTAMP '1997-07-01'
+""",
     "source_captions": r"""
 WITH t AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(min(text), '[<>]|-->', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM conversations GROUP BY 1, 2)
 SELECT conv_id, turn * 7 + 0.5::DOUBLE AS start, turn * 7 + 5.5::DOUBLE AS "end", md5(text) AS digest FROM t WHERE text <> ''

@@ -24,8 +24,8 @@ def query(sql: str, *names: str):
 
 @query("", "documents")
 def unicode_keys(documents):
-    head = F.element_at(F.split("text", "\n"), 1)
-    return documents.select("doc_id", I.folded_key(head).alias("key"), I.ascii_slug(head).alias("slug"))
+    """Keys of whole texts, which may be of any alphabet, as digests."""
+    return documents.select("doc_id", F.md5(I.folded_key("text")).alias("key"), F.md5(I.ascii_slug("text")).alias("slug"))
 
 
 @query("""

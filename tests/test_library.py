@@ -66,6 +66,49 @@ def test_greedy_merge_keeps_order(spark):
     assert sorted(map(tuple, got)) == [("p", "AB1", 3), ("p", "AB2", 1), ("q", "X", 1)]
 
 
+def test_greedy_merge_matches_a_fold(spark):
+    rnd = random.Random(7)
+    rows = [("k%d" % (i % 3), "".join(rnd.choice("ABX" if rnd.random() < 0.7 else "AB") for _ in range(rnd.randint(1, 5))), i) for i in range(500)]
+    want = []
+    for k in sorted({r[0] for r in rows}):
+        for size in range(1, 6):
+            models, entities = {}, []
+            for _, m, p in (r for r in rows if r[0] == k and len(r[1]) == size):
+                models.setdefault(m, [p, 0])[1] += 1
+            for m, (_, n) in sorted(models.items(), key=lambda x: (x[1][0], x[0])):
+                e = next((e for e in entities if all(x == y or "X" in (x, y) for x, y in zip(e[0], m, strict=True))), None)
+                if e is None:
+                    entities.append([m, n])
+                else:
+                    e[1] += n
+                    e[0] = m if m.count("X") < e[0].count("X") else e[0]
+            want += [(k, m, n) for m, n in entities]
+    got = matching.greedy_merge(spark.createDataFrame(rows, "k string, model string, pos long"), ["k"], "model", "pos").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_verbatim_hits_match_brute_force(spark):
+    from partledger.operators.evidence import verbatim_hits
+
+    rnd = random.Random(5)
+    words = lambda n: " ".join(rnd.choice("a b c d e".split()) for _ in range(n))
+    docs = [(i, words(rnd.randint(0, 30))) for i in range(60)] + [(60, None)]
+    quotes = [(i, words(rnd.randint(1, 6))) for i in range(60)] + [(60, " a  b c "), (61, "a zz b"), (62, None)]
+    got = verbatim_hits(spark.createDataFrame(docs, "d long, t string"), "d", "t", spark.createDataFrame(quotes, "q long, t string"), "q", "t").collect()
+    want = {(d, q) for d, t in docs for q, x in quotes if t and x and len(x.split()) >= 3 and x.strip() in t}
+    assert {(r.d, r.q) for r in got} == want and len(got) == len(want) > 20
+
+
+def test_feed_scan_stops(spark):
+    item = lambda link, day: f"<item><title>t</title><link>{link}</link><pubDate>Mon, {day} +0000</pubDate></item>"
+    pages = [("a", 1, item("x", "05 Feb 2024 00:00:00") + item("y", "01 Feb 2024 00:00:00")), ("a", 2, item("y", "01 Feb 2024 00:00:00") + item("z", "30 Dec 2023 00:00:00")), ("a", 3, item("w", "02 Feb 2024 00:00:00"))]
+    pages += [("b", 1, item("p", "no date")), ("b", 3, item("q", "01 Feb 2024 00:00:00")), ("c", 1, ""), ("c", 2, item("r", "01 Feb 2024 00:00:00")), ("d", 1, None)]
+    df = spark.createDataFrame(pages, "feed string, page int, content string")
+    scan = lambda **k: sorted((r.feed, r.page, r.link) for r in readers.feed_scan(df, "feed", "page", "content", **k).collect())
+    assert scan() == [("a", 1, "x"), ("a", 1, "y"), ("a", 2, "z"), ("a", 3, "w"), ("b", 1, "p")]
+    assert scan(year=2024) == [("a", 1, "x"), ("a", 1, "y"), ("b", 1, "p")] == scan(stop_before="2024-01-01") and scan(max_pages=1) == scan(year=2024)
+
+
 def test_validation_reasons(spark):
     rows = [("a", 1, "cap", "10 mAh", "cap 10 mAh", "the cap 10 mAh cell"), ("a", 2, "cap", "10 mAh", "cap 10 mAh", "the cap 10 mAh cell"), ("a", 3, "cap", "", "x", "x"), ("a", 4, "c", "v", "v", "v"), ("a", 5, "cap", "9", "cap 10", "the cap 10"), ("a", 6, "cap", "z", "cap z", "none"), ("a", 7, "two", "cell", "cell", "the cell"), ("a", 8, "three", "the", "the", "the cell")]
     df = spark.createDataFrame(rows, "k string, pos int, label string, value string, quote string, row string")
