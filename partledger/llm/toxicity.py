@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from binascii import crc32
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -22,6 +23,9 @@ EXAMPLES = 2000
 NEIGHBOURS, BLOCK, COMMON = 15, 64, 16
 #: Texts whose common terms are multiplied out at once.
 TOGETHER = 256
+#: Cells in which the documents of words that no example has are counted, by a hash of the word: a power of two. Words of one cell share
+#: its count, so with far more words than cells their idf comes out low; their tf stays each one's own.
+CELLS = 1 << 22
 #: A term counts (FLOOR * HALF + x) / (HALF + x) of its idf, where x is the chi-square of its presence against the label.
 HALF, FLOOR = 10.0, 0.05
 
@@ -34,10 +38,15 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(FOLD).split()
 
 
-def numbered(text: str | None, numbers: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of a text's terms, rising, and how often each stands in it. Words without a number are one term, the last."""
+def numbered(text: str | None, numbers: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The numbers of a text's terms, rising, and how often each stands in it; then the cell of each word without a number, and how often
+    that word does."""
     words = words_of(text)
-    return np.unique(np.fromiter(map(numbers.get, words, repeat(len(numbers))), np.int32, len(words)), return_counts=True)
+    codes = np.fromiter(map(numbers.get, words, repeat(-1)), np.int32, len(words))
+    terms, counts = np.unique(codes[codes >= 0], return_counts=True)
+    others = Counter([words[i] for i in np.flatnonzero(codes < 0).tolist()])
+    cells = np.fromiter((crc32(w) & (CELLS - 1) for w in others), np.int32, len(others))
+    return terms, counts, cells, np.fromiter(others.values(), np.int32, len(others))
 
 
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -50,7 +59,7 @@ class BlockMaxIndex:
     """Unit vectors of the examples by term. A term of many examples has a row of weights; any other has, for each block of
     examples with it, the largest weight and the postings."""
 
-    term_weights: np.ndarray  # of all terms, the one for words without a number last
+    term_weights: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
     rows: np.ndarray  # by term: its row in dense, or -1
@@ -132,21 +141,23 @@ class BlockMaxIndex:
         return float((weights * self.labels[found]).sum() / weights.sum())
 
 
-def unit(term_weights: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def unit(term_weights: np.ndarray, terms: np.ndarray, counts: np.ndarray, beyond: float = 0.0) -> np.ndarray:
+    """The weights of a text's terms over its norm; beyond is the sum of the squares of the weights of its other words."""
     values = (1 + np.log(counts)) * term_weights[terms]
-    return values / np.linalg.norm(values) if len(values) else values
+    return values / math.sqrt(float(values @ values) + beyond) if len(values) else values
 
 
 @dataclass
 class Scorer:
     index: BlockMaxIndex
+    cells: np.ndarray  # the weight of a word that no example has, by its cell
     slope: float
     offset: float
     without_neighbours: float
 
-    def scores(self, texts: Sequence[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
-        """The score, the nearest cosines and their places for each of a few texts, given (terms, counts)."""
-        vectors = [(t, unit(self.index.term_weights, t, c)) for t, c in texts]
+    def scores(self, texts: Sequence[tuple[np.ndarray, ...]]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """The score, the nearest cosines and their places for each of a few texts, given as numbered gives them."""
+        vectors = [(t, unit(self.index.term_weights, t, c, float((((1 + np.log(times)) * self.cells[cells]) ** 2).sum()))) for t, c, cells, times in texts]
         for (terms, values), part in zip(vectors, self.index.common_parts(vectors), strict=True):
             cosines, found = self.index.nearest(terms, values, part, NEIGHBOURS)
             if not len(found):
@@ -210,8 +221,11 @@ def examples_of(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, labe
     return Examples(rows, {w: k for k, w in enumerate(coded.dictionary.to_pylist())}, labelled)
 
 
+VECTOR = ["_terms", "_counts", "_cells", "_times"]
+
+
 def term_vectors(docs: DataFrame, numbers: dict[bytes, int], text: str, keep: Sequence[str]) -> DataFrame:
-    """The columns in keep with _terms and _counts (as numbered), written: whole texts are split into words once."""
+    """The columns in keep with _terms, _counts, _cells and _times (as numbered), written: whole texts are split into words once."""
     sent = docs.sparkSession.sparkContext.broadcast(numbers)
     kept = docs.select(*keep, F.col(text).cast("string").alias("_text"))
     names = list(keep)
@@ -221,20 +235,29 @@ def term_vectors(docs: DataFrame, numbers: dict[bytes, int], text: str, keep: Se
             for at in range(0, part.num_rows, 1024):
                 few = part.slice(at, 1024)
                 found = [numbered(t.as_py(), sent.value) for t in few.column("_text")]
-                ends = pa.array(np.concatenate([[0], np.cumsum([len(t) for t, _ in found])]).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([f[k] for f in found]).astype(np.int32))) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*few.columns[: len(names)], *lists], [*names, "_terms", "_counts"])
+                lists = []
+                for k in range(4):
+                    ends = pa.array(np.concatenate([[0], np.cumsum([len(f[k]) for f in found])]).astype(np.int32))
+                    lists.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate([f[k] for f in found]).astype(np.int32))))
+                yield pa.RecordBatch.from_arrays([*few.columns[: len(names)], *lists], [*names, *VECTOR])
 
     numbers_of = T.ArrayType(T.IntegerType())
-    return written(kept.mapInArrow(each, T.StructType([*kept.schema.fields[:-1], T.StructField("_terms", numbers_of), T.StructField("_counts", numbers_of)])), "vectors")
+    return written(kept.mapInArrow(each, T.StructType([*kept.schema.fields[:-1], *(T.StructField(c, numbers_of) for c in VECTOR)])), "vectors")
 
 
 def fit(sample: Examples, vectors: DataFrame) -> Scorer:
     """A scorer from the examples and the vectors of all documents, over which document frequencies are counted."""
-    total, size = vectors.count(), len(sample.numbers) + 1
-    known = vectors.select(F.explode("_terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).toArrow()
-    frequency = np.zeros(size)
-    frequency[known.column("term").to_numpy()] = known.column("n").to_numpy()
+    total, size = vectors.count(), len(sample.numbers)
+
+    def frequencies(column: str, size: int) -> np.ndarray:
+        counted = vectors.select(F.explode(column).alias("term")).groupBy("term").agg(F.count("*").alias("n")).toArrow()
+        out = np.zeros(size)
+        out[counted.column("term").to_numpy()] = counted.column("n").to_numpy()
+        return out
+
+    frequency = frequencies("_terms", size)
+    idf = lambda f: np.log((1 + total) / (1 + f)) + 1
+    cells = (FLOOR * idf(np.minimum(frequencies("_cells", CELLS), total))).astype(np.float32)
     with_label = np.zeros((2, size))
     for _, y, terms, _ in sample.rows:
         with_label[y, terms] += 1
@@ -242,7 +265,7 @@ def fit(sample: Examples, vectors: DataFrame) -> Scorer:
     b, a = with_label
     apart = np.maximum(0, np.abs(a * (n[0] - b) - b * (n[1] - a)) - (n[0] + n[1]) / 2)
     chi2 = np.where(a + b > 0, (n[0] + n[1]) * apart**2 / (1.0 * n[0] * n[1] * np.maximum(a + b, 1) * (n[0] + n[1] - a - b + 0.5)), 0)
-    weights = (np.log((1 + total) / (1 + frequency)) + 1) * (FLOOR * HALF + chi2) / (HALF + chi2)
+    weights = idf(frequency) * (FLOOR * HALF + chi2) / (HALF + chi2)
     index = BlockMaxIndex.build(weights, sample.rows)
 
     # Calibration: each example is scored by the others; weights undo the sampling by label.
@@ -261,23 +284,23 @@ def fit(sample: Examples, vectors: DataFrame) -> Scorer:
             else:
                 bare[y] += stands_for[y]
     slope, offset = calibrated(np.array(votes), np.array(ys, float), np.array(ws) / max(stands_for.values())) if votes else (0.0, 0.0)
-    return Scorer(index, slope, offset, (bare[1] + 0.5 * sample.labelled[1] / sum(sample.labelled.values())) / (bare[0] + bare[1] + 1))
+    return Scorer(index, cells, slope, offset, (bare[1] + 0.5 * sample.labelled[1] / sum(sample.labelled.values())) / (bare[0] + bare[1] + 1))
 
 
 def score_vectors(vectors: DataFrame, scorer: Scorer) -> DataFrame:
-    """vectors with score, predicted and evidence in place of _terms and _counts; nothing is shuffled."""
+    """vectors with score, predicted and evidence in place of the terms; nothing is shuffled."""
     sent = vectors.sparkSession.sparkContext.broadcast(scorer)
-    fields = [f for f in vectors.schema.fields if f.name not in ("_terms", "_counts")]
+    fields = [f for f in vectors.schema.fields if f.name not in VECTOR]
     names = [f.name for f in fields]
     new = T.StructType.fromDDL(f"score double, predicted int, evidence {EVIDENCE}").fields
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for part in batches:
-            terms, counts = part.column("_terms"), part.column("_counts")
+            lists = [part.column(c) for c in VECTOR]
             scores, cosines, places = [], [], []
             for start in range(0, part.num_rows, TOGETHER):
-                few = [(t.values.to_numpy(), c.values.to_numpy()) for t, c in zip(terms.slice(start, TOGETHER), counts.slice(start, TOGETHER), strict=True)]
+                few = [tuple(x.values.to_numpy() for x in row) for row in zip(*(c.slice(start, TOGETHER) for c in lists), strict=True)]
                 for s, cos, at in model.scores(few):
                     scores.append(s)
                     cosines.append(cos[:3])
@@ -296,9 +319,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, keep: Sequence[str] |
     """The columns of docs named in keep (all, unless said otherwise) with score, predicted and evidence (the three nearest
     examples: id, cosine, label).
 
-    Terms are the words of the labelled examples; all other words are one more term, so every word of a text counts in its
-    norm. Weights are (1 + log tf) * idf * relevance: idf over all documents, relevance from the examples' labels, never 0, so no
-    term is left out. Examples are a bounded sample (up to `examples` of each label; an id with two labels counts as 1, one with
+    Terms are the words of the labelled examples. Every other word of a text counts in its norm by its own tf and by its idf, from
+    counts in CELLS cells. Weights are (1 + log tf) * idf * relevance: idf over all documents, relevance from the examples' labels,
+    never 0, so no term is left out; words that no example has have the least. Examples are a bounded sample (up to `examples` of each label; an id with two labels counts as 1, one with
     several texts as the least of them). The nearest are exact; of equally near ones those with the smaller ids count.
 
     A text without a word of any example (so also a null or empty one) gets the share of 1 among such examples; without
@@ -306,7 +329,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, keep: Sequence[str] |
     scores each; null ids are scored like others and are no examples; an empty table gives an empty result. Columns of
     docs that clash with the new ones are replaced.
     """
-    new = ("score", "predicted", "evidence", "_terms", "_counts", "_text")
+    new = ("score", "predicted", "evidence", "_text", *VECTOR)
     keep = [c for c in (keep or docs.columns) if c not in new]
     sample = examples_of(docs, labels, text, doc_id, label, examples)
     if sample is None:

@@ -211,13 +211,16 @@ def test_nearest_examples_match_brute_force(spark):
     vectors = toxicity.term_vectors(docs, sample.numbers, "text", ["doc_id"])
     scorer = toxicity.fit(sample, vectors)
     index = scorer.index
-    assert sorted(index.ids) == sorted(i for i, _ in rows) and len(index.term_weights) == len({w for t in texts for w in t.split()}) + 1 and (index.term_weights > 0).all()
+    assert sorted(index.ids) == sorted(i for i, _ in rows) and len(index.term_weights) == len({w for t in texts for w in t.split()}) and (index.term_weights > 0).all()
     of = {i: (t, c) for i, _, t, c in sample.rows}
     examples = [of[i] for i in index.ids]
     for text in [t for _, t in rows[:60]] + ["w1 w2 w3 unseen words here", "w5"]:
-        terms, counts = toxicity.numbered(text, sample.numbers)
+        terms, counts, cells, times = toxicity.numbered(text, sample.numbers)
         exact = brute_cosines(index.term_weights, examples, terms, counts)
-        [(_, cosines, found)] = scorer.scores([(terms, counts)])
+        [(_, cosines, found)] = scorer.scores([(terms, counts, cells, times)])
+        # Words that no example has are in the norm, each by its own tf and idf.
+        own = ((1 + np.log(counts)) * index.term_weights[terms]) ** 2
+        exact = exact * math.sqrt(own.sum() / (own.sum() + (((1 + np.log(times)) * scorer.cells[cells]) ** 2).sum()))
         order = np.lexsort((index.ids, -exact.round(9)))[:15]
         assert np.allclose(cosines, exact[order][: len(cosines)]) and len(found) == min(15, (exact > 0).sum())
         assert [exact.round(9)[f] for f in found] == [exact.round(9)[o] for o in order[: len(found)]]
@@ -225,6 +228,30 @@ def test_nearest_examples_match_brute_force(spark):
             assert list(index.ids[found[:2]]) == [texts.index(text), 1000 + texts.index(text)]
 
 
+def test_norms_of_unseen_words(spark):
+    """Against plain dictionaries: every word of a text is in its norm, whether an example has it or not."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"{rng.choice('ab')}{int(rng.expovariate(0.01))}" for _ in range(rng.randint(1, 60)))) for i in range(200)] + [(900, "only unseen words words"), (901, None)]
+    docs, labels = frame(spark, rows), spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    sample = toxicity.examples_of(docs, labels, "text", "doc_id", "toxic", 40)
+    vectors = toxicity.term_vectors(docs, sample.numbers, "text", ["doc_id"])
+    scorer = toxicity.fit(sample, vectors)
+    counts = {i: {w: (t or "").split().count(w) for w in (t or "").split()} for i, t in rows}
+    df = {w: sum(w in c for c in counts.values()) for c in counts.values() for w in c}
+    idf = lambda w: math.log((1 + len(rows)) / (1 + df[w])) + 1
+    weight = lambda w: scorer.index.term_weights[sample.numbers[w.encode()]] if w.encode() in sample.numbers else toxicity.FLOOR * idf(w)
+    vector = lambda i: {w: (1 + math.log(n)) * weight(w) for w, n in counts[i].items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    unseen = 0
+    for i, t in rows:
+        [(_, cosines, found)] = scorer.scores([toxicity.numbered(t, sample.numbers)])
+        unseen += any(w.encode() not in sample.numbers for w in counts[i])
+        for cosine, place in zip(cosines, found, strict=True):
+            a, b = vector(i), vector(int(scorer.index.ids[place]))
+            assert math.isclose(cosine, sum(x * b.get(w, 0) for w, x in a.items()) / norm(a) / norm(b), rel_tol=1e-5)
+    assert unseen > 100
+
+
 def test_odd_tables(spark):
     """Repeated rows, very long texts, clashing names and empty tables."""
     notice = licenses.TEMPLATES[3][1]
