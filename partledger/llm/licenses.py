@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from partledger.llm.common import table, written
+from partledger.llm.common import small, table, text_key, written
 
 #: Least Dice coefficient, in percent: whole numbers keep ties exact.
 PERCENT = 80
@@ -71,28 +71,57 @@ def telling_words(pairs: Sequence[str], percent: int = PERCENT) -> list[str]:
     return chosen
 
 
-def best_passage(every: Column, template: Column, size: int, percent: int) -> Column:
+def ordered_pairs(text: Column) -> Column:
+    """The word bigrams of a text, in order."""
+
+    def paired(words: Column) -> Column:
+        n = F.greatest(F.size(words) - 1, F.lit(0))
+        return F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
+
+    return bound(normalised(text), paired)
+
+
+def bound(value: Column, use) -> Column:
+    """use(value), where value is computed once however often use has it, also inside its lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def best_passage(every: Column, following: Column, template: Column, percent: int) -> Column:
     """struct(dice, minus_end, start, common) of the run of bigrams that is most like a template, null if none is like it.
 
-    every has the text's bigrams in order, template the distinct ones of the template. A best run starts and ends with bigrams
-    of the template, and none but the first place after its start at which its last one stands need be its end: a longer run
-    that ends with the same bigram can lose it and keeps its set. So a start has at most `size` ends, and no run is lost.
+    every has the text's bigrams in order, following the place (from 1) at which each stands next, template the template's distinct ones.
+    A run's set grows only where a bigram stands first at or after its start, and a run that is like the template has at most
+    b * (200 - percent) / percent distinct bigrams. So a start has a bounded list of ends: those first places. The list is kept
+    from the last start to the first: a start goes to its front, and its bigram's next place leaves it. The work is the text's length
+    times that bound, however often a notice is repeated.
     """
-    starts = F.filter(F.sequence(F.lit(1), F.size(every)), lambda i: F.array_contains(template, F.element_at(every, i)))
+    size = F.size(template)
+    most = F.floor(size * (200 - percent) / percent).cast("int") + 1
+    hits = F.transform(every, lambda x: F.array_contains(template, x))
+    none = F.lit(None).cast("struct<dice: double, minus_end: int, start: int, common: int>")
+
+    def best_end(hit: Column, start: Column, ends: Column, best: Column) -> Column:
+        """The better of best and the runs from a start; n and common grow along its ends, and a run ends with a bigram of the template."""
+
+        def longer(held: Column, end: Column) -> Column:
+            own = F.element_at(hit, end)
+            n, common = held["n"] + 1, held["common"] + F.when(own, 1).otherwise(0)
+            run = F.struct((2.0 * common / (n + size)).alias("dice"), (-end).alias("minus_end"), start.alias("start"), common.alias("common"))
+            better = own & (200 * common >= percent * (n + size)) & (held["best"].isNull() | (run > held["best"]))
+            return F.struct(n.alias("n"), common.alias("common"), F.when(better, run).otherwise(held["best"]).alias("best"))
 
-    def sized(start: Column, run: Column) -> Column:
-        return F.struct(F.size(F.array_distinct(run)).alias("n"), F.size(F.array_intersect(run, template)).alias("common"), (start + F.size(run)).alias("end"), start.alias("start"))
+        return F.aggregate(ends, F.struct(F.lit(0).alias("n"), F.lit(0).alias("common"), best.alias("best")), longer, lambda held: held["best"])
 
-    def rated(x: Column) -> Column:
-        return F.struct((2.0 * x["common"] / (x["n"] + size)).alias("dice"), (-x["end"]).alias("minus_end"), x["start"].alias("start"), x["common"].alias("common"))
+    def step(hit: Column):
+        def earlier(held: Column, start: Column) -> Column:
+            ends = F.concat(F.array(start), F.slice(F.array_remove(held["ends"], F.element_at(following, start)), F.lit(1), most - 1))
+            return bound(ends, lambda e: F.struct(e.alias("ends"), F.when(F.element_at(hit, start), best_end(hit, start, e, held["best"])).otherwise(held["best"]).alias("best")))
 
-    def of_tail(start: Column, tail: Column) -> Column:
-        ends = F.filter(F.transform(template, lambda t: F.array_position(tail, t).cast("int")), lambda e: e > 0)
-        return F.transform(ends, lambda e: sized(start, F.slice(tail, F.lit(1), e)))
+        return earlier
 
-    # The outer lambda binds the tail, so it is cut once however many ends it has.
-    runs = F.flatten(F.transform(starts, lambda s: F.flatten(F.transform(F.array(F.slice(every, s, F.size(every))), lambda tail: of_tail(s, tail)))))
-    return F.array_max(F.transform(F.filter(runs, lambda x: 200 * x["common"] >= percent * (x["n"] + size)), rated))
+    begin = F.struct(F.array().cast("array<int>").alias("ends"), none.alias("best"))
+    places = F.sequence(F.size(every), F.lit(1), F.lit(-1))
+    return bound(hits, lambda hit: F.aggregate(places, begin, step(hit), lambda held: held["best"]))
 
 
 def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, percent: int = PERCENT, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -104,11 +133,12 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
     Of several templates the most similar counts, of equally similar ones the first. A null or empty text and one without
     two words has no licence; repeated rows are reported each; a text of one line is reported once, as unit 0; an empty
     table gives an empty result. A licence that neither the whole text nor a line shows is looked for in all runs of words,
-    across lines and within them: its best passage is reported with unit -p, where p is the place of its first word (from 1); of
-    several templates of the licence the one with the most common bigrams counts. Very long texts are read whole. Only what was found is shuffled, and
-    other columns of docs are not read, whatever their names.
+    across lines and within them: its best passage, one for each licence of a text, is reported with unit -p, where p is the place of its
+    first word (from 1); of several templates of the licence the one with the most common bigrams counts. Very long texts are read
+    whole, and the work on passages grows in proportion to them. Templates are data, so plans don't grow with them. Only texts that
+    may have a passage, and what was found, are shuffled; other columns of docs are not read, whatever their names.
     """
-    known = [(name, i, bigrams(normal_words(t))) for i, (name, t) in enumerate(templates)]
+    known = [(i, name, bigrams(normal_words(t))) for i, (name, t) in enumerate(templates)]
     known = [k for k in known if k[2]]
     telling = sorted({w for _, _, b in known for w in telling_words(b, percent)})
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
@@ -119,33 +149,37 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
         """The lambda's argument is folded to lower case once, however many words are looked for."""
         return F.exists(F.array(F.lower(t)), lambda low: reduce(lambda a, b: a | b, [low.contains(w) for w in telling]))
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(tells(F.col("text")))
-    rows = rows.select("row", "doc_id", F.posexplode(units).alias("unit", "text")).filter(tells(F.col("text")))
-    rows = rows.select("row", "doc_id", "unit", normalised(F.col("text")).alias("words"))
-    n_pairs = F.greatest(F.size("words") - 1, F.lit(0))
-    pairs = F.zip_with(F.slice("words", 1, n_pairs), F.slice("words", 2, n_pairs), lambda a, b: F.concat_ws(" ", a, b))
-    rows = rows.select("row", "doc_id", "unit", pairs.alias("every")).withColumn("pairs", F.array_distinct("every"))
-    n = F.size("pairs")
-    scored, passages = [], []
-    for name, i, b in known:
-        template = F.array(*map(F.lit, b))
-        fits = (n * (200 - percent) >= len(b) * percent) & (n * percent <= len(b) * (200 - percent))
-        common = F.size(F.array_intersect("pairs", template))
-        enough = F.when(fits, 200 * common >= percent * (n + len(b)))
-        score = F.struct(F.when(enough, 2.0 * common / (n + len(b))).alias("dice"), F.lit(0).alias("minus_end"), F.lit(0).alias("start"), F.lit(0).alias("common"))
-        scored.append(F.struct(score.alias("at"), F.lit(-i).alias("minus"), F.lit(name).alias("license")))
-        likely = (F.col("unit") == 0) & (n * (200 - percent) >= len(b) * percent)
-        held = F.when(likely, F.when(common * (200 - percent) >= len(b) * percent, best_passage(F.col("every"), template, len(b), percent)))
-        passages.append(F.struct(held.alias("at"), F.lit(-i).alias("minus"), F.lit(name).alias("license")))
-    best = F.array_max(F.filter(F.array(*scored), lambda s: s["at"]["dice"].isNotNull()))
-    # Exploding what there is computes it once; a filter would be pushed down with a copy of it.
-    every = F.filter(F.array(best, *passages), lambda s: s["at"].isNotNull())
-    found = written(rows.select("row", "doc_id", "unit", F.explode(every).alias("best")).select("row", "doc_id", "unit", "best.at.*", "best.minus", "best.license"), "licenses")
-    units_found = found.filter("start = 0")
-    shown = units_found.select("row", "license").distinct()
-    inside = found.filter("start > 0").join(shown, ["row", "license"], "left_anti")
-    inside = inside.groupBy("row", "doc_id", "license").agg(F.max(F.struct("common", "dice", "minus", "start")).alias("p")).select("doc_id", (-F.col("p.start")).alias("unit"), "license", "p.minus", "p.dice")
-    out = units_found.select("doc_id", "unit", "license", "minus", "dice").unionByName(inside)
+    given = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).filter(tells(F.col("text")))
+    ids = ["row", "doc_id", "k1", "k2"]
+    rows = given.withColumns(dict(zip(("k1", "k2"), text_key(F.col("text")), strict=True))).select(*ids, F.posexplode(units).alias("unit", "text")).filter(tells(F.col("text")))
+    rows = rows.select(*ids, "unit", F.array_distinct(ordered_pairs(F.col("text"))).alias("pairs"))
+    # Of a unit's bigrams only those that some template has become rows.
+    each = rows.select(*ids, "unit", F.size("pairs").alias("n"), F.explode(F.filter("pairs", lambda p: p.isin(*{x for _, _, b in known for x in b}))).alias("pair"))
+    of_templates = F.array(*(F.struct(F.lit(i).alias("template"), F.array(*map(F.lit, b)).alias("b")) for i, _, b in known))
+    wanted = docs.sparkSession.range(1).select(F.inline(of_templates)).select("template", F.size("b").alias("size"), F.explode("b").alias("pair"))
+    # The bigrams of the templates are given as a list, so the table is as large as that.
+    counts = each.join(F.broadcast(wanted), "pair").groupBy(*ids, "unit", "n", "template", "size").agg(F.count("*").alias("common"))
+    enough = F.col("common") * (200 - percent) >= F.col("size") * percent
+    like = (F.col("n") * percent <= F.col("size") * (200 - percent)) & (200 * F.col("common") >= percent * (F.col("n") + F.col("size")))
+    names = F.create_map(*(x for i, name, _ in known for x in (F.lit(i), F.lit(name))))
+    judged = counts.withColumns({"like": like, "license": names[F.col("template")]}).filter(F.col("like") | (enough & (F.col("unit") == 0)))
+    judged = written(judged, "licenses")
+
+    score = F.struct((2.0 * F.col("common") / (F.col("n") + F.col("size"))).alias("dice"), (-F.col("template")).alias("minus"), "license")
+    shown = judged.filter("like").groupBy(*ids, "unit").agg(F.max(score).alias("b")).select(*ids, "unit", "b.*")
+    asked = judged.filter(enough & (F.col("unit") == 0)).select(*ids, "license", "template")
+    asked = written(asked.join(shown.select("row", "license").distinct(), ["row", "license"], "left_anti"), "likely")
+    # Equal texts are looked at once; a text is known by its two hashes.
+    keys = asked.select("k1", "k2").distinct()
+    texts = given.select(*(c.alias(k) for k, c in zip(("k1", "k2"), text_key(F.col("text")), strict=True)), "text").join(small(keys), ["k1", "k2"], "left_semi")
+    texts = written(texts.groupBy("k1", "k2").agg(ordered_pairs(F.min("text")).alias("every")), "passages")
+    places = texts.select("k1", "k2", F.posexplode("every").alias("at", "pair")).withColumn("next", F.lead("at").over(Window.partitionBy("k1", "k2", "pair").orderBy("at")) + 1)
+    following = places.groupBy("k1", "k2").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("next", F.lit(0)).alias("next")))), lambda p: p["next"]).alias("following"))
+    of = F.element_at(F.array(*(F.array(*map(F.lit, b)) for _, _, b in known)), F.array_position(F.array(*(F.lit(i) for i, _, _ in known)), F.col("template")).cast("int"))
+    held = asked.select("k1", "k2", "template").distinct().join(texts.join(following, ["k1", "k2"]), ["k1", "k2"]).withColumn("b", of)
+    held = held.select("k1", "k2", "template", best_passage(F.col("every"), F.col("following"), F.col("b"), percent).alias("at")).filter("at is not null")
+    inside = asked.join(held, ["k1", "k2", "template"]).groupBy("row", "doc_id", "license").agg(F.max(F.struct("at.common", "at.dice", (-F.col("template")).alias("minus"), "at.start")).alias("p"))
+    out = shown.select("doc_id", "unit", "license", "minus", "dice").unionByName(inside.select("doc_id", (-F.col("p.start")).alias("unit"), "license", "p.minus", "p.dice"))
     return out.select("doc_id", F.col("unit").cast("long").alias("unit"), "license", (-F.col("minus")).cast("long").alias("template"), "dice")
 
 

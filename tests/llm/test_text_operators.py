@@ -74,6 +74,61 @@ def test_licenses_are_found_in_passages(spark):
     }
 
 
+def brute_passages(text, templates, percent):
+    """Every run of bigrams against every template."""
+    w = licenses.normal_words(text)
+    every, found = [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)], {}
+    for k, (name, t) in enumerate(templates):
+        b, best = set(licenses.bigrams(licenses.normal_words(t))), None
+        for s in range(len(every)):
+            seen = set()
+            for e in range(s, len(every)):
+                seen.add(every[e])
+                common = len(seen & b)
+                if every[s] in b and every[e] in b and 200 * common >= percent * (len(seen) + len(b)):
+                    best = max(best or (0,), (2.0 * common / (len(seen) + len(b)), -(e + 1), s + 1, common))
+        if best:
+            found[name] = max(found.get(name, (0,)), (best[3], best[0], -k, best[2]))
+    return {name: (-p[3], -p[2], round(p[1], 9)) for name, p in found.items()}
+
+
+@pytest.mark.parametrize("percent", [80, 90, 100])
+def test_passages_match_brute_force(spark, percent):
+    rng = random.Random(percent)
+    word = lambda: rng.choice("license permission notice copies software the of to a".split())
+    templates = [("A", "the license notice of software copies a permission"), ("B", "permission notice of the license"), ("A", "copies of the software license to notice a permission notice")]
+    texts = []
+    for _ in range(60):
+        parts = [" ".join(word() for _ in range(rng.randint(0, 6)))]
+        for _ in range(rng.randint(1, 3)):
+            t = rng.choice(templates)[1].split()
+            parts += [" ".join(x for x in t if rng.random() < 0.97), " ".join(word() for _ in range(rng.randint(0, 4)))]
+        texts.append("".join(x + rng.choice("  \n") for x in " ".join(parts).split()))
+    got, want = {}, {}
+    for r in licenses.scan_licenses(frame(spark, list(enumerate(texts))), templates, percent).collect():
+        got.setdefault(r.doc_id, {})[r.unit if r.unit >= 0 else r.license] = (r.unit, r.template, round(r.dice, 9)) if r.unit < 0 else r.license
+    for i, t in enumerate(texts):
+        shown = {v for u, v in got.get(i, {}).items() if isinstance(u, int)}
+        inside = {n: v for n, v in brute_passages(t, templates, percent).items() if n not in shown}
+        assert {u: v for u, v in got.get(i, {}).items() if isinstance(u, str)} == inside, t
+        want[i] = inside
+    assert sum(map(len, want.values())) > 10
+
+
+def test_passages_take_time_in_proportion(spark):
+    """A text of 400 notices, none of them a line, takes at most twice as long as one of 200, planning left out."""
+    import time
+
+    filler, notice, took = " ".join(f"word{i}" for i in range(2000)), licenses.TEMPLATES[3][1], {}
+    for k in (1, 1, 200, 400):
+        docs = frame(spark, [(1, " ".join([filler, *[notice] * k]))])
+        began = time.perf_counter()
+        got = licenses.scan_licenses(docs).collect()
+        took[k] = time.perf_counter() - began
+        assert [(r.unit, r.license, r.dice) for r in got] == [(-2001, "MIT", 1.0)]
+    assert took[400] - took[1] <= 2.5 * (took[200] - took[1]) + 1, took
+
+
 def words_of(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c < "\x80" else c for c in text or ""))
 
