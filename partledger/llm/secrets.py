@@ -34,7 +34,37 @@ RULES = (
     Rule("hex", r"[0-9a-f]{16,}", 0, 16),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----"),
+    # Published formats of keys, tokens and links that carry them.
+    Rule("gitlab", r"glpat-[A-Za-z0-9_-]{20,}"),
+    Rule("npm", r"npm_[A-Za-z0-9]{36}"),
+    Rule("pypi", r"pypi-AgEIcHlwaS5vcmc[A-Za-z0-9_-]{50,}"),
+    Rule("google_key", r"AIza[0-9A-Za-z_-]{35}"),
+    Rule("google_token", r"ya29\.[0-9A-Za-z_-]{20,}"),
+    Rule("stripe", r"[sr]k_live_[0-9a-zA-Z]{24,}"),
+    Rule("square", r"sq0(?:csp|atp)-[0-9A-Za-z_-]{22,}"),
+    Rule("sendgrid", r"SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43}"),
+    Rule("mailgun", r"key-[0-9a-f]{32}"),
+    Rule("mailchimp", r"[0-9a-f]{32}-us[0-9]{1,2}"),
+    Rule("openai", r"sk-[A-Za-z0-9_-]{20,}T3BlbkFJ[A-Za-z0-9_-]{20,}"),
+    Rule("huggingface", r"hf_[A-Za-z0-9]{34,}"),
+    Rule("aws_session", r"ASIA[A-Z0-9]{16}"),
+    Rule("slack_hook", r"hooks\.slack\.com/services/T[A-Z0-9]+/B[A-Z0-9]+/[A-Za-z0-9]+"),
+    Rule("discord_hook", r"discord(?:app)?\.com/api/webhooks/[0-9]+/[A-Za-z0-9_-]+"),
+    Rule("telegram", r"[0-9]{8,10}:AA[A-Za-z0-9_-]{33}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("url_password", r"[a-z]{2,12}://[A-Za-z0-9._%-]{1,64}:[A-Za-z0-9._%!$*-]{1,64}@[A-Za-z0-9]"),
+    Rule("digitalocean", r"do[opr]_v1_[a-f0-9]{64}"),
+    Rule("shopify", r"shp(?:at|ca|pa|ss)_[a-fA-F0-9]{32}"),
+    Rule("databricks", r"dapi[0-9a-f]{32}"),
+    Rule("doppler", r"dp\.pt\.[A-Za-z0-9]{40,}"),
+    Rule("heroku", r"HRKU-[0-9A-Za-z_-]{36,}"),
+    Rule("linear", r"lin_api_[A-Za-z0-9]{40}"),
+    Rule("newrelic", r"NRAK-[A-Z0-9]{27}"),
+    Rule("azure_storage", r"AccountKey=[A-Za-z0-9+/=]{40,}"),
+    Rule("atlassian", r"ATATT3[A-Za-z0-9_=-]{60,}"),
+    Rule("age", r"AGE-SECRET-KEY-1[A-Z0-9]{58}"),
+    Rule("putty", r"PuTTY-User-Key-File-[0-9]"),
 )
 BASE = ("assign", "access", "hex")
 

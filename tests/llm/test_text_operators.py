@@ -34,6 +34,25 @@ def test_secrets_match_brute_force(spark):
     assert secrets.scan_secrets(docs.limit(0)).count() == 0
 
 
+PUBLISHED = {
+    "gitlab": "glpat-" + "aB3_" * 5, "npm": "npm_" + "a1B2" * 9, "pypi": "pypi-AgEIcHlwaS5vcmc" + "xY_1" * 13, "google_key": "AIza" + "a-B_1" * 7, "google_token": "ya29." + "aB1_" * 6, "stripe": "sk_live_" + "a1B2" * 6, "square": "sq0csp-" + "aB1_" * 6,
+    "sendgrid": "SG." + "a1" * 11 + "." + "b" * 43, "mailgun": "key-" + "0a" * 16, "mailchimp": "0a" * 16 + "-us12", "openai": "sk-" + "a1" * 10 + "T3BlbkFJ" + "b2" * 10, "huggingface": "hf_" + "aB" * 17, "aws_session": "ASIA" + "A1" * 8,
+    "slack_hook": "https://hooks.slack.com/services/T0A/B1B/c2", "discord_hook": "https://discordapp.com/api/webhooks/12/a_b", "telegram": "123456789:AA" + "a" * 33, "jwt": "eyJ" + "a" * 9 + ".eyJ" + "b" * 9 + "." + "c" * 9, "url_password": "https://user:pa55!@host",
+    "digitalocean": "dop_v1_" + "0a" * 32, "shopify": "shpat_" + "0A" * 16, "databricks": "dapi" + "0a" * 16, "doppler": "dp.pt." + "aB" * 20, "heroku": "HRKU-" + "a-B1" * 9, "linear": "lin_api_" + "aB" * 20, "newrelic": "NRAK-" + "A1B" * 9,
+    "azure_storage": "AccountKey=" + "a+/B" * 11, "atlassian": "ATATT3" + "aB_=" * 15, "age": "AGE-SECRET-KEY-1" + "A1" * 29, "putty": "PuTTY-User-Key-File-2", "pem": "-----BEGIN PGP PRIVATE KEY BLOCK-----",
+}
+
+
+def test_published_formats(spark):
+    """Each format is found where it is, has mandatory trigrams, and a broken one is not found."""
+    queries = {r.kind: secrets.trigram_query(r.regex) for r in secrets.RULES}
+    assert len(secrets.RULES) > 30 and all(queries[k] != secrets.ANY for k in PUBLISHED) and queries["hex"] == secrets.ANY
+    rows = [(i, f"é text {v} end") for i, v in enumerate(PUBLISHED.values())] + [(100 + i, f"x {v[:7]} y") for i, v in enumerate(PUBLISHED.values())]
+    got = {r.doc_id: [tuple(x) for x in r.secrets] for r in secrets.scan_secrets(frame(spark, rows)).collect()}
+    assert got == {i: secrets.brute_force(t) for i, t in rows}
+    assert all(k in [kind for _, _, kind, _ in got[i]] for i, k in enumerate(PUBLISHED))
+
+
 def test_trigram_queries():
     assert secrets.trigram_query(r"[0-9a-f]{16,}") == secrets.ANY
     assert secrets.trigram_query(r"AKIA[A-Z0-9]+") == frozenset([frozenset(["aki", "kia"])])
