@@ -215,3 +215,50 @@ def match_products(items: DataFrame, products: DataFrame) -> DataFrame:
         steps = steps.unionByName(step.withColumn("step", F.lit(k)))
     best = steps.groupBy("item").agg(F.min(F.struct("step", "product", "confidence", "reason")).alias("b")).select("item", "b.product", "b.confidence", "b.reason")
     return items.select("item").join(best, "item", "left").withColumn("reason", F.coalesce("reason", F.lit("no_product_match")))
+
+
+def name_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(left, right) for each two distinct names, one of which stands in the other, from (name) and (name)."""
+    texts = lambda df: df.select(F.col("name").alias("id"), F.col("name").alias("text")).filter("text <> ''").distinct()
+    inner = contained_names(texts(left), right).select(F.col("id").alias("left"), F.col("name").alias("right"))
+    outer = contained_names(texts(right), left).select(F.col("name").alias("left"), F.col("id").alias("right"))
+    return inner.unionByName(outer).distinct()
+
+
+def internal_matches(items: DataFrame, products: DataFrame, k: int = 5) -> DataFrame:
+    """(item, product, score, place): up to k products of one's own for each item, from items (item, category, brand, model, title) and
+    products (product, category, brand, model), whose names are compared without spaces in lower case.
+
+    Two points for a brand that stands in the other's or the other way round, two for models likewise, or for a model that
+    stands in the item's own title, which counts for every product with a model. Products of another category don't count, unless one has none.
+    Products without points, and more than k, are left out, the most points first and then by product. Names meet by containment
+    joins over distinct names. Where an item's title speaks for every product, its best are those with a brand as well and the first k of
+    its category, so no others are made.
+    """
+    bare = lambda c: F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", ""))
+    asked = written(items.select("item", F.trim(F.coalesce("category", F.lit(""))).alias("category"), bare("brand").alias("brand"), bare("model").alias("model"), bare("title").alias("title")))
+    given = written(products.select("product", F.trim(F.coalesce("category", F.lit(""))).alias("of"), bare("brand").alias("p_brand"), bare("model").alias("p_model")))
+    named = lambda df, c: df.select(F.col(c).alias("name")).filter("name <> ''").distinct()
+    brands = written(name_pairs(named(asked, "brand"), named(given, "p_brand")))
+    models = written(name_pairs(named(asked, "model"), named(given, "p_model")))
+    spoken = asked.filter((F.col("model") != "") & F.contains("title", F.col("model"))).select("item")
+    by_brand = asked.join(brands, F.col("brand") == F.col("left")).join(given, F.col("right") == F.col("p_brand")).select("item", "product")
+    by_model = asked.join(models, F.col("model") == F.col("left")).join(given, F.col("right") == F.col("p_model")).select("item", "product")
+    # The first k products with a model of each category, where those without one belong to all; and of all products.
+    with_model = given.filter("p_model <> ''").select("product", "of")
+    few = lambda df, *keys: df.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("product"))).filter(F.col("n") <= k).drop("n")
+    listed = few(with_model.filter("of <> ''"), "of")
+    open_ = few(with_model.filter("of = ''"), "of").select("product")
+    first = few(with_model.withColumn("one", F.lit(1)), "one").select("product")  # every task keeps its own first k
+    wanted = asked.join(spoken, "item", "left_semi").select("item", "category")
+    listed = listed.unionByName(first.select("product", F.lit("").alias("of")))  # an item without a category meets the first of all
+    by_title = wanted.join(listed, F.col("category") == F.col("of")).select("item", "product")
+    every = open_.agg(F.lit(1).alias("one"), F.collect_list("product").alias("products"))  # one row of k products at most
+    with_category = wanted.filter("category <> ''").select("item", F.lit(1).alias("one"))
+    by_title = by_title.unionByName(with_category.join(F.broadcast(every), "one").select("item", F.explode("products").alias("product")))
+    met = by_brand.unionByName(by_model).unionByName(by_title).distinct().join(asked, "item").join(given, "product")
+    met = met.filter((F.col("category") == "") | (F.col("of") == "") | (F.col("category") == F.col("of")))
+    within = lambda a, b: (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a))
+    points = F.when(within(F.col("brand"), F.col("p_brand")), 2).otherwise(0) + F.when((F.col("model") != "") & (F.col("p_model") != "") & (within(F.col("model"), F.col("p_model")) | F.contains("title", F.col("model"))), 2).otherwise(0)
+    place = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), "product"))
+    return met.withColumn("score", points).filter("score >= 2").withColumn("place", place).filter(F.col("place") <= k).select("item", "product", "score", "place")

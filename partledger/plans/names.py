@@ -114,3 +114,21 @@ def title_match_cascade(part):
     other = F.when(F.col("p_partkey") % 11 == 0, F.col("p_size").cast("string")).otherwise(folded_key(whole))
     products = part.select(F.col("p_partkey").alias("product"), F.when(F.col("p_partkey") % 2 == 0, canonical_id("p_brand", whole)).otherwise("").alias("canonical"), folded_key("p_brand").alias("brand"), other.alias("model"))
     return S.match_products(items, products)
+
+
+@query("""
+WITH i AS (SELECT p_partkey AS item, CASE WHEN p_size % 4 = 0 THEN '' ELSE p_type END AS category, CASE p_size % 3 WHEN 0 THEN lower(p_brand) WHEN 1 THEN '' ELSE lower(p_brand) || 'x' END AS brand, CASE WHEN p_size % 5 = 0 THEN '' ELSE replace(p_name, ' ', '') || p_size END AS model, CASE WHEN p_size % 7 = 0 THEN 'the' || replace(p_name, ' ', '') || p_size ELSE '' END AS title FROM part),
+p AS (SELECT p_partkey AS product, CASE WHEN p_size % 6 = 0 THEN '' ELSE p_type END AS o, lower(p_brand) AS b, CASE WHEN p_size % 10 = 9 THEN '' ELSE replace(p_name, ' ', '') || (p_size % 20) END AS m FROM part WHERE p_size > 25),
+s AS (SELECT item, product, CASE WHEN brand <> '' AND (contains(brand, b) OR contains(b, brand)) THEN 2 ELSE 0 END + CASE WHEN model <> '' AND m <> '' AND (contains(model, m) OR contains(m, model) OR contains(title, model)) THEN 2 ELSE 0 END AS score FROM i JOIN p ON category = '' OR o = '' OR category = o)
+SELECT item, product, score::INT AS score, row_number() OVER (PARTITION BY item ORDER BY score DESC, product)::INT AS place FROM s WHERE score >= 2 QUALIFY place <= 5
+""", "part")
+def internal_products(part):
+    """Products of one's own beside each product, by brand and model in each other or in its title; larger sizes stand for one's own."""
+    whole = F.concat("p_name", F.col("p_size").cast("string"))
+    third = F.col("p_size") % 3
+    items = part.select(
+        F.col("p_partkey").alias("item"), F.when(F.col("p_size") % 4 != 0, F.col("p_type")).alias("category"), F.when(third == 0, F.col("p_brand")).when(third == 2, F.concat("p_brand", F.lit("x"))).alias("brand"), F.when(F.col("p_size") % 5 != 0, whole).alias("model"),
+        F.when(F.col("p_size") % 7 == 0, F.concat(F.lit("The "), whole)).alias("title"),
+    )
+    own = part.filter("p_size > 25").select(F.col("p_partkey").alias("product"), F.when(F.col("p_size") % 6 != 0, F.col("p_type")).alias("category"), "p_brand", F.when(F.col("p_size") % 10 != 9, F.concat("p_name", (F.col("p_size") % 20).cast("string"))).alias("model"))
+    return S.internal_matches(items, own.withColumnRenamed("p_brand", "brand"))
