@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("supply", "activity", "entities", "texts", "flows", "curation", "scalars", "validation", "products", "names", "extraction", "captions", "nested", "reports", "snapshots", "discovery", "scores")
+MODULES: tuple[str, ...] = ("supply", "activity", "entities", "texts", "flows", "curation", "scalars", "validation", "products", "names", "extraction", "captions", "nested", "reports", "snapshots", "discovery", "scores", "costs")
 
 
 def _gather(attribute: str) -> dict:
