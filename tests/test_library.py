@@ -294,6 +294,7 @@ def test_merged_inventory(spark):
 
 def test_queries_without_sql_give_right_values(spark):
     """Keys and blocks of whole tables against Python's own reading of the rows."""
+    import hashlib
     import html
     import re
     import unicodedata
@@ -303,8 +304,10 @@ def test_queries_without_sql_give_right_values(spark):
     sf, queries = "/root/testdata/sf0.001", registry.queries()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in queries["unicode_keys"](spark, sf).collect():
-        head = texts[r.doc_id].split("\n")[0]
-        assert r.key == "".join(c for c in unicodedata.normalize("NFKC", head).casefold() if c.isalnum())
+        key = "".join(c for c in unicodedata.normalize("NFKC", texts[r.doc_id]).casefold() if c.isalnum())
+        bare = unicodedata.normalize("NFKD", texts[r.doc_id]).encode("ascii", "ignore").decode().lower()
+        slug = "-".join(re.findall("[a-z0-9]+", bare)) or "unknown"
+        assert (r.key, r.slug) == tuple(hashlib.md5(x.encode()).hexdigest() for x in (key, slug))
     assert all(r.as_before for r in queries["mojibake_repair"](spark, sf).collect() if r.doc_id % 7 or texts[r.doc_id].isascii())
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     titles = {r.page_id: r.text for r in queries["html_block_table"](spark, sf).filter("kind = 'h1'").collect()}

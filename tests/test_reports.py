@@ -92,6 +92,17 @@ def test_merged_captions_match_a_fold(spark):
     assert sorted(map(tuple, got)) == sorted(merged([r for r in rows if r[3]])) and len(got) < 170
 
 
+def test_merge_query_matches_a_fold(spark):
+    from partledger.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    said = ("这是耳机的主板", "这是耳机的主板特写", "另一段话", "这是耳机的主板。", "", "这是耳机主板")
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey", "l_orderkey", "l_partkey").collect()
+    rows = {(r.l_suppkey, float(r.l_orderkey), r.l_orderkey + (0.5 if r.l_partkey % 3 == 0 else 0.9), said[r.l_partkey % len(said)], 1) for r in lines}
+    got = registry.queries()["caption_merge"](spark, sf).select("video", "start", "end", "text", "samples").collect()
+    assert sorted(map(tuple, got)) == sorted(merged(rows)) and len(got) < len(rows)
+
+
 def test_sameness_in_tasks_and_in_expressions_agree(spark):
     rnd = random.Random(1)
     word = lambda: "".join(rnd.choice("ab，c d") for _ in range(rnd.randint(0, 9)))
