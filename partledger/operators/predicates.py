@@ -11,6 +11,7 @@ from partledger.functions.spans import any_marker
 from partledger.operators import lexicons as L
 from partledger.operators.reports import has_any
 from partledger.operators.similarity import match_products
+from partledger.sources.shared import merged
 
 
 def is_roundup(title: Column, markers: Sequence[str] = L.ROUNDUP_MARKERS, topics: Sequence[str] = L.HEADPHONE_MARKERS) -> Column:
@@ -87,7 +88,7 @@ def discovered_videos(videos: DataFrame, known: DataFrame, products: DataFrame,
     active = known.filter(F.col("status").isin(*L.ACTIVE_STATUSES) & (F.col("canonical") != "")).withColumn("n", rank).filter("n <= 2")
     primary = active.groupBy("canonical").agg(F.sort_array(F.collect_list(F.struct("n", F.col("video").alias("id")))).alias("first"))
     old = known.filter(~F.col("status").isin(*L.OPEN_STATUSES)).select("video", F.col("status").alias("old"))
-    held = videos.select(F.col("item").alias("video"), F.coalesce("canonical", F.lit("")).alias("canonical")).join(matched, "video").join(done, "product", "left").join(primary, "canonical", "left").join(old, "video", "left")
+    held = videos.select(F.col("item").alias("video"), F.coalesce("canonical", F.lit("")).alias("canonical")).join(merged(matched), "video").join(merged(done), "product", "left").join(merged(primary), "canonical", "left").join(merged(old), "video", "left")
     other = F.get(F.filter("first", lambda f: f["id"] != F.col("video")), F.lit(0))["id"]
     sure = F.col("product").isNotNull() & (F.col("confidence") >= L.SURE)
     queued = lambda reason: F.when(other.isNotNull(), F.struct(F.lit("candidate_secondary_video").alias("status"), F.concat(F.lit("primary_video:"), other.cast("string")).alias("reason"))).otherwise(F.struct(F.lit("queued").alias("status"), F.lit(reason).alias("reason")))
