@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from partledger.functions.spans import all_spans, any_marker, any_match, around, clauses, first_label, first_span
 from partledger.operators import lexicons as L
 from partledger.operators.similarity import contained_names
+from partledger.sources.shared import written
 
 #: Blocks within which a paragraph's image stands, and the fewest characters of a paragraph or clause.
 IMAGE_REACH, SHORTEST = 4, 5
@@ -139,6 +140,7 @@ def prose_parts(texts: DataFrame, key: str, text: str) -> DataFrame:
     """
     segments = texts.select(key, F.posexplode(side_segments(F.coalesce(F.col(text), F.lit("")))).alias("segment", "s"))
     rows = segments.select(key, "segment", F.col("s.side").alias("of"), F.posexplode(clauses(F.col("s.text"), "。！？!?；")).alias("clause", "said")).filter("said <> ''")
+    rows = written(rows, "clauses")  # four kinds of parts are read from them
     said, side = F.col("said"), clause_side(F.col("said"), F.col("of"))
     row = lambda df, kind, component, brand, model, qty, where, role, sure, order, canon: df.select(
         key, F.struct("segment", F.lit(kind).alias("kind"), "clause", *order).alias("at"), F.lit(component).alias("component"), brand.alias("brand"), model.alias("model"), qty.alias("qty"), where.alias("side"), role.alias("role"), F.substring(said, 1, 300).alias("evidence"), F.lit(sure).alias("confidence"), canon.alias("canon")

@@ -9,7 +9,7 @@ from partledger.functions.text import canonical_id
 from partledger.operators import predicates as P
 from partledger.plans.extraction import expected_sql, rendered
 from partledger.plans.names import _MATCH_SQL
-from partledger.sources.tables import table
+from partledger.sources.tables import dealt
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -17,7 +17,7 @@ ORACLE_SQL: dict = {}
 
 def query(sql: str, *names: str):
     def keep(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(*(table(spark, sf_dir, n) for n in names))
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(*(dealt(spark, sf_dir, n) for n in names))
         ORACLE_SQL[f.__name__] = sql.strip()
         return f
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from partledger.operators import extraction as E
 from partledger.operators.blocks import html_blocks
-from partledger.sources.tables import table
+from partledger.sources.tables import dealt
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -21,7 +21,7 @@ NUMBERS = {"{a}": (100, 900), "{b}": (30, 60), "{c}": (6, 9)}
 
 def query(sql: str, *names: str):
     def keep(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(*(table(spark, sf_dir, n) for n in names))
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(*(dealt(spark, sf_dir, n) for n in names))
         if sql:
             ORACLE_SQL[f.__name__] = sql.strip()
         return f

@@ -6,12 +6,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partledger.functions.text import first_rule
+from partledger.sources.shared import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a table of short rows that one task takes where each row costs much work.
+DEALT_ROWS = 8192
+
+
+def dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table dealt out by its key, so that each row's text can cost a task milliseconds.
+
+    A part's row is a few bytes in a file, so a million of them are one split or two, and whatever is rendered and extracted from
+    them would run in as many tasks. Their number follows from the rows (a count that a Parquet file's footer answers). The dealt
+    rows are written, since the optimizer would put filters over what is extracted, and so the extraction, before the shuffle. Tables
+    whose rows are longer have splits enough and stay as they are, as do small ones.
+    """
+    rows = table(spark, sf_dir, name)
+    if name != "part" or (n := -(-rows.count() // DEALT_ROWS)) <= 1:
+        return rows
+    return written(rows.repartition(n, rows.columns[0]), "dealt")
+
+
 def supply_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The analysis rows: line items as evidence that a product (customer) has a component (part) from a manufacturer.
 

@@ -170,3 +170,14 @@ def test_summary_start(spark):
     rows += [("b", t, t, x, 100.0) for t, x in [(60.0, "以上就是全部拆解"), (70.0, "最后来看")]] + [("c", 56.0, 56.0, "下面回顾总结", 100.0), ("d", 1.0, 1.0, "别的", 100.0)]
     got = C.summary_start(spark.createDataFrame(rows, "v string, start double, id double, text string, duration double"), "v", "start", "id", "text", "duration").collect()
     assert {r.v: (r.detected, r.summary_start, r.strong, r.weak) for r in got} == {"a": (True, 60.0, 0, 3), "b": (False, None, 0, 2), "c": (True, 56.0, 1, 0), "d": (False, None, 0, 0)}
+
+
+def test_short_rows_are_dealt_out_before_they_are_read(spark, monkeypatch):
+    from partledger.sources import tables
+
+    monkeypatch.setattr(tables, "DEALT_ROWS", 16)
+    sf = "/root/testdata/sf0.001"
+    part, whole = tables.dealt(spark, sf, "part"), tables.table(spark, sf, "part")
+    files = len(part.inputFiles())
+    assert files > 6 and sorted(part.collect()) == sorted(whole.collect())
+    assert tables.dealt(spark, sf, "supplier").inputFiles() == tables.table(spark, sf, "supplier").inputFiles()
