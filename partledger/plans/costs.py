@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from partledger.operators import costs as C
 from partledger.plans.extraction import NUMBERS, expected_sql
-from partledger.sources.tables import table
+from partledger.sources.tables import dealt
 
 #: Of each kind: rows of the parts list and chips (role, component, side, brand, model, evidence), specifications (param, value, unit, model, source).
 REPORTS = (
@@ -55,7 +55,7 @@ def cost_sheets(spark, sf_dir):
     row = ("role", "component", "side", "brand", "model", "evidence")
     fields = {"materials": F.array(F.lit("硅胶"), F.lit(""), F.lit("铝")), "ip_rating": F.lit("IPX4"), "form_factor": F.lit(None).cast("string")}
     cells = C.cost_cells(of_kind(0, row, C.ROWS), of_kind(1, row, C.ROWS), of_kind(2, ("param", "value", "unit", "model", "source_ref"), C.SPECS), fields, F.array(numbered("备用{c}")))
-    return table(spark, sf_dir, "part").select("p_partkey", F.explode(F.filter(cells, lambda c: c["value"] != "")).alias("c")).select("p_partkey", F.col("c.key").alias("cell"), "c.value", "c.evidence")
+    return dealt(spark, sf_dir, "part").select("p_partkey", F.explode(F.filter(cells, lambda c: c["value"] != "")).alias("c")).select("p_partkey", F.col("c.key").alias("cell"), "c.value", "c.evidence")
 
 
 QUERIES = {"cost_sheets": cost_sheets}
