@@ -14,7 +14,7 @@ from partledger.operators.blocks import html_media
 from partledger.plans.extraction import expected_sql, rendered
 from partledger.sources import readers, writers
 from partledger.sources.shared import shared_path
-from partledger.sources.tables import table
+from partledger.sources.tables import dealt, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -22,7 +22,7 @@ ORACLE_SQL: dict = {}
 
 def query(sql: str, *names: str):
     def keep(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(*(table(spark, sf_dir, n) for n in names))
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(*(dealt(spark, sf_dir, n) for n in names))
         if sql:
             ORACLE_SQL[f.__name__] = sql.strip()
         return f
