@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HEADINGS = {"h1": 1, "h2": 2, "h3": 3, "h4": 4, "h5": 5, "h6": 6}
 BREAKS = {"p", "li", "figcaption", "td", "blockquote", *HEADINGS}
 HIDDEN = {"script", "style", "noscript", "template"}
+#: Pages whose blocks are made at once.
+PAGES = 128
 AREAS = {"nav", "article", "footer", "header", "aside"}
 
 
@@ -57,21 +59,26 @@ class _Blocks(HTMLParser):
             self.words.append(data)
 
 
-def html_blocks(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, pos, kind, level, area, text, src): headings, paragraphs and images of each page in order; no built-in parses HTML."""
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            rows = []
-            for k, h in zip(part[key], part[html], strict=True):
+def block_batches(batches: Iterator[pa.RecordBatch], key: str, html: str) -> Iterator[pa.RecordBatch]:
+    """The blocks of batches of pages, of a few pages at a time: a task holds an Arrow batch and the objects of those few."""
+    for whole in batches:
+        schema = pa.schema([whole.schema.field(key), ("pos", pa.int64()), ("kind", pa.string()), ("level", pa.int32()), ("area", pa.string()), ("text", pa.string()), ("src", pa.string())])
+        for at in range(0, whole.num_rows, PAGES):
+            part, rows = whole.slice(at, PAGES), []
+            for k, h in zip(part.column(key), part.column(html), strict=True):
                 parser = _Blocks()
-                parser.feed(h or "")
+                parser.feed(h.as_py() or "")
                 parser.close()
                 parser.flush()
-                rows += [(k, i, *b) for i, b in enumerate(parser.blocks)]
-            yield pd.DataFrame(rows, columns=[key, "pos", "kind", "level", "area", "text", "src"])
+                rows += [(k.as_py(), i, *b) for i, b in enumerate(parser.blocks)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return pages.select(key, html).mapInPandas(each, f"{key} {dict(pages.dtypes)[key]}, pos long, kind string, level int, area string, text string, src string")
+
+def html_blocks(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, pos, kind, level, area, text, src): headings, paragraphs and images of each page in order; no built-in parses HTML."""
+    each = lambda batches: block_batches(batches, key, html)
+    return pages.select(key, html).mapInArrow(each, f"{key} {dict(pages.dtypes)[key]}, pos long, kind string, level int, area string, text string, src string")
 
 
 def sections(blocks: DataFrame, key: str) -> DataFrame:

@@ -181,3 +181,16 @@ def test_short_rows_are_dealt_out_before_they_are_read(spark, monkeypatch):
     files = len(part.inputFiles())
     assert files > 6 and sorted(part.collect()) == sorted(whole.collect())
     assert tables.dealt(spark, sf, "supplier").inputFiles() == tables.table(spark, sf, "supplier").inputFiles()
+
+
+def test_blocks_are_made_of_a_few_pages_at_a_time():
+    import pyarrow as pa
+
+    from partledger.operators.blocks import block_batches
+
+    pages = [None if i == 5 else "" if i == 6 else f"<h1>t{i}</h1><p>a<br>b</p><img src='s{i}'>" for i in range(1000)]
+    given = pa.RecordBatch.from_pydict({"page_id": pa.array(range(1000), pa.int64()), "html": pages})
+    got = list(block_batches(iter([given]), "page_id", "html"))
+    assert max(len(set(b.column("page_id").to_pylist())) for b in got) <= 128
+    rows = [tuple(r.values()) for b in got for r in b.to_pylist()]
+    assert rows == [r for i in range(1000) if i not in (5, 6) for r in [(i, 0, "h1", 1, "body", f"t{i}", ""), (i, 1, "p", 0, "body", "a b", ""), (i, 2, "img", 0, "body", "", f"s{i}")]]
