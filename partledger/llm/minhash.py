@@ -163,7 +163,14 @@ def delta_links(members: DataFrame, percent: int, within_rest: bool) -> DataFram
     frequency and met on prefixes that can't miss so many shared ones; shingles that no other delta has fall out.
     """
     unit = 2 * (100 + percent)
-    each = members.select("group", "rep", F.explode("delta").alias("e"))
+    # What a pair shares is in both deltas, so a member whose share is more than the longest delta it may meet has no links here.
+    of = members.withColumns({"rest": F.col("w") + F.col("low_w") > 0, "held": F.size("delta")})
+    sides = {"rest": F.col("rest"), "other": F.lit(True) if within_rest else ~F.col("rest")}
+    bounds = of.groupBy("group").agg(*(f(F.when(c, F.col(v))).alias(f"{n}_{v}") for n, c in sides.items() for f, v in ((F.min, "w"), (F.max, "held"))))
+    of = of.join(small(bounds), "group")
+    meets = lambda n: F.coalesce(F.greatest(F.col("w") + F.col(f"{n}_w"), F.lit(1)) <= unit * F.least("held", f"{n}_held"), F.lit(False))
+    asked = (sides["other"] & meets("rest")) | (F.col("rest") & meets("other"))
+    each = written(of.filter(asked).select("group", "rep", F.explode("delta").alias("e")), "differences")
     common = each.groupBy("group", "e").agg(F.count("*").alias("f")).filter("f > 1")
     shared = each.join(common, ["group", "e"]).groupBy("group", "rep").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("shared"))
     held = members.select("group", "rep", "w", (F.col("w") + F.col("low_w") > 0).alias("rest")).join(shared, ["group", "rep"])

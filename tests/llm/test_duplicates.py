@@ -194,3 +194,22 @@ def test_line_dedup_matches_brute_force(spark, edits, words_per_edit):
         kept = None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if (-1 if i is None else i, p) not in want)
         assert r.text == kept and r.pos == "clash"
     assert linededup.dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_deltas_are_unfolded_once(spark, monkeypatch):
+    """The number of differences that are held against each other is that of the members who may have links, and is made once."""
+    centre = list(range(100))
+    sets = [(i, [x for x in centre if x != i]) for i in range(1, 60)] + [(100 + i, [*centre[20:], *range(1000 + 100 * i, 1030 + 100 * i)]) for i in range(1, 40)]
+    frame = spark.createDataFrame(sets, "rep long, shingles array<long>")
+    made, plans, written = {}, [], minhash.written
+
+    def counted(df, kind="table"):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        made[kind] = (out := written(df, kind)).count()
+        return out
+
+    monkeypatch.setattr(minhash, "written", counted)
+    members = minhash.centred(frame.selectExpr("1L AS bucket", "rep"), frame, 80)
+    assert members.filter("w + low_w > 0").count() == 39
+    assert minhash.delta_links(members, 80, False).count() == 0
+    assert sum(p.count("Generate explode(delta") for p in plans) == 1 and made["differences"] == 0
