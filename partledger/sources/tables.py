@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partledger.functions.text import first_rule
@@ -31,35 +31,55 @@ def dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return written(rows.repartition(n, rows.columns[0]), "dealt")
 
 
+#: Line items that one task takes where they are grouped to analysis rows.
+LINES_A_TASK, FEW_TASKS = 200_000, 8
+
+
 def supply_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The analysis rows: line items as evidence that a product (customer) has a component (part) from a manufacturer.
 
     One row for each product, component, location, manufacturer, model and status: that with the most parameters, then the latest
-    date. Both are packed into one whole number, so the pick is a hash aggregation with partial results, not a sort; what a product
-    implies (brand, category, region) is joined afterwards and is no part of its keys. Which dimension is broadcast is left to
-    the optimizer and its size estimates.
+    date. Both are packed into one whole number, so the pick is a hash aggregation, not a sort. Nearly every line is a row of its own, so
+    partial results before the shuffle would only hold a whole split's lines; many lines are dealt by product and component to as many
+    tasks as their number asks for (a count that a Parquet file's footer answers), which holds a task's memory whatever the session's
+    partitions are. What a product implies (segment, nation) comes with its orders, so that grouped rows are not dealt again for it. Which
+    dimension is broadcast is left to the optimizer and its size estimates.
     """
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_shipdate")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    orders = orders.join(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     status = first_rule([(F.col("p_size") % 7 == 0, "not_disclosed"), (F.col("p_size") % 11 == 0, "invalid_parameter_value")], "reported")
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("component_key"), status.alias("model_status"), F.when(status == "not_disclosed", "").otherwise(F.split_part("p_name", F.lit(" "), F.lit(2))).alias("model"))
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 4 == 0, "").otherwise(F.col("s_name")).alias("manufacturer"))
     joined = line.join(part, line.l_partkey == part.p_partkey).join(supplier, line.l_suppkey == supplier.s_suppkey).join(orders, line.l_orderkey == orders.o_orderkey)
+    tasks = -(-line.count() // LINES_A_TASK)
+    if tasks > FEW_TASKS:
+        joined = joined.repartition(tasks, "o_custkey", "component_key")
     packed = F.col("l_linenumber").cast("long") * 100_000 + F.date_diff(F.to_date("l_shipdate"), F.lit("1900-01-01").cast("date"))
-    best = joined.groupBy(F.col("o_custkey").alias("product_id"), "component_key", F.col("l_returnflag").alias("usage_location"), "manufacturer", "model", "model_status").agg(F.max(packed).alias("best"))
-    return best.join(products(spark, sf_dir), "product_id").select(
-        "product_id", "product_brand", "product_category", "product_region", "component_key", "usage_location", "manufacturer", "model", "model_status",
+    keys = [F.col("o_custkey").alias("product_id"), "c_mktsegment", "c_nationkey", "component_key", F.col("l_returnflag").alias("usage_location"), "manufacturer", "model", "model_status"]
+    best = joined.groupBy(*keys).agg(F.max(packed).alias("best"))
+    return best.join(F.broadcast(nations(spark, sf_dir)), F.col("c_nationkey") == F.col("n_nationkey")).select(
+        "product_id", brand("product_id").alias("product_brand"), F.col("n_name").alias("product_category"), F.col("r_name").alias("product_region"), "component_key", "usage_location", "manufacturer", "model", "model_status",
         F.floor(F.col("best") / 100_000).alias("parameters"), F.date_add(F.lit("1900-01-01").cast("date"), (F.col("best") % 100_000).cast("int")).alias("published"),
     )
 
 
+def brand(key: str) -> Column:
+    """A product's brand: its customer's segment, blank for each tenth."""
+    return F.when(F.col(key) % 10 == 0, "").otherwise(F.col("c_mktsegment"))
+
+
+def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nations with their regions, a few rows whatever the size."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    return nation.join(region, nation.n_regionkey == region.r_regionkey).select("n_nationkey", "n_name", "r_name")
+
+
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(product_id, product_brand, product_category, product_region) of the customers."""
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
-    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    held = customer.join(nation, customer.c_nationkey == nation.n_nationkey).join(region, nation.n_regionkey == region.r_regionkey)
-    brand = F.when(F.col("c_custkey") % 10 == 0, "").otherwise(F.col("c_mktsegment"))
-    return held.select(F.col("c_custkey").alias("product_id"), brand.alias("product_brand"), F.col("n_name").alias("product_category"), F.col("r_name").alias("product_region"))
+    held = customer.join(nations(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey"))
+    return held.select(F.col("c_custkey").alias("product_id"), brand("c_custkey").alias("product_brand"), F.col("n_name").alias("product_category"), F.col("r_name").alias("product_region"))
 
 
 def supplied_products(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,3 +53,14 @@ def test_query_without_sql_runs(spark, name):
 
 def test_sql_belongs_to_queries():
     assert ORACLE.keys() <= QUERIES.keys()
+
+
+def test_many_lines_are_dealt_by_their_number(spark, duck, monkeypatch):
+    """A task takes so many lines, whatever the session's partitions are, and the rows stay the same."""
+    from partledger.sources import tables
+
+    monkeypatch.setattr(tables, "LINES_A_TASK", 300, raising=False)
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert tables.supply_rows(spark, SF).rdd.getNumPartitions() == -(-lines // 300)
+    for name in ("top_supplier_by_category", "supplier_manifest", "model_stats", "reuse_top_combo"):
+        test_query_matches_sql(spark, duck, name)
