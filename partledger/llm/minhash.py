@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partledger.llm.common import small, table, written
@@ -20,6 +20,8 @@ SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 32, 5
 #: Buckets of up to so many members are compared in pairs, larger ones by their members' differences from a centre.
 PAIRS = 32
+#: Members of a large group from which the order of its shingles is taken, about.
+ORDERED_BY = 128
 
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 C1, C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -139,61 +141,68 @@ def centred(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     largest bucket hold, and delta is where a member differs from the centre. For members a and b, |a - b| + |b - a| is
     the number of shingles in just one of their deltas: |delta a| + |delta b| - 2 |both|. The pair is linked if that is
     at most (100 - percent) / (100 + percent) of |a| + |b|, so with w = (100 + percent) |delta| - (100 - percent) |set|, if
-    w(a) + w(b) <= 2 (100 + percent) |both|. low_w is the group's least w, low_rep a member that has it.
+    w(a) + w(b) <= 2 (100 + percent) |both|. low_w is the group's least w, low_rep a member that has it. Deltas are in one order
+    for the whole group: shingles that many of some ORDERED_BY of its members have come last, by how many do, the others by their
+    hashes. Any order gives the same links; one by rising frequency gives few candidates.
     """
     groups = shared_key_components(open_, "rep", "bucket").withColumnRenamed("component", "group")
     crowd = open_.join(small(groups.withColumnRenamed("node", "rep")), "rep").groupBy("group", "bucket").agg(F.count("*").alias("crowd"))
     home = crowd.groupBy("group").agg(F.max(F.struct("crowd", "bucket")).alias("h")).select(F.col("h.bucket").alias("bucket"), "group", F.col("h.crowd").alias("crowd"))
-    at_home = written(open_.join(small(home), "bucket").select("rep", "group", "crowd").distinct(), "at-home")
-    held = sets.join(small(at_home), "rep").select("group", "crowd", F.explode("shingles").alias("shingle"))
-    centre = held.groupBy("group", "shingle").agg(F.count("*").alias("holders"), F.max("crowd").alias("crowd")).filter("2 * holders > crowd")
-    centre = written(centre.groupBy("group").agg(F.collect_list("shingle").alias("centre")), "centres")
+    asked = open_.join(small(home), "bucket").select("rep", "group", F.lit(1).alias("home"), F.lit(0).alias("dealt"))
+    large = groups.join(small(groups.groupBy("group").agg(F.count("*").alias("of"))), "group").filter(F.pmod(F.xxhash64("node"), F.col("of")) < ORDERED_BY)
+    asked = asked.unionByName(large.select(F.col("node").alias("rep"), "group", F.lit(0).alias("home"), F.lit(1).alias("dealt")))
+    asked = written(asked.groupBy("rep", "group").agg(F.max("home").alias("home"), F.max("dealt").alias("dealt")), "at-home")
+    held = sets.join(small(asked), "rep").select("group", "home", "dealt", F.explode("shingles").alias("shingle"))
+    at = held.groupBy("group", "shingle").agg(F.sum("home").alias("holders"), F.sum("dealt").alias("f"))
+    at = at.join(small(asked.groupBy("group").agg(F.sum("home").alias("crowd"), F.sum("dealt").alias("of"))), "group").withColumn("f", F.expr("least(f, of - f)"))
+    centre = F.collect_list(F.when(F.expr("2 * holders > crowd"), F.col("shingle"))).alias("centre")
+    often = F.sort_array(F.collect_list(F.when(F.expr("f > 1 and 64 * f > of"), F.struct("f", "shingle")))).alias("often")
+    centre = written(at.filter("2 * holders > crowd or (f > 1 and 64 * f > of)").groupBy("group").agg(centre, often).withColumn("often", F.col("often.shingle")), "centres")
     members = sets.join(small(groups.withColumnRenamed("node", "rep")), "rep").join(centre, "group", "left")
-    middle = F.coalesce("centre", F.array().cast("array<bigint>"))
-    members = members.select("group", "rep", F.size("shingles").cast("long").alias("n"), F.concat(F.array_except("shingles", middle), F.array_except(middle, "shingles")).alias("delta"))
+    middle, often = (F.coalesce(c, F.array().cast("array<bigint>")) for c in ("centre", "often"))
+    members = members.select("group", "rep", F.size("shingles").cast("long").alias("n"), F.concat(F.array_except("shingles", middle), F.array_except(middle, "shingles")).alias("delta"), often.alias("often"))
+    members = members.select("group", "rep", "n", F.concat(F.sort_array(F.array_except("delta", "often")), F.array_intersect("often", "delta")).alias("delta"))
     members = written(members.withColumn("w", (100 + percent) * F.size("delta").cast("long") - (100 - percent) * F.col("n")).drop("n"), "deltas")
     low = members.groupBy("group").agg(F.min(F.struct("w", "rep")).alias("low")).select("group", F.col("low.w").alias("low_w"), F.col("low.rep").alias("low_rep"))
     return members.join(small(low), "group")
 
 
-def delta_links(members: DataFrame, percent: int, within_rest: bool) -> DataFrame:
-    """(a, b): the linked pairs of a group's rest (members with w + low_w > 0) with its other members, or also within the rest.
+def delta_links(members: DataFrame, percent: int, within_rest: bool | str) -> DataFrame:
+    """(a, b): the linked pairs of a group's rest (members with w + low_w > 0) with its other members, or also within the rest
+    (within_rest may name a column that says so for each group).
 
-    Such a pair has to share (w(a) + w(b)) / (2 (100 + percent)) shingles of its deltas, one at least. Those are ordered by rising
-    frequency and met on prefixes that can't miss so many shared ones; shingles that no other delta has fall out.
+    Such a pair has to share (w(a) + w(b)) / (2 (100 + percent)) shingles of its deltas, one at least. What just one of its deltas has
+    is its sets' difference, (100 - percent) / percent of either set at most. So the first shingle that both deltas have, in
+    the group's order, has no more than so many before it in either: only such prefixes are unfolded, and pairs that meet there
+    are confirmed on whole deltas.
     """
     unit = 2 * (100 + percent)
-    # What a pair shares is in both deltas, so a member whose share is more than the longest delta it may meet has no links here.
-    of = members.withColumns({"rest": F.col("w") + F.col("low_w") > 0, "held": F.size("delta")})
-    sides = {"rest": F.col("rest"), "other": F.lit(True) if within_rest else ~F.col("rest")}
-    bounds = of.groupBy("group").agg(*(f(F.when(c, F.col(v))).alias(f"{n}_{v}") for n, c in sides.items() for f, v in ((F.min, "w"), (F.max, "held"))))
+    members = members.withColumns({"rest": F.col("w") + F.col("low_w") > 0, "within": F.lit(within_rest) if isinstance(within_rest, bool) else F.col(within_rest), "size": F.size("delta").cast("long")})
+    # What a pair shares is in both deltas, so neither's w is more than what the other's whole delta, if it has any, would allow (most).
+    of = members.filter("size > 0").withColumn("most", unit * F.col("size") - F.col("w"))
+    sides = {"rest": F.col("rest"), "other": F.col("within") | ~F.col("rest")}
+    bounds = of.groupBy("group").agg(*(f(F.when(c, F.col(v))).alias(f"{n}_{v}") for n, c in sides.items() for f, v in ((F.min, "w"), (F.max, "most"))))
     of = of.join(small(bounds), "group")
-    meets = lambda n: F.coalesce(F.greatest(F.col("w") + F.col(f"{n}_w"), F.lit(1)) <= unit * F.least("held", f"{n}_held"), F.lit(False))
-    asked = (sides["other"] & meets("rest")) | (F.col("rest") & meets("other"))
-    each = written(of.filter(asked).select("group", "rep", F.explode("delta").alias("e")), "differences")
-    common = each.groupBy("group", "e").agg(F.count("*").alias("f")).filter("f > 1")
-    shared = each.join(common, ["group", "e"]).groupBy("group", "rep").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("shared"))
-    held = members.select("group", "rep", "w", (F.col("w") + F.col("low_w") > 0).alias("rest")).join(shared, ["group", "rep"])
-    held = written(held.select("group", "rep", "w", "rest", F.col("shared.e").alias("shared")), "shared")
-
-    def prefixes(frame: DataFrame, others: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
-        """The members that can share enough with one of the others, and their (group, e) on the prefix, with places."""
-        least = others.groupBy("group").agg(F.min("w").alias("least"))
-        need = F.greatest(F.ceil((F.col("w") + F.col("least")) / unit), F.lit(1)).cast("int")
-        able = frame.join(small(least), "group").withColumn("need", need).filter(F.col("need") <= F.size("shared"))
-        places = able.select("group", "rep", "w", "rest", F.size("shared").alias("size"), F.posexplode(F.slice("shared", F.lit(1), F.size("shared") - F.col("need") + 1)).alias("place", "e"))
-        return able, places.withColumnsRenamed({c: f"{side}_{c}" for c in ("rep", "w", "rest", "size", "place")})
-
-    rest = held.filter("rest")
-    indexed, index = prefixes(held if within_rest else held.filter("not rest"), rest, "y")
-    _, probe = prefixes(rest, indexed, "x")
+
+    def prefix(side: Column, others: str) -> Column:
+        """The length of a member's prefix on a side, 0 if it can't have a link with the others."""
+        meets = side & (F.col("w") <= F.col(f"{others}_most")) & (F.col(f"{others}_w") <= F.col("most"))
+        need = F.greatest(F.ceil((F.col("w") + F.col(f"{others}_w")) / unit), F.lit(1))
+        apart = F.floor(((100 + percent) * F.col("size") - F.col("w")) / percent)  # (100 - percent) / percent of the set
+        return F.when(meets, F.least(F.col("size") - need, apart) + 1).otherwise(0).cast("int")
+
+    of = of.withColumns({"x_long": prefix(sides["rest"], "other"), "y_long": prefix(sides["other"], "rest")}).withColumn("long", F.greatest("x_long", "y_long"))
+    placed = F.transform(F.slice("delta", F.lit(1), F.col("long")), lambda e, i: F.struct(e.alias("e"), i.alias("place")))
+    each = of.filter("long > 0").select("group", "rep", "w", "rest", "size", "x_long", "y_long", placed.alias("delta"))
+    each = written(each.withColumn("delta", F.explode("delta")).select("group", "rep", "w", "rest", "size", "x_long", "y_long", "delta.e", "delta.place"), "differences")
+    met = lambda s: each.filter(f"place < {s}_long").select("group", "e", *(F.col(c).alias(f"{s}_{c}") for c in ("rep", "w", "rest", "size", "place")))
     left = F.least(F.col("x_size") - F.col("x_place"), F.col("y_size") - F.col("y_place"))
     once = ~F.col("y_rest") | (F.col("x_rep") < F.col("y_rep"))
-    found = probe.join(index, ["group", "e"]).filter(once & (unit * left >= F.col("x_w") + F.col("y_w")))
+    found = met("x").join(met("y"), ["group", "e"]).filter(once & (unit * left >= F.col("x_w") + F.col("y_w")))
     found = written(found.select("group", "x_rep", "y_rep").distinct(), "candidates")
-    side = lambda s: held.select("group", *(F.col(c).alias(f"{s}_{c}") for c in ("rep", "w", "shared")))
+    side = lambda s: members.select("group", *(F.col(c).alias(f"{s}_{c}") for c in ("rep", "w", "delta")))
     both = found.join(side("x"), ["group", "x_rep"]).join(side("y"), ["group", "y_rep"])
-    return both.filter(unit * F.size(F.array_intersect("x_shared", "y_shared")) >= F.col("x_w") + F.col("y_w")).select(*ordered("x_rep", "y_rep"))
+    return both.filter(unit * F.size(F.array_intersect("x_delta", "y_delta")) >= F.col("x_w") + F.col("y_w")).select(*ordered("x_rep", "y_rep"))
 
 
 def crowd_links(open_: DataFrame, sets: DataFrame, percent: int) -> list[DataFrame]:
@@ -201,20 +210,20 @@ def crowd_links(open_: DataFrame, sets: DataFrame, percent: int) -> list[DataFra
 
     Members whose w and the group's least w sum to 0 or less are linked with the one that has the least; any two of those
     that are near the centre are joined by that. Links of the rest with them are looked up; then the rest is grouped and
-    centred anew, until a round takes less than a tenth away: then links within the rest are looked up as well.
+    centred anew. Of a group that a round takes less than a tenth of, links within the rest are looked up as well, and it is done
+    with, so a group that has no centre is unfolded once, whatever the others do.
     """
     links = []
     while True:
         members = written(centred(open_, sets, percent), "members")
         near = members.filter("w + low_w <= 0")
         links.append(near.filter("rep <> low_rep").select(*ordered("rep", "low_rep")))
-        left, everyone = members.filter("w + low_w > 0").count(), members.count()
-        last = 10 * left > 9 * everyone
-        if left:
-            links.append(written(delta_links(members, percent, last), "links"))
-        if last or not left:
+        of_group = members.groupBy("group").agg(F.count("*").alias("everyone"), F.count_if(F.expr("w + low_w > 0")).alias("left"))
+        members = members.join(small(of_group.select("group", "left", F.expr("10 * left > 9 * everyone").alias("last"))), "group").filter("left > 0")
+        if members.limit(1).count() == 0:
             return links
-        rest = members.filter("w + low_w > 0").select("rep")
+        links.append(written(delta_links(members, percent, "last"), "links"))
+        rest = written(members.filter("w + low_w > 0 and not last").select("rep"), "rest")
         inside = open_.join(small(rest), "rep")
         several = inside.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high").select("bucket")
         open_ = written(inside.join(small(several), "bucket", "left_semi"), "open")

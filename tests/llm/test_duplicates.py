@@ -213,3 +213,25 @@ def test_deltas_are_unfolded_once(spark, monkeypatch):
     assert members.filter("w + low_w > 0").count() == 39
     assert minhash.delta_links(members, 80, False).count() == 0
     assert sum(p.count("Generate explode(delta") for p in plans) == 1 and made["differences"] == 0
+
+
+def test_groups_without_a_centre_are_unfolded_once_and_in_part(spark, monkeypatch):
+    """Of a group of many families, only the beginnings of the differences are unfolded, in one round, whatever another group does."""
+    rng = random.Random(9)
+    sets = {100 * f + k: {*range(1000 * f, 1000 * f + 100)} - {1000 * f + x for x in rng.sample(range(100), 8)} for f in range(12) for k in range(6)}
+    near = {5000 + k: {*range(90_000, 90_100)} - {90_000 + x for x in rng.sample(range(100), k % 15)} for k in range(60)}
+    both = sets | near
+    frame = spark.createDataFrame([(i, sorted(s)) for i, s in both.items()], "rep long, shingles array<long>")
+    made, written = {}, minhash.written
+
+    def counted(df, kind="table"):
+        out = written(df, kind)
+        made.setdefault(kind, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "written", counted)
+    links = minhash.crowd_links(frame.selectExpr("if(rep < 5000, 1L, 2L) AS bucket", "rep"), frame, 80)
+    got = {tuple(r) for t in links for r in t.collect()}
+    want = [(i, j) for i in both for j in both if i < j and 100 * len(both[i] & both[j]) >= 80 * len(both[i] | both[j])]
+    assert got <= set(want) and roots(both, got) == roots(both, want)
+    assert sum(made["differences"]) < 0.5 * sum(len(s) for s in sets.values())
