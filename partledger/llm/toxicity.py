@@ -227,14 +227,16 @@ VECTOR = ["_terms", "_counts", "_cells", "_times"]
 def term_vectors(docs: DataFrame, numbers: dict[bytes, int], text: str, keep: Sequence[str]) -> DataFrame:
     """The columns in keep with _terms, _counts, _cells and _times (as numbered), written: whole texts are split into words once."""
     sent = docs.sparkSession.sparkContext.broadcast(numbers)
-    kept = docs.select(*keep, F.col(text).cast("string").alias("_text"))
-    names = list(keep)
+    # The text goes to Python once, also where it is kept.
+    own = text in keep and docs.schema[text].dataType == T.StringType()
+    kept = docs.select(*keep) if own else docs.select(*keep, F.col(text).cast("string").alias("_text"))
+    names, words = list(keep), text if own else "_text"
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             for at in range(0, part.num_rows, 1024):
                 few = part.slice(at, 1024)
-                found = [numbered(t.as_py(), sent.value) for t in few.column("_text")]
+                found = [numbered(t.as_py(), sent.value) for t in few.column(words)]
                 lists = []
                 for k in range(4):
                     ends = pa.array(np.concatenate([[0], np.cumsum([len(f[k]) for f in found])]).astype(np.int32))
@@ -242,7 +244,7 @@ def term_vectors(docs: DataFrame, numbers: dict[bytes, int], text: str, keep: Se
                 yield pa.RecordBatch.from_arrays([*few.columns[: len(names)], *lists], [*names, *VECTOR])
 
     numbers_of = T.ArrayType(T.IntegerType())
-    return written(kept.mapInArrow(each, T.StructType([*kept.schema.fields[:-1], *(T.StructField(c, numbers_of) for c in VECTOR)])), "vectors")
+    return written(kept.mapInArrow(each, T.StructType([*kept.schema.fields[: len(names)], *(T.StructField(c, numbers_of) for c in VECTOR)])), "vectors")
 
 
 def fit(sample: Examples, vectors: DataFrame) -> Scorer:
@@ -288,31 +290,29 @@ def fit(sample: Examples, vectors: DataFrame) -> Scorer:
 
 
 def score_vectors(vectors: DataFrame, scorer: Scorer) -> DataFrame:
-    """vectors with score, predicted and evidence in place of the terms; nothing is shuffled."""
+    """vectors with score, predicted and evidence in place of the terms; nothing is shuffled, and only the terms go to Python."""
     sent = vectors.sparkSession.sparkContext.broadcast(scorer)
-    fields = [f for f in vectors.schema.fields if f.name not in VECTOR]
-    names = [f.name for f in fields]
-    new = T.StructType.fromDDL(f"score double, predicted int, evidence {EVIDENCE}").fields
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        for part in batches:
-            lists = [part.column(c) for c in VECTOR]
-            scores, cosines, places = [], [], []
-            for start in range(0, part.num_rows, TOGETHER):
-                few = [tuple(x.values.to_numpy() for x in row) for row in zip(*(c.slice(start, TOGETHER) for c in lists), strict=True)]
-                for s, cos, at in model.scores(few):
-                    scores.append(s)
-                    cosines.append(cos[:3])
-                    places.append(at[:3])
-            at = np.concatenate([*places, np.zeros(0, np.int64)]).astype(np.int64)
-            ends = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in places])]).astype(np.int32))
-            values = [pa.array(model.index.ids[at]), pa.array(np.concatenate([*cosines, np.zeros(0)])), pa.array(model.index.labels[at].astype(np.int32))]
-            evidence = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(values, ["id", "cosine", "label"]))
-            columns = [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), evidence]
-            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *columns], [*names, "score", "predicted", "evidence"])
-
-    return vectors.mapInArrow(each, T.StructType([*fields, *new]))
+    names = [c for c in vectors.columns if c not in VECTOR]
+
+    def each(terms: pa.Array, counts: pa.Array, cells: pa.Array, times: pa.Array) -> pa.Array:
+        model, lists = sent.value, (terms, counts, cells, times)
+        scores, cosines, places = [], [], []
+        for start in range(0, len(terms), TOGETHER):
+            few = [tuple(x.values.to_numpy() for x in row) for row in zip(*(c.slice(start, TOGETHER) for c in lists), strict=True)]
+            for s, cos, at in model.scores(few):
+                scores.append(s)
+                cosines.append(cos[:3])
+                places.append(at[:3])
+        at = np.concatenate([*places, np.zeros(0, np.int64)]).astype(np.int64)
+        ends = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in places])]).astype(np.int32))
+        values = [pa.array(model.index.ids[at]), pa.array(np.concatenate([*cosines, np.zeros(0)])), pa.array(model.index.labels[at].astype(np.int32))]
+        evidence = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(values, ["id", "cosine", "label"]))
+        columns = [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), evidence]
+        return pa.StructArray.from_arrays(columns, ["score", "predicted", "evidence"])
+
+    # Else a filter over the scores would be pushed below them, and score each row twice.
+    scored = F.arrow_udf(each, f"score double, predicted int, evidence {EVIDENCE}").asNondeterministic()
+    return vectors.withColumn("_scored", scored(*VECTOR)).select(*names, "_scored.score", "_scored.predicted", "_scored.evidence")
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, keep: Sequence[str] | None = None, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", examples: int = EXAMPLES) -> DataFrame:
@@ -329,7 +329,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, keep: Sequence[str] |
     scores each; null ids are scored like others and are no examples; an empty table gives an empty result. Columns of
     docs that clash with the new ones are replaced.
     """
-    new = ("score", "predicted", "evidence", "_text", *VECTOR)
+    new = ("score", "predicted", "evidence", "_text", "_scored", *VECTOR)
     keep = [c for c in (keep or docs.columns) if c not in new]
     sample = examples_of(docs, labels, text, doc_id, label, examples)
     if sample is None:

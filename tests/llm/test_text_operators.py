@@ -355,3 +355,13 @@ def test_quality_fences(spark):
     got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert all(got[i].kept for i in range(300)) and got[2000].kept
     assert [got[i].reasons for i in (1000, 1001)] == [["word_length"], ["word_length"]] and "symbols" in got[1002].reasons and not got[2001].kept
+
+
+def test_toxicity_sends_only_terms_to_the_scoring(spark):
+    """Kept columns don't go through Python with the scores, and a filter over the scores does not make them twice."""
+    docs = frame(spark, [(i, f"{'vile' if i % 2 else 'kind'} w{i % 7} w{i % 5}") for i in range(40)])
+    known = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    scored = toxicity.score_toxicity(docs, known, keep=["doc_id", "text"]).filter("predicted = 0").select("doc_id", "text")
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("ArrowEvalPython") == 1
+    assert {r.doc_id: r.text for r in scored.collect()} == {r.doc_id: r.text for r in docs.filter("doc_id % 2 = 0").collect()}
