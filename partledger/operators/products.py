@@ -64,41 +64,48 @@ def scored_with_fill(rows: DataFrame, key: str, place: str, score: Column, least
     return rated.filter((F.col("_good") & (F.col("_rank") <= cap)) | (~F.col("_good") & (F.col("_rank") <= fill_to))).drop("_good", "_rank")
 
 
-def merged_inventory(detailed: DataFrame, coarse: DataFrame, keys: Sequence[str], physical: Sequence[str], concrete: Column) -> DataFrame:
+def merged_inventory(detailed: DataFrame, coarse: DataFrame, keys: Sequence[str], physical: Sequence[str], concrete: Column, tasks: int = 0) -> DataFrame:
     """Detailed rows of each product, one for a model or else for a component and side, and the coarse rows that add something.
 
     Both have keys, order, component, family, side, model and evidence. A coarse row falls out if its model (or component and
     side) or its evidence is there already, if a detailed row of the same physical family and side is, if its chip's name
     begins one that is there or the other way round, or if it isn't concrete. Each reason is a join of its own on equal
-    keys; of equal coarse rows the first stays.
+    keys; of equal coarse rows the first stays. Where tasks is given, each of these is dealt to so many, whatever the session's partitions are.
+    Both sides are read several times, so they should be tables.
     """
     model = F.regexp_replace(F.upper("model"), "[^A-Z0-9]", "")
     ident = F.when(F.coalesce(model, F.lit("")) != "", F.concat(F.lit("m:"), model)).otherwise(F.concat_ws(":", F.lit("c"), F.regexp_replace("component", r"\s+", ""), F.coalesce("side", F.lit(""))))
     said = F.regexp_replace(F.coalesce("evidence", F.lit("")), r"\s+", "")
     token = F.coalesce(F.try_element_at(F.regexp_extract_all(F.upper("model"), F.lit("[A-Z]{1,8}[0-9]+[A-Z0-9-]*"), F.lit(0)), F.lit(-1)), model, F.lit(""))
 
+    dealt = lambda df, *on: df.repartition(tasks, *on) if tasks else df
+
+    def meet(a: DataFrame, b: DataFrame, on: list[str], how: str) -> DataFrame:
+        return dealt(a, *on).join(dealt(b, *on), on, how)
+
     def first_of(df: DataFrame, by: Column) -> DataFrame:
         w = Window.partitionBy(*keys, "_by").orderBy("order")
-        return df.withColumn("_by", by).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "_by")
+        return dealt(df.withColumn("_by", by), *keys).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "_by")
 
     add = lambda df: df.withColumns({"_ident": ident, "_said": said, "_token": token})
     kept = first_of(add(detailed), F.col("_ident"))
     rest = add(coarse.filter(concrete))
-    by = lambda df, *cs: df.select(*keys, *cs).distinct()
-    rest = rest.join(by(kept, "_ident"), [*keys, "_ident"], "left_anti").join(by(kept.filter("_said <> ''"), "_said"), [*keys, "_said"], "left_anti")
+    # Sides that rows are only looked up in need no distinct, which would be a shuffle more.
+    by = lambda df, *cs: df.select(*keys, *cs)
+    rest = meet(meet(rest, by(kept, "_ident"), [*keys, "_ident"], "left_anti"), by(kept.filter("_said <> ''"), "_said"), [*keys, "_said"], "left_anti")
     side = lambda c: F.coalesce(c, F.lit(""))
     families = by(kept.filter(F.col("family").isin(*physical)).withColumn("_side", side(F.col("side"))), "family", "_side")
     r = rest.withColumn("_any", F.explode(F.when(side(F.col("side")) == "", F.array(F.lit("*"))).otherwise(F.array(F.col("side"), F.lit("")))))
-    open_side = families.withColumn("_any", F.explode(F.array(F.col("_side"), F.lit("*")))).select(*keys, "family", "_any").distinct()
-    same_family = r.join(open_side, [*keys, "family", "_any"], "left_semi").select(*keys, "order").distinct()
+    open_side = families.withColumn("_any", F.explode(F.array(F.col("_side"), F.lit("*")))).select(*keys, "family", "_any")
+    same_family = meet(r, open_side, [*keys, "family", "_any"], "left_semi").select(*keys, "order")
     # A name that begins another one: both meet on each beginning of the longer one.
     begins = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(c, F.lit(1), i))
     chips = lambda df: df.filter("family = 'chip' and _token <> ''")
     ours, theirs = chips(rest), by(chips(kept), "_token")
-    longer = ours.select(*keys, "order", F.explode(begins(F.col("_token"))).alias("_token")).join(theirs, [*keys, "_token"], "left_semi")
-    shorter = ours.join(theirs.select(*keys, F.explode(begins(F.col("_token"))).alias("_token")).distinct(), [*keys, "_token"], "left_semi")
-    known = same_family.unionByName(longer.select(*keys, "order")).unionByName(shorter.select(*keys, "order")).distinct()
-    rest = rest.join(known, [*keys, "order"], "left_anti")
+    longer = meet(ours.select(*keys, "order", F.explode(begins(F.col("_token"))).alias("_token")), theirs, [*keys, "_token"], "left_semi")
+    shorter = meet(ours, theirs.select(*keys, F.explode(begins(F.col("_token"))).alias("_token")), [*keys, "_token"], "left_semi")
+    known = same_family.unionByName(longer.select(*keys, "order")).unionByName(shorter.select(*keys, "order"))
+    rest = meet(rest, known, [*keys, "order"], "left_anti")
     rest = first_of(first_of(rest, F.col("_ident")), F.when(F.col("_said") != "", F.col("_said")).otherwise(F.concat(F.lit("#"), F.col("order"))))
     out = lambda df, kind: df.select(*keys, "order", "component", "family", "side", "model", F.lit(kind).alias("kind"))
     return out(kept, "detailed").unionByName(out(rest, "coarse"))

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from partledger.functions.text import first_rule, identity_key
 from partledger.operators import products as P
-from partledger.sources.tables import table
+from partledger.sources.shared import written
+from partledger.sources.tables import FEW_TASKS, LINES_A_TASK, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -217,7 +218,10 @@ def cost_inventory_merge(lineitem, part):
     from pyspark.sql import Window
 
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")).cast("long")
-    base = lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag").withColumn("order", place).join(part.select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_size"), "l_partkey")
+    tasks = tasks if (tasks := -(-lineitem.count() // LINES_A_TASK)) > FEW_TASKS else 0
+    lines = lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag")
+    lines = lines.repartition(tasks, "l_orderkey") if tasks else lines
+    base = lines.withColumn("order", place).join(part.select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_size"), "l_partkey")
     fourth = F.col("p_size") % 4
     model = F.when(fourth == 1, F.concat(F.lit("AB"), F.floor(F.col("p_size") / 10).cast("string"), F.when(F.col("l_suppkey") % 2 == 0, "X").otherwise(""))).when(fourth == 2, F.concat(F.lit("Q-"), (F.col("l_partkey") % 50).cast("string"))).otherwise("")
     rows = base.select(
@@ -225,7 +229,8 @@ def cost_inventory_merge(lineitem, part):
         F.when(F.col("l_returnflag") == "A", "left").when(F.col("l_returnflag") == "R", "case").otherwise("").alias("side"), model.alias("model"),
         F.when(F.col("p_size") % 5 == 0, F.concat(F.lit("seen at "), (F.col("p_size") % 3).cast("string"))).otherwise("").alias("evidence"),
     )
-    return P.merged_inventory(rows.filter("order <= 2"), rows.filter("order > 2"), ["k"], ("battery", "driver"), ~F.startswith("component", F.lit("PROMO")))
+    rows = written(rows, "inventory")  # else lines would be numbered anew for each join
+    return P.merged_inventory(rows.filter("order <= 2"), rows.filter("order > 2"), ["k"], ("battery", "driver"), ~F.startswith("component", F.lit("PROMO")), tasks)
 
 
 @query("""

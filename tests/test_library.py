@@ -320,3 +320,19 @@ def test_queries_without_sql_give_right_values(spark):
     assert blocks == ranges
     merged = queries["greedy_entity_merge"](spark, sf).agg(F.sum("merged").alias("n")).first().n
     assert merged == spark.read.parquet(f"{sf}/part.parquet").count()
+
+
+def test_inventory_is_dealt_by_its_lines(spark, monkeypatch):
+    """Every join and pick is dealt to as many tasks as the lines ask for, and lines are numbered once; the rows are the same."""
+    from partledger.plans import products as plans
+    from partledger.plans import registry
+
+    sf, query = "/root/testdata/sf0.001", registry.queries()["cost_inventory_merge"]
+    want = sorted(map(tuple, query(spark, sf).collect()))
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    monkeypatch.setattr(plans, "LINES_A_TASK", lines // 13)
+    got = query(spark, sf)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    tasks = -(-lines // (lines // 13))
+    assert plan.count(f"], {tasks}") + plan.count(f", {tasks}\n") >= 12 and "l_linenumber" not in plan
+    assert sorted(map(tuple, got.collect())) == want
