@@ -23,9 +23,17 @@ def caption_models(text: Column) -> Column:
     return F.filter(tokens, lambda t: ~F.contains(F.lower(t), F.lit(L.CORE_NAME)) & ~t.rlike(L.PARAMETER_SHAPED))
 
 
+def without_marks(text: Column) -> Column:
+    return F.lower(F.regexp_replace(text, L.CAPTION_MARKS, ""))
+
+
 def caption_family(text: Column) -> Column:
     """The component that a caption is about, coarsely; null if none."""
-    bare = F.lower(F.regexp_replace(text, L.CAPTION_MARKS, ""))
+    return family_of(without_marks(text))
+
+
+def family_of(bare: Column) -> Column:
+    """The same of a text without marks: a column of its own is made once, not for each family."""
     return F.nullif(F.coalesce(*(F.when(bare.rlike(f"(?iu){p}"), F.lit(f)) for f, p in L.CAPTION_FAMILIES)), F.lit(""))
 
 
@@ -42,7 +50,7 @@ def context_blocks(captions: DataFrame, key: str, start: str, end: str, order: s
     words, back, on = F.col(text), 2 * BACK, ON + 2
     by = Window.partitionBy(key).orderBy(start, end, order)
     identity = (F.size(caption_models(words)) > 0) & F.trim(words).rlike(L.CAPTION_IDENTITY)
-    marks = captions.withColumns({"_family": caption_family(words), "_identity": F.coalesce(identity, F.lit(False)), "_goes": F.coalesce(F.trim(words).rlike(L.CAPTION_CONTINUES), F.lit(False)), "_model": F.coalesce(F.size(caption_models(words)) > 0, F.lit(False))})
+    marks = captions.withColumn("_bare", without_marks(words)).withColumns({"_family": family_of(F.col("_bare")), "_identity": F.coalesce(identity, F.lit(False)), "_goes": F.coalesce(F.trim(words).rlike(L.CAPTION_CONTINUES), F.lit(False)), "_model": F.coalesce(F.size(caption_models(words)) > 0, F.lit(False))})
     one = F.struct(F.col(start).alias("start"), F.col(end).alias("end"), F.col("_family").alias("family"), F.col("_identity").alias("identity"), F.col("_goes").alias("goes"), F.col("_model").alias("model"), F.trim(words).alias("text"))
     rows = marks.withColumns({"_rows": F.collect_list(one).over(by.rowsBetween(-back, on)), "_at": F.least(F.row_number().over(by) - 1, F.lit(back))})
 
@@ -60,8 +68,9 @@ def context_blocks(captions: DataFrame, key: str, start: str, end: str, order: s
         found = F.struct(family.alias("family"), i.alias("at"), F.lit(True).alias("done"))
         return F.when(held["done"], held).when((i >= 0) & family.isNotNull(), found).otherwise(F.struct(held["family"].alias("family"), held["at"].alias("at"), F.coalesce(ended, F.lit(True)).alias("done")))
 
-    before = F.aggregate(F.sequence(F.lit(1), F.lit(BACK)), step, look_back)
     own = F.coalesce(row(at)["family"], ahead)
+    rows = rows.withColumn("_before", F.when(own.isNull() & open_(at), F.aggregate(F.sequence(F.lit(1), F.lit(BACK)), step, look_back)))
+    before = F.col("_before")
     anchor = F.when(own.isNotNull(), F.struct(own.alias("family"), at.alias("at"))).when(open_(at) & before["family"].isNotNull(), F.struct(before["family"].alias("family"), before["at"].alias("at")))
     rows = rows.withColumn("_anchor", anchor)
     family, named = F.col("_anchor.family"), F.col("_anchor.at")

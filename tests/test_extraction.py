@@ -194,3 +194,12 @@ def test_blocks_are_made_of_a_few_pages_at_a_time():
     assert max(len(set(b.column("page_id").to_pylist())) for b in got) <= 128
     rows = [tuple(r.values()) for b in got for r in b.to_pylist()]
     assert rows == [r for i in range(1000) if i not in (5, 6) for r in [(i, 0, "h1", 1, "body", f"t{i}", ""), (i, 1, "p", 0, "body", "a b", ""), (i, 2, "img", 0, "body", "", f"s{i}")]]
+
+
+def test_caption_marks_are_taken_off_once(spark):
+    """A caption's text without marks is made once, not for each family that it is held against."""
+    from partledger.operators import captions
+
+    rows = spark.createDataFrame([(1, 0.0, 1.0, 1, "电池 <b>")], "video long, start double, end double, id long, text string")
+    plan = captions.context_blocks(rows, "video", "start", "end", "id", "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 1
