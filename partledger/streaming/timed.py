@@ -7,8 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -26,27 +25,37 @@ class InOrder(StatefulProcessor):
     nothing that waits, is removed. Times are whole microseconds; rows of one time go by kind, and before a deadline of that time.
     """
 
-    def __init__(self, machine: Machine, start: tuple, state: str):
-        self.machine, self.start, self.schema = machine, start, state
+    def __init__(self, machine: Machine, start: tuple, state: str, columns: Sequence[str]):
+        self.machine, self.start, self.schema, self.row = machine, start, state, Row(*columns)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long, kind string")
+        self.handle, self.woken = handle, set()
+        self.waiting = handle.getListState("waiting", "at array<bigint>, kind array<string>")  # an entry for each batch that had rows
         self.held = handle.getValueState("held", f"{self.schema}, deadline long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        came = [(int(at), kind) for part in rows for at, kind in zip(part["at"], part["kind"], strict=True)]
-        self.waiting.appendList(came)
-        self.wake(min(at for at, _ in came))
-        yield pd.DataFrame()
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        came, upto = sorted((row.at, row.kind) for row in rows), timerValues.getCurrentWatermarkInMs() * 1000
+        if upto > 0:
+            yield from self.advance(key, came, upto)
+        else:
+            self.waiting.appendValue(in_lists(came))
+            self.wake(came[0][0])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if key not in self.woken:
+            yield from self.advance(key, [], timerValues.getCurrentWatermarkInMs() * 1000)
 
     def wake(self, at: int) -> None:
         self.handle.registerTimer(at // 1000 + 1)  # milliseconds; not before the instant has passed
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        upto = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(self.waiting.get()) if self.waiting.exists() else []
-        *state, deadline = self.held.get() if self.held.exists() else (*self.start, None)
+    def advance(self, key, came: list[tuple[int, str]], upto: int) -> Iterator[Row]:
+        """Takes the key's rows and deadlines up to the watermark. Its rows come before its timers, and all at one watermark, so once a batch
+        is enough."""
+        self.woken.add(key)
+        waited = [row for some in self.waiting.get() for row in zip(*some, strict=True)]
+        rows = sorted(waited + came)
+        held = self.held.get()
+        *state, deadline = held or (*self.start, None)
         state, out, done = tuple(state), [], 0
         while True:
             at, kind = rows[done] if done < len(rows) else (None, None)
@@ -58,24 +67,31 @@ class InOrder(StatefulProcessor):
                 done -= kind is not None
                 break
             state, given, deadline = self.machine(state, at, kind)
-            out += [(*key, *g) for g in given]
-        if done:
+            out += given
+        if rows[done:] and not done and came:
+            self.waiting.appendValue(in_lists(came))
+        elif rows[done:] and done:
+            self.waiting.put([in_lists(rows[done:])])
+        elif not rows[done:] and waited:
             self.waiting.clear()
-            if rows[done:]:
-                self.waiting.put(rows[done:])
-        if state == self.start and deadline is None:
+        if state != self.start or deadline is not None:
+            if held is None or tuple(held) != (*state, deadline):
+                self.held.update((*state, deadline))
+        elif held is not None:
             self.held.clear()
-        else:
-            self.held.update((*state, deadline))
         later = [at for at, _ in rows[done : done + 1]] + ([deadline] if deadline is not None else [])
         if later:
             self.wake(max(min(later), upto))
-        yield pd.DataFrame(out, columns=self.columns) if out else pd.DataFrame()
+        yield from (self.row(*key, *row) for row in out)
 
     def close(self) -> None:
         pass
 
 
+def in_lists(rows: list[tuple[int, str]]) -> tuple[list[int], list[str]]:
+    return [at for at, _ in rows], [kind for _, kind in rows]
+
+
 def in_order(stream: DataFrame, key: str, ts: str, kind: str, late: str, machine: Machine, start: tuple, state: str, result: str) -> DataFrame:
     """The rows (key, result) that a machine gives out over a stream; times in the result are columns of microseconds.
 
@@ -83,9 +99,7 @@ def in_order(stream: DataFrame, key: str, ts: str, kind: str, late: str, machine
     """
     given = stream.withWatermark(ts, late).select(key, ts, F.unix_micros(ts).alias("at"), F.col(kind).alias("kind"))
     schema = T.StructType([given.schema[key], *T.StructType.fromDDL(result)])
-    processor = InOrder(machine, start, state)
-    processor.columns = schema.names
-    return given.groupBy(key).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+    return given.groupBy(key).transformWithState(InOrder(machine, start, state, schema.names), schema, "Append", "EventTime")
 
 
 def phase_machine(start: str, end: str) -> Machine:

@@ -1,9 +1,11 @@
 """Functions, readers, sinks and folds on small inputs."""
 
 import random
+from types import SimpleNamespace
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -199,6 +201,39 @@ def test_retry_ladder(spark, tmp_path):
     ]
 
 
+def test_timed_state_is_read_once_a_batch():
+    """Each call of the state goes from Python to the JVM and back, so a key makes a few in a batch, however many rows and timers it has."""
+    calls = []
+
+    class Kept:
+        def __init__(self, name, *a):
+            self.name, self.rows = name, []
+
+        def __getattr__(self, what):
+            def call(*given):
+                calls.append(f"{self.name}.{what}")
+                before = self.rows
+                self.rows = {"appendValue": before + [*given], "put": given and given[0], "update": [*given], "clear": []}.get(what, before)
+                return (before[0] if before else None) if self.name == "held" else iter(before)
+
+            return call
+
+    handle = SimpleNamespace(getListState=Kept, getValueState=Kept, registerTimer=lambda at: calls.append("timer"))
+    processor = timed.InOrder(timed.retry_machine("error", "purchase", "view"), (0, False), "attempts int, leased boolean", ["k", "at", "attempts", "action", "due"])
+    processor.init(handle)
+    watermark = lambda s: SimpleNamespace(getCurrentWatermarkInMs=lambda: s * 1000)
+    rows = lambda *of: iter([Row(k="a", ts=None, at=s * 1_000_000, kind=kind) for s, kind in of])
+    assert not list(processor.handleInputRows(("a",), rows(*((s, "error") for s in range(1000, 0, -1))), watermark(0))) and calls == ["waiting.appendValue", "timer"]
+    processor.init(handle_again := SimpleNamespace(**vars(handle) | {"getListState": lambda *a: processor.waiting, "getValueState": lambda *a: processor.held}))
+    calls.clear()
+    out = list(processor.handleInputRows(("a",), rows((5000, "purchase"), (9000, "view")), watermark(6000)))
+    out += [row for _ in range(3) for row in processor.handleExpiredTimer(("a",), watermark(6000), None)]
+    assert [(r.at // 1_000_000, r.attempts, r.action) for r in out] == [(1, 1, "waiting"), (2, 2, "waiting"), (3, 3, "waiting"), (4, 4, "gave_up"), (5000, 1000, "done")]
+    assert calls == ["waiting.get", "held.get", "waiting.put", "timer"]
+    processor.init(handle_again)
+    assert not list(processor.handleExpiredTimer(("a",), watermark(10_000), None)) and calls[-4:] == ["held.get", "waiting.clear", "held.update", "timer"]
+
+
 def test_finished_items_leave_no_state(spark, tmp_path):
     rows = [("a", 0.0, "error"), ("a", 10.0, "purchase"), ("b", 0.0, "error"), ("c", 0.0, "view")]
     stream = event_files(spark, f"file://{tmp_path}/in", [rows, FLUSH])
