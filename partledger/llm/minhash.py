@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partledger.llm.common import small, table, written
+from partledger.llm.common import TEXTS_AT_ONCE, small, table, written
 from partledger.llm.components import components
 from partledger.operators.graph import shared_key_components
 
@@ -244,7 +244,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
     kept. Repeated rows share one component; kept is true for each row whose id is the component's. Very long texts are read
     whole (a set is one row of 8 bytes a shingle). An empty table gives an empty result. Other columns are not read.
     """
-    feats = written(features(docs, shingle, bands, rows, text, doc_id), "minhash")
+    feats = written(features(docs, shingle, bands, rows, text, doc_id), "minhash", TEXTS_AT_ONCE)
     known = feats.filter(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull())
     classes = known.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = written(classes, "classes")
@@ -259,7 +259,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
 
     ids = written(entries.select("rep").distinct().join(classes.select("rep", "set_id"), "rep"), "involved")
     whole = shingle_sets(docs.join(small(ids.select(F.col("rep").alias(doc_id)).distinct()), doc_id, "left_semi"), shingle, text, doc_id)
-    sets = written(whole.join(ids, (whole.doc_id == ids.rep) & (whole.set_id == ids.set_id), "left_semi").select(F.col("doc_id").alias("rep"), "set_id", "shingles").dropDuplicates(["rep", "set_id"]).select("rep", "shingles"), "sets")
+    sets = written(whole.join(ids, (whole.doc_id == ids.rep) & (whole.set_id == ids.set_id), "left_semi").select(F.col("doc_id").alias("rep"), "set_id", "shingles").dropDuplicates(["rep", "set_id"]).select("rep", "shingles"), "sets", TEXTS_AT_ONCE)
 
     fits = 100 * F.least("n", "other_n") >= percent * F.greatest("n", "other_n")
     few = entries.filter(F.col("members") <= pairs)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from partledger.llm.common import table, written
+from partledger.llm.common import TEXTS_AT_ONCE, table, written
 
 #: Labelled examples of each label at most: the bound of what the index holds.
 EXAMPLES = 2000
@@ -244,7 +244,7 @@ def term_vectors(docs: DataFrame, numbers: dict[bytes, int], text: str, keep: Se
                 yield pa.RecordBatch.from_arrays([*few.columns[: len(names)], *lists], [*names, *VECTOR])
 
     numbers_of = T.ArrayType(T.IntegerType())
-    return written(kept.mapInArrow(each, T.StructType([*kept.schema.fields[: len(names)], *(T.StructField(c, numbers_of) for c in VECTOR)])), "vectors")
+    return written(kept.mapInArrow(each, T.StructType([*kept.schema.fields[: len(names)], *(T.StructField(c, numbers_of) for c in VECTOR)])), "vectors", TEXTS_AT_ONCE)
 
 
 def fit(sample: Examples, vectors: DataFrame) -> Scorer:

@@ -7,10 +7,11 @@ import re
 import textwrap
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from partledger.llm import decontam, licenses, mixing, quality, secrets, toxicity
+from partledger.llm import common, decontam, licenses, minhash, mixing, quality, secrets, toxicity
 from partledger.llm.common import n_words
 
 SCHEMA = "doc_id long, text string, lang string, source string"
@@ -365,3 +366,18 @@ def test_toxicity_sends_only_terms_to_the_scoring(spark):
     plan = scored._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in plan and plan.count("ArrowEvalPython") == 1
     assert {r.doc_id: r.text for r in scored.collect()} == {r.doc_id: r.text for r in docs.filter("doc_id % 2 = 0").collect()}
+
+
+def test_whole_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    """However many rows a task has: batches of Spark's usual size, full of texts, take memory outside the heap."""
+    seen = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches)
+    rows, before = spark.range(0, 3500, 1, 1), spark.conf.get(common.ARROW_BATCH)
+    sizes = [r.n for r in common.written(rows.mapInArrow(seen, "n long"), "sizes", common.TEXTS_AT_ONCE).collect()]
+    assert sum(sizes) == 3500 and max(sizes) <= 1000 and spark.conf.get(common.ARROW_BATCH) == before
+    asked = {}
+    for part in (toxicity, minhash):
+        monkeypatch.setattr(part, "written", lambda df, kind="table", arrow_rows=None: (asked.update({kind: arrow_rows}), common.written(df, kind, arrow_rows))[1])
+    docs = frame(spark, [(i, f"{'vile' if i % 2 else 'kind'} w{i % 7} w{i % 5} a b c d e f g h i j k l m n o p q r {i}") for i in range(40)])
+    toxicity.score_toxicity(docs, spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int"))
+    minhash.near_duplicates(docs)
+    assert {asked[kind] for kind in ("vectors", "minhash", "sets")} == {common.TEXTS_AT_ONCE}
